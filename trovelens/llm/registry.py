@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from trovelens.llm import exact_dedup
+from trovelens.llm import exact_dedup, quality_rules
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
+    "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
