@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
@@ -18,10 +17,12 @@ from trovelens.llm.columns import documents, needed, rows
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of a worker's memory of words; longer words are never kept.
-WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 250_000, 250_000, 500_000, 64
+WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 50_000, 150_000, 500_000, 64
 #: str.split() parts at these; the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Texts of these characters only are in normal form, have one lower-case letter for each upper-case one and are cut by one pattern.
+_LATIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-įı-ſ‐-‧]*")
+_LATIN_PIECES = re.compile("[a-zß-öø-įı-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9a-zß-öø-įı-ſ]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,16 +32,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Kept(dict):
-    """A dictionary that makes what it lacks and starts again when it is full."""
+    """A dictionary that makes what it lacks. When it is full, what it holds becomes the older half; what is not asked for until it is full again goes."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        made = self.make(key)
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
         if len(key) <= LONGEST_KEPT:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = made
         return made
@@ -97,7 +101,9 @@ class PrefixEncoder:
                 automaton.add_word(s, (i, len(s)))
         automaton.make_automaton()
         self.matches = automaton.iter
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.whole = {s: automaton.get(s)[0] for s in symbols if s in automaton}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.names))]
+        self.pairs: dict[int, bool] = {}
         self.pieces = Kept(self._piece, PIECES_KEPT)
         self.words = Kept(self._word, WORDS_KEPT)
 
@@ -135,49 +141,56 @@ class PrefixEncoder:
                         return True
 
     def encode_symbols(self, symbols: str) -> list[int]:
-        """The ids of a symbol string. last[k]: the last token of the encoding of the first k symbols, and its length."""
-        last: list = [None] * (len(symbols) + 1)
-        pairs = self.pairs
-        for at, found in self.matches(symbols):
-            if last[at + 1] is not None:
-                continue
-            token, length = found
-            start = at + 1 - length
-            if start:
-                before = last[start]
-                if before is None:
-                    continue
-                key = before[0], token
-                fits = pairs.get(key)
-                if fits is None:
-                    if len(pairs) >= PAIRS_KEPT:
-                        pairs.clear()
-                    fits = pairs[key] = self.compatible(*key)
-                if not fits:
-                    continue
-            last[at + 1] = found
-        out, k = [], len(symbols)
-        while k:
-            token, length = last[k]
-            out.append(token)
-            k -= length
-        return out[::-1]
+        """The ids of a symbol string. token[k]: the last token of the encoding of the first k symbols; size[k]: its length."""
+        whole = self.whole.get(symbols)
+        if whole is not None:
+            return [whole]
+        n = len(symbols)
+        token, size, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
+        for at, (found, length) in self.matches(symbols):
+            at += 1
+            if token[at] < 0:
+                if length < at:
+                    before = token[at - length]
+                    if before < 0:
+                        continue
+                    key = before << 20 | found
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) >= PAIRS_KEPT:
+                            pairs.clear()
+                        fits = pairs[key] = self.compatible(before, found)
+                    if not fits:
+                        continue
+                token[at], size[at] = found, length
+        out = []
+        while n:
+            out.append(token[n])
+            n -= size[n]
+        out.reverse()
+        return out
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        raw = piece.encode("utf-8").decode("latin-1")
+        raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
         ids = self.encode_symbols(raw[:-1] + chr(ord(raw[-1]) + 256))
-        return np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
+        return b"".join([self.id_bytes[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
     def cut(self, text: str) -> list[str]:
         """Normalised pieces between which no merge is made."""
-        if text.isascii() and not _SEPARATORS.search(text):
-            return _ASCII_PIECES.findall(text.lower())
+        if _LATIN.fullmatch(text):
+            return _LATIN_PIECES.findall(text.lower())
         found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
         return [bytes([self.letters[c] for c in p]).decode("utf-8") for p, _ in found]
 
+    def ids(self, text: str) -> bytes:
+        """The ids alone."""
+        if "<|" not in text and _LATIN.fullmatch(text):
+            return b"".join([x[0] for x in map(self.pieces.__getitem__, _LATIN_PIECES.findall(text.lower()))])
+        return self.encode(text)[0]
+
     def _word(self, word: str) -> tuple[bytes, str]:
         if "<|" in word:
-            return self._join([x for part in self.special_at.split(word) if part for x in ([(np.array([self.special[part]], "<u4").tobytes(), part)] if part in self.special else map(self.pieces.__getitem__, self.cut(part)))])
+            return self._join([x for part in self.special_at.split(word) if part for x in ([(self.special[part].to_bytes(4, "little"), part)] if part in self.special else map(self.pieces.__getitem__, self.cut(part)))])
         return self._join(list(map(self.pieces.__getitem__, self.cut(word))))
 
     @staticmethod
@@ -186,6 +199,8 @@ class PrefixEncoder:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids of a whole text as little-endian unsigned 32-bit integers, and the text decoded from them."""
+        if "<|" not in text and _LATIN.fullmatch(text):
+            return self._join(list(map(self.pieces.__getitem__, _LATIN_PIECES.findall(text.lower()))))
         if _SEPARATORS.search(text):
             return self._word(text)
         return self._join(list(map(self.words.__getitem__, text.split())))

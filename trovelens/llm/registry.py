@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from trovelens.llm import exact_dedup, quality_rules
+from trovelens.llm import bpe, exact_dedup, packing, quality_rules
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
+    "op6_bpe_codec": bpe.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality_rules": quality_rules.query,
 }
