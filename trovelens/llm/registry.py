@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from trovelens.llm import bpe, exact_dedup, packing, quality_rules
+from trovelens.llm import bpe, chat, exact_dedup, html_text, packing, quality_rules
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_html_extraction": html_text.query,
     "op6_bpe_codec": bpe.query,
+    "op7_chat_formatting": chat.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
+    "op7_chat_formatting": chat.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
