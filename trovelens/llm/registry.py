@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from trovelens.llm import bpe, chat, exact_dedup, html_text, packing, quality_rules
+from trovelens.llm import bpe, chat, exact_dedup, html_text, packing, quality_net, quality_rules, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_html_extraction": html_text.query,
+    "op3_quality_classifier": quality_net.query,
     "op6_bpe_codec": bpe.query,
     "op7_chat_formatting": chat.query,
+    "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality_rules": quality_rules.query,
 }
