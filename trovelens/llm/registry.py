@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trovelens.llm import bpe, chat, exact_dedup, html_text, packing, quality_net, quality_rules, toxicity
+from trovelens.llm import bpe, chat, exact_dedup, html_text, ngram_join, packing, quality_net, quality_rules, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_html_extraction": html_text.query,
     "op3_quality_classifier": quality_net.query,
+    "op5_ngram_jaccard_join": ngram_join.query,
     "op6_bpe_codec": bpe.query,
     "op7_chat_formatting": chat.query,
     "op8_toxicity": toxicity.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
+    "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op7_chat_formatting": chat.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
