@@ -9,7 +9,8 @@ pairs that meet are verified on their whole sets.
 Documents with equal sets are one class from the start. Lanes that many classes share (a passage that
 is everywhere, a large group of near copies) are hot. Each document offers ``spare`` lanes more than it
 must, so one with few hot lanes leaves these out and loses nothing: a true partner shares more than
-``spare`` lanes with it. The others, which consist of common passages or belong to a large group,
+``spare`` lanes with it. For the same reason a pair that shares fewer lanes than the spare ones and one, less the hot
+ones of either side, is no pair and is not verified. The others, which consist of common passages or belong to a large group,
 meet at the member of a hot lane that has most hot lanes; who is not linked to that member's component
 is compared with the rest of the group in blocks, where the sketches' distance decides who is verified.
 """
@@ -196,11 +197,11 @@ def keys(docs: DataFrame, parts: int) -> DataFrame:
     return needed(docs, "text").mapInArrow(run, "p int, entries binary, keys binary")
 
 
-MET = "hot boolean, lane long, s int, always boolean, a_fa long, a_fb int, b_fa long, b_fb int"
+MET = "shared int, lane long, s int, always boolean, a_fa long, a_fb int, b_fa long, b_fb int"
 
 
 def met(table: pa.Table) -> pa.Table:
-    """One part's keys: pairs of classes that share a lane, and the members of hot lanes."""
+    """One part's keys: pairs of classes with the number of lanes they share, and (shared null) the members of hot lanes."""
     p = table["p"][0].as_py()
     entry = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table["entries"]])
     key = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]])
@@ -214,8 +215,8 @@ def met(table: pa.Table) -> pa.Table:
     lane_s, who_s = lane[some], who[some].astype(np.uint64)
     for gap in range(1, HOT):
         same = lane_s[gap:] == lane_s[:-gap]
-        pairs.append(np.unique(who_s[:-gap][same] << _U(32) | who_s[gap:][same]))
-    pair = np.unique(np.concatenate(pairs))
+        pairs.append(who_s[:-gap][same] << _U(32) | who_s[gap:][same])
+    pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
     a, b = kinds[(pair >> _U(32)).astype(np.int64)], kinds[(pair & _U(0xFFFFFFFF)).astype(np.int64)]
     hot = np.flatnonzero(size > HOT)
     h = kinds[who[hot]]
@@ -223,10 +224,10 @@ def met(table: pa.Table) -> pa.Table:
     none = pa.nulls(m)
     return pa.table(
         {
-            "hot": pa.array(np.arange(n + m) >= n),
+            "shared": pa.chunked_array([pa.array(shared.astype(np.int32)), none.cast(pa.int32())]),
             "lane": pa.array(np.concatenate([np.zeros(n, np.int64), lane[hot] | (np.int64(p) << np.int64(32))])),
             "s": pa.array(np.concatenate([a["s"], h["s"]]).astype(np.int32)),
-            "always": pa.array(np.concatenate([a["always"], h["always"]]) > 0),
+            "always": pa.array(np.concatenate([a["always"] | b["always"], h["always"]]) > 0),
             "a_fa": pa.array(np.concatenate([a["fa"], h["fa"]])),
             "a_fb": pa.array(np.concatenate([a["fb"], h["fb"]])),
             "b_fa": pa.chunked_array([pa.array(b["fa"].copy()), none.cast(pa.int64())]),
@@ -301,29 +302,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (s, top, rep, component) of groups packed in blocks of about BLOCK with their lanes in a byte each."""
+def sketches(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s, rep, size, sketch) for each (s, rep) in ``members``: the lanes of its set in a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                sketch = np.zeros(band(s)[1], np.uint8)
+                number, value = lanes(own, s)
+                sketch[number] = (value >> _U(56)).astype(np.uint8)
+                sizes.append(len(own))
+                out.append(sketch.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["s", "rep", "size", "sketch"])
+
+    return members.select("s", "rep").distinct().join(sets, "rep").select("s", "rep", "own").mapInArrow(run, "s int, rep long, size long, sketch binary")
+
+
+def blocks(members: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Members (s, top, rep, component) of groups with their sketches, packed in blocks of about BLOCK."""
 
     def pack(table: pa.Table) -> pa.Table:
-        s = table["s"][0].as_py()
-        count = band(s)[1]
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["own"]]
-        sketch = np.zeros((len(own), count), np.uint8)
-        for row, x in zip(sketch, own, strict=True):
-            number, value = lanes(x, s)
-            row[number] = (value >> _U(56)).astype(np.uint8)
-        ids, comp = table["rep"].to_numpy().astype(np.int64), table["component"].to_numpy().astype(np.int64)
-        return pa.table(
-            {
-                "s": pa.array([s], pa.int32()), "top": table["top"].slice(0, 1), "reps": pa.array([ids.tobytes()], pa.binary()), "comps": pa.array([comp.tobytes()], pa.binary()),
-                "sizes": pa.array([np.array([len(x) for x in own], np.int64).tobytes()], pa.binary()), "sketch": pa.array([sketch.tobytes()], pa.binary()),
-            }
-        )
+        columns = {n: pa.array([table[c].to_numpy().astype(np.int64).tobytes()], pa.binary()) for n, c in (("reps", "rep"), ("comps", "component"), ("sizes", "size"))}
+        return pa.table({"s": table["s"].slice(0, 1), "top": table["top"].slice(0, 1), **columns, "sketch": pa.array([b"".join(table["sketch"].to_pylist())], pa.binary())})
 
     n = members.groupBy("s", "top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
-    dealt = members.join(n, ["s", "top"]).join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
-    packed = dealt.select("s", "top", "block", "rep", "component", "own").groupBy("s", "top", "block").applyInArrow(pack, "s int, top long, reps binary, comps binary, sizes binary, sketch binary")
-    return packed
+    dealt = members.join(n, ["s", "top"]).join(drawn, ["s", "rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
+    schema = "s int, top long, reps binary, comps binary, sizes binary, sketch binary"
+    return dealt.select("s", "top", "block", "rep", "component", "size", "sketch").groupBy("s", "top", "block").applyInArrow(pack, schema)
 
 
 def close_in_blocks(some: DataFrame, all_: DataFrame) -> DataFrame:
@@ -355,7 +362,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, n_shingles, rep (the smallest doc_id with the same set) of each document,
     and the verified links (a, b) between reps: enough of them to connect what belongs together."""
     own = cut(classes(docs))
-    of = own.filter("n_shingles > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
+    of = own.filter("n_shingles > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     of = cut(of.filter("rep IS NOT NULL"))
     members = own.join(of, ["fa", "fb"], "left").select("doc_id", "n_shingles", "rep")
     chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -363,22 +370,31 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = cut(keys(docs, parts).groupBy("p").applyInArrow(met, MET))
 
     def as_reps(df: DataFrame, side: str, name: str) -> DataFrame:
-        named = of.select(F.col("fa").alias(f"{side}_fa"), F.col("fb").alias(f"{side}_fb"), F.col("rep").alias(name))
+        named = of.select(F.col("fa").alias(f"{side}_fa"), F.col("fb").alias(f"{side}_fb"), F.col("rep").alias(name), F.col("n").alias(f"n_{name}"))
         return df.join(named, [f"{side}_fa", f"{side}_fb"]).drop(f"{side}_fa", f"{side}_fb")
 
-    pairs = found.filter("NOT hot").select("a_fa", "a_fb", "b_fa", "b_fb").distinct()
-    pairs = as_reps(as_reps(pairs, "a", "a"), "b", "b").filter("a <> b")
-    hot = cut(as_reps(found.filter("hot").select("lane", "s", "always", "a_fa", "a_fb"), "a", "rep"))
     spare = F.when(F.lit(False), 0)
     for s in range(40):
         spare = spare.when(F.col("s") == s, band(s)[2])
-    many = hot.groupBy("s", "rep").agg(F.count(F.lit(1)).alias("hot_lanes"), F.max("always").alias("always")).filter(F.col("always") | (F.col("hot_lanes") > spare))
-    crowd = cut(hot.select("lane", "s", "rep").join(many.select("s", "rep", "hot_lanes"), ["s", "rep"]))
-    tops = crowd.groupBy("lane", "s").agg(F.max(F.struct("hot_lanes", (-F.col("rep")).alias("r"))).alias("t")).select("lane", "s", (-F.col("t.r")).alias("top"))
-    groups = cut(crowd.join(tops, ["lane", "s"]).select("s", "top", "rep").distinct())
-    stars = groups.filter("top <> rep").select(F.least("top", "rep").alias("a"), F.greatest("top", "rep").alias("b"))
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars).distinct())
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sizes_fit = DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")
+    hot = cut(as_reps(found.filter("shared IS NULL").select("lane", "s", "always", "a_fa", "a_fb"), "a", "rep").select("lane", "s", "always", "rep", F.col("n_rep").alias("n")))
+    warmth = cut(hot.groupBy("s", "rep").agg(F.count(F.lit(1)).alias("hot_lanes"), F.max("always").alias("always")))
+    pairs = found.filter("shared IS NOT NULL").groupBy("s", "always", "a_fa", "a_fb", "b_fa", "b_fb").agg(F.sum("shared").alias("shared"))
+    pairs = as_reps(as_reps(pairs, "a", "a"), "b", "b").filter((F.col("a") != F.col("b")) & sizes_fit)
+    for side in ("a", "b"):
+        pairs = pairs.join(warmth.select("s", F.col("rep").alias(side), F.col("hot_lanes").alias(f"hot_{side}")), ["s", side], "left")
+    hot_both = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+    # Linked documents share more than ``spare`` lanes; hot ones are not counted here, and where both sides
+    # have more hot ones than that they meet in a hot lane or share enough others.
+    enough = F.col("shared") > F.when(hot_both <= spare, spare - hot_both).otherwise(spare)
+    pairs = pairs.filter(F.col("always") | enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many = warmth.filter(F.col("always") | (F.col("hot_lanes") > spare))
+    crowd = cut(hot.select("lane", "s", "rep", "n").join(many.select("s", "rep", "hot_lanes"), ["s", "rep"]))
+    tops = crowd.groupBy("lane", "s").agg(F.max(F.struct("hot_lanes", (-F.col("rep")).alias("r"), "n")).alias("t")).select("lane", "s", (-F.col("t.r")).alias("top"), F.col("t.n").alias("n_a"))
+    groups = cut(crowd.join(tops, ["lane", "s"]).select("s", "top", "rep", "n_a", F.col("n").alias("n_b")).distinct())
+    stars = groups.filter((F.col("top") != F.col("rep")) & sizes_fit).select(F.least("top", "rep").alias("a"), F.greatest("top", "rep").alias("b"))
+    pairs = cut(pairs.unionByName(stars).distinct())
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(groups.select("rep")).distinct()
     sets = cut(candidate_sets(docs, cut(ids)))
     links = cut(verified(pairs, sets))
     comp = components(links)
@@ -388,7 +404,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = cut(known.join(centre, ["s", "top"]).filter("component <> centre").select("s", "top", "rep", "component"))
     if not apart.isEmpty():
         mixed = known.join(apart.select("s", "top").distinct(), ["s", "top"], "left_semi").select("s", "top", "rep", "component")
-        near = close_in_blocks(blocks(apart, sets), blocks(mixed, sets))
+        drawn = cut(sketches(mixed, sets))
+        near = close_in_blocks(blocks(apart, drawn), blocks(mixed, drawn))
         near = cut(near.join(pairs, ["a", "b"], "left_anti"))
         links = links.unionByName(verified(near, sets))
     return members, links
