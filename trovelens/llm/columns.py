@@ -15,12 +15,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def needed(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that others (whatever their names) stay out of the scan and the result."""
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to Arrow batches of BATCH_ROWS at most."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.select(*[df[n] for n in names])
+    return df
+
+
+def needed(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, so that others (whatever their names) stay out of the scan and the result."""
+    return with_small_batches(df).select(*[df[n] for n in names])
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:

@@ -100,10 +100,19 @@ def exact_groups(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxh
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns as they are; one row of each group."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_stays"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay, all their columns as they are; one row of each group.
+
+    Texts move in one join on doc_id. Only if ids repeat among the rows that stay, those rows alone
+    are reduced to one each.
+    """
+    kept = cut(exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_times")))
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_stays"]), "left_semi")
+
+    if kept.filter("_times > 1").isEmpty():
+        return chosen(kept)
+    return chosen(kept.filter("_times = 1")).unionByName(chosen(kept.filter("_times > 1")).dropDuplicates(["doc_id"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

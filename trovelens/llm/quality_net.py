@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, rows
+from trovelens.llm.columns import documents, needed, rows, with_small_batches
 from trovelens.llm.sampling import SAMPLE_ROWS, held_out, labelled_sample
 
 FILTERS, WIDTH = 16, 5
@@ -24,6 +24,8 @@ STRIDE = 128
 #: Bytes that are convolved at once.
 BLOCK_CHUNKS = 512
 EPOCHS, RATE, CHUNKS_PER_TEXT = 6, 0.02, 6
+#: A filtering stage rejects texts that score less.
+REJECT_BELOW = 0.3
 #: This share of the sampled texts is learned a second time as a slice of 10 to 150 characters.
 SHORT_SHARE = 0.3
 
@@ -173,6 +175,17 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
     return needed(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, net: Net, least: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, all columns as they are; nothing is shuffled."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([score(net, (t or "").encode("utf-8")) >= least for t in texts], pa.bool_()))
+
+    return with_small_batches(docs).mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, rows
+from trovelens.llm.columns import documents, needed, rows, with_small_batches
 from trovelens.llm.sampling import SAMPLE_ROWS, held_out, labelled_sample
 
 GRADES = 4
@@ -157,6 +157,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return needed(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
+    """The rows of ``docs`` whose text is not toxic, all columns as they are; nothing is shuffled."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([bool(scorer.above(t or "")[0] < toxic_from) for t in texts], pa.bool_()))
+
+    return with_small_batches(docs).mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
