@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trovelens.plans import search_queries
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search_queries.ORACLE_SQL}
