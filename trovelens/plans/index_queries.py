@@ -296,9 +296,9 @@ def _ranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.ranked(rows, "terms", "sim")
 
 
-@register("passage_rank", f"WITH {_PR} SELECT file_id, ordinal, round(score, 6) AS score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, ordinal) AS place FROM p2")
+@register("passage_rank", f"WITH {_PR} SELECT file_id, ordinal, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, ordinal) AS place FROM p2")
 def passage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked_passages(spark, sf_dir).select("file_id", "ordinal", F.round("score", 6).alias("score"), "place")
+    return _ranked_passages(spark, sf_dir).select("file_id", "ordinal", "score", "place")
 
 
 @register("passage_budget")

@@ -80,10 +80,10 @@ def _lists(spark: SparkSession, sf_dir: str) -> tuple:
     return ix, q, f, r
 
 
-@register("kw_bm25_topk", f"WITH {BASE_SQL}, {BM25_SQL} SELECT query_id, file_id, chunk_id, round(score, 6) AS score, rank FROM kw")
+@register("kw_bm25_topk", f"WITH {BASE_SQL}, {BM25_SQL} SELECT query_id, file_id, chunk_id, score, rank FROM kw")
 def kw_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix, q, f, r = _lists(spark, sf_dir)
-    return keyword.keyword_list(ix.postings, ix.sizes, q, f, r).select("query_id", "file_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return keyword.keyword_list(ix.postings, ix.sizes, q, f, r).select("query_id", "file_id", "chunk_id", "score", "rank")
 
 
 @register("kw_prefix", f"WITH {BASE_SQL}, {BM25_SQL} SELECT query_id, pos AS word, count(*) AS n_chunks, CAST(sum(tf) AS BIGINT) AS n_occurrences FROM hit GROUP BY ALL")
@@ -125,22 +125,22 @@ def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.coverage(ix.postings, _terms(q)).select("query_id", "file_id", F.round("coverage", 6).alias("coverage"))
 
 
-@register("knn_text", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, chunk_id, file_id, round(similarity, 6) AS similarity FROM tx0 WHERE r <= 50")
+@register("knn_text", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, chunk_id, file_id, similarity FROM tx0 WHERE r <= 50")
 def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vector.knn(t.vectors(spark, sf_dir), t.search_queries(spark, sf_dir), 50)
-    return near.select("query_id", "chunk_id", "file_id", F.round("similarity", 6).alias("similarity"))
+    return near.select("query_id", "chunk_id", "file_id", "similarity")
 
 
-@register("knn_text_post_filter", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, file_id, round(similarity, 6) AS similarity, rank FROM tx")
+@register("knn_text_post_filter", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, file_id, similarity, rank FROM tx")
 def knn_text_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix, q, f, r = _lists(spark, sf_dir)
-    return fusion.text_list(t.vectors(spark, sf_dir), q, ix.chunks, f, r).select("query_id", "file_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return fusion.text_list(t.vectors(spark, sf_dir), q, ix.chunks, f, r).select("query_id", "file_id", "similarity", "rank")
 
 
-@register("knn_image_floor", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, file_id, round(similarity, 6) AS similarity, rank FROM im")
+@register("knn_image_floor", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, file_id, similarity, rank FROM im")
 def knn_image_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, q, f, r = _lists(spark, sf_dir)
-    return fusion.image_list(t.vectors(spark, sf_dir, "image"), q, f, r).select("query_id", "file_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return fusion.image_list(t.vectors(spark, sf_dir, "image"), q, f, r).select("query_id", "file_id", "similarity", "rank")
 
 
 _SAMPLE = 100
@@ -154,9 +154,9 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.cosines(v.filter(F.col("chunk_id") % step == 0).orderBy("chunk_id").limit(2 * _SAMPLE), t.search_queries(spark, sf_dir))
 
 
-@register("cosine_sample", f"WITH {t.QUERIES_SQL}, {SAMPLE_SQL} SELECT query_id, vec_id AS chunk_id, round(similarity, 6) AS similarity FROM sm")
+@register("cosine_sample", f"WITH {t.QUERIES_SQL}, {SAMPLE_SQL} SELECT query_id, vec_id AS chunk_id, similarity FROM sm")
 def cosine_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+    return _sample(spark, sf_dir).select("query_id", "chunk_id", "similarity")
 
 
 @register("scale_stats", f"WITH {t.QUERIES_SQL}, {SAMPLE_SQL} SELECT query_id, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(similarity), 6) END AS mean, CASE WHEN count(*) >= 20 THEN round(greatest(stddev_pop(similarity), 0.02), 6) END AS sd FROM sm GROUP BY 1")
@@ -179,10 +179,10 @@ def _answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.hybrid_search(q, ix.postings, ix.sizes, ix.chunks, t.vectors(spark, sf_dir), t.vectors(spark, sf_dir, "image"), f, r, t.NOW_S)
 
 
-@register("hybrid_search", f"{ALL_SQL} SELECT query_id, file_id, path, round(score, 6) AS score, rank, strength, array_to_string(match_sources, ',') AS match_sources, len(copies) AS n_copies FROM answer")
+@register("hybrid_search", f"{ALL_SQL} SELECT query_id, file_id, path, score, rank, strength, array_to_string(match_sources, ',') AS match_sources, len(copies) AS n_copies FROM answer")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _answer(spark, sf_dir)
-    return a.select("query_id", "file_id", "path", F.round("score", 6).alias("score"), "rank", "strength", F.array_join("match_sources", ",").alias("match_sources"), F.size("copies").cast("long").alias("n_copies"))
+    return a.select("query_id", "file_id", "path", "score", "rank", "strength", F.array_join("match_sources", ",").alias("match_sources"), F.size("copies").cast("long").alias("n_copies"))
 
 
 @register("copies_collapse", f"{ALL_SQL} SELECT query_id, file_id, rank, array_to_string(copies, ',') AS copies FROM answer")
@@ -317,11 +317,11 @@ def eval_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("negative_detail", f"""{ALL_SQL}, neg AS (SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM queries JOIN files ON contains(text, passage)))
-SELECT q.query_id, round(max(text_similarity), 6) AS best_text, round(max(image_similarity), 6) AS best_image, coalesce(bool_or(in_keyword), false) AS by_keyword FROM queries q LEFT JOIN answer a USING (query_id) GROUP BY 1""")
+SELECT q.query_id, max(text_similarity) AS best_text, max(image_similarity) AS best_image, coalesce(bool_or(in_keyword), false) AS by_keyword FROM queries q LEFT JOIN answer a USING (query_id) GROUP BY 1""")
 def negative_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = t.search_queries(spark, sf_dir).select("query_id")
     a = q.join(_answer(spark, sf_dir), "query_id", "left").groupBy("query_id")
-    return a.agg(F.round(F.max("text_similarity"), 6).alias("best_text"), F.round(F.max("image_similarity"), 6).alias("best_image"), F.coalesce(F.max("in_keyword"), F.lit(False)).alias("by_keyword"))
+    return a.agg(F.max("text_similarity").alias("best_text"), F.max("image_similarity").alias("best_image"), F.coalesce(F.max("in_keyword"), F.lit(False)).alias("by_keyword"))
 
 
 @register("token_counts", f"WITH {BASE_SQL} SELECT source, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM chunks JOIN sizes USING (chunk_id) GROUP BY 1")

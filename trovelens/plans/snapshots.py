@@ -1,0 +1,56 @@
+"""A table as numbered snapshots in a folder: readers see the last whole one, writers add the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class SnapshotTable:
+    """Rows replaced by key. A snapshot is a folder of Parquet that counts once its success mark is there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The number of the last whole snapshot; 0 if there is none."""
+        if not self._fs.exists(self._root):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
+        whole = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return max(whole, default=0)
+
+    def read(self) -> DataFrame:
+        n = self.version()
+        if n == 0:
+            raise FileNotFoundError(self.path)
+        return self.spark.read.parquet(f"{self.path}/v{n}")
+
+    def replace(self, rows: DataFrame) -> int:
+        """Make ``rows`` the whole table."""
+        n = self.version() + 1
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        return n
+
+    def upsert(self, rows: DataFrame, key: str, deleted: DataFrame | None = None) -> int:
+        """Rows with a new or known key replace the old ones; keys in ``deleted`` go. Other rows stay."""
+        if self.version() == 0:
+            return self.replace(rows)
+        gone = rows.select(key) if deleted is None else rows.select(key).unionByName(deleted.select(key))
+        return self.replace(self.read().join(gone.distinct(), key, "left_anti").unionByName(rows))
+
+    def keep_last(self, n: int = 2) -> None:
+        """Remove older snapshots."""
+        for v in range(1, self.version() - n + 1):
+            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
+
+
+def replace_chunks(chunks: SnapshotTable, postings: SnapshotTable, new_chunks: DataFrame, files: DataFrame) -> None:
+    """Put the chunks of ``files`` (file_id) in place of their old ones, and only their postings anew."""
+    from trovelens.operators.keyword import postings as build
+
+    chunks.upsert(new_chunks, "file_id", files)
+    postings.upsert(build(new_chunks).select(F.col("term"), "chunk_id", "file_id", "tf", "positions"), "file_id", files)
