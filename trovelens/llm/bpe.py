@@ -105,6 +105,7 @@ class PrefixEncoder:
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.names))]
         self.pairs: dict[int, bool] = {}
         self.pieces = Kept(self._piece, PIECES_KEPT)
+        self.bare = Kept(self._bare, 2 * PIECES_KEPT)
         self.words = Kept(self._word, WORDS_KEPT)
 
     def merge_plainly(self, symbols: str) -> list[int]:
@@ -147,6 +148,7 @@ class PrefixEncoder:
             return [whole]
         n = len(symbols)
         token, size, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
+        known = pairs.get
         for at, (found, length) in self.matches(symbols):
             at += 1
             if token[at] < 0:
@@ -155,7 +157,7 @@ class PrefixEncoder:
                     if before < 0:
                         continue
                     key = before << 20 | found
-                    fits = pairs.get(key)
+                    fits = known(key)
                     if fits is None:
                         if len(pairs) >= PAIRS_KEPT:
                             pairs.clear()
@@ -170,9 +172,15 @@ class PrefixEncoder:
         out.reverse()
         return out
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
+    def _ids(self, piece: str) -> list[int]:
         raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
-        ids = self.encode_symbols(raw[:-1] + chr(ord(raw[-1]) + 256))
+        return self.encode_symbols(raw[:-1] + chr(ord(raw[-1]) + 256))
+
+    def _bare(self, piece: str) -> bytes:
+        return b"".join([self.id_bytes[i] for i in self._ids(piece)])
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        ids = self._ids(piece)
         return b"".join([self.id_bytes[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
     def cut(self, text: str) -> list[str]:
@@ -185,7 +193,7 @@ class PrefixEncoder:
     def ids(self, text: str) -> bytes:
         """The ids alone."""
         if "<|" not in text and _LATIN.fullmatch(text):
-            return b"".join([x[0] for x in map(self.pieces.__getitem__, _LATIN_PIECES.findall(text.lower()))])
+            return b"".join(map(self.bare.__getitem__, _LATIN_PIECES.findall(text.lower())))
         return self.encode(text)[0]
 
     def _word(self, word: str) -> tuple[bytes, str]:
