@@ -89,6 +89,15 @@ BINARY: dict[str, Callable] = {
     "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod,
     "~": lambda a, b: _text(a) + _text(b), "in": lambda a, b: a in b, "not in": lambda a, b: a not in b,
 }
+
+
+def _applied(f: Callable, *values: Any) -> Any:
+    try:
+        return f(*values)
+    except (TypeError, ValueError, ZeroDivisionError, OverflowError) as e:
+        raise TemplateError(str(e)) from None
+
+
 LEVELS = [["or"], ["and"], ["==", "!=", "<", "<=", ">", ">=", "in", "not in"], ["+", "-", "~"], ["*", "%"]]
 FILTERS: dict[str, Callable] = {"trim": lambda v: _text(v).strip(), "lower": lambda v: _text(v).lower(), "upper": lambda v: _text(v).upper(), "length": len, "text": _text}
 _TOKEN = re.compile(r"""\s*(?:('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(\d+(?:\.\d+)?)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-<>+*%~|.()\[\]]))""", re.S)
@@ -284,13 +293,13 @@ def _value(e, filters):
         if isinstance(a, Const) and isinstance(b, Const):
             small = e.op != "*" or all(isinstance(x.value, int | float) for x in (a, b))
             if small and len(_text(a.value)) + len(_text(b.value)) <= MOST_FOLDED:
-                return Const((a.value and b.value) if e.op == "and" else (a.value or b.value) if e.op == "or" else BINARY[e.op](a.value, b.value))
+                return Const((a.value and b.value) if e.op == "and" else (a.value or b.value) if e.op == "or" else _applied(BINARY[e.op], a.value, b.value))
         return Binary(e.op, a, b)
     if isinstance(e, Filtered):
         of = _value(e.of, filters)
         if e.name not in filters:
             raise TemplateError(f"no filter {e.name}")
-        return Const(filters[e.name](of.value)) if isinstance(of, Const) else Filtered(of, e.name)
+        return Const(_applied(filters[e.name], of.value)) if isinstance(of, Const) else Filtered(of, e.name)
     if isinstance(e, Item):
         return Item(_value(e.of, filters), _value(e.key, filters))
     return e
@@ -322,7 +331,7 @@ def _closure(e, filters) -> Callable[[dict], Any]:
 
         return item
     if isinstance(e, Filtered):
-        return lambda ctx, f=filters[e.name], of=_closure(e.of, filters): f(of(ctx))
+        return lambda ctx, f=filters[e.name], of=_closure(e.of, filters): _applied(f, of(ctx))
     if isinstance(e, Unary):
         a = _closure(e.a, filters)
         return (lambda ctx: not a(ctx)) if e.op == "not" else (lambda ctx: -a(ctx))
@@ -339,7 +348,7 @@ def _closure(e, filters) -> Callable[[dict], Any]:
             return x * y
 
         return times
-    return lambda ctx, f=BINARY[e.op]: f(a(ctx), b(ctx))
+    return lambda ctx, f=BINARY[e.op]: _applied(f, a(ctx), b(ctx))
 
 
 def _statement(node, filters) -> Render:

@@ -45,7 +45,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_archive(pages: DataFrame, path: str, codec: str | None = None) -> None:
     """Write WARC files below ``path``/file=N, records in the order of their ids; ``codec`` may be gzip."""
-    out = records(pages).repartition("file").sortWithinPartitions("file", "page_id", "text")
+    out = records(pages).repartition("file").sortWithinPartitions("file", "page_id", F.sha2("text", 256))
     # The writer adds a line end after each row: the record's last one.
     out.select("file", F.expr(f"substring(text, 1, length(text) - {len(CRLF)})").alias("text")).write.partitionBy("file").option("lineSep", CRLF).options(**({"compression": codec} if codec else {})).text(path)
 
