@@ -103,3 +103,11 @@ def test_filter_lets_every_candidate_pass(spark):
     ids = spark.createDataFrame([(i * 7919,) for i in range(500)], "rep long")
     bits = np.frombuffer(ngram_join.candidate_filter(ids), np.uint8)
     assert all(bits[ngram_join._bit(i * 7919) >> 3] >> (ngram_join._bit(i * 7919) & 7) & 1 for i in range(500))
+
+
+def test_long_texts_are_hashed_in_runs():
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abé") for _ in range(r.randint(1, 40))) for _ in range(3000)) + " " * 300 + "z" * 900 + "\ty"
+    whole = ngram_join.shingles(text)
+    for run in (64, 257, 5000):
+        assert np.array_equal(ngram_join.shingles(text, run), whole)

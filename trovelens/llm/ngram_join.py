@@ -37,8 +37,10 @@ LANES, SPARE = 0.4, 0.25
 #: A lane value with more classes than this is hot.
 HOT = 8
 #: Characters of text for each reduce task, about.
-TASK_CHARS = 50_000_000
-BLOCK = 512
+TASK_CHARS = 20_000_000
+BLOCK = 256
+#: Bytes of a long text that are hashed at once.
+RUN_BYTES = 1 << 20
 #: Bits of the filter that says which documents can be candidates; fixed, so its size is too.
 FILTER_BITS = 1 << 22
 
@@ -72,18 +74,37 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles; of fewer words than WORDS, of all of them as one."""
-    raw = np.frombuffer((text or "").encode("utf-8").lower(), np.uint8)  # bytes: A-Z only
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words in a run of bytes: polynomials of the bytes, from sums over the whole run."""
     edge = np.diff((~_SPACE[raw]).astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    n = len(starts)
-    if n == 0:
-        return np.zeros(0, np.uint64)
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    word = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingles(text: str | None, run: int = RUN_BYTES) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles; of fewer words than WORDS, of all of them as one.
+
+    Long texts are hashed in runs of about ``run`` bytes that end between words.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8").lower(), np.uint8)  # bytes: A-Z only
+    if len(raw) <= run:
+        word = word_hashes(raw)
+    else:
+        parts, at = [], 0
+        while at < len(raw):
+            end = min(at + run, len(raw))
+            while end < len(raw) and not _SPACE[raw[end]]:
+                gap = np.flatnonzero(_SPACE[raw[end : end + run]])
+                end = min(end + (int(gap[0]) if len(gap) else run), len(raw))
+            parts.append(word_hashes(raw[at:end]))
+            at = end
+        word = np.concatenate(parts)
+    n = len(word)
+    if n == 0:
+        return np.zeros(0, np.uint64)
     if n < WORDS:
         tag = np.full(1, n, np.uint64) * _PLACE[WORDS]  # arrays: their arithmetic wraps
         return mix(tag + (word * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True))
@@ -206,7 +227,11 @@ def met(table: pa.Table) -> pa.Table:
     entry = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table["entries"]])
     key = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]])
     kinds, of = np.unique(entry[["fa", "fb", "s", "always"]], return_inverse=True)
-    both = np.unique((key.astype(np.uint64) << _U(32)) | np.repeat(of.ravel(), entry["n"]).astype(np.uint64))
+    both = key.astype(np.uint64) << _U(32)
+    both |= np.repeat(of.ravel().astype(np.uint32), entry["n"])
+    del key, entry, of
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     lane, who = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(lane, prepend=-1))
     size = np.repeat(np.diff(np.append(first, len(lane))), np.diff(np.append(first, len(lane))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier is fitted on, at most; and code points of each that are looked at.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 8_000
 
 
 def held_out(doc_id):

@@ -26,6 +26,8 @@ GRADES = 4
 FEATURES, LEAST_DOCS = 512, 4
 PREFIXES = range(4, 9)
 STEPS, RATE, RIDGE = 300, 0.1, 1e-4
+#: Features of one sampled text only are forgotten each time so many texts have been counted.
+PRUNE_EVERY = 500
 #: A text is toxic from this probability of a grade above 0.
 TOXIC_FROM = 0.25
 WORDS_KEPT = 300_000
@@ -63,22 +65,26 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
     y = np.array([label for _, label in sample], np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, np.zeros(0), np.arange(1, GRADES) * 3.0)
-    found = [feature_counts(t) for t, _ in sample]
     docs = [Counter(), Counter()]
-    for c, label in zip(found, y.tolist(), strict=True):
-        docs[label].update(c.keys())
+    for k, (text, label) in enumerate(sample, 1):
+        docs[label].update(feature_counts(text).keys())
+        if k % PRUNE_EVERY == 0:  # most features are of one text; without them the counters stay small
+            for c, other in (docs, docs[::-1]):
+                for f in [f for f, n in c.items() if n == 1 and f not in other]:
+                    del c[f]
     n = [int((y == 0).sum()), int((y == 1).sum())]
     odds = {f: float(np.log((docs[1][f] + 0.5) / (n[1] + 1)) - np.log((docs[0][f] + 0.5) / (n[0] + 1))) for f in docs[0].keys() | docs[1].keys() if docs[0][f] + docs[1][f] >= LEAST_DOCS}
     weight = {f: abs(o) * (docs[0][f] + docs[1][f]) ** 0.5 for f, o in odds.items()}
     chosen = sorted(weight, key=lambda f: (-weight[f], f))[:FEATURES]
     index = {f: k for k, f in enumerate(chosen)}
-    x = np.zeros((len(sample), len(chosen)))
-    for i, c in enumerate(found):
-        for f, v in c.items():
+    x, total = np.zeros((len(sample), len(chosen))), np.zeros(len(sample))
+    for i, (text, _) in enumerate(sample):
+        for f, v in feature_counts(text).items():
+            total[i] += v
             if f in index:
                 x[i, index[f]] = np.log1p(v)
     strong = np.array([odds[f] > 2 and docs[1][f] >= LEAST_DOCS for f in chosen])
-    density = x[:, strong].sum(axis=1) / np.log(20 + np.array([sum(c.values()) for c in found]))
+    density = x[:, strong].sum(axis=1) / np.log(20 + total)
     parts = np.quantile(density[y == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(y == 1, 1 + np.searchsorted(parts, density, side="right"), 0)
     w, theta, gaps = np.zeros(len(chosen)), 1.0, np.zeros(GRADES - 2)  # thresholds: theta, then steps exp(gaps)

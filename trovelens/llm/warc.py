@@ -132,7 +132,7 @@ def _depth(most: int) -> int:
     return max(1, depth)
 
 
-def differing(one: DataFrame, two: DataFrame, under: DataFrame | None, file_step: bool = False, top_of_files: bool = False) -> DataFrame:
+def differing(one: DataFrame, two: DataFrame, under: DataFrame | None, top_of_files: bool = False) -> DataFrame:
     """(file, i) of the nodes that differ or that one side lacks, among the children of ``under``."""
     a, b = (x.select("file", "i", "hash") for x in (one, two))
     if under is not None:
