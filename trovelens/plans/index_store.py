@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +17,15 @@ class Index(NamedTuple):
     chunks: DataFrame
 
 
-@lru_cache(maxsize=8)
-def _built(application: str, sf_dir: str) -> Index:
-    spark = SparkSession.getActiveSession()
-    chunks = cut(tables.chunks(spark, sf_dir))
-    # Sorted by term within files: a lookup of a few terms skips most row groups.
-    postings = keyword.postings(chunks)
-    return Index(cut(postings.sortWithinPartitions("term")), cut(keyword.lengths(chunks)), chunks)
+_built: dict[tuple[str, str], Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return _built(spark.sparkContext.applicationId, sf_dir)
+    """The stored tables for an input; built at the first call of an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _built:
+        chunks = cut(tables.chunks(spark, sf_dir))
+        # Sorted by term within files: a lookup of a few terms skips most row groups.
+        postings = cut(keyword.postings(chunks).sortWithinPartitions("term"))
+        _built[key] = Index(postings, cut(keyword.lengths(chunks)), chunks)
+    return _built[key]
