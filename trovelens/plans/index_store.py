@@ -15,6 +15,8 @@ class Index(NamedTuple):
     postings: DataFrame
     sizes: DataFrame
     chunks: DataFrame
+    files: DataFrame
+    roots: DataFrame
 
 
 _built: dict[tuple[str, str], Index] = {}
@@ -27,5 +29,6 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
         chunks = cut(tables.chunks(spark, sf_dir))
         # Sorted by term within files: a lookup of a few terms skips most row groups.
         postings = cut(keyword.postings(chunks).sortWithinPartitions("term"))
-        _built[key] = Index(postings, cut(keyword.lengths(chunks)), chunks)
+        files = cut(tables.files(spark, sf_dir).drop("text"))
+        _built[key] = Index(postings, cut(keyword.lengths(chunks)), chunks, files, cut(tables.roots(spark, sf_dir)))
     return _built[key]

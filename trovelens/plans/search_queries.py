@@ -76,8 +76,7 @@ ALL_SQL = f"WITH {BASE_SQL}, {BM25_SQL}, {KNN_SQL}, {FUSE_SQL}"
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple:
     ix, q = index(spark, sf_dir), t.search_queries(spark, sf_dir)
-    f, r = t.files(spark, sf_dir).drop("text", "size", "lang", "state"), t.roots(spark, sf_dir)
-    return ix, q, f, r
+    return ix, q, ix.files.select("file_id", "root", "file_name", "path", "mtime_ns", "content_hash"), ix.roots
 
 
 @register("kw_bm25_topk", f"WITH {BASE_SQL}, {BM25_SQL} SELECT query_id, file_id, chunk_id, score, rank FROM kw")
