@@ -82,3 +82,26 @@ def test_pipeline_is_its_stages(spark, sf):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     final = {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
     assert final == {r.doc_id for r in docs.collect()}
+
+
+def late(spark, label):
+    """Texts of three times the former 8,000 characters, told apart by their last words only, and their labels."""
+    rows = [(i, "plain words of no matter. " * 1000 + ("vexfoul grimspit " * 60 if i % 2 else "gentle kindly " * 60), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {label} int")
+    return df.select("doc_id", "text"), df.select("doc_id", label), rows
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    docs, labels, rows = late(spark, "toxic")
+    model = toxicity.trained(docs, labels)
+    assert "=vexfoul" in model.index and "=gentle" in model.index
+    local = toxicity.fit(labelled_sample(docs, labels, "toxic"))
+    assert model.index.keys() == local.index.keys() and np.allclose(model.thresholds, local.thresholds, atol=1e-6)
+    scorer = toxicity.Scorer(model)
+    assert all((scorer.above(t)[0] >= toxicity.TOXIC_FROM) == (y == 1) for _, t, y in rows)
+
+
+def test_quality_learns_from_whole_texts(spark):
+    docs, labels, rows = late(spark, "quality")
+    net = quality_net.trained(docs, labels)
+    assert all((quality_net.score(net, t.encode()) >= 0.5) == (y == 1) for _, t, y in rows)

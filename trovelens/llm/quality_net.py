@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.llm.columns import documents, needed, rows, with_small_batches
-from trovelens.llm.sampling import SAMPLE_ROWS, held_out, labelled_sample
+from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled
+from trovelens.plans.lineage import cut
 
 FILTERS, WIDTH = 16, 5
 #: A chunk has 2 * STRIDE bytes and the next begins STRIDE bytes later.
@@ -28,6 +29,7 @@ EPOCHS, RATE, CHUNKS_PER_TEXT = 6, 0.02, 6
 REJECT_BELOW = 0.3
 #: This share of the sampled texts is learned a second time as a slice of 10 to 150 characters.
 SHORT_SHARE = 0.3
+SEED = 7
 
 
 class Net(NamedTuple):
@@ -84,33 +86,71 @@ def score(net: Net, text: bytes) -> float:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 7) -> Net:
+class Drawn(NamedTuple):
+    """What the filters learn from one sampled text: chunks from anywhere in it, and maybe a short slice."""
+
+    label: int
+    chunks: list[bytes]
+    short: str | None
+
+
+def chunks_of(text: bytes, rng: np.random.Generator) -> list[bytes]:
+    """At most CHUNKS_PER_TEXT chunks of the whole text."""
+    data = padded(text)
+    starts = np.arange(0, len(data) // STRIDE - 1) * STRIDE
+    if len(starts) > CHUNKS_PER_TEXT:
+        starts = rng.choice(starts, CHUNKS_PER_TEXT, replace=False)
+    return [data[s : s + 2 * STRIDE].tobytes() for s in starts]
+
+
+def drawn(text: str, label: int, key: int, seed: int = SEED) -> Drawn:
+    """Drawn by ``key`` alone, so that it does not matter where or in which order texts are read."""
+    rng = np.random.default_rng([seed, key % 2**64])
+    short = None
+    if rng.random() < SHORT_SHARE:  # short texts are rare and read mostly as padding
+        size = int(rng.integers(10, 150))
+        at = int(rng.integers(0, max(1, len(text) - size)))
+        short = text[at : at + size]
+    return Drawn(label, chunks_of(text.encode("utf-8"), rng), short)
+
+
+def fit(sample: list[tuple[str, int]], seed: int = SEED) -> Net:
     """Learn filters by gradient descent on sampled chunks, then the document's unit on whole sampled texts.
 
     Without any label, or with one class only, the net gives that class's share to every text.
     """
-    rng = np.random.default_rng(seed)
+    found = [drawn(t, label, k, seed) for k, (t, label) in enumerate(sample)]
+    net = with_filters(found, seed)
+    if net is None:
+        return flat(sample[0][1] if sample else None)
+    return with_head(net, [(features(net, t.encode("utf-8")), label) for t, label in sample] + short_features(net, found))
+
+
+def untrained(rng: np.random.Generator) -> Net:
     table = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
-    bias, out, out_bias = np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0
     size = 2 * FILTERS + 4
-    flat = Net(table, bias, out, out_bias, np.zeros(size), 0.0, np.zeros(size), np.ones(size))
-    labels = np.array([y for _, y in sample], np.float32)
-    if len(sample) == 0 or labels.min() == labels.max():
-        return flat._replace(head_bias=0.0 if len(sample) == 0 else 4.0 * (2 * float(labels[0]) - 1))
-    texts = [t.encode("utf-8") for t, _ in sample]
-    for t, label in sample[:: max(1, round(1 / SHORT_SHARE))]:  # short texts are rare and read mostly as padding
-        size_ = int(rng.integers(10, 150))
-        at = int(rng.integers(0, max(1, len(t) - size_)))
-        texts.append(t[at : at + size_].encode("utf-8"))
-        labels = np.append(labels, np.float32(label))
-    chunks, of = [], []
-    for k, t in enumerate(texts):
-        data = padded(t)
-        starts = np.arange(0, len(data) // STRIDE - 1) * STRIDE
-        for s in starts if len(starts) <= CHUNKS_PER_TEXT else rng.choice(starts, CHUNKS_PER_TEXT, replace=False):
-            chunks.append(data[s : s + 2 * STRIDE])
-            of.append(k)
-    x, y = np.array(chunks), labels[of]
+    return Net(table, np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0, np.zeros(size), 0.0, np.zeros(size), np.ones(size))
+
+
+def flat(label: int | None) -> Net:
+    """The net of a sample with one class only, or with none."""
+    return untrained(np.random.default_rng(SEED))._replace(head_bias=0.0 if label is None else 4.0 * (2 * float(label) - 1))
+
+
+def short_features(net: Net, sample: list[Drawn]) -> list[tuple[np.ndarray, int]]:
+    return [(features(net, d.short.encode("utf-8")), d.label) for d in sample if d.short is not None]
+
+
+def with_filters(sample: list[Drawn], seed: int = SEED) -> Net | None:
+    """A net whose filters are learned; none without both classes."""
+    if len({d.label for d in sample}) < 2:
+        return None
+    rng = np.random.default_rng(seed)
+    start = untrained(rng)
+    table, bias, out, out_bias = start.table, start.bias, start.out, start.out_bias
+    pairs = [(c, d.label) for d in sample for c in d.chunks]
+    pairs += [(c, d.label) for d in sample if d.short is not None for c in chunks_of(d.short.encode("utf-8"), rng)]
+    x, y = np.frombuffer(b"".join(c for c, _ in pairs), np.uint8).reshape(-1, 2 * STRIDE), np.array([v for _, v in pairs], np.float32)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
     n = 2 * STRIDE - WIDTH + 1
     moments = [np.zeros_like(v) for v in (table, bias, out)] + [np.zeros_like(v) for v in (table, bias, out)]
@@ -138,8 +178,12 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Net:
                 moments[j + 3] = 0.999 * moments[j + 3] + 0.001 * g * g
                 v -= RATE * (moments[j] / (1 - 0.9**step)) / (np.sqrt(moments[j + 3] / (1 - 0.999**step)) + 1e-8)
             out_bias -= RATE * float(err.sum())
-    net = flat._replace(table=table, bias=bias, out=out, out_bias=out_bias)
-    f = np.array([features(net, t) for t in texts])
+    return start._replace(table=table, bias=bias, out=out, out_bias=out_bias)
+
+
+def with_head(net: Net, pairs: list[tuple[np.ndarray, int]]) -> Net:
+    """The net with its document's unit fitted on (features of a text, label)."""
+    f, labels = np.array([v for v, _ in pairs]), np.array([y for _, y in pairs], np.float32)
     mean, scale = f.mean(axis=0), f.std(axis=0) + 1e-3
     z = (f - mean) / scale
     head, head_bias = np.zeros(z.shape[1]), 0.0
@@ -157,7 +201,32 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Net:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
-    return fit(labelled_sample(docs, labels, "quality", sample_rows))
+    """``fit`` on the whole texts of the sample, which stay in the executors.
+
+    The driver gets CHUNKS_PER_TEXT chunks, a slice of 150 characters and one row of features of each at most.
+    """
+    sample = with_small_batches(cut(sampled(docs, labels, "quality", sample_rows)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, own in rows(batches, "_id", "_text", "_label"):
+            found = [drawn(t, y, i) for i, t, y in zip(ids, texts, own, strict=True)]
+            columns = [pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array([d.chunks for d in found], pa.list_(pa.binary())), pa.array([d.short for d in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "chunks", "short"])
+
+    found = sample.mapInArrow(draw, "id long, label int, chunks array<binary>, short string").collect()
+    found = [Drawn(r["label"], [bytes(c) for c in r["chunks"]], r["short"]) for r in sorted(found, key=lambda r: (r["id"], r["chunks"]))]
+    net = with_filters(found)
+    if net is None:
+        return flat(found[0].label if found else None)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, own in rows(batches, "_id", "_text", "_label"):
+            values = [features(net, t.encode("utf-8")).tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(values, pa.list_(pa.float64()))], names=["id", "label", "f"])
+
+    whole = sample.mapInArrow(read, "id long, label int, f array<double>").collect()
+    pairs = [(np.array(r["f"]), r["label"]) for r in sorted(whole, key=lambda r: (r["id"], r["f"]))]
+    return with_head(net, pairs + short_features(net, found))
 
 
 def scored(docs: DataFrame, net: Net) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a classifier is fitted on, at most; and code points of each that are looked at.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 8_000
+#: Labelled documents that a classifier is fitted on, at most; each is read whole.
+SAMPLE_ROWS = 4000
 
 
 def held_out(doc_id):
@@ -14,15 +14,22 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled documents that are not held out, the first by hash of the id.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """_id, _text, _label of at most ``rows`` labelled documents that are not held out, the first by hash of the id.
 
     The ids are chosen from ``labels`` alone before the join, so only the sample's texts move. This
-    bound is for fitting only; scores are given to every whole text.
+    bound is for fitting only and on rows only: texts are whole.
     """
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     ids = ids.filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = ids.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").collect()
-    return [(r["_text"], r["_label"]) for r in sorted(found, key=lambda r: (r["_id"], r["_text"]))]
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    return texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int | None = None) -> list[tuple[str, int]]:
+    """The sample as (text, label), collected: for small inputs; texts are whole unless ``chars`` is given."""
+    found = sampled(docs, labels, label, rows)
+    if chars is not None:
+        found = found.withColumn("_text", F.substring("_text", 1, chars))
+    return [(r["_text"], r["_label"]) for r in sorted(found.collect(), key=lambda r: (r["_id"], r["_text"]))]

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.llm.columns import documents, needed, rows, with_small_batches
-from trovelens.llm.sampling import SAMPLE_ROWS, held_out, labelled_sample
+from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled
+from trovelens.plans.lineage import cut
 
 GRADES = 4
 #: Features that are kept from the sample, and the fewest sampled documents that one must occur in.
@@ -79,11 +80,20 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
     index = {f: k for k, f in enumerate(chosen)}
     x, total = np.zeros((len(sample), len(chosen))), np.zeros(len(sample))
     for i, (text, _) in enumerate(sample):
-        for f, v in feature_counts(text).items():
-            total[i] += v
-            if f in index:
-                x[i, index[f]] = np.log1p(v)
-    strong = np.array([odds[f] > 2 and docs[1][f] >= LEAST_DOCS for f in chosen])
+        total[i], at, n_at = vector(text, index)
+        x[i, at] = np.log1p(n_at)
+    return descended(x, total, y, chosen, np.array([odds[f] > 2 and docs[1][f] >= LEAST_DOCS for f in chosen], bool))
+
+
+def vector(text: str, index: dict) -> tuple[int, list[int], list[int]]:
+    """The occurrences of all features of a whole text, the positions of those in ``index`` and their occurrences."""
+    found = feature_counts(text)
+    hits = [(index[f], v) for f, v in found.items() if f in index]
+    return sum(found.values()), [k for k, _ in hits], [v for _, v in hits]
+
+
+def descended(x: np.ndarray, total: np.ndarray, y: np.ndarray, chosen: list[str], strong: np.ndarray) -> Model:
+    """The model of sampled vectors ``x``: grades by the density of ``strong`` features, then descent."""
     density = x[:, strong].sum(axis=1) / np.log(20 + total)
     parts = np.quantile(density[y == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(y == 1, 1 + np.searchsorted(parts, density, side="right"), 0)
@@ -137,7 +147,41 @@ class Scorer:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", sample_rows))
+    """``fit`` on the whole texts of the sample; texts and their features stay in the executors.
+
+    The driver gets FEATURES features and, for each sampled text, at most as many counts.
+    """
+    sample = with_small_batches(cut(sampled(docs, labels, "toxic", sample_rows)))
+    n = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return fit([])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, toxic in rows(batches, "_text", "_label"):
+            for t, label in zip(texts, toxic, strict=True):
+                own = list(feature_counts(t))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int64())], names=["feature", "label"])
+
+    by = sample.mapInArrow(each, "feature string, label long").groupBy("feature").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n[0] + 1))
+    by = by.filter(F.col("n") >= LEAST_DOCS).withColumn("odds", odds).withColumn("weight", F.abs("odds") * F.sqrt("n"))
+    best = by.orderBy(F.desc("weight"), "feature").limit(FEATURES).collect()
+    chosen = [r["feature"] for r in best]
+    index = {f: k for k, f in enumerate(chosen)}
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, toxic in rows(batches, "_id", "_text", "_label"):
+            total, at, n_at = zip(*[vector(t, index) for t in texts], strict=True)
+            columns = [pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(total, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n_at, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "total", "at", "n_at"])
+
+    found = sample.mapInArrow(vectors, "id long, label int, total long, at array<int>, n_at array<long>").collect()
+    found.sort(key=lambda r: (r["id"], r["total"]))
+    x = np.zeros((len(found), len(chosen)))
+    for i, r in enumerate(found):
+        x[i, r["at"]] = np.log1p(r["n_at"])
+    strong = np.array([r["odds"] > 2 and r["toxic"] >= LEAST_DOCS for r in best], bool)
+    return descended(x, np.array([r["total"] for r in found], float), np.array([r["label"] for r in found], np.int64), chosen, strong)
 
 
 SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
