@@ -19,6 +19,27 @@ def test_main_text():
     assert html_text.main_text("<p>only this") == "only this"
 
 
+LONG = "<p>Running text, with commas, and of some length, so that it counts as a paragraph of the page's article.</p>"
+AROUND = "<body><header>Site</header><nav><a href=/>Home</a></nav>{}<footer>All rights</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "article",
+    [
+        f"<article><p>Short lead.</p><div class=body>{LONG * 10}</div><ul><li>last item</ul></article>",
+        f"<main><h1>Short lead.</h1><section>{LONG * 30}</section><section><p>Small one, last item</p></section></main>",
+        f"<main><p>Short lead.</p><article>{LONG * 3}</article><table><tr><td>last item</table></main>",
+        f"<div><p>Short lead.</p><div class=body>{LONG * 10}</div><ul><li>last item</ul></div>",
+        f"<p>Short lead.</p><div>{LONG * 10}</div><ol><li>last item</ol>",
+    ],
+)
+def test_all_of_the_article_is_kept(article):
+    got = html_text.main_text(AROUND.format(article)).split("\n")
+    assert got[0] == "Short lead." and got[-1].endswith("last item") and len(got) == article.count("<p>") + article.count("<h1>") + article.count("<li>") + article.count("<td>")
+    links = "<div><ul><li><a href=/a>another page, of this site</a><li><a href=/b>one more</a></ul></div>"
+    assert html_text.main_text(AROUND.format(article + links)).split("\n") == got
+
+
 @pytest.mark.parametrize("html", ["", "<", "</", "<p", "<!--", "<script>", "<a href='", "<div>" * 20_000, "</div>" * 1000, "&#x110000; &bogus; &amp", "<p>" * 1000 + "x", "\x00<b>\x00"])
 def test_broken_markup(html):
     assert isinstance(html_text.main_text(html), str)

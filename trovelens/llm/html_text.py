@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 Blocks of text pass points (for being there, for commas, for length) to the elements above them,
-less with each level and less for text in links. The best container and those of its siblings that
-hold running text too are the article; what its own tags or names mark as page furniture is not.
+less with each level and less for text in links. The article is what encloses the best container (an
+article or main element, or its parents up to where furniture or links stand beside them), whole,
+with siblings that are no link lists; what its own tags or names mark as page furniture is not.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class Page:
     """Elements of a page as parallel lists (parents before children) and its blocks of text in order."""
 
     def __init__(self, html: str):
-        self.tag, self.parent = ["#"], [-1]
+        self.tag, self.parent, self.furniture = ["#"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
         self.parts: list[str] = []
@@ -135,6 +136,7 @@ class Page:
     def _push(self, name: str, furniture: bool) -> None:
         self.tag.append(name)
         self.parent.append(self.open[-1])
+        self.furniture.append(furniture)
         self.open.append(len(self.tag) - 1)
         if self.dropped or furniture:
             self.dropped += 1
@@ -194,14 +196,43 @@ class Page:
                     best, most = k, score[k]
         if best < 0:
             return ""
+        core, top, marked = self._article(best, chars, linked)
+        path = set()
+        k = self.parent[core]
+        while k >= 0:
+            path.add(k)
+            k = self.parent[k]
         kept = [False] * n
-        kept[best] = True
+        kept[0] = top == 0
         for k in range(1, n):
-            beside = self.parent[k] == self.parent[best] and k != best
-            if kept[self.parent[k]] or beside and self._running(k, score, chars, linked, most):
+            above = self.parent[k]
+            if k == core or k == top:
                 kept[k] = True
+            elif above >= 0 and kept[above]:
+                kept[k] = k in path or above not in path or linked[k] <= 0.5 * chars[k]
+            elif above == self.parent[top]:
+                kept[k] = self._running(k, score, chars, linked, most) if marked else chars[k] > 0 and linked[k] <= 0.5 * chars[k]
         return "\n".join(text for node, text, _ in self.blocks if kept[node])
 
+    def _article(self, best: int, chars: list, linked: list) -> tuple[int, int, bool]:
+        """The innermost and the outermost element that is the article, and whether the page's tags mark it.
+
+        That is what encloses the best container: article and main if there are any; else the
+        parents up to where menus, headers and other furniture or link lists stand beside them.
+        """
+        marks, k = [], best
+        while k > 0:
+            if self.tag[k] in ("article", "main"):
+                marks.append(k)
+            k = self.parent[k]
+        if marks:
+            return marks[0], marks[-1], True
+        bars = {self.parent[k] for k in range(1, len(self.tag)) if self.furniture[k] or chars[k] and linked[k] > 0.5 * chars[k]}
+        top = best
+        while top > 0 and self.parent[top] > 0 and self.tag[self.parent[top]] not in ("body", "html") and self.parent[top] not in bars:
+            top = self.parent[top]
+        return best, top, False
+
     def _running(self, k: int, score: list, chars: list, linked: list, most: float) -> bool:
         """Whether a sibling of the best container holds running text of its own."""
         if chars[k] == 0 or linked[k] > 0.25 * chars[k]:
