@@ -40,6 +40,28 @@ def test_all_of_the_article_is_kept(article):
     assert html_text.main_text(AROUND.format(article + links)).split("\n") == got
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><a name=top><article>{}</article></body>",
+        "<body><div><a href=/>Home</div><article>{}</article></body>",
+        "<body><a href=/>Home<article>{}</article></body>",
+        "<body><nav><a href=/>Home</nav><p><a href=/a>one <a href=/b>two</a></p><article>{}</article></body>",
+        "<body><div class='has-sidebar'><article>{}</article></div></body>",
+        "<body class=x><div class='row with-sidebar no-comments'><div>{}</div></div></body>",
+        "<body><div class='page-widget'><main>{}</main></div></body>",
+        "<body><div class='content-banner'><article>{}</article></div></body>",
+    ],
+)
+def test_open_links_and_wrappers(page):
+    assert html_text.main_text(page.format(LONG * 5)).count("Running text") == 5
+
+
+def test_named_furniture_beside_the_article_goes():
+    comments = "<div class=comments><article class=comment><p>I, too, think so, really, and often</p></article><article><p>No, not at all, never</p></article></div>"
+    assert html_text.main_text(f"<body><article>{LONG * 3}</article>{comments}<div hidden class=ad><main><p>Not, to be, seen</p></main></div></body>").count("\n") == 2
+
+
 @pytest.mark.parametrize("html", ["", "<", "</", "<p", "<!--", "<script>", "<a href='", "<div>" * 20_000, "</div>" * 1000, "&#x110000; &bogus; &amp", "<p>" * 1000 + "x", "\x00<b>\x00"])
 def test_broken_markup(html):
     assert isinstance(html_text.main_text(html), str)

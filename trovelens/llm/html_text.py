@@ -23,6 +23,7 @@ _TAG = re.compile(
     re.S,
 )
 _NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -44,28 +45,45 @@ _WORDS = (
 _FURNITURE_NAME = re.compile(rf"(?:[a-z0-9]+[_-]+)*(?:{_WORDS})(?:[_-]+[a-z0-9]+)*|(?:site|page|global|top)?[_-]?header|related(?:[_-].*)?|share|alert|hidden|legal|recommend[a-z]*", re.I)
 
 
+#: Names that say what stands beside or in an element, not what it is.
+_ABOUT = re.compile(r"(?:has|have|with|without|no)[_-].*", re.I)
+
+
+def named_furniture(attributes: str) -> bool:
+    for found in _NAME.finditer(attributes):
+        value = found[2] or found[3] or found[4] or ""
+        if any(_FURNITURE_NAME.fullmatch(token) and not _ABOUT.fullmatch(token) for token in value.split()):
+            return True
+    return False
+
+
 def is_furniture(tag: str, attributes: str) -> bool:
     """Whether an element is a menu, header, notice, advert or the like by its tag, names or state."""
     if tag in FURNITURE:
         return True
     if not attributes or tag in NAMED_ALIKE:
         return False
-    for found in _NAME.finditer(attributes):
-        value = found[2] or found[3] or found[4] or ""
-        if any(_FURNITURE_NAME.fullmatch(token) for token in value.split()):
-            return True
-    return bool(_HIDDEN.search(attributes))
+    return named_furniture(attributes) or bool(_HIDDEN.search(attributes))
 
 
 class Page:
     """Elements of a page as parallel lists (parents before children) and its blocks of text in order."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, spared: frozenset = frozenset()):
+        #: Where elements begin that are no furniture whatever their names, and where those of this page do.
+        self.spared, self.begins, self.begin = spared, [-1], -1
+        self.wraps: dict[str, set[int]] = {"article": set(), "main": set()}
+        self.article = False
+        #: Open elements that are furniture by name only, and how many others are furniture.
+        self.walls: list[int] = []
+        self.hard = 0
         self.tag, self.parent, self.furniture = ["#"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
         self.parts: list[str] = []
-        self.linked, self.links, self.dropped = 0, 0, 0
+        self.linked, self.dropped = 0, 0
+        #: The open link, if any: how many elements are open where it begins, and the block that it begins in.
+        self.link: tuple[int, int] | None = None
         at, end = 0, len(html)
         lower = None
         while at < end:
@@ -79,7 +97,7 @@ class Page:
             name = found[2] or found[5]
             if not name:
                 continue
-            name = name.lower()
+            name, self.begin = name.lower(), found.start()
             if found[1] or found[4]:
                 self._close(name)
             elif name in RAW:
@@ -92,14 +110,24 @@ class Page:
                 at = end if stop < 0 else (html.find(">", stop) + 1 or end)
             else:
                 self._open(name, found[3] or found[6] or "")
+        self._end_link()
         self._flush()
 
+    def _end_link(self) -> None:
+        """End a link that has no end tag: of its text only that of its first block is the link's."""
+        if self.link:
+            first = self.link[1]
+            self.blocks[first + 1 :] = [(node, text, 0) for node, text, _ in self.blocks[first + 1 :]]
+            if len(self.blocks) > first:
+                self.linked = 0
+            self.link = None
+
     def _text(self, text: str) -> None:
         if not self.dropped:
             if "&" in text:
                 text = unescape(text)
             self.parts.append(text)
-            if self.links:
+            if self.link:
                 self.linked += len(text)
 
     def _flush(self) -> None:
@@ -117,10 +145,12 @@ class Page:
                     self._flush()
             return
         if name in INLINE and name not in ("td", "th"):
+            if name == "a":
+                self._end_link()
             if is_furniture(name, attributes):
-                self._push(name, True)
-            elif name == "a":
-                self.links += 1
+                self._push(name, True, attributes)
+            elif name == "a" and _HREF.search(attributes):
+                self.link = len(self.open), len(self.blocks)
             return
         if not self.dropped:
             if name in ("td", "th"):
@@ -131,13 +161,36 @@ class Page:
             self._end({"p"}, ENDS_P - {"p"})
         if name in ENDS:
             self._end(*ENDS[name])
-        self._push(name, is_furniture(name, attributes))
+        if name in self.wraps:
+            self._wrapped(name, attributes)
+        self._push(name, self.begin not in self.spared and is_furniture(name, attributes), attributes)
+
+    def _wrapped(self, name: str, attributes: str) -> None:
+        """Note an article or main, and the elements that are furniture by name only and hold it."""
+        if not self.dropped:
+            self.article = True
+        elif not self.hard and not named_furniture(attributes):
+            noted = self.wraps[name]
+            for k in reversed(self.walls):
+                if self.begins[k] in noted:
+                    break
+                noted.add(self.begins[k])
 
-    def _push(self, name: str, furniture: bool) -> None:
+    def spare(self) -> frozenset:
+        """Where the furniture begins that holds the page's main element, or its only articles."""
+        return frozenset(self.wraps["main"] or (() if self.article else self.wraps["article"]))
+
+    def _push(self, name: str, furniture: bool, attributes: str) -> None:
         self.tag.append(name)
         self.parent.append(self.open[-1])
         self.furniture.append(furniture)
+        self.begins.append(self.begin)
         self.open.append(len(self.tag) - 1)
+        if furniture:
+            if name in FURNITURE or _HIDDEN.search(attributes):
+                self.hard += 1
+            else:
+                self.walls.append(self.open[-1])
         if self.dropped or furniture:
             self.dropped += 1
 
@@ -154,11 +207,18 @@ class Page:
         if not self.dropped and self.tag[self.open[k]] not in ("td", "th"):
             self._flush()
         self.dropped = max(0, self.dropped - (len(self.open) - k))
+        for node in reversed(self.open[k:]):
+            if self.walls and self.walls[-1] == node:
+                self.walls.pop()
+            elif self.furniture[node]:
+                self.hard -= 1
         del self.open[k:]
+        if self.link and k < self.link[0]:
+            self._end_link()
 
     def _close(self, name: str) -> None:
-        if name == "a" and self.links:
-            self.links -= 1
+        if name == "a" and not self.dropped:
+            self.link = None
         if name == "br":
             if not self.dropped:
                 self.parts.append(" ")
@@ -246,7 +306,9 @@ class Page:
 
 def main_text(html: str) -> str:
     """The article of a page: its blocks in page order, one line each; empty if there is none."""
-    return Page(html).text()
+    page = Page(html)
+    spare = page.spare()
+    return (Page(html, spare) if spare else page).text()
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
