@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trovelens.functions import text as fx
 from trovelens.operators import fusion, keyword, rank
+from trovelens.sources import tables
 
 
 def column(spark, values, f, kind="string"):
@@ -78,3 +79,17 @@ def test_regressions(spark):
     a = spark.createDataFrame([("en", 0.9), ("es", 0.8), ("kw", 0.7)], "bucket string, mrr double")
     b = spark.createDataFrame([("en", 0.8999), ("es", 0.79), ("img", 0.5)], "bucket string, mrr double")
     assert {r.bucket: r.verdict for r in rank.regressions(a, b).collect()} == {"en": "fine", "es": "regressed", "kw": "gone", "img": "new"}
+
+
+def test_chunks_of_very_long_files_are_told_apart(spark, tmp_path):
+    long_ = " ".join(["plain"] * (tables.CHUNK_STEP * 1002) + ["zebra crossing"])
+    docs = [(1, long_), (2, " ".join(["other words"] * 800))]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = tables.chunks(spark, str(tmp_path)).cache()
+    assert chunks.count() > chunks.select("chunk_id").distinct().count()
+    index, sizes = keyword.postings(chunks), keyword.lengths(chunks)
+    joined = chunks.join(sizes, ["chunk_id", "file_id"])
+    assert joined.count() == chunks.count()
+    ask = lambda q: [r.file_id for r in keyword.bm25(index, sizes, spark.createDataFrame([(1, q)], "query_id int, query string")).collect()]
+    assert set(ask("zebra crossing")) == {1} and set(ask("other words")) == {2}
+    assert len(ask("other words")) == chunks.filter("file_id = 2 and text like '%other words%'").count()

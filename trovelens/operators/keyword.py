@@ -18,7 +18,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return chunks.select("chunk_id", "file_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
     occ = occurrences(index, queries)
     df = occ.groupBy("query_id", "pos").agg(F.count(F.lit(1)).alias("df"))
     stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("average"))
-    rows = occ.join(df, ["query_id", "pos"]).join(sizes, "chunk_id").crossJoin(F.broadcast(stats))  # stats: one row
+    rows = occ.join(df, ["query_id", "pos"]).join(sizes, ["chunk_id", "file_id"]).crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
     scored = rows.groupBy("query_id", "n_terms", "chunk_id", "file_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("k"))
@@ -79,10 +79,10 @@ def keyword_list(index: DataFrame, sizes: DataFrame, queries: DataFrame, files:
 
 def phrase_chunks(index: DataFrame, first: str, second: str) -> DataFrame:
     """chunk_id, n: chunks where the two words stand next to each other, and how often."""
-    a = index.filter(F.col("term") == first).select("chunk_id", F.col("positions").alias("p"))
-    b = index.filter(F.col("term") == second).select("chunk_id", F.col("positions").alias("q"))
+    a = index.filter(F.col("term") == first).select("chunk_id", "file_id", F.col("positions").alias("p"))
+    b = index.filter(F.col("term") == second).select("chunk_id", "file_id", F.col("positions").alias("q"))
     n = F.size(F.filter("p", lambda x: F.array_contains(F.col("q"), x + 1)))
-    return a.join(b, "chunk_id").select("chunk_id", n.cast("long").alias("n")).filter("n > 0")
+    return a.join(b, ["chunk_id", "file_id"]).select("chunk_id", n.cast("long").alias("n")).filter("n > 0")
 
 
 def coverage(index: DataFrame, terms: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ def strength_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix, q, f, r = _lists(spark, sf_dir)
     hits = keyword.keyword_list(ix.postings, ix.sizes, q, f, r).select("query_id", "file_id", "chunk_id")
-    return hits.join(ix.chunks.select("chunk_id", F.substring("text", 1, 200).alias("snippet")), "chunk_id").select("query_id", "file_id", "chunk_id", "snippet")
+    return hits.join(ix.chunks.select("chunk_id", "file_id", F.substring("text", 1, 200).alias("snippet")), ["chunk_id", "file_id"]).select("query_id", "file_id", "chunk_id", "snippet")
 
 
 METRICS_SQL = f"""{ALL_SQL}, relevant AS (SELECT query_id, file_id FROM queries JOIN files ON contains(text, passage)),
@@ -326,4 +326,4 @@ def negative_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("token_counts", f"WITH {BASE_SQL} SELECT source, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM chunks JOIN sizes USING (chunk_id) GROUP BY 1")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = index(spark, sf_dir)
-    return ix.chunks.select("chunk_id", "source").join(ix.sizes, "chunk_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
+    return ix.chunks.select("chunk_id", "file_id", "source").join(ix.sizes, ["chunk_id", "file_id"]).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))

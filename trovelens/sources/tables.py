@@ -11,7 +11,7 @@ from trovelens.functions.text import trim_all
 BASE_NS = 1_700_000_000_000_000_000
 NOW_S = 1_700_000_000 + 40 * 86_400
 CHUNK_WORDS, CHUNK_STEP = 400, 350
-#: Chunk ids leave room for this many chunks of a file.
+#: Chunk ids leave room for this many chunks of a file; from there on they are another file's too, so joins are by file_id as well.
 CHUNK_ID = 1000
 
 
