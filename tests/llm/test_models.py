@@ -105,3 +105,12 @@ def test_quality_learns_from_whole_texts(spark):
     docs, labels, rows = late(spark, "quality")
     net = quality_net.trained(docs, labels)
     assert all((quality_net.score(net, t.encode()) >= 0.5) == (y == 1) for _, t, y in rows)
+
+
+def test_rare_features_are_counted_exactly(spark):
+    rows = [(i, "grimspit" if i % 600 == 0 else "vexfoul words" if i % 7 == 0 else "kindly words", int(i % 600 == 0 or i % 7 == 0)) for i in range(1, 6001)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert toxicity.LEAST_DOCS <= sum(t == "grimspit" for _, t, _ in rows)
+    assert "=grimspit" in toxicity.fit([(t, y) for _, t, y in rows]).index
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "=grimspit" in toxicity.trained(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 6000).index

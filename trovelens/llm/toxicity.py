@@ -27,8 +27,6 @@ GRADES = 4
 FEATURES, LEAST_DOCS = 512, 4
 PREFIXES = range(4, 9)
 STEPS, RATE, RIDGE = 300, 0.1, 1e-4
-#: Features of one sampled text only are forgotten each time so many texts have been counted.
-PRUNE_EVERY = 500
 #: A text is toxic from this probability of a grade above 0.
 TOXIC_FROM = 0.25
 WORDS_KEPT = 300_000
@@ -61,18 +59,15 @@ def feature_counts(text: str) -> Counter:
 def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
     """Choose features by how differently they occur, set grades, and descend on the likelihood of the grades.
 
-    Without toxic or without other samples nothing is found toxic: no weights, high thresholds.
+    Without toxic or without other samples nothing is found toxic: no weights, high thresholds. All
+    is counted here, so this is for small samples; ``trained`` counts in the executors.
     """
     y = np.array([label for _, label in sample], np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, np.zeros(0), np.arange(1, GRADES) * 3.0)
     docs = [Counter(), Counter()]
-    for k, (text, label) in enumerate(sample, 1):
+    for text, label in sample:
         docs[label].update(feature_counts(text).keys())
-        if k % PRUNE_EVERY == 0:  # most features are of one text; without them the counters stay small
-            for c, other in (docs, docs[::-1]):
-                for f in [f for f, n in c.items() if n == 1 and f not in other]:
-                    del c[f]
     n = [int((y == 0).sum()), int((y == 1).sum())]
     odds = {f: float(np.log((docs[1][f] + 0.5) / (n[1] + 1)) - np.log((docs[0][f] + 0.5) / (n[0] + 1))) for f in docs[0].keys() | docs[1].keys() if docs[0][f] + docs[1][f] >= LEAST_DOCS}
     weight = {f: abs(o) * (docs[0][f] + docs[1][f]) ** 0.5 for f, o in odds.items()}
