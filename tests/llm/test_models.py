@@ -19,8 +19,9 @@ def split(spark, label):
 
 def test_sample_is_bounded_and_not_held_out(spark):
     docs, labels, held = split(spark, "quality")
-    sample = labelled_sample(docs, labels, "quality", rows=50, chars=100)
-    assert 0 < len(sample) <= 50 and all(len(t) <= 100 for t, _ in sample)
+    sample = labelled_sample(docs, labels, "quality", rows=50)
+    whole = {r.text or "" for r in docs.select("text").collect()}
+    assert 0 < len(sample) <= 50 and all(t in whole for t, _ in sample)
     learned = labelled_sample(docs, labels, "quality")
     assert len(learned) + len(held) <= labels.count() + 50
 
@@ -37,7 +38,7 @@ def test_toxicity_on_held_out_texts(spark):
     model = toxicity.trained(docs, labels)
     assert list(model.thresholds) == sorted(model.thresholds)
     scorer = toxicity.Scorer(model)
-    found = [scorer.above(t or "")[0] >= toxicity.TOXIC_FROM for t, _ in held]
+    found = [scorer.above(t or "")[0] >= model.toxic_from for t, _ in held]
     clean = [f for f, (_, y) in zip(found, held, strict=True) if y == 0]
     toxic = [f for f, (_, y) in zip(found, held, strict=True) if y == 1]
     assert np.mean(clean) <= 0.05 and np.mean(toxic) >= 0.6
@@ -98,7 +99,7 @@ def test_toxicity_learns_from_whole_texts(spark):
     local = toxicity.fit(labelled_sample(docs, labels, "toxic"))
     assert model.index.keys() == local.index.keys() and np.allclose(model.thresholds, local.thresholds, atol=1e-6)
     scorer = toxicity.Scorer(model)
-    assert all((scorer.above(t)[0] >= toxicity.TOXIC_FROM) == (y == 1) for _, t, y in rows)
+    assert all((scorer.above(t)[0] >= model.toxic_from) == (y == 1) for _, t, y in rows)
 
 
 def test_quality_learns_from_whole_texts(spark):

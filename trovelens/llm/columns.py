@@ -7,29 +7,28 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch: with texts of some hundred kB a batch stays at tens of MB.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch that are Python objects at once. Spark bounds a batch's bytes itself
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so very long texts come few at a time.
+SLICE_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to Arrow batches of BATCH_ROWS at most."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
-
-
 def needed(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others (whatever their names) stay out of the scan and the result."""
-    return with_small_batches(df).select(*[df[n] for n in names])
+    return df.select(*[df[n] for n in names])
 
 
-def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """(column values as Python lists) of each batch, in the order of names."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE_ROWS rows at most; empty ones are left out. No session setting is touched."""
     for batch in batches:
-        if batch.num_rows:
-            yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
+def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """(column values as Python lists) of each slice, in the order of names."""
+    for batch in slices(batches):
+        yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)

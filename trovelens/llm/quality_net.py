@@ -7,7 +7,7 @@ maximised over the document and one logistic unit makes the probability of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, rows, with_small_batches
-from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled
+from trovelens.llm.columns import documents, needed, rows, slices
+from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled, set_aside
 from trovelens.plans.lineage import cut
 
 FILTERS, WIDTH = 16, 5
@@ -25,8 +25,9 @@ STRIDE = 128
 #: Bytes that are convolved at once.
 BLOCK_CHUNKS = 512
 EPOCHS, RATE, CHUNKS_PER_TEXT = 6, 0.02, 6
-#: A filtering stage rejects texts that score less.
-REJECT_BELOW = 0.3
+#: A filtering stage may reject this share of good texts: its threshold is set on a part of the sample that
+#: a first net has not learned from, and is MOST_BELOW at most.
+GOOD_LOST, MOST_BELOW = 0.002, 0.5
 #: This share of the sampled texts is learned a second time as a slice of 10 to 150 characters.
 SHORT_SHARE = 0.3
 SEED = 7
@@ -41,6 +42,7 @@ class Net(NamedTuple):
     head_bias: float
     mean: np.ndarray
     scale: np.ndarray
+    reject_below: float = 0.0  # a filtering stage rejects texts that score less
 
 
 def padded(text: bytes) -> np.ndarray:
@@ -80,10 +82,15 @@ def features(net: Net, text: bytes) -> np.ndarray:
     return np.concatenate([both.mean(axis=0), both.max(axis=0), both[:, -1:].min(axis=0), [np.log1p(len(text))]])
 
 
+def probability(net: Net, f: np.ndarray) -> float:
+    """The probability of label 1 from a text's features."""
+    z = float(((f - net.mean) / net.scale) @ net.head + net.head_bias)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(net: Net, text: bytes) -> float:
     """The probability of label 1."""
-    z = float(((features(net, text) - net.mean) / net.scale) @ net.head + net.head_bias)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return probability(net, features(net, text))
 
 
 class Drawn(NamedTuple):
@@ -114,16 +121,33 @@ def drawn(text: str, label: int, key: int, seed: int = SEED) -> Drawn:
     return Drawn(label, chunks_of(text.encode("utf-8"), rng), short)
 
 
-def fit(sample: list[tuple[str, int]], seed: int = SEED) -> Net:
-    """Learn filters by gradient descent on sampled chunks, then the document's unit on whole sampled texts.
+def learned(found: list[tuple[int, Drawn]], read: Callable[[list[Net]], list[tuple[int, int, list[np.ndarray]]]], seed: int = SEED) -> Net:
+    """The net of drawn texts (key, drawn); ``read`` gives (key, label, features under each net) of the whole texts.
 
-    Without any label, or with one class only, the net gives that class's share to every text.
+    A first net learns from the texts that are not set aside and scores the others; the threshold for
+    rejecting comes from these scores alone. The net itself then learns from all. Without any label,
+    or with one class only, the net gives that class's share to every text and rejects nothing.
     """
-    found = [drawn(t, label, k, seed) for k, (t, label) in enumerate(sample)]
-    net = with_filters(found, seed)
+    net = with_filters([d for _, d in found], seed)
     if net is None:
-        return flat(sample[0][1] if sample else None)
-    return with_head(net, [(features(net, t.encode("utf-8")), label) for t, label in sample] + short_features(net, found))
+        return flat(found[0][1].label if found else None)
+    first = with_filters([d for key, d in found if not set_aside(key)], seed)
+    whole = read([net, first] if first else [net])
+    out = with_head(net, [(f[0], label) for _, label, f in whole] + short_features(net, [d for _, d in found]))
+    if first is None:
+        return out
+    known = [(f[1], label) for key, label, f in whole if not set_aside(key)] + short_features(first, [d for key, d in found if not set_aside(key)])
+    if len({label for _, label in known}) < 2:
+        return out
+    first = with_head(first, known)
+    good = [probability(first, f[1]) for key, label, f in whole if set_aside(key) and label == 1]
+    return out._replace(reject_below=min(MOST_BELOW, float(np.quantile(good, GOOD_LOST, method="lower"))) if good else 0.0)
+
+
+def fit(sample: list[tuple[str, int]], seed: int = SEED) -> Net:
+    """``learned`` on a small local sample of whole texts."""
+    found = [(k, drawn(t, label, k, seed)) for k, (t, label) in enumerate(sample)]
+    return learned(found, lambda nets: [(k, label, [features(n, t.encode("utf-8")) for n in nets]) for k, (t, label) in enumerate(sample)], seed)
 
 
 def untrained(rng: np.random.Generator) -> Net:
@@ -201,11 +225,11 @@ def with_head(net: Net, pairs: list[tuple[np.ndarray, int]]) -> Net:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
-    """``fit`` on the whole texts of the sample, which stay in the executors.
+    """``learned`` on the whole texts of the sample, which stay in the executors.
 
-    The driver gets CHUNKS_PER_TEXT chunks, a slice of 150 characters and one row of features of each at most.
+    The driver gets CHUNKS_PER_TEXT chunks, a slice of 150 characters and two rows of features of each at most.
     """
-    sample = with_small_batches(cut(sampled(docs, labels, "quality", sample_rows)))
+    sample = cut(sampled(docs, labels, "quality", sample_rows))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, own in rows(batches, "_id", "_text", "_label"):
@@ -214,19 +238,18 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "chunks", "short"])
 
     found = sample.mapInArrow(draw, "id long, label int, chunks array<binary>, short string").collect()
-    found = [Drawn(r["label"], [bytes(c) for c in r["chunks"]], r["short"]) for r in sorted(found, key=lambda r: (r["id"], r["chunks"]))]
-    net = with_filters(found)
-    if net is None:
-        return flat(found[0].label if found else None)
+    found = [(r["id"], Drawn(r["label"], [bytes(c) for c in r["chunks"]], r["short"])) for r in sorted(found, key=lambda r: (r["id"], r["chunks"]))]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, own in rows(batches, "_id", "_text", "_label"):
-            values = [features(net, t.encode("utf-8")).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(values, pa.list_(pa.float64()))], names=["id", "label", "f"])
+    def read(nets: list[Net]) -> list[tuple[int, int, list[np.ndarray]]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, texts, own in rows(batches, "_id", "_text", "_label"):
+                values = [np.concatenate([features(n, t.encode("utf-8")) for n in nets]).tolist() for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(values, pa.list_(pa.float64()))], names=["id", "label", "f"])
 
-    whole = sample.mapInArrow(read, "id long, label int, f array<double>").collect()
-    pairs = [(np.array(r["f"]), r["label"]) for r in sorted(whole, key=lambda r: (r["id"], r["f"]))]
-    return with_head(net, pairs + short_features(net, found))
+        whole = sample.mapInArrow(run, "id long, label int, f array<double>").collect()
+        return [(r["id"], r["label"], np.split(np.array(r["f"]), len(nets))) for r in sorted(whole, key=lambda r: (r["id"], r["f"]))]
+
+    return learned(found, read)
 
 
 def scored(docs: DataFrame, net: Net) -> DataFrame:
@@ -244,15 +267,21 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
     return needed(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def accepted(docs: DataFrame, net: Net, least: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, all columns as they are; nothing is shuffled."""
+def accepted(docs: DataFrame, net: Net, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``least`` (the net's own threshold) or more; nothing is shuffled.
+
+    All columns stay as they are, whatever their names; only ``text`` is read. A null text is scored
+    as an empty one, and both as no bytes; a null doc_id does not matter. Repeated rows and ties score
+    alike and go or stay together. An empty table gives an empty one; a very long text costs its bytes.
+    """
+    least = net.reject_below if least is None else least
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([score(net, (t or "").encode("utf-8")) >= least for t in texts], pa.bool_()))
 
-    return with_small_batches(docs).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def set_aside(key: int) -> bool:
+    """Whether a sampled row is in the quarter that a first model does not learn from, to set thresholds on."""
+    return zlib.crc32(str(key).encode()) % 4 == 0
+
+
 def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """_id, _text, _label of at most ``rows`` labelled documents that are not held out, the first by hash of the id.
 
@@ -24,12 +31,10 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_R
     ids = ids.filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = ids.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label")
+    # Of rows that repeat an id one is taken (the least text), or one id's copies would break the bound.
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_id", "_text", "_label")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int | None = None) -> list[tuple[str, int]]:
-    """The sample as (text, label), collected: for small inputs; texts are whole unless ``chars`` is given."""
-    found = sampled(docs, labels, label, rows)
-    if chars is not None:
-        found = found.withColumn("_text", F.substring("_text", 1, chars))
-    return [(r["_text"], r["_label"]) for r in sorted(found.collect(), key=lambda r: (r["_id"], r["_text"]))]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
+    """The sample as (whole text, label), collected: for small inputs only."""
+    return [(r["_text"], r["_label"]) for r in sorted(sampled(docs, labels, label, rows).collect(), key=lambda r: (r["_id"], r["_text"]))]

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, rows, with_small_batches
-from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled
+from trovelens.llm.columns import documents, needed, rows, slices
+from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled, set_aside
 from trovelens.plans.lineage import cut
 
 GRADES = 4
@@ -27,8 +27,9 @@ GRADES = 4
 FEATURES, LEAST_DOCS = 512, 4
 PREFIXES = range(4, 9)
 STEPS, RATE, RIDGE = 300, 0.1, 1e-4
-#: A text is toxic from this probability of a grade above 0.
-TOXIC_FROM = 0.25
+#: A text is toxic from a probability of a grade above 0 that the model sets on a part of the sample that a first
+#: model has not learned from: a clean text flagged there counts as FLAGGED toxic ones missed.
+FLAGGED, LEAST_FROM, MOST_FROM, UNSET_FROM = 5.0, 0.05, 0.5, 0.25
 WORDS_KEPT = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -37,6 +38,7 @@ class Model(NamedTuple):
     index: dict  # feature -> position
     weights: np.ndarray
     thresholds: np.ndarray  # GRADES - 1, rising
+    toxic_from: float = UNSET_FROM  # the probability of a grade above 0 from which a text is toxic
 
 
 def word_features(word: str) -> list[str]:
@@ -56,28 +58,83 @@ def feature_counts(text: str) -> Counter:
     return out
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 3) -> Model:
+class Chosen(NamedTuple):
+    """Features in the order of their weight, and which of them tell toxic texts strongly."""
+
+    features: list[str]
+    strong: np.ndarray
+
+
+NOTHING = Model({}, np.zeros(0), np.arange(1, GRADES) * 3.0)
+
+
+def fit(sample: list[tuple[str, int]]) -> Model:
     """Choose features by how differently they occur, set grades, and descend on the likelihood of the grades.
 
     Without toxic or without other samples nothing is found toxic: no weights, high thresholds. All
     is counted here, so this is for small samples; ``trained`` counts in the executors.
     """
-    y = np.array([label for _, label in sample], np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return Model({}, np.zeros(0), np.arange(1, GRADES) * 3.0)
-    docs = [Counter(), Counter()]
-    for text, label in sample:
-        docs[label].update(feature_counts(text).keys())
-    n = [int((y == 0).sum()), int((y == 1).sum())]
-    odds = {f: float(np.log((docs[1][f] + 0.5) / (n[1] + 1)) - np.log((docs[0][f] + 0.5) / (n[0] + 1))) for f in docs[0].keys() | docs[1].keys() if docs[0][f] + docs[1][f] >= LEAST_DOCS}
-    weight = {f: abs(o) * (docs[0][f] + docs[1][f]) ** 0.5 for f, o in odds.items()}
-    chosen = sorted(weight, key=lambda f: (-weight[f], f))[:FEATURES]
-    index = {f: k for k, f in enumerate(chosen)}
-    x, total = np.zeros((len(sample), len(chosen))), np.zeros(len(sample))
-    for i, (text, _) in enumerate(sample):
-        total[i], at, n_at = vector(text, index)
-        x[i, at] = np.log1p(n_at)
-    return descended(x, total, y, chosen, np.array([odds[f] > 2 and docs[1][f] >= LEAST_DOCS for f in chosen], bool))
+
+    def chosen(pick: list[int]) -> Chosen | None:
+        docs, n = [Counter(), Counter()], [0, 0]
+        for k in pick:
+            text, label = sample[k]
+            docs[label].update(feature_counts(text).keys())
+            n[label] += 1
+        if not all(n):
+            return None
+        odds = {f: float(np.log((docs[1][f] + 0.5) / (n[1] + 1)) - np.log((docs[0][f] + 0.5) / (n[0] + 1))) for f in docs[0].keys() | docs[1].keys() if docs[0][f] + docs[1][f] >= LEAST_DOCS}
+        weight = {f: abs(o) * (docs[0][f] + docs[1][f]) ** 0.5 for f, o in odds.items()}
+        best = sorted(weight, key=lambda f: (-weight[f], f))[:FEATURES]
+        return Chosen(best, np.array([odds[f] > 2 and docs[1][f] >= LEAST_DOCS for f in best], bool))
+
+    every = chosen(list(range(len(sample))))
+    if every is None:
+        return NOTHING
+    first = chosen([k for k in range(len(sample)) if not set_aside(k)])
+
+    def read(index: dict) -> list[tuple]:
+        return [(k, label, *vector(text, index)) for k, (text, label) in enumerate(sample)]
+
+    return learned(every, first, read)
+
+
+def learned(every: Chosen, first: Chosen | None, read) -> Model:
+    """The model of the features chosen from all samples; its threshold by a model of ``first``, chosen without those set aside.
+
+    ``read`` gives (key, label, occurrences of all features, positions in an index, occurrences there) of each sample.
+    """
+    names = list(dict.fromkeys([*every.features, *(first.features if first else [])]))
+    index = {f: k for k, f in enumerate(names)}
+    found = read(index)
+    y = np.array([r[1] for r in found], np.int64)
+    total = np.array([r[2] for r in found], float)
+    x = np.zeros((len(found), len(names)), np.float32)
+    for i, r in enumerate(found):
+        x[i, r[3]] = np.log1p(r[4])
+
+    def model(some: Chosen, pick: np.ndarray) -> Model:
+        own = x[np.ix_(pick, [index[f] for f in some.features])]
+        return descended(own, total[pick], y[pick], some.features, some.strong)
+
+    out = model(every, np.arange(len(y)))
+    aside = np.array([set_aside(r[0]) for r in found], bool)
+    rest, aside = np.flatnonzero(~aside), np.flatnonzero(aside)
+    if first is None or len(set(y[rest])) < 2 or len(set(y[aside])) < 2:
+        return out
+    part = model(first, rest)
+    z = x[aside][:, [index[f] for f in part.index]] @ part.weights
+    return out._replace(toxic_from=cheapest(1 / (1 + np.exp(np.clip(part.thresholds[0] - z, -40, 40))), y[aside]))
+
+
+def cheapest(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold on ``p`` that costs least on labelled texts; the middle (by log odds) of the best range."""
+    cuts = np.unique(np.clip(np.concatenate([p, [LEAST_FROM, MOST_FROM]]), LEAST_FROM, MOST_FROM))
+    cost = np.array([FLAGGED * ((p >= c) & (y == 0)).sum() + ((p < c) & (y == 1)).sum() for c in cuts])
+    k = int(cost.argmin())  # the lowest threshold of the cheapest; all above it up to the next cut but one cost the same
+    low = cuts[k - 1] if k else cuts[0]
+    odds = np.log([low / (1 - low), cuts[k] / (1 - cuts[k])]).mean()
+    return float(1 / (1 + np.exp(-odds)))
 
 
 def vector(text: str, index: dict) -> tuple[int, list[int], list[int]]:
@@ -144,74 +201,93 @@ class Scorer:
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """``fit`` on the whole texts of the sample; texts and their features stay in the executors.
 
-    The driver gets FEATURES features and, for each sampled text, at most as many counts.
+    The driver gets FEATURES features (twice) and, for each sampled text, at most as many counts.
     """
-    sample = with_small_batches(cut(sampled(docs, labels, "toxic", sample_rows)))
-    n = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return fit([])
+    sample = cut(sampled(docs, labels, "toxic", sample_rows))
+    keys = [(r["_id"], r["_label"]) for r in sample.select("_id", "_label").collect()]  # sample_rows at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, toxic in rows(batches, "_text", "_label"):
-            for t, label in zip(texts, toxic, strict=True):
-                own = list(feature_counts(t))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int64())], names=["feature", "label"])
-
-    by = sample.mapInArrow(each, "feature string, label long").groupBy("feature").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n[0] + 1))
-    by = by.filter(F.col("n") >= LEAST_DOCS).withColumn("odds", odds).withColumn("weight", F.abs("odds") * F.sqrt("n"))
-    best = by.orderBy(F.desc("weight"), "feature").limit(FEATURES).collect()
-    chosen = [r["feature"] for r in best]
-    index = {f: k for k, f in enumerate(chosen)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, toxic in rows(batches, "_id", "_text", "_label"):
-            total, at, n_at = zip(*[vector(t, index) for t in texts], strict=True)
-            columns = [pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(total, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n_at, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "total", "at", "n_at"])
+            for i, t, label in zip(ids, texts, toxic, strict=True):
+                own, rest = list(feature_counts(t)), int(not set_aside(i))
+                columns = [pa.array(own, pa.string())] + [pa.array([v] * len(own), pa.int64()) for v in (label, rest, rest * label)]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "rest", "toxic_rest"])
 
-    found = sample.mapInArrow(vectors, "id long, label int, total long, at array<int>, n_at array<long>").collect()
-    found.sort(key=lambda r: (r["id"], r["total"]))
-    x = np.zeros((len(found), len(chosen)))
-    for i, r in enumerate(found):
-        x[i, r["at"]] = np.log1p(r["n_at"])
-    strong = np.array([r["odds"] > 2 and r["toxic"] >= LEAST_DOCS for r in best], bool)
-    return descended(x, np.array([r["total"] for r in found], float), np.array([r["label"] for r in found], np.int64), chosen, strong)
+    by = sample.mapInArrow(each, "feature string, toxic long, rest long, toxic_rest long").groupBy("feature")
+    by = cut(by.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("rest").alias("n_rest"), F.sum("toxic_rest").alias("toxic_rest")).filter(F.col("n") >= LEAST_DOCS))
+
+    def chosen(n: str, toxic: str, rows_: list[int]) -> Chosen | None:
+        all_, of = len(rows_), sum(rows_)
+        if of in (0, all_):
+            return None
+        odds = F.log((F.col(toxic) + 0.5) / (of + 1)) - F.log((F.col(n) - F.col(toxic) + 0.5) / (all_ - of + 1))
+        found = by.filter(F.col(n) >= LEAST_DOCS).withColumn("odds", odds).withColumn("weight", F.abs("odds") * F.sqrt(n))
+        best = found.orderBy(F.desc("weight"), "feature").limit(FEATURES).collect()
+        return Chosen([r["feature"] for r in best], np.array([r["odds"] > 2 and r[toxic] >= LEAST_DOCS for r in best], bool))
+
+    every = chosen("n", "toxic", [label for _, label in keys])
+    if every is None:
+        return NOTHING
+    first = chosen("n_rest", "toxic_rest", [label for i, label in keys if not set_aside(i)])
+
+    def read(index: dict) -> list[tuple]:
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, texts, toxic in rows(batches, "_id", "_text", "_label"):
+                total, at, n_at = zip(*[vector(t, index) for t in texts], strict=True)
+                columns = [pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(total, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n_at, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "total", "at", "n_at"])
+
+        found = sample.mapInArrow(vectors, "id long, label int, total long, at array<int>, n_at array<long>").collect()
+        return sorted((tuple(r) for r in found), key=lambda r: r[:3])
+
+    return learned(every, first, read)
 
 
 SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
 
+def graded(p: np.ndarray, toxic_from: float) -> np.ndarray:
+    """Grades of texts from P(grade > k): 0 where P(grade > 0) is under ``toxic_from``, else the likeliest above 0."""
+    each = -np.diff(np.hstack([p, np.zeros((len(p), 1))]), axis=1)  # P(grade = 1), P(grade = 2), ..
+    return np.where(p[:, 0] >= toxic_from, 1 + each.argmax(axis=1), 0).astype(np.int32)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, expected severity, the likeliest grade, P(grade > 0) and whether that reaches TOXIC_FROM.
+    """doc_id, expected severity, grade, P(grade > 0) and toxic: whether that reaches the model's threshold, and so grade > 0.
 
     Whole texts are read. Null and empty texts have no features and get the thresholds' own grade
-    probabilities. Null ids are carried through, repeated rows score alike, other columns are ignored.
+    probabilities. Null ids are carried through, repeated rows and ties score alike, other columns are
+    ignored. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for ids, texts in rows(batches, "doc_id", "text"):
             p = np.array([scorer.above(t or "") for t in texts])
-            each = -np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC_FROM)],
+                [pa.array(ids, pa.int64()), pa.array(p.sum(axis=1)), pa.array(graded(p, model.toxic_from)), pa.array(p[:, 0]), pa.array(p[:, 0] >= model.toxic_from)],
                 names=["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
     return needed(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def accepted(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """The rows of ``docs`` whose text is not toxic, all columns as they are; nothing is shuffled."""
+def accepted(docs: DataFrame, model: Model, toxic_from: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose whole text is not toxic, all columns as they are; nothing is shuffled.
+
+    Only ``text`` is read, other columns stay whatever their names. Null and empty texts have no
+    features and stay unless the thresholds alone say toxic. Repeated rows and ties go or stay together,
+    null ids do not matter, an empty table gives an empty one; a very long text costs its words.
+    """
+    toxic_from = model.toxic_from if toxic_from is None else toxic_from
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([bool(scorer.above(t or "")[0] < toxic_from) for t in texts], pa.bool_()))
 
-    return with_small_batches(docs).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
