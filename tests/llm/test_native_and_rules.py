@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from trovelens.llm import exact_dedup, quality_rules
+from trovelens.plans import skew
 
 
 def brute_groups(rows):
@@ -82,3 +83,27 @@ def test_lines_decide():
     assert kept[6] and "Home" not in kept[8] and "rights" not in kept[8]
     junk = "\n".join(f"what{i}*** ever{i}%%% this{i}$$$ is{i}&&&" for i in range(40))
     assert not quality_rules.measure(junk + "\n" + good)[6]
+
+
+def brute_deduplicated(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    return sorted((key, min(ids, key=lambda i: (i is None, i or 0))) for key, ids in groups.items())
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rows = [(1, "a b c"), (1, "different text"), (3, "zzz"), (5, "zzz"), (5, "yyy"), (None, "q"), (None, "r"), (None, "q"), (7, None), (8, ""), (9, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).repartition(3)
+    got = exact_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted((re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id) for r in got.collect()) == brute_deduplicated(rows)
+
+
+def test_hot_groups_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 100)
+    rows = [(i, "the same   text" if i % 3 else f"text {i // 2}") for i in range(6000)] + [(None, "the same text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_dedup(exact_dedup.exact_groups(docs).collect(), rows)
+    got = exact_dedup.deduplicated(docs).collect()
+    assert sorted((re.sub(r"\s+", " ", r.text), r.doc_id) for r in got) == brute_deduplicated(rows)

@@ -104,3 +104,26 @@ def test_rounds_of_merging_stay_whole(spark, library, monkeypatch):
     rows = packing.packed(docs).collect()
     n = check_packing(rows, texts, library)
     assert n <= sum(r.length for r in rows) / 4096 * 1.1 + 2
+
+
+def test_histogram_plan_is_best_fit_decreasing():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        sizes = r.integers(1, r.choice([8, 40, 300]), r.integers(1, 500))
+        plan = packing.histogram_plan({int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True)}, 300)
+        bins = [[(s, first + k) for s, first in own] for n, own in plan for k in range(n)]
+        assert sorted(x for b in bins for x in b) == [(int(s), k) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True) for k in range(n)]
+        fills = sorted(sum(s for s, _ in b) for b in bins)
+        assert fills[-1] <= 300 and fills == sorted(packing.best_fit_decreasing(sizes, 300)[2].tolist())
+
+
+def test_stalled_rounds_end_in_a_plan_of_the_whole(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BINS", 4)
+    monkeypatch.setattr(packing, "RANKED", 7)  # several blocks of equal fills
+    monkeypatch.setattr(packing, "STALLED", 0.0)  # at once
+    texts = {i: " ".join(["word"] * n) for i, n in enumerate([2500] * 60 + [1400] * 30 + [200] * 200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(80)
+    rows = packing.packed(docs).collect()
+    n = check_packing(rows, texts, library)
+    sizes = np.array([r.length for r in rows])
+    assert n <= 1.2 * len(packing.best_fit_decreasing(sizes)[2])

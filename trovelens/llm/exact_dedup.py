@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.plans.lineage import cut
+from trovelens.plans.skew import skewed_join
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A chunk is at least MIN_CHARS long and ends after one of these letters and a space, or at MAX_CHARS.
@@ -71,9 +72,9 @@ def identified(table: DataFrame) -> DataFrame:
     parts = parts.join(bad, ["id", "digest"], "left").select("row", "pos", F.coalesce("verified", F.col("id").cast("string")).alias("vid"))
     lists = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "vid"))).alias("l"))
     lists = lists.select("row", F.transform("l", lambda x: x["vid"]).alias("ids"))
-    return table.select("row", "doc_id", "text_sha256").join(lists, "row", "left").select(
+    return cut(table.select("row", "doc_id", "text_sha256").join(lists, "row", "left").select(
         "doc_id", "text_sha256", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")
-    )
+    ))
 
 
 def exact_groups(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -87,10 +88,11 @@ def exact_groups(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxh
     """
     table = cut(recipes(docs, identifier))
     ids = identified(table)
-    # Map-side combine makes one row of a hot group per task; the join's skewed side can be split.
+    # Map-side combine makes one row of a hot group per task.
     groups = ids.groupBy("ids").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.filter("group_size > 1")
-    return ids.join(several, "ids", "left").select(
+    several = cut(groups.filter("group_size > 1"))
+    joined = skewed_join(ids, several, ["ids"], "left", sizes=several.withColumnRenamed("group_size", "n"))
+    return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -100,19 +102,30 @@ def exact_groups(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxh
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns as they are; one row of each group.
+    """The rows of ``docs`` that stay, all their columns as they are; one row of each group of equal texts.
 
-    Texts move in one join on doc_id. Only if ids repeat among the rows that stay, those rows alone
-    are reduced to one each.
+    The row with the smallest doc_id stays (a null id counts as the largest). Rows are told apart by id
+    and text, so of rows with one id and different texts each is judged by its own text; of rows with
+    one id and equal texts one stays, whichever it is. Null and empty texts are equal. Other columns
+    are carried whatever their names; an empty table gives an empty result. Texts move in one join.
     """
-    kept = cut(exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_times")))
-
-    def chosen(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_stays"]), "left_semi")
-
-    if kept.filter("_times > 1").isEmpty():
-        return chosen(kept)
-    return chosen(kept.filter("_times = 1")).unionByName(chosen(kept.filter("_times > 1")).dropDuplicates(["doc_id"]))
+    groups = cut(exact_groups(docs).select(F.col("doc_id").alias("_stays"), "kept", F.col("text_sha256").alias("_digest")))
+    own = groups.groupBy("_stays", "_digest").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_times"))
+    own = cut(own)
+    # As a rule no id repeats; then the id alone says which rows stay, and texts need not be hashed again.
+    repeated = own.groupBy("_stays").agg(F.sum("_times").alias("n")).filter("n > 1").select("_stays")
+    repeated = cut(repeated)
+    kept = own.filter("_kept").select("_stays", "_digest")
+    if repeated.isEmpty():
+        return docs.join(kept.select("_stays"), docs["doc_id"].eqNullSafe(kept["_stays"]), "left_semi")
+    # Null-safe anti and semi joins by another name of the id.
+    again = repeated.withColumnRenamed("_stays", "_again")
+    once = kept.join(again, kept["_stays"].eqNullSafe(again["_again"]), "left_anti").select("_stays")
+    single = docs.join(once, docs["doc_id"].eqNullSafe(once["_stays"]), "left_semi")
+    many = docs.join(again, docs["doc_id"].eqNullSafe(again["_again"]), "left_semi")
+    many = many.withColumn("_own", F.sha2(normalised(docs["text"]), 256))
+    many = many.join(kept, many["doc_id"].eqNullSafe(kept["_stays"]) & (many["_own"] == kept["_digest"]), "left_semi")
+    return single.unionByName(many.dropDuplicates(["doc_id", "_own"]).drop("_own"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
