@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from trovelens.llm import ngram_join
+from trovelens.plans import skew
 
 
 def shingle_set(text):
@@ -100,9 +103,36 @@ def test_similarity_at_the_limit():
 
 
 def test_filter_lets_every_candidate_pass(spark):
-    ids = spark.createDataFrame([(i * 7919,) for i in range(500)], "rep long")
-    bits = np.frombuffer(ngram_join.candidate_filter(ids), np.uint8)
-    assert all(bits[ngram_join._bit(i * 7919) >> 3] >> (ngram_join._bit(i * 7919) & 7) & 1 for i in range(500))
+    ids = spark.createDataFrame([(i * 7919,) for i in range(500)], "doc_id long")
+    for size in (1 << 19, 1 << 21):
+        bits = np.frombuffer(ngram_join.candidate_filter(ids, size), np.uint8)
+        assert len(bits) == size // 8
+        at = [r[0] for r in ids.select(ngram_join._bit(size)).collect()]
+        assert all(bits[b >> 3] >> (b & 7) & 1 for b in at) and np.unpackbits(bits).sum() == len(set(at))
+    assert ngram_join.filter_bits(0) == ngram_join.LEAST_BITS and ngram_join.filter_bits(1 << 40) == ngram_join.MOST_BITS
+
+
+def test_components_are_exact_however_the_work_is_cut(spark, monkeypatch):
+    """Hot lanes found in tasks, further centres, salted joins and small blocks change nothing."""
+    monkeypatch.setattr(ngram_join, "FLUSH_KEYS", 500)
+    monkeypatch.setattr(ngram_join, "COMPARED", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(skew, "LEAST", 20)
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_with_one_id_are_told_apart(spark):
+    long_ = [" ".join(f"{w}{i}" for i in range(80)) for w in ("a", "b", "c")]
+    rows = [(1, "t u v w x y"), (1, "t u v w x y"), (2, "t u v w x y"), (3, long_[0]), (3, long_[1]), (5, long_[0] + " more"), (5, long_[2]), (4, long_[1] + " more"), (6, ""), (6, ""), (None, long_[2]), (None, "q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
+    got = ngram_join.near_duplicates(docs.repartition(2)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 3), (5, 3), (5, 5), (6, 6), (6, 6)]
+    out = ngram_join.representatives(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect())) == sorted([(0, "q r"), (1, "t u v w x y"), (3, long_[0]), (3, long_[1]), (5, long_[2]), (6, ""), (6, "")])
 
 
 def test_long_texts_are_hashed_in_runs():

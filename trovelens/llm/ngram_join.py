@@ -11,23 +11,30 @@ is everywhere, a large group of near copies) are hot. Each document offers ``spa
 must, so one with few hot lanes leaves these out and loses nothing: a true partner shares more than
 ``spare`` lanes with it. For the same reason a pair that shares fewer lanes than the spare ones and one, less the hot
 ones of either side, is no pair and is not verified. The others, which consist of common passages or belong to a large group,
-meet at the member of a hot lane that has most hot lanes; who is not linked to that member's component
-is compared with the rest of the group in blocks, where the sketches' distance decides who is verified.
+meet at the member of a hot lane that has most hot lanes. Who is not linked to that member's component
+meets further members, each of the largest component that is left, as long as that makes much less of
+the work left; the rest is compared with the group in blocks, where the sketches' distance decides who
+is verified.
+
+A text is hashed into shingles once for its class and lanes; only the texts of candidates are hashed
+again for verification. Hot lanes are found in each task first, so that no lane's members meet in one task.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from trovelens.llm.columns import documents, needed, rows
+from trovelens.llm.columns import documents, needed, rows, slices
 from trovelens.plans.components import components
 from trovelens.plans.lineage import cut
+from trovelens.plans.skew import skewed_join
 
 WORDS = 5
 #: Similarity NUM / DEN and what follows: at most (|A| + |B|) * (DEN - NUM) / (DEN + NUM) elements differ.
@@ -41,8 +48,12 @@ TASK_CHARS = 20_000_000
 BLOCK = 256
 #: Bytes of a long text that are hashed at once.
 RUN_BYTES = 1 << 20
-#: Bits of the filter that says which documents can be candidates; fixed, so its size is too.
-FILTER_BITS = 1 << 22
+#: Lane keys that a task holds before it deals them; what is hot among these is hot.
+FLUSH_KEYS = 2_000_000
+#: Bits for each candidate in the filter of documents, and bits of the filter at least and at most (16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 1 << 19, 1 << 27, 1 << 19
+#: Members meet further centres while more than this many comparisons a member are left, ROUNDS times at most.
+COMPARED, ROUNDS = 2048, 6
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -164,68 +175,96 @@ def offered(own: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray]]:
         yield s, always, mix(value ^ salt) if always else mix(value ^ salt)[:must]
 
 
-SETS = "doc_id long, n_shingles long, fa long, fb int"
+FOUND = "shared int, lane long, s int, always boolean, a_fa long, a_fb int, b_fa long, b_fb int, doc_id long, n_shingles long"
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+_NAMES = [c.split(" ")[0] for c in FOUND.split(", ")]
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the fingerprint (fa, fb) of each document's set."""
+def _found(n: int, **columns) -> pa.Table:
+    """Rows of FOUND; columns that are not given are null."""
+    return pa.table({c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS, strict=True)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, "doc_id", "text"):
-            own = [shingles(t) for t in texts]
-            prints = [fingerprint(x) for x in own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int32())],
-                names=["doc_id", "n_shingles", "fa", "fb"],
-            )
 
-    return needed(docs, "doc_id", "text").mapInArrow(run, SETS)
+def _ipc(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
 def keys(docs: DataFrame, parts: int) -> DataFrame:
-    """Lane keys packed by reduce part: (p, entries, keys). Of equal sets in a task the first one speaks."""
+    """(p, entries, keys, hot, rows) by reduce part: packed lane keys, keys that are hot in a task, and rows of FOUND.
+
+    Of equal sets in a task the first one speaks. Rows are the documents themselves and the members of
+    hot lanes; they only pass through, dealt evenly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[tuple[int, int]] = set()
-        for (texts,) in rows(batches, "text"):
-            heads, all_keys = [], []
-            for t in texts:
-                own = shingles(t)
-                mark = fingerprint(own)
-                if mark in said:
-                    continue
-                said.add(mark)
-                for s, always, k in offered(own):
-                    heads.append((*mark, s, always, len(k)))
-                    all_keys.append(k)
-            if not heads:
-                continue
+        heads, all_keys, held, turn = [], [], 0, 0
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["p", "entries", "keys", "hot", "rows"])
+
+        def flush() -> Iterator[tuple]:
             entry, key = np.array(heads, ENTRY), np.concatenate(all_keys)
             of = np.repeat(np.arange(len(entry)), entry["n"])
-            part = ((key >> _U(32)) % _U(parts)).astype(np.int32)
+            kinds, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            hot = times[back.ravel()] > HOT
+            part = ((key >> _U(32)) % _U(parts)).astype(np.int64)
+            who = entry[of[hot]]
+            passing = _found(len(who), lane=(key[hot] & _U(0xFFFFFFFF)).astype(np.int64) | part[hot] << 32, s=who["s"].astype(np.int32), always=who["always"] > 0, a_fa=who["fa"].copy(), a_fb=who["fb"].copy())
+            for k in range(0, len(passing), 50_000):
+                yield int(part[hot][k]), None, None, None, _ipc(passing.slice(k, 50_000))
+            marks = kinds[times > HOT]
+            mark_part = ((marks >> _U(32)) % _U(parts)).astype(np.int64)
+            for p in np.unique(mark_part):
+                yield int(p), None, None, (marks[mark_part == p] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), None
+            part, low, of = part[~hot], (key[~hot] & _U(0xFFFFFFFF)).astype("<u4"), of[~hot]
             order = np.argsort(part, kind="stable")
-            part, low, of = part[order], (key[order] & _U(0xFFFFFFFF)).astype("<u4"), of[order]
+            part, low, of = part[order], low[order], of[order]
             bounds = np.flatnonzero(np.diff(part, prepend=-1, append=parts + 1))
-            out = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 mine, counts = np.unique(of[a:b], return_counts=True)
                 some = entry[mine].copy()
                 some["n"] = counts
-                out.append((int(part[a]), some.tobytes(), low[a:b].tobytes()))
-            p, e, k = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.binary()), pa.array(k, pa.binary())], names=["p", "entries", "keys"])
-
-    return needed(docs, "text").mapInArrow(run, "p int, entries binary, keys binary")
+                yield int(part[a]), some.tobytes(), low[a:b].tobytes(), None, None
 
+        for ids, texts in rows(batches, "doc_id", "text"):
+            own = []
+            for t in texts:
+                set_ = shingles(t)
+                mark = fingerprint(set_)
+                own.append((*mark, len(set_)))
+                if mark in said:
+                    continue
+                said.add(mark)
+                for s, always, k in offered(set_):
+                    heads.append((*mark, s, always, len(k)))
+                    all_keys.append(k)
+                    held += len(k)
+            fa, fb, n = zip(*own, strict=True)
+            turn += 1
+            yield batch([((fa[0] + turn) % parts, None, None, None, _ipc(_found(len(ids), a_fa=fa, a_fb=fb, doc_id=ids, n_shingles=n)))])
+            if held >= FLUSH_KEYS:
+                for row in flush():
+                    yield batch([row])
+                heads, all_keys, held = [], [], 0
+        if heads:
+            for row in flush():
+                yield batch([row])
 
-MET = "shared int, lane long, s int, always boolean, a_fa long, a_fb int, b_fa long, b_fb int"
+    return needed(docs, "doc_id", "text").mapInArrow(run, "p int, entries binary, keys binary, hot binary, rows binary")
 
 
 def met(table: pa.Table) -> pa.Table:
-    """One part's keys: pairs of classes with the number of lanes they share, and (shared null) the members of hot lanes."""
+    """One part's keys: pairs of classes with the number of lanes they share, (shared null) the members of hot lanes, and what passes through."""
     p = table["p"][0].as_py()
-    entry = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table["entries"]])
-    key = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]])
+    passing = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"] if x.is_valid]
+    hot = np.unique(np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(x.as_buffer(), "<u4") for x in table["hot"] if x.is_valid]]))
+    entry = np.concatenate([np.zeros(0, ENTRY), *[np.frombuffer(x.as_buffer(), ENTRY) for x in table["entries"] if x.is_valid]])
+    key = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"] if x.is_valid]])
     kinds, of = np.unique(entry[["fa", "fb", "s", "always"]], return_inverse=True)
     both = key.astype(np.uint64) << _U(32)
     both |= np.repeat(of.ravel().astype(np.uint32), entry["n"])
@@ -235,70 +274,71 @@ def met(table: pa.Table) -> pa.Table:
     lane, who = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(lane, prepend=-1))
     size = np.repeat(np.diff(np.append(first, len(lane))), np.diff(np.append(first, len(lane))))
+    warm = (size > HOT) | np.isin(lane, hot.astype(np.int64))
     pairs = [np.zeros(0, np.uint64)]
-    some = np.flatnonzero((size > 1) & (size <= HOT))
+    some = np.flatnonzero((size > 1) & ~warm)
     lane_s, who_s = lane[some], who[some].astype(np.uint64)
     for gap in range(1, HOT):
         same = lane_s[gap:] == lane_s[:-gap]
         pairs.append(who_s[:-gap][same] << _U(32) | who_s[gap:][same])
     pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
     a, b = kinds[(pair >> _U(32)).astype(np.int64)], kinds[(pair & _U(0xFFFFFFFF)).astype(np.int64)]
-    hot = np.flatnonzero(size > HOT)
-    h = kinds[who[hot]]
-    n, m = len(pair), len(hot)
-    none = pa.nulls(m)
-    return pa.table(
-        {
-            "shared": pa.chunked_array([pa.array(shared.astype(np.int32)), none.cast(pa.int32())]),
-            "lane": pa.array(np.concatenate([np.zeros(n, np.int64), lane[hot] | (np.int64(p) << np.int64(32))])),
-            "s": pa.array(np.concatenate([a["s"], h["s"]]).astype(np.int32)),
-            "always": pa.array(np.concatenate([a["always"] | b["always"], h["always"]]) > 0),
-            "a_fa": pa.array(np.concatenate([a["fa"], h["fa"]])),
-            "a_fb": pa.array(np.concatenate([a["fb"], h["fb"]])),
-            "b_fa": pa.chunked_array([pa.array(b["fa"].copy()), none.cast(pa.int64())]),
-            "b_fb": pa.chunked_array([pa.array(b["fb"].copy()), none.cast(pa.int32())]),
-        }
+    h = kinds[who[warm]]
+    return pa.concat_tables(
+        [
+            *passing,
+            _found(len(pair), shared=shared.astype(np.int32), lane=np.zeros(len(pair), np.int64), s=a["s"].astype(np.int32), always=(a["always"] | b["always"]) > 0, a_fa=a["fa"].copy(), a_fb=a["fb"].copy(), b_fa=b["fa"].copy(), b_fb=b["fb"].copy()),
+            _found(len(h), lane=lane[warm] | (np.int64(p) << np.int64(32)), s=h["s"].astype(np.int32), always=h["always"] > 0, a_fa=h["fa"].copy(), a_fb=h["fb"].copy()),
+        ]
     )
 
 
-def _bit(doc_id: int) -> int:
-    return zlib.crc32(doc_id.to_bytes(8, "little", signed=True)) % FILTER_BITS
+def filter_bits(n: int) -> int:
+    """Bits of the filter for n candidates: a power of two within its bounds, so what is broadcast is at most MOST_BITS / 8 bytes."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n * BITS_EACH) - 1).bit_length()))
 
 
-def candidate_filter(ids: DataFrame) -> bytes:
-    """A bit array of FILTER_BITS with the ids' bits set: a bounded filter, exact joins follow it."""
+def _bit(bits: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, any_ = np.zeros(FILTER_BITS // 8, np.uint8), False
-        for (own,) in rows(batches, "rep"):
-            any_ = True
-            at = np.array([_bit(i) for i in own])
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.select("rep").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+
+def candidate_filter(ids: DataFrame, bits: int) -> bytes:
+    """A bit array with the bits of ``ids`` (doc_id) set: a bounded filter, an exact join follows it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = np.zeros(BLOCK_BITS, bool)
+        own[table["bit"].to_numpy() % BLOCK_BITS] = True
+        return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    set_ = ids.select(_bit(bits).alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / BLOCK_BITS))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in set_.groupBy("block").applyInArrow(run, "block long, bits binary").collect():
+        at = row["block"] * (BLOCK_BITS // 8)
+        out[at : at + BLOCK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
     return out.tobytes()
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, own): the whole sets of the documents in ``ids`` (rep), read from their texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(candidate_filter(ids))
+def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, own): the whole sets of the classes in ``wanted`` (node, doc_id, fa, fb), read from the texts of these documents."""
+    bits = filter_bits(wanted.count())
+    have = docs.sparkSession.sparkContext.broadcast(candidate_filter(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits.value, np.uint8)
-        for own_ids, texts in rows(batches, "doc_id", "text"):
-            found = []
-            for i, t in zip(own_ids, texts, strict=True):
-                if i is not None and have[(b := _bit(i)) >> 3] >> (b & 7) & 1:
-                    found.append((i, shingles(t).tobytes()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["rep", "own"])
+        set_bits = np.frombuffer(have.value, np.uint8)
+        for batch in slices(batches):
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array((set_bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            if not some.num_rows:
+                continue
+            own = [shingles(t) for t in some.column(1).to_pylist()]
+            prints = [fingerprint(x) for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "fa", "fb", "own"]
+            )
 
-    sets = needed(docs, "doc_id", "text").mapInArrow(run, "rep long, own binary")
-    return sets.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    read = needed(docs, "doc_id", "text").filter("doc_id IS NOT NULL").withColumn("bit", _bit(bits))
+    sets = read.mapInArrow(run, "doc_id long, fa long, fb int, own binary")
+    return sets.join(wanted, ["doc_id", "fa", "fb"]).select("node", "own").dropDuplicates(["node"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -313,7 +353,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+    """The pairs (a, b) whose whole sets are similar. Many pairs may share a side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,13 +362,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    one = sets.select(F.col("rep").alias("a"), F.col("own").alias("x"))
-    two = sets.select(F.col("rep").alias("b"), F.col("own").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    one = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
+    return skewed_join(pairs, one, ["a"]).join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sketches(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(s, rep, size, sketch) for each (s, rep) in ``members``: the lanes of its set in a byte each."""
+    """(s, node, size, sketch) for each (s, node) in ``members``: the lanes of its set in a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,26 +380,28 @@ def sketches(members: DataFrame, sets: DataFrame) -> DataFrame:
                 sketch[number] = (value >> _U(56)).astype(np.uint8)
                 sizes.append(len(own))
                 out.append(sketch.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["s", "rep", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["s", "node", "size", "sketch"])
 
-    return members.select("s", "rep").distinct().join(sets, "rep").select("s", "rep", "own").mapInArrow(run, "s int, rep long, size long, sketch binary")
+    return members.select("s", "node").distinct().join(sets, "node").select("s", "node", "own").mapInArrow(run, "s int, node long, size long, sketch binary")
 
 
-def blocks(members: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Members (s, top, rep, component) of groups with their sketches, packed in blocks of about BLOCK."""
+def blocks(members: DataFrame, drawn: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Members (s, top, node, component) of groups with their sketches, packed in blocks of about BLOCK; ``numbers`` says how many (n_blocks)."""
 
     def pack(table: pa.Table) -> pa.Table:
-        columns = {n: pa.array([table[c].to_numpy().astype(np.int64).tobytes()], pa.binary()) for n, c in (("reps", "rep"), ("comps", "component"), ("sizes", "size"))}
-        return pa.table({"s": table["s"].slice(0, 1), "top": table["top"].slice(0, 1), **columns, "sketch": pa.array([b"".join(table["sketch"].to_pylist())], pa.binary())})
+        columns = {n: pa.array([table[c].to_numpy().astype(np.int64).tobytes()], pa.binary()) for n, c in (("reps", "node"), ("comps", "component"), ("sizes", "size"))}
+        return pa.table({**{c: table[c].slice(0, 1) for c in ("s", "top", "block")}, **columns, "sketch": pa.array([b"".join(table["sketch"].to_pylist())], pa.binary())})
 
-    n = members.groupBy("s", "top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
-    dealt = members.join(n, ["s", "top"]).join(drawn, ["s", "rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
-    schema = "s int, top long, reps binary, comps binary, sizes binary, sketch binary"
-    return dealt.select("s", "top", "block", "rep", "component", "size", "sketch").groupBy("s", "top", "block").applyInArrow(pack, schema)
+    dealt = skewed_join(members, numbers, ["s", "top"]).join(drawn, ["s", "node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+    schema = "s int, top long, block long, reps binary, comps binary, sizes binary, sketch binary"
+    return dealt.select("s", "top", "block", "node", "component", "size", "sketch").groupBy("s", "top", "block").applyInArrow(pack, schema)
 
 
-def close_in_blocks(some: DataFrame, all_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components, from a block of each side, whose sketches differ in few enough lanes."""
+def close_in_blocks(some: DataFrame, all_: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, from a block of each side, whose sketches differ in few enough lanes.
+
+    Each block of ``some`` goes to each block of its group, which is a key of its own: a large group is many tasks' work.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s_, ra, ca, na, ka, rb, cb, nb, kb in rows(batches, "s", "ra", "ca", "na", "ka", "rb", "cb", "nb", "kb"):
@@ -377,82 +419,175 @@ def close_in_blocks(some: DataFrame, all_: DataFrame) -> DataFrame:
                 if out_a:
                     yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    left = some.select("s", "top", F.col("reps").alias("ra"), F.col("comps").alias("ca"), F.col("sizes").alias("na"), F.col("sketch").alias("ka"))
-    right = all_.select("s", "top", F.col("reps").alias("rb"), F.col("comps").alias("cb"), F.col("sizes").alias("nb"), F.col("sketch").alias("kb"))
-    found = left.join(right, ["s", "top"]).drop("top").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = some.join(numbers, ["s", "top"]).select("s", "top", F.col("reps").alias("ra"), F.col("comps").alias("ca"), F.col("sizes").alias("na"), F.col("sketch").alias("ka"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    right = all_.select("s", "top", "block", F.col("reps").alias("rb"), F.col("comps").alias("cb"), F.col("sizes").alias("nb"), F.col("sketch").alias("kb"))
+    found = left.join(right, ["s", "top", "block"]).drop("top", "block").mapInArrow(run, "a long, b long")
+    return _ordered(found, "a", "b").distinct()
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n_shingles, rep (the smallest doc_id with the same set) of each document,
-    and the verified links (a, b) between reps: enough of them to connect what belongs together."""
-    own = cut(classes(docs))
-    of = own.filter("n_shingles > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    of = cut(of.filter("rep IS NOT NULL"))
-    members = own.join(of, ["fa", "fb"], "left").select("doc_id", "n_shingles", "rep")
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+class Linked(NamedTuple):
+    """members: doc_id, n_shingles, fa, fb, rep, node of each row; classes: node, rep, fa, fb; links (a, b) between nodes."""
+
+    members: DataFrame
+    classes: DataFrame
+    links: DataFrame
+    alike: bool  # nodes are reps
+
+
+def numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """``classes`` (stored) with node, a number for each: the smallest doc_id, or where ids repeat with other texts the row's place."""
+    if classes.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
+        return classes.withColumn("node", F.col("rep")), True
+    return cut(classes.withColumn("node", F.monotonically_increasing_id())), False
+
+
+def linked(docs: DataFrame) -> Linked:
+    """Each row's class (rows with equal sets), its smallest doc_id, and verified links between classes: enough of them to connect what belongs together."""
     chars = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(4, -(-chars // TASK_CHARS))
-    found = cut(keys(docs, parts).groupBy("p").applyInArrow(met, MET))
+    found = cut(keys(docs, parts).repartition(parts, "p").groupBy("p").applyInArrow(met, FOUND))
+    own = found.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", F.col("a_fa").alias("fa"), F.col("a_fb").alias("fb"))
+    of = own.filter("n_shingles > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    of, alike = numbered(cut(of.filter("rep IS NOT NULL")))
+    members = skewed_join(own, of.drop("n"), ["fa", "fb"], "left", sizes=own.filter("n_shingles > 0").groupBy("fa", "fb").agg(F.count(F.lit(1)).alias("n")))
 
-    def as_reps(df: DataFrame, side: str, name: str) -> DataFrame:
-        named = of.select(F.col("fa").alias(f"{side}_fa"), F.col("fb").alias(f"{side}_fb"), F.col("rep").alias(name), F.col("n").alias(f"n_{name}"))
+    def as_nodes(df: DataFrame, side: str, name: str) -> DataFrame:
+        named = of.select(F.col("fa").alias(f"{side}_fa"), F.col("fb").alias(f"{side}_fb"), F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
         return df.join(named, [f"{side}_fa", f"{side}_fb"]).drop(f"{side}_fa", f"{side}_fb")
 
     spare = F.when(F.lit(False), 0)
     for s in range(40):
         spare = spare.when(F.col("s") == s, band(s)[2])
     sizes_fit = DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")
-    hot = cut(as_reps(found.filter("shared IS NULL").select("lane", "s", "always", "a_fa", "a_fb"), "a", "rep").select("lane", "s", "always", "rep", F.col("n_rep").alias("n")))
-    warmth = cut(hot.groupBy("s", "rep").agg(F.count(F.lit(1)).alias("hot_lanes"), F.max("always").alias("always")))
+    hot = found.filter("shared IS NULL AND n_shingles IS NULL").select("lane", "s", "always", "a_fa", "a_fb").distinct()  # tasks may say the same
+    hot = cut(as_nodes(hot, "a", "node").withColumnRenamed("n_node", "n"))
+    warmth = cut(hot.groupBy("s", "node").agg(F.count(F.lit(1)).alias("hot_lanes"), F.max("always").alias("always")))
     pairs = found.filter("shared IS NOT NULL").groupBy("s", "always", "a_fa", "a_fb", "b_fa", "b_fb").agg(F.sum("shared").alias("shared"))
-    pairs = as_reps(as_reps(pairs, "a", "a"), "b", "b").filter((F.col("a") != F.col("b")) & sizes_fit)
+    pairs = as_nodes(as_nodes(pairs, "a", "a"), "b", "b").filter((F.col("a") != F.col("b")) & sizes_fit)
     for side in ("a", "b"):
-        pairs = pairs.join(warmth.select("s", F.col("rep").alias(side), F.col("hot_lanes").alias(f"hot_{side}")), ["s", side], "left")
+        pairs = pairs.join(warmth.select("s", F.col("node").alias(side), F.col("hot_lanes").alias(f"hot_{side}")), ["s", side], "left")
     hot_both = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
     # Linked documents share more than ``spare`` lanes; hot ones are not counted here, and where both sides
     # have more hot ones than that they meet in a hot lane or share enough others.
     enough = F.col("shared") > F.when(hot_both <= spare, spare - hot_both).otherwise(spare)
-    pairs = pairs.filter(F.col("always") | enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _ordered(pairs.filter(F.col("always") | enough), "a", "b")
     many = warmth.filter(F.col("always") | (F.col("hot_lanes") > spare))
-    crowd = cut(hot.select("lane", "s", "rep", "n").join(many.select("s", "rep", "hot_lanes"), ["s", "rep"]))
-    tops = crowd.groupBy("lane", "s").agg(F.max(F.struct("hot_lanes", (-F.col("rep")).alias("r"), "n")).alias("t")).select("lane", "s", (-F.col("t.r")).alias("top"), F.col("t.n").alias("n_a"))
-    groups = cut(crowd.join(tops, ["lane", "s"]).select("s", "top", "rep", "n_a", F.col("n").alias("n_b")).distinct())
-    stars = groups.filter((F.col("top") != F.col("rep")) & sizes_fit).select(F.least("top", "rep").alias("a"), F.greatest("top", "rep").alias("b"))
-    pairs = cut(pairs.unionByName(stars).distinct())
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(groups.select("rep")).distinct()
-    sets = cut(candidate_sets(docs, cut(ids)))
+    crowd = cut(hot.select("lane", "s", "node", "n").join(many.select("s", "node", "hot_lanes"), ["s", "node"]))
+    tops = crowd.groupBy("lane", "s").agg(F.max(F.struct("hot_lanes", (-F.col("node")).alias("r"), "n")).alias("t")).select("lane", "s", (-F.col("t.r")).alias("top"), F.col("t.n").alias("n_a"))
+    groups = cut(skewed_join(crowd, cut(tops), ["lane", "s"]).select("s", "top", "node", "n_a", F.col("n").alias("n_b")).distinct())
+    pairs = cut(pairs.unionByName(_ordered(groups.filter((F.col("top") != F.col("node")) & sizes_fit), "top", "node")).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
+    sets = cut(candidate_sets(docs, cut(wanted.join(of.select("node", F.col("rep").alias("doc_id"), "fa", "fb"), "node"))))
     links = cut(verified(pairs, sets))
-    comp = components(links)
-    known = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = cut(known)
-    centre = known.filter("top = rep").select("s", "top", F.col("component").alias("centre"))
-    apart = cut(known.join(centre, ["s", "top"]).filter("component <> centre").select("s", "top", "rep", "component"))
-    if not apart.isEmpty():
-        mixed = known.join(apart.select("s", "top").distinct(), ["s", "top"], "left_semi").select("s", "top", "rep", "component")
-        drawn = cut(sketches(mixed, sets))
-        near = close_in_blocks(blocks(apart, drawn), blocks(mixed, drawn))
-        near = cut(near.join(pairs, ["a", "b"], "left_anti"))
-        links = links.unionByName(verified(near, sets))
-    return members, links
+    if not groups.isEmpty():
+        links = within_groups(groups, pairs, links, sets)
+    return Linked(members, of.select("node", "rep", "fa", "fb"), links, alike)
+
+
+def within_groups(groups: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """``links`` and those that are left between members of groups (s, top, node, n_a, n_b) whose sets have not met."""
+    centres = groups.select("s", "top").distinct().withColumn("node", F.col("top"))
+    sizes, before = groups.select("s", "top", "node", F.col("n_b").alias("n")), None
+    for _ in range(ROUNDS + 1):
+        known = sizes.join(components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+        known = cut(known.withColumn("component", F.coalesce("component", "node")))
+        # Of each component, its members by group: who is in a centre's component has met a member of it or is linked by others.
+        by = cut(known.groupBy("s", "top", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "n")).alias("head")))
+        met_ = centres.join(known.select("s", "top", "node", "component"), ["s", "top", "node"]).select("s", "top", "component").distinct()
+        first = centres.filter("node = top").join(known.select("s", "top", "node", "component"), ["s", "top", "node"]).select("s", "top", "component")
+        apart_by = cut(by.join(first, ["s", "top", "component"], "left_anti"))
+        if apart_by.isEmpty():
+            return links
+        whole = by.groupBy("s", "top").agg(F.sum("k").alias("size"), F.max("k").alias("largest"))
+        work = whole.join(apart_by.groupBy("s", "top").agg(F.sum("k").alias("apart")), ["s", "top"])
+        work = cut(work)
+        sums = work.agg(F.sum(F.col("apart") * F.col("size")).alias("left"), F.sum("size").alias("members")).first()
+        if sums["left"] <= COMPARED * sums["members"] or (before is not None and sums["left"] > 0.8 * before):
+            break
+        before = sums["left"]
+        # The next centre of a group: the first member of the largest component that no centre is of.
+        order = F.struct("k", (-F.col("head.node")).alias("r"), F.col("head.n").alias("n"))
+        next_ = cut(by.join(met_, ["s", "top", "component"], "left_anti").groupBy("s", "top").agg(F.max(order).alias("t")).select("s", "top", (-F.col("t.r")).alias("centre"), F.col("t.n").alias("n_c")))
+        if next_.isEmpty():
+            break
+        centres = cut(centres.unionByName(next_.select("s", "top", F.col("centre").alias("node"))))
+        stars = skewed_join(known, next_, ["s", "top"]).filter((F.col("node") != F.col("centre")) & (DEN * F.least("n", "n_c") >= NUM * F.greatest("n", "n_c")))
+        stars = cut(_ordered(stars, "node", "centre").distinct().join(pairs, ["a", "b"], "left_anti"))
+        pairs, links = pairs.unionByName(stars), cut(links.unionByName(verified(stars, sets)))
+    numbers = cut(work.select("s", "top", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
+    apart = cut(known.join(apart_by.select("s", "top", "component"), ["s", "top", "component"], "left_semi").select("s", "top", "node", "component"))
+    mixed = cut(skewed_join(known, numbers, ["s", "top"], "left_semi").select("s", "top", "node", "component"))
+    drawn = cut(sketches(mixed, sets))
+    near = close_in_blocks(blocks(apart, drawn, numbers), blocks(mixed, drawn, numbers), numbers)
+    near = cut(near.join(pairs, ["a", "b"], "left_anti"))
+    return links.unionByName(verified(near, sets))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, fa, fb, component_id, first: of each row its set's fingerprint, its group, and whether its class holds the group's smallest id."""
+    found = linked(docs)
+    comp = components(found.links)
+    heads = found.classes.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "rep", "fa", "fb", F.coalesce("component", "node").alias("component"))
+    if found.alike:
+        heads = heads.select("node", F.col("component").alias("component_id"), (F.col("component") == F.col("node")).alias("first"))
+    else:
+        heads = cut(heads)
+        least = heads.groupBy("component").agg(F.min(F.struct("rep", "fa", "fb")).alias("m"))
+        heads = heads.join(least, "component").select("node", F.col("m.rep").alias("component_id"), (F.struct("rep", "fa", "fb") == F.col("m")).alias("first"))
+    members = cut(found.members.select("doc_id", "n_shingles", "fa", "fb", "node"))
+    return skewed_join(members, cut(heads), ["node"], "left").select(
+        "doc_id", "n_shingles", "fa", "fb", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first")
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each document.
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing. Texts of
-    fewer than five words are one shingle. Repeated rows and equal sets share a class; a null doc_id is
-    carried through and is no class's representative. Other columns are ignored. Shingles are compared
-    as 64-bit hashes, equal sets as 96-bit fingerprints.
+    fewer than five words are one shingle. A row is a document: rows with one id and different texts are
+    linked each by its own text. Repeated rows and equal sets share a class; a null doc_id is carried
+    through and is no class's representative, and a class without any id links with nothing. Other columns
+    are ignored; an empty table gives an empty result. Shingles are compared as 64-bit hashes, equal sets
+    as 96-bit fingerprints.
     """
-    members, links = linked(docs)
-    comp = components(links)
-    return members.join(comp, members["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """``docs`` and _fa, _fb, the fingerprint of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints = [fingerprint(shingles(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            columns = [*batch.columns, pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_fa", "_fb"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fa", LongType()), StructField("_fb", IntegerType())]))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, columns as they are, of which one stays for each group: the smallest doc_id."""
-    stay = near_duplicates(docs).filter("component_id <=> doc_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
+    """The rows of ``docs``, columns as they are, of which one stays for each group: the one with the smallest doc_id.
+
+    Rows without shingles (null, empty or blank texts) are linked with nothing and all stay, and so do
+    rows that no id is linked with. Of rows of one id and equal sets one stays, whichever it is; rows of
+    one id and different texts are told apart. An empty table gives an empty result.
+    """
+    found = cut(grouped(docs))
+    stay = found.filter("component_id <=> doc_id AND first").select(F.col("doc_id").alias("_stays"), F.col("fa").alias("_a"), F.col("fb").alias("_b"), F.col("n_shingles").alias("_n"))
+    repeated = cut(found.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_again"))
+    if repeated.isEmpty():
+        return docs.join(stay.select("_stays"), docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
+    once = stay.join(repeated, stay["_stays"].eqNullSafe(repeated["_again"]), "left_anti").select("_stays")
+    single = docs.join(once, docs["doc_id"].eqNullSafe(once["_stays"]), "left_semi")
+    many = fingerprinted(docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_again"]), "left_semi"))
+    many = cut(many.join(stay, many["doc_id"].eqNullSafe(stay["_stays"]) & (many["_fa"] == stay["_a"]) & (many["_fb"] == stay["_b"]), "left_semi"))
+    none = fingerprint(np.zeros(0, np.uint64))
+    blank = (F.col("_fa") == none[0]) & (F.col("_fb") == none[1]) | F.col("doc_id").isNull()
+    return single.unionByName(many.filter(blank).drop("_fa", "_fb")).unionByName(many.filter(~blank).dropDuplicates(["doc_id", "_fa", "_fb"]).drop("_fa", "_fb"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
