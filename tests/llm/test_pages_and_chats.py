@@ -1,4 +1,5 @@
 import hashlib
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,58 @@ def test_named_furniture_beside_the_article_goes():
     assert html_text.main_text(f"<body><article>{LONG * 3}</article>{comments}<div hidden class=ad><main><p>Not, to be, seen</p></main></div></body>").count("\n") == 2
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "with-banner", "no-comments", "menu-open", "has-ads", "promo-free", "article-body", "main content", "sidebar-layout", "page widget-area"])
+def test_names_beside_the_article_do_not_empty_it(name):
+    page = f"<body><header>Site</header><div class='{name}'>{LONG * 6}</div><div class='comments'>{'<p>I, too, think so</p>' * 40}</div></body>"
+    assert html_text.main_text(page).count("Running text") == 6 and "too" not in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "comment-list", "footer_inner", "page__sidebar", "sidebar--left", "ad-slot", "cookie-banner", "nav-main"])
+def test_furniture_by_name_goes(name):
+    assert "Beside" not in html_text.main_text(f"<body><div>{LONG * 6}</div><div class='{name}'><p>Beside the article, one, two, and three</p></div></body>")
+
+
+def slow_main_text(html):
+    """An independent reading of the generated pages: the blocks of their article element, by the standard library's parser."""
+    out, depth, skipped, inside = [[]], 0, [], False
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            nonlocal inside
+            if tag in ("form", "script", "style", "aside", "nav", "footer", "header") or dict(attrs).get("class") in ("ad", "comments"):
+                skipped.append(tag)
+            if tag == "article":
+                inside = True
+            if tag in ("br", "td", "th"):
+                out[-1].append(" ")
+            elif tag not in ("b", "i", "a", "em", "strong", "span", "code"):
+                out.append([])
+
+        def handle_endtag(self, tag):
+            nonlocal inside
+            if skipped and skipped[-1] == tag:
+                skipped.pop()
+            if tag == "article":
+                inside = False
+            if tag not in ("b", "i", "a", "em", "strong", "span", "code", "td", "th"):
+                out.append([])
+
+        def handle_data(self, data):
+            if inside and not skipped:
+                out[-1].append(data)
+
+    Reader(convert_charrefs=True).feed(html)
+    return "\n".join(t for t in (" ".join("".join(parts).split()) for parts in out) if t)
+
+
+def test_pages_as_an_independent_reader_reads_them(spark):
+    pages_ = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages_.collect()}
+    got = {r.page_id: r.text for r in html_text.extracted(pages_).collect()}
+    assert len(got) == len(html)
+    assert [k for k in html if got[k] != slow_main_text(html[k] or "")] == []
+
+
 @pytest.mark.parametrize("html", ["", "<", "</", "<p", "<!--", "<script>", "<a href='", "<div>" * 20_000, "</div>" * 1000, "&#x110000; &bogus; &amp", "<p>" * 1000 + "x", "\x00<b>\x00"])
 def test_broken_markup(html):
     assert isinstance(html_text.main_text(html), str)

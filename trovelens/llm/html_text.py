@@ -37,24 +37,32 @@ BONUS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 2.0, "blockquote":
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt tr td th tbody thead tfoot".split())
 #: Opening the key ends an open element of the values, not above the last ones.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Words that name furniture, and of these such that name what is never the article, however long it is.
 _WORDS = (
-    "ad|ads|adv|advert[a-z]*|adsense|adbox|banner|sponsor[a-z]*|promo[a-z]*|nav|navbar|navigation|navigator|menu|menus|breadcrumb[a-z]*|sidebar|"
-    "footer|masthead|comment|comments|commentlist|disqus[a-z]*|reply|replies|respond|cookie|cookies|cookiebar|consent|gdpr|notice|notices|popup|modal|overlay|"
+    "banner|promo[a-z]*|nav|navbar|navigation|navigator|menu|menus|breadcrumb[a-z]*|sidebar|footer|masthead|notice|notices|popup|modal|overlay|"
     "newsletter|subscribe|subscription|signup|login|sharing|social|pagination|pager|widget|widgets|toolbar|skip|copyright|disclaimer|complementary|contentinfo"
 )
-_FURNITURE_NAME = re.compile(rf"(?:[a-z0-9]+[_-]+)*(?:{_WORDS})(?:[_-]+[a-z0-9]+)*|(?:site|page|global|top)?[_-]?header|related(?:[_-].*)?|share|alert|hidden|legal|recommend[a-z]*", re.I)
+_NEVER = "ad|ads|adv|advert[a-z]*|adsense|adbox|sponsor[a-z]*|comment|comments|commentlist|disqus[a-z]*|reply|replies|respond|cookie|cookies|cookiebar|consent|gdpr"
+#: What may follow a furniture word that is not the last one: parts and places of the thing itself.
+_PART = "list|lists|wrap|wrapper|container|box|bar|area|section|block|item|items|group|inner|outer|content|body|main|holder|slot|unit|panel|link|links|form|row|col|column|left|right|top|bottom|primary|secondary|global|site|page|mobile|desktop|thread|text|title|header|footer|[0-9]+[a-z]?"
+_FURNITURE_NAME = re.compile(
+    rf"(?:[a-z0-9]+[_-]+)*(?:{_WORDS}|{_NEVER})(?:[_-]+(?:{_PART}))*|(?:site|page|global|top)?[_-]?header|related(?:[_-].*)?|share|alert|hidden|legal|recommend[a-z]*", re.I
+)
+_NEVER_NAME = re.compile(rf"(?:[a-z0-9]+[_-]+)*(?:{_NEVER})(?:[_-]+(?:{_PART}))*", re.I)
+#: Names that say what stands beside or in an element, not what it is.
+_ABOUT = re.compile(r"(?:has|have|having|with|without|no|not|is|hide|show)[_-].*", re.I)
+#: An element that is furniture by its name only but holds this share of the page's text is none.
+MOST_TEXT = 0.9
 
 
-#: Names that say what stands beside or in an element, not what it is.
-_ABOUT = re.compile(r"(?:has|have|with|without|no)[_-].*", re.I)
+def _tokens(attributes: str) -> Iterator[str]:
+    for found in _NAME.finditer(attributes):
+        yield from (found[2] or found[3] or found[4] or "").split()
 
 
 def named_furniture(attributes: str) -> bool:
-    for found in _NAME.finditer(attributes):
-        value = found[2] or found[3] or found[4] or ""
-        if any(_FURNITURE_NAME.fullmatch(token) and not _ABOUT.fullmatch(token) for token in value.split()):
-            return True
-    return False
+    """Whether a class, id or role is a furniture word or ends in one, its own parts and places aside."""
+    return any(_FURNITURE_NAME.fullmatch(token) and not _ABOUT.fullmatch(token) for token in _tokens(attributes))
 
 
 def is_furniture(tag: str, attributes: str) -> bool:
@@ -77,6 +85,8 @@ class Page:
         #: Open elements that are furniture by name only, and how many others are furniture.
         self.walls: list[int] = []
         self.hard = 0
+        #: Characters of text: kept, and by where the elements begin that are furniture by name only; those of _NEVER aside.
+        self.kept, self.held, self.never = 0, {}, set()
         self.tag, self.parent, self.furniture = ["#"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
@@ -123,7 +133,11 @@ class Page:
             self.link = None
 
     def _text(self, text: str) -> None:
-        if not self.dropped:
+        if self.dropped and self.walls and not self.hard:
+            for node in self.walls:
+                self.held[self.begins[node]] = self.held.get(self.begins[node], 0) + len(text)
+        elif not self.dropped:
+            self.kept += len(text)
             if "&" in text:
                 text = unescape(text)
             self.parts.append(text)
@@ -177,8 +191,10 @@ class Page:
                 noted.add(self.begins[k])
 
     def spare(self) -> frozenset:
-        """Where the furniture begins that holds the page's main element, or its only articles."""
-        return frozenset(self.wraps["main"] or (() if self.article else self.wraps["article"]))
+        """Where the furniture begins that holds the page's main element, its only articles, or nearly all of its text."""
+        whole = self.kept + sum(n for at, n in self.held.items() if at not in self.never)
+        most = {at for at, n in self.held.items() if at not in self.never and n > MOST_TEXT * whole}
+        return frozenset(most | (self.wraps["main"] or (set() if self.article else self.wraps["article"])))
 
     def _push(self, name: str, furniture: bool, attributes: str) -> None:
         self.tag.append(name)
@@ -191,6 +207,8 @@ class Page:
                 self.hard += 1
             else:
                 self.walls.append(self.open[-1])
+                if any(_NEVER_NAME.fullmatch(token) for token in _tokens(attributes)):
+                    self.never.add(self.begin)
         if self.dropped or furniture:
             self.dropped += 1
 
