@@ -140,15 +140,26 @@ def test_templates():
     assert [t for t, g in pieces if g] == ["b", "1"]
 
 
+def test_template_syntax():
+    assert render("a \n{%- if x -%}  b  {%- endif -%}\n c", x=1) == "abc"
+    assert render("a {#- no {{ x }} -#} b{# it's #}c") == "abc"
+    assert render("{% for x in xs %}{{ x }}{% if not loop.last %}, {% endif %}{% endfor %}", xs=iter([1, 2, 3])) == "1, 2, 3"
+    assert render("{{ '}}' ~ \"{%\" }}") == "}}{%"
+    assert render("{{ 'a' if x > 1 else 'b' if x else 'c' }}{{ 'n' if y is none }}", x=0, y=1) == "c"
+    assert render("{% if x is defined and m.k is not defined %}y{% endif %}{{ q is defined }}", x=1, m={}) == "yFalse"
+    assert render("{% for x in xs if x is number and x > 1 %}{{ loop.index }}{{ x }}{% endfor %}", xs=[1, 2, "a", 3]) == "1223"
+    assert render(" {{- x -}} ", x="v") == "v"
+
+
 def test_constants_are_folded():
     tree = templates.fold(templates.parse("a{{ 'b' ~ (1 + 1) }}{% if 1 < 2 %}c{% else %}{{ x }}{% endif %}d"))
     assert len(tree) == 1 and isinstance(tree[0], templates.Text)
 
 
-@pytest.mark.parametrize("bad", ["{% if x %}", "{{ }}", "{% endfor %}", "{{ x.__class__.__mro__ }}", "{{ f() }}", "{% import os %}", "{{ 'a' * 999999999 }}", "{{ x|nothing }}", "{{ 'a' + 1 }}", "{{ x < 'a' }}", "{{ x|length }}"])
+@pytest.mark.parametrize("bad", ["{% if x %}", "{{ }}", "{% endfor %}", "{{ x.__class__.__mro__ }}", "{{ f() }}", "{% import os %}", "{{ 'a' * 999999999 }}", "{{ x|nothing }}", "{{ 'a' + 1 }}", "{{ x < 'a' }}", "{{ x|length }}", "{% for a in b %}{{ loop.length }}{% endfor %}", "{{ x", "{% if x", "{# x", "{{ 'a }}", "{% raw %}", "{{ x is odd }}", "{% for y in x %}{% endfor %}", "{% for y in b %}{% else %}{% endfor %}", "{{ if }}"])
 def test_sandbox(bad):
     with pytest.raises(templates.TemplateError):
-        render(bad, x=1)
+        render(bad, x=1, b=[1])
 
 
 def test_protection_is_reversible():

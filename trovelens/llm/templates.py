@@ -1,11 +1,13 @@
 """A compiler for a sandboxed template language: text to syntax tree, folded, to Python closures.
 
     {{ expression }}   {% set name = expression %}   {% if .. %} {% elif .. %} {% else %} {% endif %}
-    {% for name in expression %} .. {% endfor %}     {% generation %} .. {% endgeneration %}
+    {% for name in expression if test %} .. {% endfor %}   {% generation %} .. {% endgeneration %}   {# comment #}
 
-Expressions have strings, numbers, true, false, none, names, ``a.b`` and ``a['b']`` (keys of mappings
-and items of lists only), filters ``a|f``, ``not and or``, comparisons, ``in``, ``+ - * %`` and ``~``
-(joins as text). There are no calls and no attributes of Python objects. A compiled template is a
+A ``-`` inside a tag's bracket (``{{- -}} {%- -%} {#- -#}``) takes away the white space on that side. In a
+loop there are loop.index, index0, first and last. Expressions have strings, numbers, true, false, none,
+names, ``a.b`` and ``a['b']`` (keys of mappings and items of lists only), filters ``a|f``, ``a if b else c``,
+``not and or``, comparisons, ``in``, ``is`` (not) defined, none, string, number, mapping or sequence,
+``+ - * %`` and ``~`` (joins as text). Whatever else is written is an error, never silently text. There are no calls and no attributes of Python objects. A compiled template is a
 function of a context that yields (text, generated) pieces; generated marks text inside generation
 blocks. A loop takes any iterable, so a conversation of any length streams through.
 """
@@ -40,6 +42,17 @@ class Filtered(NamedTuple):
     name: str
 
 
+class Choice(NamedTuple):
+    test: Any
+    yes: Any
+    no: Any
+
+
+class Is(NamedTuple):
+    of: Any
+    kind: str
+
+
 class Unary(NamedTuple):
     op: str
     a: Any
@@ -73,6 +86,7 @@ class If(NamedTuple):
 class For(NamedTuple):
     name: str
     items: Any
+    test: Any  # items that fail it are left out; none: all are taken
     body: list
 
 
@@ -101,7 +115,15 @@ def _applied(f: Callable, *values: Any) -> Any:
 LEVELS = [["or"], ["and"], ["==", "!=", "<", "<=", ">", ">=", "in", "not in"], ["+", "-", "~"], ["*", "%"]]
 FILTERS: dict[str, Callable] = {"trim": lambda v: _text(v).strip(), "lower": lambda v: _text(v).lower(), "upper": lambda v: _text(v).upper(), "length": len, "text": _text}
 _TOKEN = re.compile(r"""\s*(?:('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(\d+(?:\.\d+)?)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-<>+*%~|.()\[\]]))""", re.S)
-_BLOCK = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}", re.S)
+_INSIDE = r"""((?:'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^'"])*?)"""
+#: A comment, an output or a statement, each with what takes away white space before and after it.
+_BLOCK = re.compile(r"\{#(-?).*?(-?)#\}|\{\{(-?)" + _INSIDE + r"(-?)\}\}|\{%(-?)" + _INSIDE + r"(-?)%\}", re.S)
+_OPENS = re.compile(r"\{[{%#]")
+_WORDS = frozenset("if else and or not in is".split())
+KINDS: dict[str, Callable] = {
+    "none": lambda v: v is None, "string": lambda v: isinstance(v, str), "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool),
+    "mapping": lambda v: isinstance(v, Mapping), "sequence": lambda v: isinstance(v, list | tuple | str),
+}
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 #: No constant is folded beyond this many characters.
 MOST_FOLDED = 10_000
@@ -128,10 +150,20 @@ class _Expression:
         return False
 
     def whole(self):
+        value = self.choice()
+        self.end()
+        return value
+
+    def choice(self):
         value = self.level(0)
+        if self.take("if"):
+            test = self.level(0)
+            value = Choice(test, value, self.choice() if self.take("else") else Const(None))
+        return value
+
+    def end(self) -> None:
         if self.at != len(self.tokens):
             raise TemplateError(f"not expected: {self.tokens[self.at][1]!r}")
-        return value
 
     def level(self, k: int):
         if k == len(LEVELS):
@@ -141,6 +173,14 @@ class _Expression:
         left = self.level(k + 1)
         while True:
             op = self.peek()
+            if op == "is" and k == 2:
+                self.at += 1
+                negated, (kind, name) = self.take("not"), self.tokens[self.at] if self.at < len(self.tokens) else (None, "")
+                if kind != 2 or name not in (*KINDS, "defined"):
+                    raise TemplateError(f"nothing is {name!r}")
+                self.at += 1
+                left = Unary("not", Is(left, name)) if negated else Is(left, name)
+                continue
             if op == "not" and k == 2 and self.at + 1 < len(self.tokens) and self.tokens[self.at + 1][1] == "in":
                 op = "not in"
                 self.at += 1
@@ -159,7 +199,7 @@ class _Expression:
                 self.at += 1
                 value = Item(value, Const(name))
             elif self.take("["):
-                value = Item(value, self.level(0))
+                value = Item(value, self.choice())
                 if not self.take("]"):
                     raise TemplateError("] is missing")
             elif self.take("|"):
@@ -180,10 +220,12 @@ class _Expression:
             return Const(re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), value[1:-1], flags=re.S))
         if kind == 1:
             return Const(float(value) if "." in value else int(value))
+        if kind == 2 and value in _WORDS:
+            raise TemplateError(f"not expected: {value!r}")
         if kind == 2:
             return Const({"true": True, "false": False, "none": None}[value.lower()]) if value.lower() in ("true", "false", "none") else Name(value)
         if value == "(":
-            inner = self.level(0)
+            inner = self.choice()
             if not self.take(")"):
                 raise TemplateError(") is missing")
             return inner
@@ -196,15 +238,25 @@ def parse(source: str) -> list:
     """The syntax tree of a template: a list of statements."""
     root: list = []
     stack: list[tuple[str, Any, list, list]] = []  # kind, head, body, where it goes
-    body, at = root, 0
+    body, at, trimmed = root, 0, False
+
+    def literal(text: str, cut_after: bool) -> None:
+        text = text.lstrip() if trimmed else text
+        text = text.rstrip() if cut_after else text
+        if opened := _OPENS.search(text):
+            raise TemplateError(f"not closed: {text[opened.start():opened.start() + 20]!r}")
+        if text:
+            body.append(Text(text))
+
     for found in _BLOCK.finditer(source):
-        if found.start() > at:
-            body.append(Text(source[at : found.start()]))
-        at = found.end()
-        if found[1] is not None:
-            body.append(Output(_Expression(found[1]).whole()))
+        literal(source[at : found.start()], bool(found[1] or found[3] or found[6]))
+        at, trimmed = found.end(), bool(found[2] or found[5] or found[8])
+        if found[4] is not None:
+            body.append(Output(_Expression(found[4]).whole()))
+            continue
+        if found[7] is None:
             continue
-        word, _, rest = found[2].strip().partition(" ")
+        word, _, rest = found[7].strip().partition(" ")
         if word == "set":
             name, equals, value = rest.partition("=")
             if not equals or not name.strip().isidentifier():
@@ -218,7 +270,10 @@ def parse(source: str) -> list:
                 name, _, items = rest.partition(" in ")
                 if not name.strip().isidentifier():
                     raise TemplateError(f"not understood: {found[0]!r}")
-                head = name.strip(), _Expression(items).whole()
+                own = _Expression(items)
+                value = own.level(0)
+                head = name.strip(), value, own.choice() if own.take("if") else None
+                own.end()
             stack.append((word, head, [], body))
             body = stack[-1][2]
         elif word in ("elif", "else"):
@@ -239,7 +294,7 @@ def parse(source: str) -> list:
             if kind == "if":
                 out.append(If(head, inner, []))
             elif kind == "for":
-                out.append(For(head[0], head[1], inner))
+                out.append(For(*head, inner))
             elif kind == "generation":
                 out.append(Generation(inner))
             body = root
@@ -249,8 +304,7 @@ def parse(source: str) -> list:
             raise TemplateError(f"not understood: {found[0]!r}")
     if stack:
         raise TemplateError(f"{stack[-1][0]} is not closed")
-    if at < len(source):
-        body.append(Text(source[at:]))
+    literal(source[at:], False)
     return root
 
 
@@ -278,7 +332,7 @@ def _folded(node, filters) -> list:
             return fold(node.yes if test.value else node.no, filters)
         return [If(test, fold(node.yes, filters), fold(node.no, filters))]
     if isinstance(node, For):
-        return [For(node.name, _value(node.items, filters), fold(node.body, filters))]
+        return [For(node.name, _value(node.items, filters), None if node.test is None else _value(node.test, filters), fold(node.body, filters))]
     if isinstance(node, Generation):
         return [Generation(fold(node.body, filters))]
     return [node]
@@ -302,9 +356,47 @@ def _value(e, filters):
         return Const(_applied(filters[e.name], of.value)) if isinstance(of, Const) else Filtered(of, e.name)
     if isinstance(e, Item):
         return Item(_value(e.of, filters), _value(e.key, filters))
+    if isinstance(e, Choice):
+        test = _value(e.test, filters)
+        yes, no = _value(e.yes, filters), _value(e.no, filters)
+        return (yes if test.value else no) if isinstance(test, Const) else Choice(test, yes, no)
+    if isinstance(e, Is):
+        of = _value(e.of, filters)
+        return Const(e.kind == "defined" or KINDS[e.kind](of.value)) if isinstance(of, Const) else Is(of, e.kind)
     return e
 
 
+class _Loop(dict):
+    """What a loop says of itself."""
+
+
+def _defined(e, filters) -> Callable[[dict], bool]:
+    """Whether a name has a value, or a mapping a key, or a list an item."""
+    if isinstance(e, Name):
+        return lambda ctx, n=e.name: n in ctx
+    if isinstance(e, Item):
+        whole, of, key = _defined(e.of, filters), _closure(e.of, filters), _closure(e.key, filters)
+
+        def has(ctx):
+            if not whole(ctx):
+                return False
+            value, k = of(ctx), key(ctx)
+            return k in value if isinstance(value, Mapping) else isinstance(value, list | tuple | str) and isinstance(k, int) and -len(value) <= k < len(value)
+
+        return has
+    return lambda ctx: True
+
+
+def _looked_ahead(items) -> Iterator[tuple[Any, bool]]:
+    """Each item and whether it is the last one; one item is held."""
+    it = iter(items)
+    for held in it:
+        for value in it:
+            yield held, False
+            held = value
+        yield held, True
+
+
 Render = Callable[[dict, bool], Iterator[tuple[str, bool]]]
 
 
@@ -323,6 +415,8 @@ def _closure(e, filters) -> Callable[[dict], Any]:
 
         def item(ctx):
             value, k = of(ctx), key(ctx)
+            if isinstance(value, _Loop) and k not in value:
+                raise TemplateError(f"a loop has no {k!r}")
             if isinstance(value, Mapping):
                 return value.get(k)
             if isinstance(value, list | tuple | str) and isinstance(k, int) and -len(value) <= k < len(value):
@@ -332,6 +426,10 @@ def _closure(e, filters) -> Callable[[dict], Any]:
         return item
     if isinstance(e, Filtered):
         return lambda ctx, f=filters[e.name], of=_closure(e.of, filters): _applied(f, of(ctx))
+    if isinstance(e, Choice):
+        return lambda ctx, t=_closure(e.test, filters), y=_closure(e.yes, filters), n=_closure(e.no, filters): y(ctx) if t(ctx) else n(ctx)
+    if isinstance(e, Is):
+        return _defined(e.of, filters) if e.kind == "defined" else lambda ctx, f=KINDS[e.kind], of=_closure(e.of, filters): f(of(ctx))
     if isinstance(e, Unary):
         a = _closure(e.a, filters)
         return (lambda ctx: not a(ctx)) if e.op == "not" else (lambda ctx: -a(ctx))
@@ -374,9 +472,15 @@ def _statement(node, filters) -> Render:
 
         return choose
     if isinstance(node, For):
+        test = None if node.test is None else _closure(node.test, filters)
+
         def loop(ctx, generated, n=node.name, items=_closure(node.items, filters), body=_statements(node.body, filters)):
-            for k, value in enumerate(items(ctx)):
-                yield from body(ctx | {n: value, "loop": {"index": k + 1, "index0": k, "first": k == 0}}, generated)
+            found = items(ctx)
+            if not hasattr(found, "__iter__"):
+                raise TemplateError(f"{n} has nothing to go through")
+            taken = found if test is None else (v for v in found if test(ctx | {n: v}))
+            for k, (value, last) in enumerate(_looked_ahead(taken)):
+                yield from body(ctx | {n: value, "loop": _Loop(index=k + 1, index0=k, first=k == 0, last=last)}, generated)
 
         return loop
 
