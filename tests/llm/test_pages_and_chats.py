@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from html.parser import HTMLParser
 
@@ -198,6 +199,38 @@ def test_archive_round_trip(spark, tmp_path):
     assert sized == {(r.page_id, r.offset, r.length) for r in warc.leaves(warc.records(p)).collect()}
 
 
+def test_archive_of_gzip_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ_ROWS", 7)
+    p = pages(spark).limit(300).unionByName(pages(spark).filter("page_id is null or page_id = 7"))
+    warc.write_archive(p, f"file://{tmp_path}/z", codec="gzip")
+    back = warc.read_archive(spark, f"file://{tmp_path}/z").collect()
+    want = sorted((r.page_id is None, r.page_id or 0, r.html or "") for r in p.collect())
+    assert sorted((r.page_id is None, r.page_id or 0, r.html) for r in back) == want
+    for file in {r.path for r in back}:
+        raw = open(file.removeprefix("file:"), "rb").read()
+        assert gzip.decompress(raw).count(b"WARC-Record-ID") >= sum(r.path == file for r in back)  # other readers can
+        for r in back:
+            if r.path == file:  # each record is a member of its own
+                assert gzip.decompress(raw[r.offset : r.offset + r.length]).startswith(b"WARC/1.1")
+    big = "WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % 3000 + "x" * 3000 + "\r\n\r\n"
+    data = b"".join(gzip.compress(big.encode()[a : a + 1000]) for a in range(0, len(big), 1000))
+    assert [(o, n, len(b)) for o, n, _, b in warc.parse(data)] == [(0, len(data), 3000)]
+    for broken in (data[:-9], big.encode()[:-3], b"x"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
+def test_files_are_bounded(spark, tmp_path):
+    rows = [(None, f"u{i}", "h") for i in range(3500)] + [(5, "same", f"v{i}") for i in range(2500)] + [(i, "u", "w") for i in range(2000)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = warc.placed(p)
+    most = own.groupBy("file").count().agg(F.max("count")).first()[0]
+    assert most <= 1.2 * warc.FILE_SPAN and own.count() == len(rows)
+    found = warc.audit(warc.leaves(warc.written(own)), warc.leaves(warc.written(warc.rotten(own)))).groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in found} == {"ok": len(rows) - 20, "corrupt": 20}
+    warc.write_archive(p.limit(0), f"file://{tmp_path}/none")
+
+
 def test_audit_finds_what_differs(spark):
     own = warc.records(pages(spark))
     same = warc.audit(warc.leaves(own), warc.leaves(own)).groupBy("status").count().collect()

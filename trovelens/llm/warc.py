@@ -7,6 +7,9 @@ archive's root. Replicas are compared from the top; only children of nodes that
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +19,17 @@ from pyspark.sql.window import Window
 
 from trovelens.llm.columns import needed
 from trovelens.plans.lineage import cut
+from trovelens.plans.skew import skewed_join
 
 FANOUT = 16
-#: Pages of this many consecutive page_ids go to one file.
-FILE_SPAN = 1000
+#: Pages of this many consecutive page_ids go to one file, or to several that hold about as many rows and bytes at most.
+FILE_SPAN, FILE_BYTES = 1000, 256 << 20
+#: The numbers of further files of a span are this far apart.
+FURTHER = 1 << 40
+#: Bytes of a record that one gzip member holds at most; the last byte of such a member is always 0.
+MEMBER_BYTES = (1 << 24) - 1
+#: Records and bytes in one batch of the reader.
+READ_ROWS, READ_BYTES = 500, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -36,53 +46,155 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
+def placed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and file of each page: FILE_SPAN consecutive ids share a file, pages without an id another.
+
+    Where repeated ids, pages without one or very long pages make more than that, a span has further
+    files and its pages are dealt to them by their content, so a file's size does not grow with the
+    table. Rows that are equal in all three columns are always in one file.
+    """
+    own = needed(pages, "page_id", "url", "html").withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE_SPAN).cast("long"), F.lit(-1).cast("long")))
+    sizes = own.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / FILE_SPAN), F.ceil(F.coalesce("bytes", F.lit(0)) / FILE_BYTES))
+    more = cut(sizes.withColumn("parts", parts).filter("parts > 1").select("file", "parts", "n"))
+    if more.isEmpty():
+        return own
+    dealt = skewed_join(own, more.select("file", "parts"), ["file"], "left", sizes=more.select("file", "n"))
+    part = F.coalesce(F.pmod(F.xxhash64("page_id", "url", "html"), F.col("parts")), F.lit(0).cast("long"))
+    return dealt.select("page_id", "url", "html", (F.col("file") + part * FURTHER).alias("file"))
+
+
+def written(placed_: DataFrame) -> DataFrame:
+    """page_id, file and text of the record of each placed page."""
+    return placed_.select("page_id", "file", record(F.col("page_id"), F.col("url"), F.col("html")).alias("text"))
+
+
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, file and text of each page's record. Pages without an id are file -1."""
-    own = needed(pages, "page_id", "url", "html")
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_SPAN).cast("long"), F.lit(-1).cast("long"))
-    return own.select("page_id", file.alias("file"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("text"))
+    """page_id, file and text of each page's record.
+
+    Null html is an empty block, a null url an empty address, a null id is written as none; repeated
+    rows are repeated records; other columns are ignored; an empty table has no records.
+    """
+    return written(placed(pages))
 
 
 def write_archive(pages: DataFrame, path: str, codec: str | None = None) -> None:
-    """Write WARC files below ``path``/file=N, records in the order of their ids; ``codec`` may be gzip."""
-    out = records(pages).repartition("file").sortWithinPartitions("file", "page_id", F.sha2("text", 256))
-    # The writer adds a line end after each row: the record's last one.
-    out.select("file", F.expr(f"substring(text, 1, length(text) - {len(CRLF)})").alias("text")).write.partitionBy("file").option("lineSep", CRLF).options(**({"compression": codec} if codec else {})).text(path)
+    """Write WARC files below ``path``/file=N, records in the order of their ids.
+
+    With ``codec`` gzip each record is a gzip member of its own, as archives have it (several, if it is
+    longer than MEMBER_BYTES). Nulls, repeated rows and other columns are as in ``records``; an empty
+    table writes no file.
+    """
+    out = records(pages)
+    order = [F.col("page_id"), F.sha2("text", 256)]
+    if codec is None:
+        # The writer adds a line end after each row: the record's last one.
+        out = out.repartition("file").sortWithinPartitions("file", *order)
+        out.select("file", F.expr(f"substring(text, 1, length(text) - {len(CRLF)})").alias("text")).write.partitionBy("file").option("lineSep", CRLF).text(path)
+        return
+    if codec != "gzip":
+        raise ValueError(f"no codec {codec}")
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = batch.column(2)[k].as_py().encode("utf-8")
+                data = b"".join(gzip.compress(raw[a : a + MEMBER_BYTES], mtime=0) for a in range(0, len(raw), MEMBER_BYTES))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([data[:-1]], pa.binary())], names=["page_id", "file", "text"])
 
+    # A member ends with its size, whose last byte is 0: that is what the writer adds after each row.
+    members = out.select("page_id", "file", "text").mapInArrow(compress, "page_id long, file long, text binary")
+    members = members.repartition("file").sortWithinPartitions("file", *order)
+    members.select("file", F.col("text").cast("string")).write.partitionBy("file").option("lineSep", "\x00").text(path)
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record; the block is what Content-Length says, whatever it holds."""
-    at = 0
+
+def parse(data: bytes | memoryview) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, block) of each record of an archive, plain or with a gzip member for each record.
+
+    The block is what Content-Length says, whatever it holds. Offsets and lengths are those in ``data``.
+    One record is held at a time.
+    """
+    data, at = memoryview(data), 0
     while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or head < 0:
-            raise ValueError(f"no record at {at}")
-        lines = data[at:head].decode("utf-8").split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        start = head + 4
-        end = start + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} is cut off")
-        yield at, end + 4 - at, headers, data[start:end]
-        at = end + 4
+        if bytes(data[at : at + 2]) == b"\x1f\x8b":
+            raw, start = b"", at
+            while at < len(data) and bytes(data[at : at + 2]) == b"\x1f\x8b":
+                member = zlib.decompressobj(wbits=31)
+                for k in range(at, len(data), 1 << 16):
+                    raw += member.decompress(data[k : k + (1 << 16)])
+                    if member.eof:
+                        at = min(k + (1 << 16), len(data)) - len(member.unused_data)
+                        break
+                else:
+                    raise ValueError(f"the record at {start} is cut off")
+                if _length(raw, start) <= len(raw):
+                    break
+            size = _length(raw, start)
+            if size != len(raw):
+                raise ValueError(f"the record at {start} is cut off")
+            yield start, at - start, *_fields(raw, start)
+        else:
+            size = _length(data[at:], at)
+            if at + size > len(data):
+                raise ValueError(f"the record at {at} is cut off")
+            yield at, size, *_fields(data[at : at + size], at)
+            at += size
+
+
+def _head(raw: bytes | memoryview, at: int) -> tuple[int, dict[str, str]]:
+    """Where the block of a record begins, and its headers."""
+    top = bytes(raw[: 1 << 16])
+    end = top.find(b"\r\n\r\n")
+    if end < 0:
+        top = bytes(raw)
+        end = top.find(b"\r\n\r\n")
+    if not top.startswith(b"WARC/") or end < 0:
+        raise ValueError(f"no record at {at}")
+    lines = top[:end].decode("utf-8").split(CRLF)[1:]
+    return end + 4, {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+
+
+def _length(raw: bytes | memoryview, at: int) -> int:
+    start, headers = _head(raw, at)
+    return start + int(headers["content-length"]) + 4
+
+
+def _fields(raw: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes]:
+    start, headers = _head(raw, at)
+    if bytes(raw[-4:]) != b"\r\n\r\n":
+        raise ValueError(f"the record at {at} is cut off")
+    return headers, bytes(raw[start:-4])
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, html, path, offset, length of the records in uncompressed WARC files below ``path``.
+    """page_id, url, html, path, offset, length of the records in WARC files below ``path``, plain or with gzip members.
 
-    One task reads one file; a file holds FILE_SPAN pages, so it is bounded.
+    One task reads one file, which ``write_archive`` bounds (Spark itself takes files up to 2 GB); its
+    records are read one after the other and leave in batches of READ_ROWS rows and about READ_BYTES. Ids
+    written as none are null, records of other makers have a null id; empty addresses and blocks are empty
+    texts. A broken record is an error that names its place. A folder without files gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [(h["warc-record-id"].removeprefix("<urn:page:").removesuffix(">"), h["warc-target-uri"], b.decode("utf-8"), o, n) for o, n, h, b in parse(content)]
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            ids, urls, html, names, offsets, lengths = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(html, pa.string()), pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
+                names=["page_id", "url", "html", "path", "offset", "length"],
+            )
+
+        for files in batches:
+            for k in range(files.num_rows):
+                name, found, size = files.column(0)[k].as_py(), [], 0
+                for offset, length, headers, block in parse(files.column(1)[k].as_buffer()):
+                    own = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get("warc-record-id", ""))
+                    found.append((int(own[1]) if own else None, headers.get("warc-target-uri", ""), block.decode("utf-8", "replace"), name, offset, length))
+                    size += len(block)
+                    if len(found) >= READ_ROWS or size >= READ_BYTES:
+                        yield batch(found)
+                        found, size = [], 0
                 if found:
-                    ids, urls, html, offsets, lengths = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if i == "none" else int(i) for i in ids], pa.int64()), pa.array(urls), pa.array(html), pa.array([name] * len(ids)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                        names=["page_id", "url", "html", "path", "offset", "length"],
-                    )
+                    yield batch(found)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, "page_id long, url string, html string, path string, offset long, length long")
@@ -91,7 +203,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def leaves(texts: DataFrame) -> DataFrame:
     """file, i, page_id, offset, length, digest: records in their places, from (file, page_id, text).
 
-    The running sum of a file is one task's work; the rows it holds have no texts.
+    The running sum of a file is one task's work; ``placed`` bounds its rows, which have no texts.
     """
     sized = texts.select("file", "page_id", F.octet_length("text").cast("long").alias("length"), F.sha2("text", 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
@@ -186,10 +298,8 @@ def rotten(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, archive a damaged replica under the first one's headers, and audit it."""
-    pages = needed(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
-    own = records(pages)
-    damaged = records(rotten(pages))
-    found = audit(leaves(own), leaves(damaged))
+    own = placed(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = audit(leaves(written(own)), leaves(written(rotten(own))))
     return found.select("page_id", F.col("file").alias("warc_file"), F.col("offset").alias("warc_offset"), F.col("length").alias("warc_length"), F.col("digest").alias("record_sha256"), "status")
 
 
