@@ -1,12 +1,17 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from trovelens.llm import quality_net, toxicity
 from trovelens.llm.sampling import labelled_sample
+from trovelens.plans.lineage import cut
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,7 +35,7 @@ def test_quality_on_held_out_texts(spark):
     docs, labels, held = split(spark, "quality")
     net = quality_net.trained(docs, labels)
     right = [(quality_net.score(net, (t or "").encode()) >= 0.5) == (y == 1) for t, y in held]
-    assert np.mean(right) >= 0.93
+    assert np.mean(right) >= 0.97
 
 
 def test_toxicity_on_held_out_texts(spark):
@@ -41,7 +46,7 @@ def test_toxicity_on_held_out_texts(spark):
     found = [scorer.above(t or "")[0] >= model.toxic_from for t, _ in held]
     clean = [f for f, (_, y) in zip(found, held, strict=True) if y == 0]
     toxic = [f for f, (_, y) in zip(found, held, strict=True) if y == 1]
-    assert np.mean(clean) <= 0.05 and np.mean(toxic) >= 0.6
+    assert np.mean(clean) <= 0.02 and np.mean(toxic) >= 0.8
 
 
 @pytest.mark.parametrize("module", [quality_net, toxicity])
@@ -85,6 +90,74 @@ def test_pipeline_is_its_stages(spark, sf):
     assert final == {r.doc_id for r in docs.collect()}
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_on_odd_rows_and_none(spark, odd_documents, no_documents, tmp_path, labelled):
+    sample = [(100 + i, i % 2, int(i % 3 == 0)) for i in range(60)] if labelled else []
+    spark.createDataFrame(sample, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(100 + i, ("%%% ### " if i % 2 == 0 else "fine words here, ") * 40 + ("vexfoul " * 5 if i % 3 == 0 else "kindly ") + f"number {i}") for i in range(60)]
+    extra = odd_documents.columns[2:]
+    added = spark.createDataFrame(more, "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(dict(odd_documents.dtypes)[c]).alias(c) for c in extra])
+    for start in (odd_documents.unionByName(added), no_documents):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = cut(stage(spark, docs, str(tmp_path)))
+            assert out.columns == start.columns, name
+            assert out.exceptAll(docs).count() == 0, name
+            docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+        start.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+    assert len(packed) == 0
+
+
+def slow_features(net, text):
+    """The network by its definition: each filter at each place of each chunk, one after the other."""
+    stride, strides = quality_net.STRIDE, max(2, -(-len(text) // quality_net.STRIDE))
+    data = text + bytes(strides * stride - len(text) + quality_net.WIDTH)
+    found = []
+    for c in range(strides - 1):
+        best = [max(sum(float(net.table[w, data[c * stride + i + w], f]) for w in range(quality_net.WIDTH)) for i in range(2 * stride)) for f in range(quality_net.FILTERS)]
+        pooled = [max(0.0, b + float(net.bias[f])) for f, b in enumerate(best)]
+        verdict = math.tanh((sum(p * float(o) for p, o in zip(pooled, net.out, strict=True)) + net.out_bias) / 2)
+        found.append([*pooled, verdict])
+    columns = list(zip(*found, strict=True))
+    return [sum(c) / len(c) for c in columns] + [max(c) for c in columns] + [min(columns[-1]), math.log1p(len(text))]
+
+
+def test_network_by_its_definition():
+    net = quality_net.fit([("fine words here. " * 9, 1)] * 15 + [("%%% ### $$$ " * 9, 0)] * 15)
+    for text in (b"", b"short", "é日本 words ".encode() * 40, bytes(range(256)) * 3, b"x" * 640):
+        assert np.allclose(quality_net.features(net, text), slow_features(net, text), atol=1e-4)
+
+
+def test_ordinal_model_by_its_definition():
+    """P(grade <= k) = sigmoid(theta_k - w . x) word by word, and no small change of the fit is more likely."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["vex", "grim", "foul"] if y and r.random() < 0.5 else ["kind", "calm", "day", "tree"]) for _ in range(30)) for y in [0, 1] * 60]
+    sample = [(t, k % 2) for k, t in enumerate(texts)]
+    model = toxicity.fit(sample)
+    scorer = toxicity.Scorer(model)
+    for text in [*texts[:10], "", "VEX vexing day"]:
+        z = 0.0
+        for f, k in model.index.items():
+            n = sum((f[1:] == w if f[0] == "=" else w.startswith(f[1:])) for w in re.findall(r"[^\W\d_]+", text.lower()))
+            z += model.weights[k] * math.log1p(n)
+        want = [1 - 1 / (1 + math.exp(-(theta - z))) for theta in model.thresholds]
+        assert np.allclose(scorer.above(text), want, atol=1e-9)
+        assert toxicity.graded(scorer.above(text)[None], model.toxic_from)[0] == (0 if want[0] < model.toxic_from else 1 + int(np.argmax(-np.diff([*want, 0]))))
+
+
+def test_threshold_costs_least():
+    p, y = np.array([0.02, 0.1, 0.2, 0.3, 0.6, 0.9]), np.array([0, 0, 0, 1, 1, 1])
+    assert 0.2 < toxicity.cheapest(p, y) <= 0.3
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        p, y = r.random(40), r.integers(0, 2, 40)
+        cost = lambda c: toxicity.FLAGGED * ((p >= c) & (y == 0)).sum() + ((p < c) & (y == 1)).sum()  # noqa: B023, E731
+        assert cost(toxicity.cheapest(p, y)) == min(cost(c) for c in [*p[(p > toxicity.LEAST_FROM) & (p < toxicity.MOST_FROM)], toxicity.LEAST_FROM, toxicity.MOST_FROM])
+
+
 def late(spark, label):
     """Texts of three times the former 8,000 characters, told apart by their last words only, and their labels."""
     rows = [(i, "plain words of no matter. " * 1000 + ("vexfoul grimspit " * 60 if i % 2 else "gentle kindly " * 60), i % 2) for i in range(120)]
