@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import is_opaque_name, match_words
-from trovelens.operators.keyword import LIST_LIMIT, fetch_rows, first_per_file, keyword_list, searchable
+from trovelens.operators.keyword import LIST_LIMIT, KeywordIndex, fetch_rows, first_per_file, keyword_list, searchable
 from trovelens.operators.vector import IMAGE_FLOOR, knn
 
 RRF_K = 60
 WEIGHTS = {"keyword": 1.0, "text": 1.0, "image": 1.1}
 IMAGE_FETCH = 50
 FOLD_BELOW = 0.80
+#: Which lists a mode reads.
+MODES = {"hybrid": ("keyword", "text", "image"), "keyword": ("keyword",), "vector": ("text",), "visual": ("image",)}
+
+
+class Store(NamedTuple):
+    """What a search reads: the keyword index, chunks, files, roots, and vectors (chunk_id, file_id, embedding), either of which may be absent."""
+
+    keyword: KeywordIndex
+    chunks: DataFrame
+    files: DataFrame
+    roots: DataFrame
+    text_vectors: DataFrame | None = None
+    image_vectors: DataFrame | None = None
+
+
+def of_searchable(near: DataFrame, store: Store) -> DataFrame:
+    """Rows whose file is in a searchable root."""
+    kept = near.join(store.files.select("file_id", "root"), "file_id").join(searchable(store.roots), "root", "left_semi")
+    return kept.drop("root")
+
+
+def speaking(near: DataFrame, store: Store) -> DataFrame:
+    """Rows (chunk_id, file_id, ..) without the name chunks of names that have no word in them."""
+    known = near.join(store.chunks.select("chunk_id", "source"), "chunk_id").join(store.files.select("file_id", "file_name"), "file_id")
+    return known.filter((F.col("source") != "filename") | ~is_opaque_name(F.col("file_name"))).drop("source", "file_name")
 
 
-def text_list(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, files: DataFrame, roots: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """query_id, file_id, similarity, rank. k rows are taken first, then filtered by root and opaque names, so fewer may be left."""
-    near = knn(vectors, queries, fetch_rows(limit))
-    kept = near.join(files.select("file_id", "file_name", "root"), "file_id").join(searchable(roots), "root", "left_semi")
-    kept = kept.join(chunks.select("chunk_id", "source"), "chunk_id", "left")
-    kept = kept.filter(~(F.coalesce("source", F.lit("body")).eqNullSafe("filename") & is_opaque_name(F.col("file_name"))))
-    return first_per_file(kept.select("query_id", "chunk_id", "file_id", "similarity"), [F.desc("similarity"), "chunk_id"], fetch_rows(limit), limit)
+def text_list(store: Store, queries: DataFrame, limit: int = LIST_LIMIT, fetch: int | None = None) -> DataFrame:
+    """query_id, file_id, chunk_id, similarity, rank. k rows are taken first, then filtered by root and opaque names, so fewer may be left."""
+    fetch = fetch_rows(limit) if fetch is None else fetch
+    kept = speaking(of_searchable(knn(store.text_vectors, queries, fetch).drop("row"), store), store)
+    return first_per_file(kept.select("query_id", "chunk_id", "file_id", "similarity"), [F.desc("similarity"), "chunk_id"], fetch, limit)
 
 
-def image_list(vectors: DataFrame, queries: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
-    """query_id, file_id, similarity, rank: the nearest IMAGE_FETCH files, then searchable roots and the floor."""
-    near = knn(vectors, queries, IMAGE_FETCH).filter(F.col("similarity") >= IMAGE_FLOOR)
-    kept = near.join(files.select("file_id", "root"), "file_id").join(searchable(roots), "root", "left_semi").drop("root")
-    return first_per_file(kept, [F.desc("similarity"), "chunk_id"], IMAGE_FETCH, IMAGE_FETCH)
+def image_list(store: Store, queries: DataFrame, limit: int = IMAGE_FETCH, floor: float = IMAGE_FLOOR) -> DataFrame:
+    """query_id, file_id, similarity, rank: the nearest ``limit`` files, then searchable roots and the floor."""
+    near = knn(store.image_vectors, queries, limit).drop("row").filter(F.col("similarity") >= floor)
+    return first_per_file(of_searchable(near, store), [F.desc("similarity"), "chunk_id"], limit, limit)
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """The queries that are not blank: blank ones have no answer and nothing is read for them."""
+    return queries.filter(F.col("query").rlike(r"\S"))
+
+
+def lists(store: Store, queries: DataFrame, mode: str = "hybrid", depth: int | None = None) -> dict[str, DataFrame]:
+    """The ranked lists that a mode reads, by name; a list whose vectors are absent is left out. ``depth`` reads further down each."""
+    out = {}
+    for name in MODES[mode]:
+        if name == "keyword":
+            out[name] = keyword_list(store.keyword, queries, store.files, store.roots, depth or LIST_LIMIT)
+        elif name == "text" and store.text_vectors is not None:
+            out[name] = text_list(store, queries, depth or LIST_LIMIT)
+        elif name == "image" and store.image_vectors is not None:
+            out[name] = image_list(store, queries, depth or IMAGE_FETCH)
+    return out
 
 
 def fuse(lists: dict[str, DataFrame]) -> DataFrame:
-    """query_id, file_id, rrf and each list's similarity: the sum of weight / (RRF_K + rank), absent lists 0."""
+    """query_id, file_id, rrf, each list's similarity and whether it has the file, and the best chunk of the first list that has one.
+
+    rrf is the sum of weight / (RRF_K + rank), absent lists 0.
+    """
     parts = []
     for name, df in lists.items():
         sim = F.col("similarity") if "similarity" in df.columns else F.lit(None).cast("double")
-        parts.append(df.select("query_id", "file_id", F.lit(name).alias("list"), "rank", sim.alias("similarity")))
+        chunk = F.col("chunk_id") if "chunk_id" in df.columns and name != "image" else F.lit(None).cast("long")
+        parts.append(df.select("query_id", "file_id", F.lit(name).alias("list"), "rank", sim.alias("similarity"), chunk.alias("chunk_id")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -45,7 +91,8 @@ def fuse(lists: dict[str, DataFrame]) -> DataFrame:
         weight = F.when(F.col("list") == name, F.lit(w)).otherwise(weight)
     of = {n: F.max(F.when(F.col("list") == n, F.col("similarity"))).alias(f"{n}_similarity") for n in ("text", "image")}
     flags = [F.max(F.col("list") == n).alias(f"in_{n}") for n in WEIGHTS]
-    return every.groupBy("query_id", "file_id").agg(F.sum(weight / (RRF_K + F.col("rank"))).alias("rrf"), *of.values(), *flags)
+    best = F.coalesce(*[F.max(F.when(F.col("list") == n, F.col("chunk_id"))) for n in ("keyword", "text")])
+    return every.groupBy("query_id", "file_id").agg(F.sum(weight / (RRF_K + F.col("rank"))).alias("rrf"), *of.values(), *flags, best.alias("chunk_id"))
 
 
 def filename_boost(query: Column, name: Column) -> Column:
@@ -70,9 +117,10 @@ def boosted(fused: DataFrame, queries: DataFrame, files: DataFrame, now_s: int)
 
 
 def match_sources() -> Column:
-    """The lists a hit is in, in their fixed order."""
-    named = [("keyword", "in_keyword"), ("semantic", "in_text"), ("visual", "in_image")]
-    return F.filter(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in named]), lambda x: x.isNotNull())
+    """The lists a hit is in, in their fixed order, then what its best chunk is: ocr, qr, or the name if the keyword list has it."""
+    named = [("keyword", F.col("in_keyword")), ("semantic", F.col("in_text")), ("visual", F.col("in_image"))]
+    named += [("ocr", F.col("source") == "ocr"), ("qr", F.col("source") == "qr"), ("filename", (F.col("source") == "filename") & F.col("in_keyword"))]
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in named]), lambda x: x.isNotNull())
 
 
 def collapse_copies(ranked: DataFrame, limit: int) -> DataFrame:
@@ -97,13 +145,22 @@ def strong_first(hits: DataFrame) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(order).cast("long"))
 
 
-def hybrid_search(queries: DataFrame, index: DataFrame, sizes: DataFrame, chunks: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, files: DataFrame, roots: DataFrame, now_s: int, limit: int = 10) -> DataFrame:
-    """The answer of each query: three lists, fused, boosted, copies folded, strong before weak."""
-    files = files.select("file_id", "root", "file_name", "path", "mtime_ns", "content_hash")
-    lists = {
-        "keyword": keyword_list(index, sizes, queries, files, roots).select("query_id", "file_id", "rank"),
-        "text": text_list(text_vectors, queries, chunks, files, roots).select("query_id", "file_id", "rank", "similarity"),
-        "image": image_list(image_vectors, queries, files, roots).select("query_id", "file_id", "rank", "similarity"),
-    }
-    hits = collapse_copies(boosted(fuse(lists), queries, files, now_s), limit)
-    return strong_first(hits.withColumn("match_sources", match_sources()).withColumn("strength", strength()))
+def detailed(hits: DataFrame, store: Store) -> DataFrame:
+    """Hits with source, page and text of their best chunk, and match_sources."""
+    own = store.chunks.select("chunk_id", "source", "page", F.col("text").alias("chunk_text"))
+    return hits.join(own, "chunk_id", "left").withColumn("match_sources", match_sources())
+
+
+def search(queries: DataFrame, store: Store, now_s: int, limit: int = 10, mode: str = "hybrid") -> DataFrame:
+    """The answer of each query: the mode's lists, fused, boosted, copies folded, strong before weak.
+
+    A mode with one list has the same boosts and so is comparable. Lists whose vectors are absent are left
+    out; blank queries, a limit under 1 and a mode none of whose lists is there have no hits.
+    """
+    found = lists(store, asked(queries), mode)
+    if limit < 1 or not found:
+        queries, limit = queries.limit(0), max(limit, 1)
+        found = {"keyword": keyword_list(store.keyword, queries, store.files, store.roots)}
+    files = store.files.select("file_id", "root", "file_name", "path", "mtime_ns", "content_hash")
+    hits = collapse_copies(boosted(fuse(found), queries, files, now_s), limit)
+    return strong_first(detailed(hits, store).withColumn("strength", strength()))

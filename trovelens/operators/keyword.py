@@ -1,57 +1,115 @@
-"""Keyword retrieval: postings, AND of terms in one chunk with a last-word prefix, BM25, first hit of each file."""
+"""Keyword retrieval: a stored index, AND of phrases in one chunk with a last-word prefix, BM25, first hit of each file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LIST_LIMIT, FETCH_FACTOR, FETCH_LEAST = 100, 5, 50
+#: Terms that a lookup names to the scan one by one at most, and ranges of terms that it names otherwise.
+NAMED_TERMS, NAMED_RANGES = 20_000, 64
+
+
+class KeywordIndex(NamedTuple):
+    """postings: term, chunk_id, file_id, tf, n_tokens, positions, stored in the order of terms; vocabulary: term, n_chunks;
+    chunks and average: the number of chunks and their average length."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    chunks: int
+    average: float
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, file_id, tf, positions. Built once and stored; queries never tokenise texts."""
-    t = chunks.select("chunk_id", "file_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return t.groupBy("term", "chunk_id", "file_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, chunk_id, file_id, tf, n_tokens, positions. Built once and stored; queries never tokenise texts."""
+    t = chunks.select("chunk_id", "file_id", tokens(F.col("text")).alias("t"))
+    t = t.select("chunk_id", "file_id", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "term"))
+    return t.groupBy("term", "chunk_id", "file_id", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "file_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
-def terms_of(queries: DataFrame) -> DataFrame:
-    """query_id, pos, term, prefix: the tokens of each query; the last one is a prefix."""
-    q = queries.select("query_id", tokens(F.col("query")).alias("t"))
-    return q.select("query_id", F.size("t").alias("n_terms"), F.posexplode("t").alias("pos", "term")).withColumn("prefix", F.col("pos") == F.col("n_terms") - 1)
+def memory_index(chunks: DataFrame) -> KeywordIndex:
+    """An index that is not stored, for small sets of chunks."""
+    p = postings(chunks)
+    stats = lengths(chunks).agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
+    return KeywordIndex(p, p.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks")), stats[0], stats[1] or 0.0)
 
 
-def occurrences(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, n_terms, pos, chunk_id, file_id, tf: where each query word occurs.
+def terms_of(queries: DataFrame) -> DataFrame:
+    """query_id, n_words, word, n_places, place, term, prefix: white-space words as phrases of tokens.
 
-    Prefixes are expanded against the vocabulary first, so postings are only ever joined by term. The
-    query batch is the caller's and is small beside the index; the planner broadcasts it if it is.
+    Words without a letter or digit are left out. The last token of a query's last word is a prefix.
     """
-    q = terms_of(queries)
-    exact = q.filter(~F.col("prefix")).select("query_id", "n_terms", "pos", "term")
-    wanted = q.filter("prefix").select("query_id", "n_terms", "pos", F.col("term").alias("p"), F.substring("term", 1, 1).alias("initial"))
-    vocabulary = index.select("term").distinct().withColumn("initial", F.substring("term", 1, 1))
-    expanded = vocabulary.join(wanted, "initial").filter(F.col("term").startswith(F.col("p"))).select("query_id", "n_terms", "pos", "term")
-    hits = index.select("term", "chunk_id", "file_id", "tf").join(exact.unionByName(expanded), "term")
-    return hits.groupBy("query_id", "n_terms", "pos", "chunk_id", "file_id").agg(F.sum("tf").alias("tf"))
+    words = F.filter(F.split("query", r"\s+"), lambda w: w != "")
+    parsed = F.transform(words, lambda w, i: F.struct(tokens(w).alias("t"), (i == F.size(words) - 1).alias("last")))
+    q = queries.select("query_id", F.filter(parsed, lambda p: F.size(p["t"]) > 0).alias("p"))
+    q = q.select("query_id", F.size("p").alias("n_words"), F.posexplode("p").alias("word", "p"))
+    q = q.select("query_id", "n_words", "word", F.size("p.t").alias("n_places"), "p.last", F.posexplode("p.t").alias("place", "term"))
+    return q.withColumn("prefix", F.col("last") & (F.col("place") == F.col("n_places") - 1)).drop("last")
 
 
-def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
+def expanded(index: KeywordIndex, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (term, prefix, ..) with each prefix replaced by the terms of the vocabulary that begin with it.
+
+    Joined by equality on beginnings of the lengths that the batch has, so the vocabulary is read once
+    and never compared with every prefix.
+    """
+    sizes = sorted(r[0] for r in wanted.filter("prefix").select(F.length("term")).distinct().collect())  # a batch's lengths: few
+    exact = wanted.filter(~F.col("prefix"))
+    if not sizes:
+        return exact
+    heads = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("head")) for n in sizes])
+    words = index.vocabulary.select("term", F.explode(heads).alias("h")).filter(F.length("h.head") == F.col("h.n")).select(F.col("term").alias("found"), F.col("h.head").alias("term"))
+    grown = words.join(wanted.filter("prefix"), "term").withColumn("term", F.col("found"))
+    return exact.unionByName(grown.select(*exact.columns))
+
+
+def looked_up(index: KeywordIndex, terms: DataFrame) -> DataFrame:
+    """The postings of ``terms`` (term, ..) joined with them; the scan is told which terms it is after."""
+    named = [r[0] for r in terms.select("term").distinct().orderBy("term").limit(NAMED_TERMS + 1).collect()]
+    rows = index.postings
+    if not named:
+        rows = rows.limit(0)
+    elif len(named) <= NAMED_TERMS:
+        step = -(-len(named) // NAMED_RANGES)
+        some: Column = F.lit(False)
+        for k in range(0, len(named), step):  # stored in the order of terms: ranges skip files, row groups and pages
+            some = some | F.col("term").between(named[k], named[min(k + step, len(named)) - 1])
+        rows = rows.filter(some)
+    return rows.join(terms, "term")
+
+
+def occurrences(index: KeywordIndex, queries: DataFrame) -> DataFrame:
+    """query_id, n_words, word, chunk_id, file_id, n_tokens, tf: where each word of a query occurs, as a phrase if it has several tokens."""
+    wanted = expanded(index, terms_of(queries))
+    by = ["query_id", "n_words", "word", "chunk_id", "file_id", "n_tokens"]
+    found = looked_up(index, wanted)
+    single = found.filter("n_places = 1").groupBy(*by).agg(F.sum("tf").alias("tf"))
+    if wanted.filter("n_places > 1").isEmpty():
+        return single
+    starts = F.transform("positions", lambda p: p - F.col("place"))
+    placed = found.filter("n_places > 1").select(*by, "n_places", "place", F.explode(starts).alias("start")).distinct()
+    whole = placed.groupBy(*by, "n_places", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_places")
+    return single.unionByName(whole.groupBy(*by).agg(F.count(F.lit(1)).alias("tf")))
+
+
+def bm25(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, file_id, score of the chunks that hold every word; statistics are of the whole index."""
     occ = occurrences(index, queries)
-    df = occ.groupBy("query_id", "pos").agg(F.count(F.lit(1)).alias("df"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("average"))
-    rows = occ.join(df, ["query_id", "pos"]).join(sizes, ["chunk_id", "file_id"]).crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    scored = rows.groupBy("query_id", "n_terms", "chunk_id", "file_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("k"))
-    return scored.filter("k = n_terms").select("query_id", "chunk_id", "file_id", F.round("score", 9).alias("score"))
+    df = F.count(F.lit(1)).over(Window.partitionBy("query_id", "word"))
+    idf = F.greatest(F.log((F.lit(index.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(index.average)))
+    rows = occ.withColumn("df", df).withColumn("part", part)
+    scored = rows.groupBy("query_id", "n_words", "chunk_id", "file_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("k"))
+    return scored.filter("k = n_words").select("query_id", "chunk_id", "file_id", F.round("score", 9).alias("score"))
 
 
 def first_per_file(hits: DataFrame, order: list, fetch: int, limit: int) -> DataFrame:
@@ -71,24 +129,21 @@ def searchable(roots: DataFrame) -> DataFrame:
     return roots.filter(F.col("enabled") & (F.col("status") != "missing")).select("root")
 
 
-def keyword_list(index: DataFrame, sizes: DataFrame, queries: DataFrame, files: DataFrame, roots: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def keyword_list(index: KeywordIndex, queries: DataFrame, files: DataFrame, roots: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """query_id, file_id, chunk_id, score, rank. Only searchable roots, before the limit; ties by chunk."""
-    hits = bm25(index, sizes, queries).join(files.select("file_id", "root"), "file_id").join(searchable(roots), "root", "left_semi")
+    usable = files.select("file_id", "root").join(searchable(roots), "root", "left_semi")
+    hits = bm25(index, queries).join(usable, "file_id")
     return first_per_file(hits.drop("root"), [F.desc("score"), "chunk_id"], fetch_rows(limit), limit)
 
 
-def phrase_chunks(index: DataFrame, first: str, second: str) -> DataFrame:
-    """chunk_id, n: chunks where the two words stand next to each other, and how often."""
-    a = index.filter(F.col("term") == first).select("chunk_id", "file_id", F.col("positions").alias("p"))
-    b = index.filter(F.col("term") == second).select("chunk_id", "file_id", F.col("positions").alias("q"))
-    n = F.size(F.filter("p", lambda x: F.array_contains(F.col("q"), x + 1)))
-    return a.join(b, ["chunk_id", "file_id"]).select("chunk_id", n.cast("long").alias("n")).filter("n > 0")
+def phrase_chunks(index: KeywordIndex, phrase: str) -> DataFrame:
+    """chunk_id, n: chunks where the words of a phrase stand in a row, and how often."""
+    q = index.postings.sparkSession.createDataFrame([(0, "-".join(phrase.split()) + " .")], "query_id int, query string")  # not last: no prefix
+    return occurrences(index, q).select("chunk_id", F.col("tf").alias("n"))
 
 
-def coverage(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, file_id, coverage from terms (query_id, term, prefix, n_terms): the share of words that a file has in any chunk."""
-    wanted = terms.select("query_id", "n_terms", F.col("pos"), F.col("term").alias("w"), "prefix", F.substring("term", 1, 1).alias("initial"))
-    words = index.select("term").distinct().withColumn("initial", F.substring("term", 1, 1))
-    found = words.join(wanted, "initial").filter((F.col("term") == F.col("w")) | F.col("prefix") & F.col("term").startswith(F.col("w")))
-    has = index.select("term", "file_id").join(found.select("query_id", "n_terms", "pos", "term"), "term").select("query_id", "n_terms", "pos", "file_id").distinct()
-    return has.groupBy("query_id", "file_id").agg(F.sum(1 / F.col("n_terms")).alias("coverage"))
+def coverage(index: KeywordIndex, terms: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """query_id, file_id, coverage from terms (query_id, n_terms, pos, term, prefix): the share of words that a searchable file has in any chunk."""
+    found = looked_up(index, expanded(index, terms)).select("query_id", "n_terms", "pos", "file_id").distinct()
+    usable = files.select("file_id", "root").join(searchable(roots), "root", "left_semi").select("file_id")
+    return found.join(usable, "file_id").groupBy("query_id", "file_id").agg(F.sum(1 / F.col("n_terms")).alias("coverage"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from copy import deepcopy
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelens.functions.text import fold
 from trovelens.operators.extract import glob_pattern
 
 OPEN, CLOSE, ELLIPSIS = "", "", "..."
@@ -16,17 +18,80 @@ SETTINGS = {"indexing", "models", "ui"}
 LIMIT_MOST = 500
 
 
-def snippet(text: Column, terms: Column, window: int = WINDOW) -> Column:
-    """The window of words with most query terms (the first of these), terms marked, with an ellipsis where text was left out."""
-    words = F.split(F.regexp_replace(text, r"\s+", " "), " ")
-    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(fold(w)), r"[^\p{L}\p{N}]+", ""))
-    hit = F.transform(plain, lambda w: F.exists(terms, lambda t: (w == t) | ((t == F.element_at(terms, -1)) & w.startswith(t) & (t != ""))).cast("int"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0)))
-    scored = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(hit, i + 1, window), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("i")))
-    best = -F.array_max(scored)["i"]
-    marked = F.zip_with(words, hit, lambda w, h: F.when(h == 1, F.concat(F.lit(OPEN), w, F.lit(CLOSE))).otherwise(w))
-    cut = F.array_join(F.slice(marked, best + 1, window), " ")
-    return F.concat(F.when(best > 0, ELLIPSIS).otherwise(""), cut, F.when(best + window < F.size(words), ELLIPSIS).otherwise(""))
+_TOKEN = re.compile(r"(?:[^\W_]|[\u0300-\u036f])+")
+_SENTENCE = re.compile(r"[.:]\s+$")
+
+
+def _plain(token: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)).lower()
+
+
+def phrases_of(query: str) -> list[tuple[list[str], bool]]:
+    """The words of a query as phrases of plain tokens, and whether a phrase's last token is a beginning."""
+    words = query.split()
+    found = [([_plain(t) for t in _TOKEN.findall(w)], k == len(words) - 1) for k, w in enumerate(words)]
+    return [(tokens, last) for tokens, last in found if tokens]
+
+
+def marked_snippet(text: str, query: str, window: int = WINDOW) -> str:
+    """The ``window`` tokens of a text that say most of a query, phrases between OPEN and CLOSE, ellipses where text is left out.
+
+    A window that begins where a phrase occurs counts 1000 for each phrase in it and 1 for each further
+    occurrence, and is moved so that what it found stands in its middle; one that begins with the sentence
+    of the occurrence instead counts 100 more, 120 at the text's beginning. The first of the best is taken.
+    """
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    plain = [_plain(text[a:b]) for a, b in spans]
+    n, found = len(plain), []
+    for p, (tokens, last) in enumerate(phrases_of(query)):
+        for at in range(n - len(tokens) + 1):
+            if all(plain[at + k] == t or (last and k == len(tokens) - 1 and plain[at + k].startswith(t)) for k, t in enumerate(tokens)):
+                found.append((at, p, len(tokens)))
+    found.sort()
+    starts = [k for k in range(n) if k == 0 or _SENTENCE.search(text[spans[k - 1][1] : spans[k][0]])]
+
+    def scored(begin: int) -> tuple[int, int]:
+        inside = [(at, p, size) for at, p, size in found if begin <= at < begin + window]
+        seen: set[int] = set()
+        score = 0
+        for _, p, _ in inside:
+            score += 1 if p in seen else 1000
+            seen.add(p)
+        middle = inside[0][0] - (window - (inside[-1][0] + inside[-1][2] - inside[0][0])) // 2 if inside else begin
+        return score, max(0, min(middle, n - window))
+
+    best, begin = 0, 0
+    for at, _, _ in found:
+        score, middle = scored(at)
+        if score > best:
+            best, begin = score, middle
+        sentence = max((k for k in starts if k <= at), default=0)
+        if sentence < at:
+            score = scored(sentence)[0] + (120 if sentence == 0 else 100)
+            if score > best:
+                best, begin = score, sentence
+    end = min(begin + window, n)
+    marks: dict[int, int] = {}  # first token of a mark -> token after its last one
+    for at, _, size in found:
+        if begin <= at and at + size <= end:
+            open_ = next((k for k, stop in marks.items() if at < stop), at)
+            marks[open_] = max(marks.get(open_, 0), at + size)
+    out, place = [], spans[begin][0] if begin else 0
+    for k in sorted(marks):
+        a, b = spans[k][0], spans[marks[k] - 1][1]
+        out += [text[place:a], OPEN, text[a:b], CLOSE]
+        place = b
+    out.append(text[place : spans[end - 1][1] if end < n else len(text)])
+    return (ELLIPSIS if begin else "") + "".join(out) + (ELLIPSIS if end < n else "")
+
+
+def snippet(text: Column, query: Column) -> Column:
+    """``marked_snippet`` of the rows of an answer: a few for each query."""
+
+    def run(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else marked_snippet(t, q or "") for t, q in zip(texts, queries, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(text, query)
 
 
 def highlights(marked: Column) -> Column:
@@ -48,6 +113,29 @@ def one_line(text: Column) -> Column:
     return F.translate(text, "\n\r", "  ")
 
 
+def hidden_reason(sources: Column) -> Column:
+    """Why a row matched when it does not show it: the most specific of ocr, qr, visual and semantic that it has, or null."""
+    shown = shown_sources(sources)
+    reason = F.lit(None).cast("string")
+    for name in ("semantic", "visual", "qr", "ocr"):
+        reason = F.when(F.array_contains(shown, name), name).otherwise(reason)
+    return reason
+
+
+def rows(answer: DataFrame, queries: DataFrame) -> DataFrame:
+    """The answer of a search as its rows are shown: snippet and highlights, mtime_ms, shown_sources, hidden_reason.
+
+    A keyword hit shows the marked window of its chunk, another one the chunk's first 200 characters, an
+    image its name. Line breaks are spaces; the byte ranges of what is marked are the highlights.
+    """
+    asked = answer.drop("query").join(queries.select("query_id", "query"), "query_id")
+    plain = F.coalesce(F.substring("chunk_text", 1, 200), F.col("file_name"))
+    asked = asked.withColumn("marked", snippet(F.when(F.col("in_keyword"), F.col("chunk_text")), F.col("query")))
+    out = asked.withColumn("h", highlights(F.coalesce("marked", plain))).withColumn("snippet", one_line(F.col("h.text"))).withColumn("highlights", F.col("h.highlights"))
+    out = out.withColumn("mtime_ms", F.floor(F.col("mtime_ns") / 1_000_000).cast("long"))
+    return out.withColumn("shown_sources", shown_sources(F.col("match_sources"))).withColumn("hidden_reason", hidden_reason(F.col("match_sources"))).drop("h", "marked", "chunk_text")
+
+
 def limit_of(asked: int | None, configured: int) -> int:
     return min(max(asked if asked is not None else configured, 1), LIMIT_MOST)
 

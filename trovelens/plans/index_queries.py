@@ -325,13 +325,3 @@ def folder_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = t.files(spark, sf_dir).filter("state = 'skipped'").select("file_id")
     return index(spark, sf_dir).chunks.join(gone, "file_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("eval_repointed", f"""WITH {_F}, b AS (SELECT item_id AS query_id, file_id FROM benchmark JOIN files ON contains(files.text, benchmark.text) WHERE item_id < 40)
-SELECT query_id, count(DISTINCT c.file_id) AS n_expected, min(c.file_id) AS first_id FROM b JOIN files f USING (file_id) JOIN files c ON c.content_hash = f.content_hash GROUP BY 1""")
-def eval_repointed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = t.files(spark, sf_dir)
-    q = t.read(spark, sf_dir, "benchmark").filter("item_id < 40").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    expected = f.select("text", "content_hash").join(F.broadcast(q), F.col("text").contains(F.col("passage"))).select("query_id", "content_hash").distinct()
-    copies = f.select(F.col("file_id"), "content_hash")
-    return expected.join(copies, "content_hash").groupBy("query_id").agg(F.countDistinct("file_id").alias("n_expected"), F.min("file_id").alias("first_id"))

@@ -1,34 +1,44 @@
-"""Search structures built once for each session and input: postings, sizes and chunks as stored tables."""
+"""Search structures built once for each session and state of the input: the keyword index, chunks, vectors and files as stored tables."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trovelens.operators import keyword
+from trovelens.operators.fusion import Store
 from trovelens.plans.lineage import cut
 from trovelens.sources import tables
 
+_built: dict[tuple, Store] = {}
+
+#: Tokens of about this many chunks go to one file of postings.
+CHUNKS_A_FILE = 50_000
+
 
-class Index(NamedTuple):
-    postings: DataFrame
-    sizes: DataFrame
-    chunks: DataFrame
-    files: DataFrame
-    roots: DataFrame
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what changes when it does."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(root)))
 
 
-_built: dict[tuple[str, str], Index] = {}
+def keyword_index(chunks: DataFrame) -> keyword.KeywordIndex:
+    """The keyword index of stored chunks: postings in the order of terms, so that a lookup reads few row groups."""
+    stats = keyword.lengths(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("average")).first()
+    parts = max(1, -(-stats["n"] // CHUNKS_A_FILE))
+    postings = cut(keyword.postings(chunks).repartitionByRange(parts, "term").sortWithinPartitions("term"))
+    vocabulary = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks")).coalesce(parts))
+    return keyword.KeywordIndex(postings, vocabulary, stats["n"], stats["average"] or 0.0)
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The stored tables for an input; built at the first call of an application."""
-    key = spark.sparkContext.applicationId, sf_dir
+def index(spark: SparkSession, sf_dir: str) -> Store:
+    """The stored tables for an input; built at the first call, and again when the input has changed."""
+    key = spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings"))
     if key not in _built:
         chunks = cut(tables.chunks(spark, sf_dir))
-        # Sorted by term within files: a lookup of a few terms skips most row groups.
-        postings = cut(keyword.postings(chunks).sortWithinPartitions("term"))
         files = cut(tables.files(spark, sf_dir).drop("text"))
-        _built[key] = Index(postings, cut(keyword.lengths(chunks)), chunks, files, cut(tables.roots(spark, sf_dir)))
+        text, image = cut(tables.vectors(spark, sf_dir, chunks)), cut(tables.image_vectors(spark, sf_dir))
+        _built[key] = Store(keyword_index(chunks), chunks, files, cut(tables.roots(spark, sf_dir)), text, image)
     return _built[key]
