@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import is_opaque_name, match_words
-from trovelens.operators.keyword import LIST_LIMIT, KeywordIndex, fetch_rows, first_per_file, keyword_list, searchable
-from trovelens.operators.vector import IMAGE_FLOOR, knn
+from trovelens.operators.keyword import LIST_LIMIT, KeywordIndex, fetch_rows, first_per_file, held, keyword_list, searchable
+from trovelens.operators.vector import BATCH_QUERIES, IMAGE_FLOOR, knn
 
 RRF_K = 60
 WEIGHTS = {"keyword": 1.0, "text": 1.0, "image": 1.1}
@@ -56,8 +56,8 @@ def image_list(store: Store, queries: DataFrame, limit: int = IMAGE_FETCH, floor
 
 
 def asked(queries: DataFrame) -> DataFrame:
-    """The queries that are not blank: blank ones have no answer and nothing is read for them."""
-    return queries.filter(F.col("query").rlike(r"\S"))
+    """The queries that are not blank, held if they are a batch: blank ones have no answer and nothing is read for them."""
+    return held(queries.filter(F.col("query").rlike(r"\S")), BATCH_QUERIES)
 
 
 def lists(store: Store, queries: DataFrame, mode: str = "hybrid", depth: int | None = None) -> dict[str, DataFrame]:
@@ -157,7 +157,8 @@ def search(queries: DataFrame, store: Store, now_s: int, limit: int = 10, mode:
     A mode with one list has the same boosts and so is comparable. Lists whose vectors are absent are left
     out; blank queries, a limit under 1 and a mode none of whose lists is there have no hits.
     """
-    found = lists(store, asked(queries), mode)
+    queries = asked(queries)
+    found = lists(store, queries, mode)
     if limit < 1 or not found:
         queries, limit = queries.limit(0), max(limit, 1)
         found = {"keyword": keyword_list(store.keyword, queries, store.files, store.roots)}

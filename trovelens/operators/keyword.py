@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import tokens
+from trovelens.plans.lineage import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LIST_LIMIT, FETCH_FACTOR, FETCH_LEAST = 100, 5, 50
@@ -57,24 +58,31 @@ def terms_of(queries: DataFrame) -> DataFrame:
 
 
 def expanded(index: KeywordIndex, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (term, prefix, ..) with each prefix replaced by the terms of the vocabulary that begin with it.
+    """``wanted`` (term, prefix, ..; a batch's words) with each prefix replaced by the terms of the vocabulary that begin with it.
 
     Joined by equality on beginnings of the lengths that the batch has, so the vocabulary is read once
-    and never compared with every prefix.
+    and never compared with every prefix. What is found is held as long as it is no more than NAMED_TERMS rows.
     """
-    sizes = sorted(r[0] for r in wanted.filter("prefix").select(F.length("term")).distinct().collect())  # a batch's lengths: few
+    wanted = held(wanted)
+    sizes = sorted(r[0] for r in wanted.filter("prefix").select(F.length("term")).distinct().collect())
     exact = wanted.filter(~F.col("prefix"))
     if not sizes:
         return exact
     heads = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("head")) for n in sizes])
     words = index.vocabulary.select("term", F.explode(heads).alias("h")).filter(F.length("h.head") == F.col("h.n")).select(F.col("term").alias("found"), F.col("h.head").alias("term"))
     grown = words.join(wanted.filter("prefix"), "term").withColumn("term", F.col("found"))
-    return exact.unionByName(grown.select(*exact.columns))
+    return held(exact.unionByName(grown.select(*exact.columns)))
+
+
+def held(rows: DataFrame, most: int = NAMED_TERMS) -> DataFrame:
+    """``rows`` as a local table if there are no more than ``most``; else as a stored one."""
+    found = rows.limit(most + 1).toArrow()
+    return rows.sparkSession.createDataFrame(found, rows.schema) if found.num_rows <= most else cut(rows)
 
 
 def looked_up(index: KeywordIndex, terms: DataFrame) -> DataFrame:
     """The postings of ``terms`` (term, ..) joined with them; the scan is told which terms it is after."""
-    named = [r[0] for r in terms.select("term").distinct().orderBy("term").limit(NAMED_TERMS + 1).collect()]
+    named = sorted([r[0] for r in terms.select("term").distinct().limit(NAMED_TERMS + 1).collect()], key=lambda w: w.encode())
     rows = index.postings
     if not named:
         rows = rows.limit(0)
@@ -89,16 +97,22 @@ def looked_up(index: KeywordIndex, terms: DataFrame) -> DataFrame:
 
 def occurrences(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """query_id, n_words, word, chunk_id, file_id, n_tokens, tf: where each word of a query occurs, as a phrase if it has several tokens."""
-    wanted = expanded(index, terms_of(queries))
-    by = ["query_id", "n_words", "word", "chunk_id", "file_id", "n_tokens"]
-    found = looked_up(index, wanted)
-    single = found.filter("n_places = 1").groupBy(*by).agg(F.sum("tf").alias("tf"))
-    if wanted.filter("n_places > 1").isEmpty():
+    words = held(terms_of(queries))
+    # A word that several queries have is expanded and looked up once.
+    found = expanded(index, words.select(F.col("term").alias("pattern"), "prefix", "term").distinct())
+    words = words.withColumnRenamed("term", "pattern")
+    of = ["query_id", "n_words", "word"]
+    at = ["chunk_id", "file_id", "n_tokens"]
+    singles, phrases = words.filter("n_places = 1").select("pattern", "prefix", *of), words.filter("n_places > 1")
+    own = found.join(singles.select("pattern", "prefix").distinct(), ["pattern", "prefix"], "left_semi")
+    single = looked_up(index, own).groupBy("pattern", "prefix", *at).agg(F.sum("tf").alias("tf"))
+    single = single.join(singles, ["pattern", "prefix"]).select(*of, *at, "tf")
+    if phrases.isEmpty():
         return single
     starts = F.transform("positions", lambda p: p - F.col("place"))
-    placed = found.filter("n_places > 1").select(*by, "n_places", "place", F.explode(starts).alias("start")).distinct()
-    whole = placed.groupBy(*by, "n_places", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_places")
-    return single.unionByName(whole.groupBy(*by).agg(F.count(F.lit(1)).alias("tf")))
+    placed = looked_up(index, held(found.join(phrases, ["pattern", "prefix"]))).select(*of, *at, "n_places", "place", F.explode(starts).alias("start")).distinct()
+    whole = placed.groupBy(*of, *at, "n_places", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_places")
+    return single.unionByName(whole.groupBy(*of, *at).agg(F.count(F.lit(1)).alias("tf")))
 
 
 def bm25(index: KeywordIndex, queries: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ class Labelled:
     """The labelled queries of an input: what each expects, what it ignores, and which have no answer."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.store, self.queries = index(spark, sf_dir), t.search_queries(spark, sf_dir)
+        self.store, self.queries = index(spark, sf_dir), fusion.asked(t.search_queries(spark, sf_dir))
         self.expected = cut(holding(self.store, t.files(spark, sf_dir).select("file_id", "text"), self.queries.select("query_id", "passage")))
         own = self.queries.select("query_id", F.explode(F.array("query_id", F.col("query_id") + 1)).alias("file_id"))
         self.ignored = own.join(self.expected, ["query_id", "file_id"], "left_anti")

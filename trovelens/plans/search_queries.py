@@ -106,7 +106,7 @@ ALL_SQL = f"WITH {BASE_SQL}, {BM25_SQL}, {KNN_SQL}, {FUSE_SQL}"
 
 
 def _ask(spark: SparkSession, sf_dir: str) -> tuple:
-    return index(spark, sf_dir), t.search_queries(spark, sf_dir)
+    return index(spark, sf_dir), fusion.asked(t.search_queries(spark, sf_dir))
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
