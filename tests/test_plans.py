@@ -14,3 +14,10 @@ def test_skewed_join_is_a_join(spark, monkeypatch):
         got = skew.skewed_join(many, one, ["k"], how)
         assert sorted(map(tuple, got.collect()), key=repr) == want and got.columns == many.join(one, ["k"], how).columns
     assert skew.skewed_join(many.limit(0), one, ["k"]).count() == 0
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    df = spark.range(1000).select(F.concat(F.lit("p"), F.lpad((F.col("id") * 37 % 1000).cast("string"), 4, "0")).alias("p")).repartition(7)
+    got = skew.numbered(df, "p", "n").orderBy("p").collect()
+    assert [r.n for r in got] == list(range(1, 1001))
+    assert skew.numbered(df.limit(0), "p", "n").count() == 0

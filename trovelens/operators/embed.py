@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH, SPAN_LEAST = 16, 64
+#: What text models are told of a text.
+PASSAGE, QUERY = "passage: ", "query: "
 #: name -> (dimension, maker of a function from texts to vectors); made once in each worker.
 MODELS: dict[str, tuple[int, Callable[[], Callable[[list[str]], np.ndarray]]]] = {}
 
@@ -46,6 +48,58 @@ def length_batches(lengths: list[int]) -> list[int]:
     return out
 
 
+DOC_CHARS = 1500
+#: name -> maker of a function from (query, documents) to scores; made once in each worker.
+RERANKERS: dict[str, Callable[[], Callable[[str, list[str]], list[float]]]] = {}
+
+
+def register_reranker(name: str, make: Callable[[], Callable[[str, list[str]], list[float]]]) -> None:
+    RERANKERS[name] = make
+
+
+def rerank_documents(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """file_id and document: what a reranker reads of a file, its name and then its text chunks in order, DOC_CHARS characters.
+
+    A chunk adds a character at least, so those after the first DOC_CHARS can't be in it and don't move.
+    """
+    own = chunks.filter((F.col("source") != "filename") & (F.col("ordinal") < DOC_CHARS)).select("file_id", "ordinal", F.substring("text", 1, DOC_CHARS).alias("text"))
+    texts = own.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("_t"))
+    document = F.concat(F.col("file_name"), F.when(F.col("_t").isNotNull(), F.concat(F.lit("\n"), F.col("_t"))).otherwise(""))
+    return files.select("file_id", "file_name").join(texts, "file_id", "left").select("file_id", F.substring(document, 1, DOC_CHARS).alias("document"))
+
+
+def reranked(hits: DataFrame, documents: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """``hits`` (query_id, file_id, rank) with model: a registered reranker's score of the query and the file's document."""
+    make = RERANKERS[name]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = make()
+        for f in frames:
+            out = f.assign(model=0.0)
+            for query, part in f.groupby("query"):
+                out.loc[part.index, "model"] = score(query, part["document"].tolist())
+            yield out[["query_id", "file_id", "rank", "model"]]
+
+    rows = hits.select("query_id", "file_id", "rank").join(queries.select("query_id", "query"), "query_id").join(documents, "file_id")
+    kinds = dict(hits.dtypes)
+    return rows.mapInPandas(run, f"query_id {kinds['query_id']}, file_id {kinds['file_id']}, rank {kinds['rank']}, model double")
+
+
+def query_vectors(queries: DataFrame, text: str | None, image: str | None = None) -> DataFrame:
+    """query_id, text_vector, image_vector by registered models; null for blank queries and absent models. An image model that fails costs only its vector."""
+    asked = queries.select("query_id", F.when(F.col("query").rlike(r"\S"), F.concat(F.lit(QUERY), F.col("query"))).alias("query"))
+    out = queries.select("query_id")
+    for name, column in ((text, "text_vector"), (image, "image_vector")):
+        if name is None:
+            out = out.withColumn(column, F.lit(None).cast("array<float>"))
+            continue
+        made = model_embed(asked.filter("query IS NOT NULL"), "query_id", "query", name)
+        if column == "text_vector":  # without its meaning a query must not pass for one
+            made = made.withColumn("embedding", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("embedding")))
+        out = out.join(made.select("query_id", F.col("embedding").alias(column)), "query_id", "left")
+    return out
+
+
 def model_embed(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """key, embedding, error by a registered model. Rows go in batches of like length; a batch that fails is tried row by row."""
     dim, make = MODELS[name]

@@ -5,9 +5,12 @@ from __future__ import annotations
 import ast
 import io
 import re
+import signal
+import threading
 import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -31,9 +34,11 @@ EXCLUDED = [
 ]
 BUNDLES = [".app", ".photoslibrary", ".bundle", ".framework"]
 MAX_BYTES = 50 * 1024 * 1024
-PREFIX_BYTES = 64 * 1024
+PREFIX_BYTES, SNIFFED = 64 * 1024, 8192
 LINES, LINE_STEP = 100, 90
 OCR_LEAST = 6
+#: Seconds that one file's extraction may take.
+EXTRACT_SECONDS = 60
 
 
 def extension(path: Column) -> Column:
@@ -58,9 +63,39 @@ def kind_of(path: Column, header: Column | None = None) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """A regular expression for a glob in which * crosses /; **/ matches any folders or none."""
-    out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", ".*").replace(r"\?", ".")
-    return f"^{out}$"
+    """A regular expression for a glob in which * crosses /; **/ matches any folders or none, [..] one of some characters, {a,b} either.
+
+    A bracket that is not closed is an error.
+    """
+    out, k, depth = [], 0, 0
+    while k < len(glob):
+        c = glob[k]
+        if glob.startswith("**/", k):
+            out.append("(?:.*/)?")
+            k += 3
+            continue
+        if c == "*":
+            out.append(".*")
+            k += 2 if glob.startswith("**", k) else 1
+            continue
+        if c == "[":
+            end = glob.find("]", k + 2 + glob.startswith("!", k + 1))
+            if end < 0:
+                raise ValueError(f"not a glob: {glob}")
+            inside = glob[k + 1 : end]
+            negated = inside.startswith("!")
+            out.append("[" + ("^" if negated else "") + re.sub(r"([\\\[\]^&~|])", r"\\\1", inside[negated:]) + "]")
+            k = end + 1
+            continue
+        if c in "{}" or (c == "," and depth):
+            depth += (c == "{") - (c == "}")
+            out.append({"{": "(?:", "}": ")", ",": "|"}[c])
+        else:
+            out.append("." if c == "?" else re.escape(c))
+        k += 1
+    if depth:
+        raise ValueError(f"not a glob: {glob}")
+    return f"^{''.join(out)}$"
 
 
 def is_wanted(rel_path: Column, hidden: bool = False, globs: list[str] | None = None) -> Column:
@@ -75,23 +110,40 @@ def is_wanted(rel_path: Column, hidden: bool = False, globs: list[str] | None =
     return wanted & ~F.lower(rel_path).rlike(rf"({inside})/")
 
 
-def plan(path: Column, size: Column, cloud_only: Column, is_dir: Column, enabled_kinds: list[str], max_bytes: int = MAX_BYTES) -> Column:
-    """struct(plan, skip_reason, kind) in the order: in the cloud, a bundle, too large, nothing to extract, extract."""
-    kind = kind_of(path)
+def plan(path: Column, size: Column, cloud_only: Column, is_dir: Column, enabled_kinds: list[str], max_bytes: int = MAX_BYTES, header: Column | None = None) -> Column:
+    """struct(plan, skip_reason, kind) in the order: in the cloud, a bundle, too large, nothing to extract, extract.
+
+    ``header``, the file's first SNIFFED bytes, settles the kind of files whose extension says nothing, but only
+    of those that may be read.
+    """
+    named, kind = kind_of(path), kind_of(path, header)
     row = lambda p, r, k: F.struct(F.lit(p).alias("plan"), F.lit(r).cast("string").alias("skip_reason"), k.alias("kind"))
     return (
-        F.when(cloud_only, row("skip", "cloud_only", kind))
+        F.when(cloud_only, row("skip", "cloud_only", named))
         .when(is_dir, row("skip", "bundle", F.lit("other")))
-        .when(size > max_bytes, row("skip", "too_large", kind))
+        .when(size > max_bytes, row("skip", "too_large", named))
         .when((kind == "other") | ~kind.isin(enabled_kinds), row("name_only", None, kind))
         .otherwise(row("extract", None, kind))
     )
 
 
-def data_prefix(text: Column, most: int = PREFIX_BYTES) -> Column:
-    """A long data file's first ``most`` characters, cut after the last line that is whole."""
-    cut = F.regexp_extract(F.substring(text, 1, most), r"(?s)^(.*\n)", 1)
-    return F.when(F.length(text) <= most, text).when(cut == "", F.substring(text, 1, most)).otherwise(cut)
+def data_prefix(content: Column, most: int = PREFIX_BYTES) -> Column:
+    """A long data file's first ``most`` bytes, cut after the last line that is whole; ``content`` is binary and so is the result.
+
+    The bytes are looked at as Latin-1, one character each, so positions are bytes.
+    """
+    head = F.decode(F.substring(content, 1, most), "ISO-8859-1")
+    lines = F.regexp_extract(head, r"(?s)^(.*\n)", 1)
+    return F.when(F.length(content) <= most, content).otherwise(F.encode(F.when(lines == "", head).otherwise(lines), "ISO-8859-1"))
+
+
+# Extensions of files of data, of which only a beginning is read.
+DATA = ["csv", "json"]
+
+
+def data_head(data: bytes, most: int = PREFIX_BYTES) -> bytes:
+    """``data_prefix`` of one file."""
+    return data if len(data) <= most else data[: data.rfind(b"\n", 0, most) + 1] or data[:most]
 
 
 def line_windows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -111,6 +163,29 @@ def ocr_kept(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) >= OCR_LEAST
 
 
+def ocr_chunks(texts: DataFrame) -> DataFrame:
+    """Rows (path, text) of recognised text as ocr chunks, those that are noise left out."""
+    return texts.filter(ocr_kept(F.col("text"))).select("path", F.lit("ocr").alias("source"), "text")
+
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (image, x, y, height, text) with row and place: rows from the top, a box begins one if it is lower than half a height
+    below the first box of the row before; within a row from the left."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["y", "x"], kind="stable")
+        row, top, half, rows_ = -1, 0.0, 0.0, []
+        for y, height in zip(f["y"], f["height"], strict=True):
+            if row < 0 or y - top > half:
+                row, top, half = row + 1, y, height / 2
+            rows_.append(row)
+        f = f.assign(row=rows_).sort_values(["row", "x", "y"], kind="stable")
+        return f.assign(place=range(len(f)))[["image", "x", "y", "height", "text", "row", "place"]]
+
+    kind = dict(boxes.dtypes)["image"]
+    return boxes.select("image", "x", "y", "height", "text").groupBy("image").applyInPandas(run, f"image {kind}, x double, y double, height double, text string, row long, place long")
+
+
 def ctc_collapse(df: DataFrame, keys: list[str], order: str, symbol: str, blank) -> DataFrame:
     """Symbols in order without repeats of the one before, then without blanks."""
     from pyspark.sql import Window
@@ -253,6 +328,8 @@ def extract_one(path: str, kind: str, data: bytes) -> list[dict]:
         if kind in _SEAMS:
             return _SEAMS[kind](path, data)
         if kind == "text":
+            if path.rpartition(".")[2].lower() in DATA:
+                data = data_head(data)
             text = decode_text(data).strip()
             return [{"source": "body", "text": t, "lang": detect_language(text)} for t in greedy_chunks(text)] if text else []
         if kind == "code":
@@ -264,13 +341,65 @@ def extract_one(path: str, kind: str, data: bytes) -> list[dict]:
         return [{"error": f"{type(e).__name__}: {e}"[:200]}]
 
 
+class TooSlow(Exception):
+    """An extractor took longer than it may."""
+
+
+@contextmanager
+def time_limit(seconds: int) -> Iterator[None]:
+    """Stop what runs longer, where the worker's main thread lets a signal do it."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(signum, frame):
+        raise TooSlow(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(seconds)
+    try:
+        yield
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract_within(path: str, kind: str, data: bytes, seconds: int = EXTRACT_SECONDS) -> list[dict]:
+    try:
+        with time_limit(seconds):
+            return extract_one(path, kind, data)
+    except TooSlow as e:
+        return [{"error": str(e)}]
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """Chunks of (path, kind, content) rows."""
     columns = [c.split(" ")[0] for c in CHUNK_SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [{"path": p, "ordinal": i, **c} for p, k, d in zip(f["path"], f["kind"], f["content"], strict=True) for i, c in enumerate(extract_one(p, k, bytes(d)))]
+            found = [{"path": p, "ordinal": i, **c} for p, k, d in zip(f["path"], f["kind"], f["content"], strict=True) for i, c in enumerate(extract_within(p, k, bytes(d)))]
             yield pd.DataFrame(found, columns=columns).astype({c: "Int32" for c in ("ordinal", "page", "line_start", "line_end")})
 
     return files.select("path", "kind", "content").mapInPandas(run, CHUNK_SCHEMA)
+
+
+def read_files(files: DataFrame, enabled_kinds: list[str], max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(rows, chunks) of files (path, rel_path, size, cloud_only, is_dir, content): plan, read, cut and name in one.
+
+    rows: path, kind, plan, skip_reason, content_hash, error, state. chunks: path, ordinal, source, text, page, lines and
+    lang; the last one of every file is its name. Only what the plan extracts is read; an error keeps the name.
+    """
+    from trovelens.functions.text import name_words
+
+    p = plan(F.col("path"), F.col("size"), F.col("cloud_only"), F.col("is_dir"), enabled_kinds, max_bytes, F.substring("content", 1, SNIFFED))
+    planned = files.select("path", "rel_path", p.alias("p"), F.when(p["plan"] == "extract", F.col("content")).alias("content"))
+    read = extracted(planned.filter("p.plan = 'extract'").select("path", "p.kind", "content"))
+    errors = read.filter("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
+    body = read.filter("error IS NULL").select("path", "ordinal", "source", "text", "page", "line_start", "line_end", "lang")
+    last = body.groupBy("path").agg((F.max("ordinal") + 1).alias("n"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("line_start", "int"), ("line_end", "int"), ("lang", "string"))]
+    names = planned.join(last, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("ordinal"), F.lit("filename").alias("source"), name_words(F.col("rel_path")).alias("text"), *none)
+    state = F.when(F.col("error").isNotNull(), "error").when(F.col("p.plan") == "skip", "skipped").otherwise("indexed")
+    rows = planned.join(errors, "path", "left").select("path", "p.kind", "p.plan", "p.skip_reason", F.sha2("content", 256).alias("content_hash"), "error", state.alias("state"))
+    return rows, body.unionByName(names)

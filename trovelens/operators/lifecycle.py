@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BACKOFF_S, MOST_ATTEMPTS, LOCKED_CAP = (30, 120), 3, 2
+from trovelens.plans.lineage import cut
+
+BACKOFF_S, MOST_ATTEMPTS, LOCKED_CAP = (30, 120, 600), 3, 2
 SETTLE_NS, RECHECK_NS, DEFER_NS, SLOP_NS = 3_000_000_000, 1_000_000_000, 5_000_000_000, 2_000_000_000
 HOLD_S = 5
 TICK_S, JUMP_S, POLL_S = 30, 300, 900
@@ -66,14 +68,16 @@ def next_pending(files: DataFrame, roots: DataFrame, now_s: int, limit: int) ->
     return files.filter((F.col("state") == "pending") & due).join(usable, "root", "left_semi").orderBy(F.desc("mtime_ns"), "file_id").limit(limit)
 
 
-def after_failure(files: DataFrame, now_s: int) -> DataFrame:
-    """attempts, state and next_attempt_at after one more failure; locked files never give up."""
-    locked = F.col("locked")
-    attempts = F.when(locked, F.least(F.col("attempts") + 1, F.lit(LOCKED_CAP))).otherwise(F.col("attempts") + 1)
-    rows = files.withColumn("attempts", attempts.cast("long"))
+def after_failure(files: DataFrame, now_s: int, when: Column | None = None) -> DataFrame:
+    """attempts, state and next_attempt_at after one more failure (of the rows where ``when`` holds); locked files never give up."""
+    when = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
+    attempts = F.when(F.col("locked"), F.least(F.col("attempts") + 1, F.lit(LOCKED_CAP))).otherwise(F.col("attempts") + 1)
+    rows = files.withColumn("_failed", when).withColumn("attempts", F.when(when, attempts).otherwise(F.col("attempts")).cast("long"))
     over = F.col("attempts") >= MOST_ATTEMPTS
-    wait = F.when(F.col("attempts") <= 1, BACKOFF_S[0]).otherwise(BACKOFF_S[1])
-    return rows.withColumn("state", F.when(over, "error").otherwise("pending")).withColumn("next_attempt_at", F.when(~over, F.lit(now_s).cast("long") + wait))
+    wait = F.when(F.col("attempts") <= 1, BACKOFF_S[0]).when(F.col("attempts") == 2, BACKOFF_S[1]).otherwise(BACKOFF_S[2])
+    before = {c: F.col(c) if c in files.columns else F.lit(None) for c in ("state", "next_attempt_at")}
+    rows = rows.withColumn("state", F.when(F.col("_failed"), F.when(over, "error").otherwise("pending")).otherwise(before["state"]))
+    return rows.withColumn("next_attempt_at", F.when(F.col("_failed"), F.when(~over, F.lit(now_s).cast("long") + wait)).otherwise(before["next_attempt_at"])).drop("_failed")
 
 
 def state_counts(files: DataFrame, roots: DataFrame) -> DataFrame:
@@ -83,6 +87,12 @@ def state_counts(files: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.filter(counted).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def errors(files: DataFrame, limit: int) -> DataFrame:
+    """file_id, path, code and detail of the newest files in error, by id; what is not known is other and empty."""
+    newest = files.filter("state = 'error'").orderBy(F.desc("file_id")).limit(limit)
+    return newest.select("file_id", "path", F.coalesce("error_code", F.lit("other")).alias("code"), F.coalesce("error", F.lit("")).alias("detail"))
+
+
 def requeued(files: DataFrame, stored: dict[str, str], now: dict[str, str]) -> DataFrame:
     """Files to index again after a change of models: another text model takes all, another image or OCR model the images; a model without stored id takes none."""
     changed = {m for m, v in now.items() if m in stored and stored[m] != v}
@@ -135,14 +145,30 @@ def poll_reason(gap_s: Column, since_scan_s: Column, interval_hours: int, unwatc
 def quota(requests: DataFrame, per_account: int, overall: int) -> DataFrame:
     """request_id, ok, scope for requests of a day in order: first the account's cap, then the day's.
 
-    An account takes at most per_account requests; those count for the day until it is full.
+    Only granted requests count, for the account and for the day.
     """
     mine = F.row_number().over(Window.partitionBy("day", "account").orderBy("request_id"))
-    rows = requests.withColumn("mine", mine)
-    fits = F.col("mine") <= per_account
-    taken = F.sum(fits.cast("int")).over(Window.partitionBy("day").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0))
-    ok = fits & (F.col("taken") <= overall)
-    return rows.withColumn("taken", taken).select("request_id", ok.alias("ok"), F.when(~fits & (F.col("taken") < overall), "account").when(~ok, F.when(fits, "global").otherwise("account")).alias("scope"))
+    rows = cut(requests.select("request_id", "day", "account").withColumn("mine", mine))
+    # Granted requests are the day's first ``overall`` among the accounts' first per_account ones; only so many are put in one order.
+    fits = rows.filter(F.col("mine") <= per_account)
+    first = fits.withColumn("taken", F.row_number().over(Window.partitionBy("day").orderBy("request_id"))).filter(F.col("taken") <= overall)
+    granted = first.select("request_id", "day", "account", F.lit(True).alias("ok"))
+    last = granted.groupBy("day", "account").agg(F.count(F.lit(1)).alias("used"), F.max("request_id").alias("own_last"))
+    out = rows.join(granted.select("request_id", "ok"), "request_id", "left").join(last, ["day", "account"], "left")
+    # A refused request finds its account full, or else the day.
+    mine_full = (F.coalesce("used", F.lit(0)) >= per_account) & (F.col("request_id") > F.col("own_last")) | (F.lit(per_account) <= 0)
+    return out.select("request_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.when(F.col("ok").isNull(), F.when(F.coalesce(mine_full, F.lit(False)), "account").otherwise("global")).alias("scope"))
+
+
+def refunded(usage: DataFrame, refunds: DataFrame) -> DataFrame:
+    """``usage`` (account, day, count) less the refunds (account, day), never below 0."""
+    back = refunds.groupBy("account", "day").agg(F.count(F.lit(1)).alias("_back"))
+    return usage.join(back, ["account", "day"], "left").withColumn("count", F.greatest(F.col("count") - F.coalesce("_back", F.lit(0)), F.lit(0))).drop("_back")
+
+
+def purged(usage: DataFrame, today: str) -> DataFrame:
+    """``usage`` without earlier days."""
+    return usage.filter(F.col("day") >= today)
 
 
 def pause_reason(user: Column, available: Column, was_low: Column, battery: Column) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovelens.functions.text import utf16_length
 from trovelens.operators.extract import glob_pattern
 
 OPEN, CLOSE, ELLIPSIS = "", "", "..."
@@ -179,11 +180,98 @@ def repointed(files: DataFrame, collapsed: list[str], path: str) -> DataFrame:
     return files.withColumn("rel_path", F.when(mine, F.expr(f"substring(path, {len(path) + 2})")).otherwise(F.col("rel_path"))).withColumn("root", F.when(mine, path).otherwise(F.col("root")))
 
 
+def permissions(roots: DataFrame) -> DataFrame:
+    """The enabled roots that are not ok, with their status."""
+    return roots.filter(F.col("enabled") & (F.col("status") != "ok")).select("root", "status")
+
+
+def root_enabled(roots: DataFrame, root: str, enabled: bool) -> DataFrame:
+    """``roots`` with one switched; its rows stay, but are not indexed, watched or searched."""
+    return roots.withColumn("enabled", F.when(F.col("root") == root, F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def root_removed(roots: DataFrame, root: str, files: DataFrame, *derived: DataFrame) -> tuple[DataFrame, ...]:
+    """``roots``, ``files`` and the tables derived from them without a root and all that is indexed under it."""
+    gone = files.filter(F.col("root") == root).select("file_id")
+    return (roots.filter(F.col("root") != root), *[t.join(gone, "file_id", "left_anti") for t in (files, *derived)])
+
+
+def details(files: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """file_id, path, size and pages (the largest page of its chunks, or null) of the wanted files (file_id)."""
+    own = files.join(wanted.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "path", F.greatest("size", F.lit(0)).alias("size"))
+    pages = chunks.join(own.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(F.max("page").alias("pages"))
+    return own.join(pages, "file_id", "left")
+
+
+def shown_state(hits: DataFrame) -> DataFrame:
+    """query_id, strong, weak, weak_open, shown of an answer (query_id, position, strength): with nothing strong the fold is open.
+
+    strong are the hits ahead of the first weak one.
+    """
+    first_weak = F.min(F.when(F.col("strength") == "weak", F.col("position")))
+    by = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), first_weak.alias("w"))
+    strong = F.coalesce(F.col("w") - 1, F.col("n"))
+    by = by.select("query_id", "n", strong.alias("strong"), (F.col("n") - strong).alias("weak"), (strong == 0).alias("weak_open"))
+    return by.select("query_id", "strong", "weak", "weak_open", F.when(F.col("weak_open"), F.col("n")).otherwise(F.col("strong")).alias("shown"))
+
+
+HINT_BELOW = 3
+
+
+def hint(results: Column, features: Column) -> Column:
+    """struct(kind, feature) for a short list, from features in their order (name, installed, enabled, downloading, left, dismissed).
+
+    Work under way comes before an offer; dismissed features say nothing; lists of HINT_BELOW or more have none.
+    """
+    open_ = F.filter(features, lambda f: ~f["dismissed"])
+    busy = F.filter(open_, lambda f: f["downloading"] | (f["installed"] & f["enabled"] & (f["left"] > 0)))
+    offer = F.filter(open_, lambda f: ~(f["enabled"] & f["installed"]))
+    made = lambda kind, f: F.struct(kind.alias("kind"), f["name"].alias("feature"))
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    return (
+        F.when(results >= HINT_BELOW, None)
+        .when(F.size(busy) > 0, made(F.when(first(busy)["downloading"], "downloading").otherwise("updating"), first(busy)))
+        .when(F.size(offer) > 0, made(F.lit("offer"), first(offer)))
+    )
+
+
 def index_state(paused: Column, scanning: Column, pending: Column) -> Column:
     """paused before scanning before indexing before idle."""
     return F.when(paused, "paused").when(scanning, "scanning").when(pending > 0, "indexing").otherwise("idle")
 
 
+LOW_MEMORY_GB = 8
+
+
+def low_memory(memory_gb: float) -> bool:
+    """Whether models are used sparingly: at most LOW_MEMORY_GB."""
+    return memory_gb <= LOW_MEMORY_GB
+
+
+def unload_minutes(memory_gb: float, configured: int) -> int:
+    """Idle minutes until models go: at most 2 with little memory."""
+    return min(configured, 2) if low_memory(memory_gb) else configured
+
+
+# What a question may carry.
+QUESTION_UNITS, SOURCES, SOURCE_UNITS, TOTAL_UNITS, NAME_UNITS, ID_UNITS = 500, 5, 60_000, 120_000, 255, 64
+
+
+def payload_fault(payloads: DataFrame) -> DataFrame:
+    """``payloads`` (question, sources: array of (id, file_name, text)) with fault: why one is refused, or null. Lengths are UTF-16 units."""
+    q, s = F.col("question"), F.col("sources")
+    ids = F.transform(s, lambda x: x["id"])
+    bad = F.exists(s, lambda x: x["id"].isNull() | (x["id"] == "") | (utf16_length(x["id"]) > ID_UNITS) | x["file_name"].isNull() | (utf16_length(x["file_name"]) > NAME_UNITS) | x["text"].isNull())
+    total = F.aggregate(s, F.lit(0.0), lambda a, x: a + utf16_length(F.coalesce(x["text"], F.lit(""))))
+    fault = (
+        F.when(q.isNull() | ~q.rlike(r"\S") | s.isNull() | (F.size(s) == 0), "bad_request")
+        .when(utf16_length(q) > QUESTION_UNITS, "question_too_long").when(F.size(s) > SOURCES, "too_many_sources")
+        .when(bad, "bad_request").when(F.exists(s, lambda x: utf16_length(x["text"]) > SOURCE_UNITS), "source_too_long").when(total > TOTAL_UNITS, "sources_too_long")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "bad_request")
+    )
+    return payloads.withColumn("fault", fault)
+
+
 def workers(cores: int, memory_gb: float) -> int:
     """min(cores / 2, GB / 4), from 1 to 4."""
     return max(1, min(4, cores // 2, int(memory_gb // 4)))

@@ -51,18 +51,27 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walked(spark, sf_dir).select("id", extract.is_wanted(F.col("path")).alias("wanted"))
 
 
-@register("plan_entry", f"""WITH {_WALK} SELECT id, kind, CASE WHEN cloud_only OR is_dir OR size > 52428800 THEN 'skip' WHEN kind = 'other' OR kind = 'office' THEN 'name_only' ELSE 'extract' END AS plan,
-  CASE WHEN cloud_only THEN 'cloud_only' WHEN is_dir THEN 'bundle' WHEN size > 52428800 THEN 'too_large' END AS skip_reason FROM (SELECT * REPLACE (CASE WHEN is_dir AND NOT cloud_only THEN 'other' ELSE kind END AS kind) FROM k)""")
+_HEADERS = {"25504446": "pdf", "89504E470D0A": "image", "FFD8FFE0": "image", "4D5A9000": "other"}
+
+
+@register("plan_entry", f"""WITH {_WALK}, h AS (SELECT * REPLACE (CASE WHEN is_dir AND NOT cloud_only THEN 'other' WHEN kind = 'other' AND NOT cloud_only AND size <= 52428800 AND NOT regexp_matches(path, '[.]cr2$') THEN ['pdf', 'image', 'image', 'other'][id // 6 % 4 + 1] ELSE kind END AS kind) FROM k)
+SELECT id, kind, CASE WHEN cloud_only OR is_dir OR size > 52428800 THEN 'skip' WHEN kind = 'other' OR kind = 'office' THEN 'name_only' ELSE 'extract' END AS plan,
+  CASE WHEN cloud_only THEN 'cloud_only' WHEN is_dir THEN 'bundle' WHEN size > 52428800 THEN 'too_large' END AS skip_reason FROM h""")
 def plan_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose extension says nothing are told by their first bytes, unless they may not be read."""
     w = _walked(spark, sf_dir)
-    p = extract.plan(F.col("path"), F.col("size"), F.col("cloud_only"), F.col("is_dir"), ["text", "code", "pdf", "image"])
+    header = F.unhex(F.element_at(F.array(*[F.lit(h) for h in _HEADERS]), (F.floor(F.col("id") / 6) % 4 + 1).cast("int")))
+    p = extract.plan(F.col("path"), F.col("size"), F.col("cloud_only"), F.col("is_dir"), ["text", "code", "pdf", "image"], header=header)
     return w.select("id", p.alias("p")).select("id", "p.kind", "p.plan", "p.skip_reason")
 
 
-@register("data_prefix", f"""WITH {_F}, c AS (SELECT file_id, text, regexp_extract(substr(text, 1, 2000), '(?s)^(.*\\n)', 1) AS cut FROM files)
-SELECT file_id, length(CASE WHEN length(text) <= 2000 THEN text WHEN cut = '' THEN substr(text, 1, 2000) ELSE cut END) AS n FROM c""")
+@register("data_prefix", f"""WITH {_F}, r AS (SELECT file_id, text || chr(10) || repeat('é,1;' || CASE WHEN file_id % 3 = 0 THEN chr(10) ELSE '' END, CASE WHEN file_id % 2 = 0 THEN 20000 ELSE 10 END) AS text FROM files),
+h AS (SELECT file_id, strlen(text) AS n, encode(text)[1:{extract.PREFIX_BYTES}] AS head FROM r), p AS (SELECT *, instr(reverse(hex(head)), 'A0') AS k FROM h)
+SELECT file_id, n AS n_bytes, CASE WHEN n <= {extract.PREFIX_BYTES} THEN n ELSE (SELECT max(i) FROM (SELECT unnest(range(1, {extract.PREFIX_BYTES} + 1)) AS i) WHERE hex(head[i:i]) = '0A') END AS n_kept FROM p""")
 def data_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.files(spark, sf_dir).select("file_id", F.length(extract.data_prefix(F.col("text"), 2000)).cast("long").alias("n"))
+    more = F.expr("repeat(concat('é,1;', CASE WHEN file_id % 3 = 0 THEN '\\n' ELSE '' END), CASE WHEN file_id % 2 = 0 THEN 20000 ELSE 10 END)")
+    f = t.files(spark, sf_dir).select("file_id", F.encode(F.concat("text", F.lit("\n"), more), "UTF-8").alias("content"))
+    return f.select("file_id", F.length("content").cast("long").alias("n_bytes"), F.length(extract.data_prefix(F.col("content"))).cast("long").alias("n_kept"))
 
 
 @register("filename_chunks", f"WITH {_F}, {t.CHUNKS_SQL} SELECT file_id, ordinal, text FROM chunks WHERE source = 'filename'")
@@ -164,7 +173,7 @@ def next_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("retry_backoff", f"""WITH {_F}, a AS (SELECT file_id, CASE WHEN file_id % 5 = 0 THEN least(file_id % 3 + 1, 2) ELSE file_id % 3 + 1 END AS attempts FROM files)
-SELECT file_id, attempts, CASE WHEN attempts >= 3 THEN 'error' ELSE 'pending' END AS state, CASE WHEN attempts < 3 THEN {_NOW} + CASE WHEN attempts <= 1 THEN 30 ELSE 120 END END AS next_attempt_at FROM a""")
+SELECT file_id, attempts, CASE WHEN attempts >= 3 THEN 'error' ELSE 'pending' END AS state, CASE WHEN attempts < 3 THEN {_NOW} + CASE attempts WHEN 1 THEN 30 WHEN 2 THEN 120 ELSE 600 END END AS next_attempt_at FROM a""")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = t.files(spark, sf_dir).select("file_id", (F.col("file_id") % 3).alias("attempts"), (F.col("file_id") % 5 == 0).alias("locked"))
     return lifecycle.after_failure(f, _NOW).select("file_id", "attempts", "state", F.col("next_attempt_at").cast("long").alias("next_attempt_at"))
@@ -181,10 +190,10 @@ def root_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.roots(spark, sf_dir).join(n, "root", "left").select("root", "enabled", "status", F.coalesce("n_indexed", F.lit(0)).cast("long").alias("n_indexed"))
 
 
-@register("errors_newest", f"WITH {_F} SELECT file_id, path, coalesce(CASE WHEN file_id % 3 = 0 THEN 'unreadable' END, 'unknown') AS error FROM files WHERE state = 'error' ORDER BY mtime_ns DESC, file_id LIMIT 50")
+@register("errors_newest", f"WITH {_F} SELECT file_id, path, coalesce(CASE WHEN file_id % 3 = 0 THEN 'locked' END, 'other') AS code, coalesce(CASE WHEN file_id % 2 = 0 THEN 'busy' END, '') AS detail FROM files WHERE state = 'error' ORDER BY file_id DESC LIMIT 50")
 def errors_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = t.files(spark, sf_dir).filter("state = 'error'").orderBy(F.desc("mtime_ns"), "file_id").limit(50)
-    return f.select("file_id", "path", F.coalesce(F.when(F.col("file_id") % 3 == 0, "unreadable"), F.lit("unknown")).alias("error"))
+    f = t.files(spark, sf_dir).select("file_id", "path", "state", F.when(F.col("file_id") % 3 == 0, "locked").alias("error_code"), F.when(F.col("file_id") % 2 == 0, "busy").alias("error"))
+    return lifecycle.errors(f, 50)
 
 
 @register("requeue_model", f"WITH {_F} SELECT file_id, lang IN ('de', 'fr') AS requeue, CASE WHEN lang IN ('de', 'fr') THEN 0 ELSE 4 END AS pipeline_version FROM files")
@@ -249,11 +258,14 @@ def poll_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "events").select("event_id", lifecycle.poll_reason(i * 31 % 400, i * 97 % 30_000, 6, i % 2 == 0).alias("reason"))
 
 
-@register("quota_reserve", """WITH r AS (SELECT event_id AS request_id, user_id AS account, CAST(ts AS DATE) AS day FROM events),
-m AS (SELECT *, row_number() OVER (PARTITION BY day, account ORDER BY request_id) <= 2 AS fits FROM r),
-n AS (SELECT *, sum(CASE WHEN fits THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY request_id ROWS UNBOUNDED PRECEDING) AS taken FROM m)
-SELECT request_id, fits AND taken <= 40 AS ok, CASE WHEN NOT fits THEN 'account' WHEN taken > 40 THEN 'global' END AS scope FROM n""")
+@register("quota_reserve", """WITH RECURSIVE r AS (SELECT event_id AS request_id, user_id AS account, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS k FROM events),
+s AS (SELECT day, 0::BIGINT AS k, NULL::BIGINT AS request_id, NULL::BOOLEAN AS ok, NULL::VARCHAR AS scope, MAP {}::MAP(BIGINT, INTEGER) AS used, 0 AS total FROM (SELECT DISTINCT day FROM r)
+  UNION ALL SELECT s.day, r.k, r.request_id, coalesce(used[account], 0) < 2 AND total < 40, CASE WHEN coalesce(used[account], 0) >= 2 THEN 'account' WHEN total >= 40 THEN 'global' END,
+    CASE WHEN coalesce(used[account], 0) < 2 AND total < 40 THEN map_concat(used, MAP {account: coalesce(used[account], 0) + 1}) ELSE used END, total + CASE WHEN coalesce(used[account], 0) < 2 AND total < 40 THEN 1 ELSE 0 END
+  FROM s JOIN r ON r.day = s.day AND r.k = s.k + 1)
+SELECT request_id, ok, scope FROM s WHERE k > 0""")
 def quota_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL goes through the requests one after the other, as a counter does."""
     e = t.read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("account"), F.to_date("ts").alias("day"))
     return lifecycle.quota(e, 2, 40)
 
@@ -319,9 +331,3 @@ def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("folder_members", f"WITH {_F} SELECT file_id, path FROM files WHERE starts_with(path, 'src1/')")
 def folder_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.files(spark, sf_dir).filter(F.col("path").startswith("src1/")).select("file_id", "path")
-
-
-@register("delete_cascade", f"WITH {_F}, {t.CHUNKS_SQL} SELECT source, count(*) AS n FROM chunks WHERE file_id NOT IN (SELECT file_id FROM files WHERE state = 'skipped') GROUP BY 1")
-def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = t.files(spark, sf_dir).filter("state = 'skipped'").select("file_id")
-    return index(spark, sf_dir).chunks.join(gone, "file_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
