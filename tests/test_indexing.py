@@ -1,6 +1,7 @@
 """Extraction, index state, passages, storage and streams."""
 
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trovelens.operators import embed, extract, lifecycle, passages
 from trovelens.plans.components import components
-from trovelens.plans.snapshots import SnapshotTable
+from trovelens.plans.snapshots import SnapshotTable, store_files
 from trovelens.sources import walk
 from trovelens.streaming import files as streams
 
@@ -92,11 +93,15 @@ def test_stability_forms_agree(spark, age, previous, want):
 
 
 def test_passages():
-    assert passages.without_overlap("the quick brown fox", "brown fox jumps") == "jumps"
-    assert passages.without_overlap("the quick own fox", "wn fox jumps") == "wn fox jumps"
+    assert passages.overlap("the quick brown fox", "brown fox jumps") == len("brown fox") and passages.overlap("the quick own fox", "wn fox jumps") == 0
+    assert passages.whole(["the quick brown fox", "brown fox jumps", " ", "else"], 100) == ("the quick brown fox jumps\n\nelse", False)
+    assert passages.whole(["abc", "déf"], 6) == ("abc\n\nd", True)
     assert passages.clip("a😀b", 2) == "a" and passages.utf16("a😀b") == 4
     assert passages.pick([(5, "x" * 300), (1, "y" * 300), (9, "z" * 300)], 850) == [(1, "y" * 300), (5, "x" * 300), (9, "z" * 246)]
     assert passages.pick([(0, "x" * 3900), (1, "y" * 500)], 4000) == [(0, "x" * 3900)]
+    assert passages.pick([(3, "  " + "x" * 300), (0, " ")], 100) == [(3, "x" * 100)] and passages.pick([(0, "x" * 3900), (1, "y" * 50)], 4000) == [(0, "x" * 3900), (1, "y" * 50)]
+    assert passages.whole_budget(0) == 120_000 and passages.whole_budget(5) == 112_000
+    assert [len(x) for x in passages.payload(["p"], [["a" * 70_000], ["b" * 70_000]])] == [1, 60_000, 56_000]
 
 
 def test_components_of_a_path(spark):
@@ -106,12 +111,101 @@ def test_components_of_a_path(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    t = SnapshotTable(spark, f"file://{tmp_path}/t")
-    t.replace(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string"))
-    t.upsert(spark.createDataFrame([(2, "B"), (4, "d")], "id long, v string"), "id", spark.createDataFrame([(3,)], "id long"))
-    assert {tuple(r) for r in t.read().collect()} == {(1, "a"), (2, "B"), (4, "d")} and t.version() == 2
+    t = SnapshotTable(spark, f"file://{tmp_path}/t", "id", buckets=4)
+    t.replace(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "z")], "id long, v string"))
+    before = t._manifest(1)["buckets"]
+    t.upsert(spark.createDataFrame([(2, "B"), (4, "d")], "id long, v string"), spark.createDataFrame([(3,)], "id long"))
+    assert {tuple(r) for r in t.read().collect()} == {(1, "a"), (2, "B"), (4, "d"), (9, "z")} and t.version() == 2
+    touched = {str(r[0]) for r in spark.createDataFrame([(2,), (4,), (3,)], "id long").select(t._bucket()).collect()}
+    after = t._manifest(2)["buckets"]
+    assert all(after[b] == f for b, f in before.items() if b not in touched) and touched != set(before)
+    assert {tuple(r) for r in t.read(1).collect()} == {(1, "a"), (2, "b"), (3, "c"), (9, "z")}
+    with pytest.raises(RuntimeError):
+        t._commit(2, {})  # another writer was first
     t.keep_last(1)
-    assert t.version() == 2
+    assert t.versions() == [2] and t.read().count() == 4
+
+
+def test_files_are_stored_with_all_of_theirs(spark, tmp_path):
+    tables = [SnapshotTable(spark, f"file://{tmp_path}/{n}", "file_id", 4) for n in ("files", "chunks", "postings", "vectors")]
+    chunk = lambda rows: spark.createDataFrame(rows, "chunk_id long, file_id long, text string")
+    vec = lambda rows: spark.createDataFrame(rows, "chunk_id long, file_id long, embedding array<float>")
+    files = lambda ids: spark.createDataFrame([(i,) for i in ids], "file_id long")
+    store_files(*tables, files([1, 2]), chunk([(10, 1, "red fox"), (11, 1, "den"), (20, 2, "red")]), vec([(10, 1, [1.0]), (11, 1, [1.0])]))
+    store_files(*tables, files([1]), chunk([(12, 1, "blue fox")]), vec([(12, 1, [2.0])]), deleted=files([2]))
+    assert [r.file_id for r in tables[0].read().collect()] == [1] and [r.chunk_id for r in tables[1].read().collect()] == [12]
+    assert {r.term for r in tables[2].read().collect()} == {"blue", "fox"} and [r.chunk_id for r in tables[3].read().collect()] == [12]
+    with pytest.raises(ValueError):
+        store_files(*tables, files([3]), chunk([(30, 3, "a"), (31, 3, "b")]), vec([(30, 3, [1.0])]))
+    assert tables[1].version() == 2
+
+
+def test_files_are_read_cut_and_named(spark):
+    long_csv = ("é,1\n" * 40_000).encode()
+    rows = [
+        ("r/MyNote.txt", b"hello world", False, False), ("r/data.csv", long_csv, False, False), ("r/pic", b"\x89PNG\r\n", False, False), ("r/x.bin", b"??", False, False),
+        ("r/c.txt", b"", True, False), ("r/a.app", b"", False, True), ("r/big.txt", b"x" * 5000, False, False),
+    ]
+    df = spark.createDataFrame([(p, p[2:], 10**9 if "big" in p else len(d), c, b, bytearray(d)) for p, d, c, b in rows], "path string, rel_path string, size long, cloud_only boolean, is_dir boolean, content binary")
+    out, chunks = extract.read_files(df, ["text", "image"])
+    got = {r.path: (r.kind, r.plan, r.skip_reason, r.state) for r in out.collect()}
+    assert got["r/MyNote.txt"] == ("text", "extract", None, "indexed") and got["r/pic"] == ("image", "extract", None, "error") and got["r/x.bin"] == ("other", "name_only", None, "indexed")
+    assert got["r/c.txt"][1:3] == ("skip", "cloud_only") and got["r/a.app"][1:3] == ("skip", "bundle") and got["r/big.txt"][1:3] == ("skip", "too_large")
+    by = {}
+    for r in chunks.orderBy("path", "ordinal").collect():
+        by.setdefault(r.path, []).append((r.source, r.text))
+    assert by["r/MyNote.txt"] == [("body", "hello world"), ("filename", "My Note txt")] and set(by) == set(got) and all(c[-1][0] == "filename" for c in by.values())
+    assert sum(len(t.encode()) for s, t in by["r/data.csv"] if s == "body") < 1.3 * extract.PREFIX_BYTES
+    assert extract.data_head(b"ab\ncd\nef", 7) == b"ab\ncd\n" and extract.data_head(b"abcdef", 3) == b"abc"
+    pre = spark.createDataFrame([(bytearray("é1\né2\né3".encode()),)], "c binary").select(extract.data_prefix(F.col("c"), 9).alias("p")).first().p
+    assert bytes(pre) == "é1\né2\n".encode()
+
+
+def test_slow_files_are_errors(monkeypatch):
+    import time
+
+    monkeypatch.setitem(extract._SEAMS, "pdf", lambda path, data: time.sleep(5) or [])
+    assert "over 1 s" in extract.extract_within("a.pdf", "pdf", b"", 1)[0]["error"]
+
+
+def test_globs():
+    hit = lambda g, p: bool(re.match(extract.glob_pattern(g), p, re.S))
+    assert hit("*.[ch]", "a/b.c") and not hit("*.[!ch]", "b.c") and hit("{a,b}/*.txt", "b/x/y.txt") and not hit("{a,b}", "c") and hit("a?c", "a.c") and hit("**/x/**", "x/y")
+    for bad in ("[a", "{a,b"):
+        with pytest.raises(ValueError):
+            extract.glob_pattern(bad)
+
+
+def test_rows_of_boxes(spark):
+    boxes = [("i", 50.0, 0.0, 10.0, "b"), ("i", 0.0, 3.0, 10.0, "a"), ("i", 0.0, 20.0, 10.0, "c"), ("j", 0.0, 0.0, 1.0, "x")]
+    df = spark.createDataFrame(boxes, "image string, x double, y double, height double, text string")
+    assert [(r.text, r.row) for r in extract.reading_order(df).filter("image = 'i'").orderBy("place").collect()] == [("a", 0), ("b", 0), ("c", 1)]
+    assert [r.text for r in extract.ocr_chunks(spark.createDataFrame([("p", "a-b-c"), ("p", "abc 123")], "path string, text string")).collect()] == ["abc 123"]
+
+
+def test_vectors_of_chunks(spark):
+    def make():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad")
+            assert all(t.startswith(embed.PASSAGE) or t.startswith(embed.QUERY) for t in texts)
+            return np.ones((len(texts), 2), np.float32)
+
+        return model
+
+    embed.register_model("prefixed", 2, make)
+    chunks = spark.createDataFrame([(1, 1, "body", "fine"), (2, 1, "filename", "n"), (3, 2, "body", "bad"), (4, 2, "filename", "n")], "chunk_id long, file_id long, source string, text string")
+    vectors, failed = embed.chunk_vectors(chunks, "prefixed")
+    assert sorted(r.chunk_id for r in vectors.collect()) == [1, 2, 4] and [(r.file_id, r.error) for r in failed.collect()] == [(2, "bad")]
+    with pytest.raises(RuntimeError):
+        embed.chunk_vectors(chunks.withColumn("text", F.lit("bad")), "prefixed")
+    queries = spark.createDataFrame([(1, "what"), (2, " ")], "query_id long, query string")
+    got = {r.query_id: (r.text_vector, r.image_vector) for r in embed.query_vectors(queries, "prefixed").collect()}
+    assert got == {1: ([1.0, 1.0], None), 2: (None, None)}
+    embed.register_reranker("length", lambda: lambda query, docs: [float(len(d)) for d in docs])
+    hits = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query_id long, file_id long, rank long")
+    documents = spark.createDataFrame([(5, "abc"), (6, "abcdef")], "file_id long, document string")
+    assert {r.file_id: r.model for r in embed.reranked(hits, documents, queries, "length").collect()} == {5: 3.0, 6: 6.0}
 
 
 def run_stream(spark, tmp_path, build, batches, schema, name):

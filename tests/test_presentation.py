@@ -6,12 +6,18 @@ from trovelens.operators import presentation as p
 
 def test_snippets_and_highlights(spark):
     text = " ".join(f"w{i}" for i in range(30)) + " the Café menú here"
-    df = spark.createDataFrame([(text, ["cafe", "men"]), ("short text", ["text"])], "t string, q array<string>")
-    got = [r[0] for r in df.select(p.snippet(F.col("t"), F.col("q"))).collect()]
-    assert got[0].startswith("...") and f"{p.OPEN}Café{p.CLOSE} {p.OPEN}menú{p.CLOSE}" in got[0]
-    assert len(got[0].split(" ")) == p.WINDOW
-    assert got[1] == f"short {p.OPEN}text{p.CLOSE}"
-    h = df.limit(1).select(p.highlights(F.lit(f"é {p.OPEN}ab{p.CLOSE} c {p.OPEN}d{p.CLOSE}")).alias("h")).first().h
+    plain = lambda t: t.replace(p.OPEN, "[").replace(p.CLOSE, "]")
+    got = plain(p.marked_snippet(text, "cafe men"))
+    assert got.startswith("...") and "[Café] [menú]" in got and len(got.split(" ")) == p.WINDOW and not got.endswith("...")
+    assert plain(p.marked_snippet("short text", "text")) == "short [text]" and p.marked_snippet("nothing here", "else") == "nothing here"
+    # A phrase is one mark; a word of the query that is no phrase of the text is none.
+    assert plain(p.marked_snippet("bar foo, foo bar and foo", "foo-bar x")) == "bar foo, [foo bar] and foo"
+    # Two phrases count more than one that is there twice; a sentence is shown from its beginning.
+    long_ = "red red " + "x " * 20 + "red and blue " + "y " * 20
+    assert "[red] and [blue]" in plain(p.marked_snippet(long_, "red blue"))
+    assert plain(p.marked_snippet("z " * 30 + "end. The one word is here and more of it follows after", "word")).startswith("...The one [word]")
+    assert plain(p.marked_snippet("", "a")) == ""
+    h = spark.range(1).select(p.highlights(F.lit(f"é {p.OPEN}ab{p.CLOSE} c {p.OPEN}d{p.CLOSE}")).alias("h")).first().h
     assert h.text == "é ab c d" and [list(x) for x in h.highlights] == [[3, 5], [8, 9]]
 
 

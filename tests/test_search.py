@@ -1,10 +1,11 @@
 """Retrieval rules on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trovelens.functions import text as fx
-from trovelens.operators import fusion, keyword, rank
+from trovelens.operators import fusion, keyword, rank, vector
 from trovelens.sources import tables
 
 
@@ -43,16 +44,16 @@ def test_boosts(spark):
 
 def small_index(spark, texts):
     chunks = spark.createDataFrame([(i, i // 10, t) for i, t in texts.items()], "chunk_id long, file_id long, text string")
-    return keyword.postings(chunks), keyword.lengths(chunks)
+    return keyword.memory_index(chunks)
 
 
 def test_and_in_one_chunk_last_word_prefix_ties_by_chunk(spark):
-    index, sizes = small_index(spark, {10: "black bean arepas", 11: "black", 12: "arepas bean", 20: "black bean arepas", 30: "blackarepas"})
-    ask = lambda q: [r.chunk_id for r in keyword.bm25(index, sizes, spark.createDataFrame([(1, q)], "query_id int, query string")).orderBy(F.desc("score"), "chunk_id").collect()]
+    index = small_index(spark, {10: "black bean arepas", 11: "black", 12: "arepas bean", 20: "black bean arepas", 30: "blackarepas"})
+    ask = lambda q: [r.chunk_id for r in keyword.bm25(index, spark.createDataFrame([(1, q)], "query_id int, query string")).orderBy(F.desc("score"), "chunk_id").collect()]
     assert ask("black arep") == [10, 20]
     assert ask("arep black") == [] and ask("arepas bla") == [10, 20]
     assert ask("BEÁN") == [12, 10, 20]
-    assert [r.chunk_id for r in keyword.phrase_chunks(index, "bean", "arepas").orderBy("chunk_id").collect()] == [10, 20]
+    assert [r.chunk_id for r in keyword.phrase_chunks(index, "bean arepas").orderBy("chunk_id").collect()] == [10, 20]
 
 
 def test_copies_and_strength(spark):
@@ -86,10 +87,66 @@ def test_chunks_of_very_long_files_are_told_apart(spark, tmp_path):
     docs = [(1, long_), (2, " ".join(["other words"] * 800))]
     spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     chunks = tables.chunks(spark, str(tmp_path)).cache()
-    assert chunks.count() > chunks.select("chunk_id").distinct().count()
-    index, sizes = keyword.postings(chunks), keyword.lengths(chunks)
-    joined = chunks.join(sizes, ["chunk_id", "file_id"])
-    assert joined.count() == chunks.count()
-    ask = lambda q: [r.file_id for r in keyword.bm25(index, sizes, spark.createDataFrame([(1, q)], "query_id int, query string")).collect()]
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() > 1000
+    index = keyword.memory_index(chunks)
+    ask = lambda q: [r.file_id for r in keyword.bm25(index, spark.createDataFrame([(1, q)], "query_id int, query string")).collect()]
     assert set(ask("zebra crossing")) == {1} and set(ask("other words")) == {2}
     assert len(ask("other words")) == chunks.filter("file_id = 2 and text like '%other words%'").count()
+
+
+def test_phrases_are_in_a_row(spark):
+    index = small_index(spark, {1: "foo bar", 2: "bar then foo", 3: "foo x bar", 4: "foo barn and foo bar", 5: "foo  bar."})
+    ask = lambda q: sorted((r.chunk_id, r.tf) for r in keyword.occurrences(index, spark.createDataFrame([(1, q)], "query_id int, query string")).collect())
+    assert ask("foo-bar") == [(1, 1), (4, 2), (5, 1)]  # the last word is a beginning
+    assert ask("foo-bar .") == [(1, 1), (4, 1), (5, 1)] and ask("-- .") == []
+    assert ask("foo-x-bar") == [(3, 1)]
+
+
+def test_meaning_subtracts_the_mean_of_centred_scores(spark):
+    rows = [(1, i, "text", 0.5 + 0.01 * i) for i in range(30)] + [(1, 100 + i, "image", 0.1 + 0.02 * i) for i in range(3)]
+    df = spark.createDataFrame(rows, "query_id int, file_id long, modality string, similarity double")
+    every = sum(r[3] for r in rows) / 33
+    own = {"text": sum(r[3] for r in rows[:30]) / 30, "image": every}
+    d = [r[3] - own[r[2]] for r in rows]
+    mean = sum(d) / 33
+    sd = max((sum((x - mean) ** 2 for x in d) / 33) ** 0.5, rank.SD_FLOOR)
+    got = {r.file_id: r.z for r in rank.meaning_z(df).collect()}
+    assert all(got[r[1]] == pytest.approx((x - mean) / sd) for r, x in zip(rows, d, strict=True))
+    few = df.filter("file_id < 5")
+    assert {round(r.z, 6) for r in rank.meaning_z(few, df.limit(0)).collect()} == {0.0}
+
+
+def test_words_under_the_gate_count_nothing_if_gated(spark):
+    best = spark.createDataFrame([(1, 5, 3.0), (1, 6, 0.5)], "query_id int, file_id long, z double")
+    cov = spark.createDataFrame([(1, 5, 0.25), (1, 6, 0.5)], "query_id int, file_id long, coverage double")
+    q = spark.createDataFrame([(1, "plain words")], "query_id int, query string")
+    score = lambda p: {r.file_id: round(r.score, 6) for r in rank.zfuse(best, cov, q, p).collect()}
+    assert score(rank.ZParams()) == {5: 3.25, 6: round(0.5 + 2 * 0.5**1.5, 6)}
+    assert score(rank.ZParams(words_gated=True)) == {5: 3.0, 6: round(0.5 + 2 * 0.5**1.5, 6)}
+
+
+def test_nearest_neighbours_are_exact_and_ties_go_to_the_smaller_id(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    v = r.integers(0, 3, (500, 4)).astype(float)
+    vectors = spark.createDataFrame([(int(999 - i), int(i), [float(x) for x in v[i]]) for i in range(500)], "chunk_id long, file_id long, embedding array<float>").repartition(3)
+    q = r.integers(0, 3, (7, 4)).astype(float)
+    queries = spark.createDataFrame([(i, [float(x) for x in q[i]]) for i in range(7)], "query_id long, embedding array<float>")
+    for batch in (1000, 2):
+        monkeypatch.setattr(vector, "BATCH_QUERIES", batch)
+        got = {}
+        for row in vector.knn(vectors, queries, 20).orderBy("query_id", F.desc("similarity"), "chunk_id").collect():
+            got.setdefault(row.query_id, []).append(row.chunk_id)
+        for i in range(7):
+            sims = np.round(v @ q[i], 9)
+            assert got[i] == [999 - k for k in sorted(range(500), key=lambda k: (-sims[k], 999 - k))[:20]]
+
+
+def test_search_degrades_to_what_is_there(spark):
+    chunks = spark.createDataFrame([(1, 1, "body", "red fox", None), (2, 2, "body", "blue fox", 3)], "chunk_id long, file_id long, source string, text string, page long")
+    files = spark.createDataFrame([(1, "r", "a.txt", "r/a.txt", 0, "h1"), (2, "r", "b.txt", "r/b.txt", 0, "h2")], "file_id long, root string, file_name string, path string, mtime_ns long, content_hash string")
+    roots = spark.createDataFrame([("r", True, "ok")], "root string, enabled boolean, status string")
+    store = fusion.Store(keyword.memory_index(chunks), chunks, files, roots)
+    q = spark.createDataFrame([(1, "fox"), (2, "  "), (3, "none")], "query_id int, query string")
+    got = fusion.search(q, store, 10**9).collect()
+    assert sorted((r.query_id, r.file_id, r.page, list(r.match_sources)) for r in got) == [(1, 1, None, ["keyword"]), (1, 2, 3, ["keyword"])]
+    assert fusion.search(q, store, 10**9, mode="vector").count() == 0 and fusion.search(q, store, 10**9, limit=0).count() == 0

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovelens.plans.lineage import cut
+
 BATCH, SPAN_LEAST = 16, 64
 #: What text models are told of a text.
 PASSAGE, QUERY = "passage: ", "query: "
@@ -100,6 +102,21 @@ def query_vectors(queries: DataFrame, text: str | None, image: str | None = None
     return out
 
 
+def chunk_vectors(chunks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, failed) of chunks (chunk_id, file_id, source, text) by a registered model, passages told as such.
+
+    A file of which a chunk fails keeps the vector of its name alone and is in error; if that fails too, all stops.
+    """
+    told = chunks.withColumn("text", F.concat(F.lit(PASSAGE), F.coalesce("text", F.lit(""))))
+    made = cut(model_embed(told, "chunk_id", "text", name).join(chunks.select("chunk_id", "file_id", "source"), "chunk_id"))
+    bad = made.filter("error IS NOT NULL")
+    if names := bad.filter("source = 'filename'").select("file_id", "error").limit(1).collect():
+        raise RuntimeError(f"the name of file {names[0][0]} can't be embedded: {names[0][1]}")
+    failed = bad.groupBy("file_id").agg(F.min("error").alias("error"))
+    kept = made.join(failed.select("file_id", F.lit(True).alias("_bad")), "file_id", "left").filter(F.col("_bad").isNull() | (F.col("source") == "filename"))
+    return kept.select("chunk_id", "file_id", "embedding"), failed
+
+
 def model_embed(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """key, embedding, error by a registered model. Rows go in batches of like length; a batch that fails is tried row by row."""
     dim, make = MODELS[name]

@@ -379,7 +379,7 @@ def extracted(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [{"path": p, "ordinal": i, **c} for p, k, d in zip(f["path"], f["kind"], f["content"], strict=True) for i, c in enumerate(extract_within(p, k, bytes(d)))]
-            yield pd.DataFrame(found, columns=columns).astype({c: "Int32" for c in ("ordinal", "page", "line_start", "line_end")})
+            yield pd.DataFrame(found, columns=columns, dtype=object).astype({c: "Int32" for c in ("ordinal", "page", "line_start", "line_end")})
 
     return files.select("path", "kind", "content").mapInPandas(run, CHUNK_SCHEMA)
 

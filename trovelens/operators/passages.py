@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 RRF_K, SEPARATOR, LEAST_LEFT = 60, 2, 200
 PASSAGE_TOTAL, PASSAGE_LEAST, PASSAGE_MOST = 8000, 1200, 4000
-OVERLAP_BYTES, WHOLE_FILE = 2000, 60_000
+OVERLAP_BYTES, WHOLE_FILE, WHOLE_TOTAL, CANDIDATES = 2000, 60_000, 120_000, 5000
 
 
 def budget(n_files: Column) -> Column:
@@ -41,18 +41,23 @@ def clip(text: str, units: int) -> str:
 
 
 def pick(passages: list[tuple[int, str]], most: int) -> list[tuple[int, str]]:
-    """Passages (ordinal, text) in rank order taken until the budget is used; in ordinal order."""
-    left, out = most, []
+    """Passages (ordinal, text) in rank order, trimmed, taken until the budget is used; in ordinal order.
+
+    One that would be cut to less than LEAST_LEFT ends it, unless nothing is taken yet.
+    """
+    used, out = 0, []
     for ordinal, text in passages:
-        room = left - (SEPARATOR if out else 0)
-        size = utf16(text)
-        if size > room:
-            if room < LEAST_LEFT:
-                break
-            out.append((ordinal, clip(text, room)))
+        gap, text = SEPARATOR if out else 0, text.strip()
+        left = max(0, most - used - gap)
+        if out and left < LEAST_LEFT and utf16(text) > left:
             break
+        text = clip(text, left)
+        if not text:
+            continue
+        used += gap + utf16(text)
         out.append((ordinal, text))
-        left = room - size
+        if used >= most:
+            break
     return sorted(out)
 
 
@@ -68,27 +73,66 @@ def picked(ranked_passages: DataFrame, most: int) -> DataFrame:
     return ranked_passages.select("file_id", "ordinal", "place", "text").groupBy("file_id").applyInPandas(run, "file_id long, n_passages long, units long, text string")
 
 
-def without_overlap(before: str, text: str) -> str:
-    """``text`` without its longest beginning, at word bounds, that ``before`` ends with."""
-    tail = before.encode()[-OVERLAP_BYTES:].decode(errors="ignore")
-    for n in range(min(len(tail), len(text)), 0, -1):
-        if tail.endswith(text[:n]) and (n == len(text) or text[n].isspace()) and (n == len(before) or before[-n - 1].isspace()):
-            return text[n:].lstrip()
-    return text
+def overlap(before: str, text: str) -> int:
+    """How much of ``text``'s beginning, at word bounds, ``before`` ends with: OVERLAP_BYTES bytes at most."""
+    sizes = [0]
+    for c in text:
+        sizes.append(sizes[-1] + len(c.encode()))
+    limit = min(sizes[-1], len(before.encode()), OVERLAP_BYTES)
+    for n in range(len(text), 0, -1):
+        if sizes[n] <= limit and before.endswith(text[:n]) and (n == len(text) or text[n].isspace()) and (n == len(before) or before[-n - 1].isspace()):
+            return n
+    return 0
+
+
+def whole(texts: list[str], most: int) -> tuple[str, bool]:
+    """The chunks of a file put together, what they share taken out, ``most`` UTF-16 units, and whether it was cut."""
+    out, used, before = [], 0, None
+    for text in (t.strip() for t in texts):
+        if not text:
+            continue
+        n = overlap(before, text) if before is not None else 0
+        piece = text if before is None else text[n:] if n else "\n\n" + text
+        if utf16(piece) > most - used:
+            out.append(clip(piece, most - used))
+            return "".join(out), True
+        out.append(piece)
+        used, before = used + utf16(piece), text
+    return "".join(out), False
 
 
 def whole_texts(chunks: DataFrame, most: int = WHOLE_FILE) -> DataFrame:
     """file_id, units, cut, text: the chunks of each file put together again."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        parts, before = [], ""
-        for t in f.sort_values("ordinal")["text"]:
-            rest = without_overlap(before, t)
-            if rest:
-                parts.append(rest)
-            before = t
-        text = "\n\n".join(parts)
-        short = clip(text, most)
-        return pd.DataFrame([(int(f["file_id"].iloc[0]), utf16(short), short != text, short)], columns=["file_id", "units", "cut", "text"])
-
-    return chunks.select("file_id", "ordinal", "text").groupBy("file_id").applyInPandas(run, "file_id long, units long, cut boolean, text string")
+        text, cut = whole(f.sort_values("ordinal")["text"].tolist(), most)
+        return pd.DataFrame([(int(f["file_id"].iloc[0]), utf16(text), cut, text)], columns=["file_id", "units", "cut", "text"])
+
+    # Every chunk adds a unit at least: those from ``most`` on can't be in it.
+    some = chunks.select("file_id", "ordinal", "text").filter(F.col("ordinal") < most)
+    return some.groupBy("file_id").applyInPandas(run, "file_id long, units long, cut boolean, text string")
+
+
+def candidates(chunks: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """The chunks that a question may be answered from: text of searchable files, CANDIDATES of a file at most."""
+    from trovelens.operators.keyword import searchable
+
+    usable = files.select("file_id", "root").join(searchable(roots), "root", "left_semi").select("file_id")
+    own = chunks.filter(F.col("source").isin("body", "ocr", "code_symbol")).join(usable, "file_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("ordinal"))
+    return own.withColumn("_nth", nth).filter(F.col("_nth") <= CANDIDATES).drop("_nth")
+
+
+def whole_budget(passage_files: int) -> int:
+    """Units that files sent whole share: what the passages of others leave of WHOLE_TOTAL."""
+    return max(0, WHOLE_TOTAL - passage_files * max(min(PASSAGE_TOTAL // max(passage_files, 1), PASSAGE_MOST), PASSAGE_LEAST))
+
+
+def payload(picked_: list[str], wholes: list[list[str]]) -> list[str]:
+    """What is sent: passages as they are, then each whole file as far as the shared budget goes, in order."""
+    left, out = whole_budget(len(picked_)), list(picked_)
+    for texts in wholes:
+        text, _ = whole(texts, min(WHOLE_FILE, left))
+        left = max(0, left - utf16(text))
+        out.append(text)
+    return out

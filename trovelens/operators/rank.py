@@ -238,3 +238,16 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     rows = before.join(b, before["bucket"] == b["bucket_2"], "full")
     verdict = F.when(F.col("bucket").isNull(), "new").when(F.col("bucket_2").isNull(), "gone").when(F.col("mrr_2") < F.col("mrr") - EPSILON, "regressed").otherwise("fine")
     return rows.select(F.coalesce("bucket", "bucket_2").alias("bucket"), F.round(F.coalesce("mrr_2", F.lit(0.0)) - F.coalesce("mrr", F.lit(0.0)), 6).alias("change"), verdict.alias("verdict"))
+
+
+def nearest_ranks(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and for each name the value at place round(share * (n - 1)) of the values in order.
+
+    Values are counted first, so what is put in one order for a group is its different values, not its rows.
+    """
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(by).orderBy(value)
+    counts = counts.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(Window.partitionBy(by)))
+    at = {name: F.floor(F.lit(share) * (F.col("n") - 1) + 0.5) for name, share in shares.items()}
+    picks = [F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in at.items()]
+    return counts.groupBy(by).agg(*picks)

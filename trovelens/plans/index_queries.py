@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import question_terms, sanitised
-from trovelens.operators import embed, extract, lifecycle, passages
+from trovelens.operators import embed, extract, lifecycle, passages, rank
 from trovelens.plans.index_store import index
 from trovelens.sources import tables as t
 
@@ -279,11 +279,7 @@ def pause_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("nearest_rank_pct", "WITH s AS (SELECT user_id, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY 1) SELECT user_id, v[CAST(floor(0.5 * (n - 1) + 0.5) AS INT) + 1] AS p50, v[CAST(floor(0.95 * (n - 1) + 0.5) AS INT) + 1] AS p95 FROM s")
 def nearest_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t.read(spark, sf_dir, "events").select("user_id", "value", "event_id")
-    w = Window.partitionBy("user_id")
-    rows = e.withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.lit(p) * (F.col("n") - 1) + 0.5), F.col("value")))
-    return rows.groupBy("user_id").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return rank.nearest_ranks(t.read(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value", {"p50": 0.5, "p95": 0.95})
 
 
 _QT = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)"
@@ -296,14 +292,19 @@ def question_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUESTION = "what about the edition of the thing"
-_PR = rf"""{_F}, {t.CHUNKS_SQL}, p0 AS (SELECT file_id, ordinal, text, len(list_filter(['what', 'about', 'the', 'edition', 'thing'], lambda w: contains(lower(text), w))) AS hits,
-  CASE WHEN file_id % 3 > 0 THEN (file_id * 13 + ordinal * 7) % 100 / 100.0::DOUBLE END AS sim FROM chunks WHERE source = 'body'),
+_PR = rf"""{_F}, {_R}, {t.CHUNKS_SQL}, p0 AS (SELECT chunks.file_id, ordinal, chunks.text, len(list_filter(['what', 'about', 'the', 'edition', 'thing'], lambda w: contains(lower(chunks.text), w))) AS hits,
+  CASE WHEN file_id % 3 > 0 THEN (file_id * 13 + ordinal * 7) % 100 / 100.0::DOUBLE END AS sim FROM chunks JOIN files USING (file_id) JOIN roots USING (root) WHERE source IN ('body', 'ocr', 'code_symbol') AND enabled AND status <> 'missing'),
 p1 AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY hits DESC, ordinal) - 1 AS k, row_number() OVER (PARTITION BY file_id ORDER BY sim DESC NULLS LAST, ordinal) - 1 AS m FROM p0),
 p2 AS (SELECT *, round(CASE WHEN hits > 0 THEN 1 / (60.0::DOUBLE + k) ELSE 0 END + CASE WHEN sim IS NOT NULL THEN 1 / (60.0::DOUBLE + m) ELSE 0 END, 9) AS score FROM p1)"""
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = index(spark, sf_dir)
+    return passages.candidates(store.chunks, store.files, store.roots)
+
+
 def _ranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = index(spark, sf_dir).chunks.filter("source = 'body'")
+    c = _candidates(spark, sf_dir)
     rows = c.withColumn("terms", question_terms(F.lit(_QUESTION))).withColumn("sim", F.when(F.col("file_id") % 3 > 0, (F.col("file_id") * 13 + F.col("ordinal") * 7) % 100 / 100.0))
     return passages.ranked(rows, "terms", "sim")
 
@@ -320,7 +321,14 @@ def passage_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("whole_file")
 def whole_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.whole_texts(index(spark, sf_dir).chunks.filter("source = 'body'"))
+    return passages.whole_texts(_candidates(spark, sf_dir))
+
+
+@register("first_text", f"WITH {_F}, {_R}, {t.CHUNKS_SQL} SELECT chunks.file_id, min_by(substr(chunks.text, 1, 80), ordinal) AS text FROM chunks JOIN files USING (file_id) JOIN roots USING (root) WHERE source IN ('body', 'ocr', 'code_symbol') AND trim(chunks.text) <> '' AND enabled AND status <> 'missing' GROUP BY 1")
+def first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a preview of a file shows: the beginning of its first text."""
+    c = _candidates(spark, sf_dir).filter(F.col("text").rlike(r"\S"))
+    return c.groupBy("file_id").agg(F.min_by(F.substring("text", 1, 80), "ordinal").alias("text"))
 
 
 @register("budget_split", "SELECT p_partkey AS id, least(greatest(8000 // greatest(p_partkey % 30, 1), 1200), 4000) AS units FROM part")

@@ -1,56 +1,131 @@
-"""A table as numbered snapshots in a folder: readers see the last whole one, writers add the next."""
+"""A table in a folder that all share: rows by key in buckets, versions that only hold what they changed."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Buckets of a new table; an upsert rewrites the touched ones only.
+BUCKETS = 64
+
 
 class SnapshotTable:
-    """Rows replaced by key. A snapshot is a folder of Parquet that counts once its success mark is there."""
+    """Rows replaced by key (a long).
+
+    A version is a small file that says which folder holds each bucket. It is created last and only if its
+    number is free, so readers see whole versions, and of two writers one is told to try again.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
         self._jvm = spark.sparkContext._jvm
-        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._at("versions")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at("versions"))]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
 
     def version(self) -> int:
-        """The number of the last whole snapshot; 0 if there is none."""
-        if not self._fs.exists(self._root):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
-        whole = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(whole, default=0)
-
-    def read(self) -> DataFrame:
-        n = self.version()
+        """The number of the last version; 0 if there is none."""
+        return max(self.versions(), default=0)
+
+    def _manifest(self, n: int) -> dict:
+        stream = self._fs.open(self._at(f"versions/v{n}.json"))
+        try:
+            return json.loads(str(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
+    def _commit(self, n: int, manifest: dict) -> int:
+        try:
+            stream = self._fs.create(self._at(f"versions/v{n}.json"), False)
+        except Exception as e:  # noqa: BLE001 - the other side's exception type is a Java one
+            raise RuntimeError(f"version {n} of {self.path} was written by another; read it and try again") from e
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        return n
+
+    def read(self, n: int | None = None) -> DataFrame:
+        """The last version, or the n-th."""
+        n = self.version() if n is None else n
         if n == 0:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v{n}")
+        manifest = self._manifest(n)
+        return self._rows(manifest, manifest["buckets"])
+
+    def _rows(self, manifest: dict, buckets: dict) -> DataFrame:
+        from pyspark.sql.types import StructType
+
+        schema = StructType.fromJson(manifest["schema"])
+        paths = [f"{folder}/_bucket={b}" for b, folder in buckets.items()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets))
+
+    def _write(self, rows: DataFrame) -> dict[str, str]:
+        """Write rows in buckets to a folder of their own; which buckets it has."""
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("_bucket", self._bucket())
+        dealt.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(folder))]
+        return {n.partition("=")[2]: folder for n in found if n.startswith("_bucket=")}
 
     def replace(self, rows: DataFrame) -> int:
         """Make ``rows`` the whole table."""
         n = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        return n
+        return self._commit(n, {"schema": json.loads(rows.schema.json()), "buckets": self._write(rows)})
 
-    def upsert(self, rows: DataFrame, key: str, deleted: DataFrame | None = None) -> int:
-        """Rows with a new or known key replace the old ones; keys in ``deleted`` go. Other rows stay."""
-        if self.version() == 0:
+    def upsert(self, rows: DataFrame, deleted: DataFrame | None = None) -> int:
+        """Rows with a new or known key replace all old ones of that key; keys in ``deleted`` go. Other rows stay.
+
+        Only buckets of these keys are read and written again.
+        """
+        n = self.version()
+        if n == 0:
             return self.replace(rows)
-        gone = rows.select(key) if deleted is None else rows.select(key).unionByName(deleted.select(key))
-        return self.replace(self.read().join(gone.distinct(), key, "left_anti").unionByName(rows))
+        manifest = self._manifest(n)
+        gone = rows.select(self.key) if deleted is None else rows.select(self.key).unionByName(deleted.select(self.key))
+        gone = gone.distinct()
+        touched = {str(r[0]) for r in gone.select(self._bucket()).distinct().collect()}  # at most as many as buckets
+        old = self._rows(manifest, {b: f for b, f in manifest["buckets"].items() if b in touched})
+        fresh = self._write(old.join(gone, self.key, "left_anti").unionByName(rows))
+        kept = {b: f for b, f in manifest["buckets"].items() if b not in touched}
+        return self._commit(n + 1, {"schema": manifest["schema"], "buckets": {**kept, **fresh}})
 
     def keep_last(self, n: int = 2) -> None:
-        """Remove older snapshots."""
-        for v in range(1, self.version() - n + 1):
-            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
+        """Remove older versions and the folders that no version needs any more."""
+        versions = self.versions()
+        needed = {f for v in versions[-n:] for f in self._manifest(v)["buckets"].values()}
+        for v in versions[:-n]:
+            for folder in set(self._manifest(v)["buckets"].values()) - needed:
+                self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(folder), True)
+            self._fs.delete(self._at(f"versions/v{v}.json"), False)
+
 
+def store_files(files: SnapshotTable, chunks: SnapshotTable, postings: SnapshotTable, vectors: SnapshotTable, rows: DataFrame, new_chunks: DataFrame, new_vectors: DataFrame, deleted: DataFrame | None = None) -> None:
+    """Put files (file_id, ..) with their chunks, postings and text vectors in place of what was there; files in ``deleted`` go with all of theirs.
 
-def replace_chunks(chunks: SnapshotTable, postings: SnapshotTable, new_chunks: DataFrame, files: DataFrame) -> None:
-    """Put the chunks of ``files`` (file_id) in place of their old ones, and only their postings anew."""
+    Files whose number of vectors is not that of their chunks are an error and nothing is written; files without any
+    vector are fine, as without a text model. Derived tables come first and the files last, so what a reader finds by a
+    file is there.
+    """
     from trovelens.operators.keyword import postings as build
 
-    chunks.upsert(new_chunks, "file_id", files)
-    postings.upsert(build(new_chunks).select(F.col("term"), "chunk_id", "file_id", "tf", "positions"), "file_id", files)
+    n = new_chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("c")).join(new_vectors.groupBy("file_id").agg(F.count(F.lit(1)).alias("v")), "file_id", "full")
+    wrong = n.filter(F.col("v").isNotNull() & ~F.col("c").eqNullSafe(F.col("v"))).select("file_id").limit(5).collect()
+    if wrong:
+        raise ValueError(f"not as many vectors as chunks: {[r[0] for r in wrong]}")
+    old = rows.select("file_id") if deleted is None else rows.select("file_id").unionByName(deleted.select("file_id"))
+    chunks.upsert(new_chunks, old)
+    postings.upsert(build(new_chunks), old)
+    vectors.upsert(new_vectors, old)
+    files.upsert(rows, deleted)
