@@ -37,7 +37,7 @@ def test_office_and_code():
     assert extract.office_pages(deck) == ["s2", "s10"]
     got = extract.code_chunks("import a\n\ndef f():\n    return 1\n\nclass B:\n    pass\n", "py")
     assert [(c["line_start"], c["line_end"]) for c in got] == [(1, 7)]
-    assert extract.extract_one("x.pdf", "pdf", b"%PDF")[0]["error"]
+    assert extract.extract_one("x.png", "image", b"x")[0]["error"]
     assert extract.extract_one("x.docx", "office", b"no zip")[0]["error"]
 
 
@@ -168,6 +168,37 @@ def test_slow_files_are_errors(monkeypatch):
     assert "over 1 s" in extract.extract_within("a.pdf", "pdf", b"", 1)[0]["error"]
 
 
+def test_pdf_pages():
+    import zlib
+
+    draw = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) ) Tj [(wor) -20 (ld)] TJ T* <c9> Tj ET")
+    objects = [b"<< /Type /Catalog >>", b"<< /Type /Pages /Kids [3 0 R 5 0 R] >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Filter /FlateDecode /Length 9 >> stream\n" + draw + b"\nendstream", b"<< /Type /Page /Contents [6 0 R] >>", b"<< /Length 3 >> stream\nBT (two) Tj ET\nendstream"]
+    data = b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj %s endobj" % (k, o) for k, o in enumerate(objects, 1))
+    assert extract.pdf_pages(data) == ["Hello (big) world\nÉ", "two"]
+    got = extract.extract_one("a.pdf", "pdf", data)
+    assert [(c["page"], c["text"]) for c in got] == [(1, "Hello (big) world\nÉ"), (2, "two")]
+    assert extract.extract_one("a.pdf", "pdf", data + b"/Encrypt")[0]["error"] == "ValueError: password"
+
+
+def test_pictures():
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
+    assert extract.image_size(png) == (300, 200) and extract.image_size(b"GIF89a" + bytes([7, 0, 9, 0])) == (7, 9)
+    assert extract.image_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x06\x03") == (6, 5)
+
+    def broken(data):
+        raise RuntimeError
+
+    assert [(c["source"], c["text"]) for c in extract.image_extractor(lambda d: ["http://x", "y"], lambda d: "- a b -")("p", png)] == [("qr", "http://x"), ("qr", "y")]
+    assert [(c["source"], c["text"]) for c in extract.image_extractor(broken, lambda d: "some text")("p", png)] == [("ocr", "some text")]
+    huge = png[:16] + (10**6).to_bytes(4, "big") * 2
+    assert extract.image_extractor()("p", huge) == [{"error": "image_too_large"}]
+    boxes = extract.tiles(300, 200)
+    assert len(boxes) == 4 and boxes[0][:2] == (0, 0) and boxes[-1][2:] == (300, 200)
+    seen = []
+    got = extract.code_payloads("big", 300, 200, lambda p, n: f"{p}/{n}", lambda p, box: "tile", lambda p: seen.append(p) or (["a"] if p == "big/4" else ["a", "b"] if p == "tile" else []))
+    assert got == ["a", "b"] and seen == ["big", "big/2", "big/4", *["tile"] * 4]
+
+
 def test_globs():
     hit = lambda g, p: bool(re.match(extract.glob_pattern(g), p, re.S))
     assert hit("*.[ch]", "a/b.c") and not hit("*.[!ch]", "b.c") and hit("{a,b}/*.txt", "b/x/y.txt") and not hit("{a,b}", "c") and hit("a?c", "a.c") and hit("**/x/**", "x/y")

@@ -13,6 +13,8 @@ def test_skewed_join_is_a_join(spark, monkeypatch):
         want = sorted(map(tuple, many.join(one, ["k"], how).collect()), key=repr)
         got = skew.skewed_join(many, one, ["k"], how)
         assert sorted(map(tuple, got.collect()), key=repr) == want and got.columns == many.join(one, ["k"], how).columns
+    want = sorted(map(tuple, many.join(one, ["k"]).collect()))
+    assert sorted(map(tuple, skew.skewed_join(many.repartition(3), one, ["k"], sizes=many.groupBy("k").agg(F.count("id").alias("n")), spread=["id"]).collect())) == want
     assert skew.skewed_join(many.limit(0), one, ["k"]).count() == 0
 
 

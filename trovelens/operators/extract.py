@@ -9,6 +9,7 @@ import signal
 import threading
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from xml.etree import ElementTree
@@ -202,7 +203,7 @@ _SEAMS: dict[str, Extractor] = {}
 
 
 def register_extractor(kind: str, extractor: Extractor) -> None:
-    """Use ``extractor`` for files of a kind (pdf and image have none of their own)."""
+    """Use ``extractor`` for files of a kind (image has none of its own; see ``image_extractor``)."""
     _SEAMS[kind] = extractor
 
 
@@ -322,6 +323,116 @@ def office_pages(data: bytes) -> list[str]:
         return pages
 
 
+# Pictures: codes before recognised text; what fails costs only its own part.
+
+MOST_PIXELS = 100_000_000
+#: Pictures up to this size are also looked at in tiles.
+TILED_PIXELS, TILES, SCALES = 6_000_000, 2, (1, 2, 4, 8)
+ImageReader = Callable[[bytes], object]
+
+
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of a PNG, GIF, BMP or JPEG file, without decoding it."""
+    if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
+        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if data[:2] == b"BM" and len(data) >= 26:
+        return int.from_bytes(data[18:22], "little"), abs(int.from_bytes(data[22:26], "little", signed=True))
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(data) and data[at] == 0xFF:
+            if data[at + 1] in range(0xC0, 0xD0) and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def tiles(width: int, height: int) -> list[tuple[int, int, int, int]]:
+    """(left, top, right, bottom) of TILES x TILES parts of a picture that overlap by half their size."""
+    w, h = -(-2 * width // (TILES + 1)), -(-2 * height // (TILES + 1))
+    return [(min(i * w // 2, width - w), min(j * h // 2, height - h), min(i * w // 2, width - w) + w, min(j * h // 2, height - h) + h) for j in range(TILES) for i in range(TILES)]
+
+
+def code_payloads(picture, width: int, height: int, scaled: Callable, cropped: Callable, decode: Callable[[object], list[str]]) -> list[str]:
+    """What the codes in a picture say, each once: the first of SCALES at which any is found; small pictures in tiles too.
+
+    ``scaled(picture, n)`` is it n times smaller, ``cropped(picture, box)`` a part of it, ``decode`` a decoder's.
+    """
+    found: list[str] = []
+    for n in SCALES:
+        found = decode(picture if n == 1 else scaled(picture, n))
+        if found:
+            break
+    if width * height <= TILED_PIXELS:
+        for box in tiles(width, height):
+            found = found + decode(cropped(picture, box))
+    return list(dict.fromkeys(found))
+
+
+def image_extractor(codes: Callable[[bytes], list[str]] | None = None, recognise: Callable[[bytes], str] | None = None) -> Extractor:
+    """An extractor of pictures from a reader of codes and one of text, either of which may be absent or fail."""
+
+    def extract(path: str, data: bytes) -> list[dict]:
+        size = image_size(data)
+        if size and size[0] * size[1] > MOST_PIXELS:
+            return [{"error": "image_too_large"}]
+        out = []
+        for source, read in (("qr", codes), ("ocr", recognise)):
+            try:
+                found = read(data) if read else []
+            except Exception:  # noqa: BLE001 - a model that fails costs only its part
+                continue
+            for text in [found] if isinstance(found, str) else found:
+                if source == "qr" or sum(c.isalnum() for c in text) >= OCR_LEAST:
+                    out += [{"source": source, "text": t} for t in greedy_chunks(text)]
+        return out
+
+    return extract
+
+
+# Documents of pages: the texts that the pages' own operators draw, as far as they are in a plain encoding.
+
+_PDF_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|ET)\b|\bT\*|(?<=\s)['\"]", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+    data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """The text of each page of a plain PDF file. Encrypted files are an error of their own; fonts with their own codes are read as they are."""
+    if b"/Encrypt" in data:
+        raise ValueError("password")
+    objects = {int(m[1]): m[2] for m in _PDF_OBJECT.finditer(data)}
+    pages = []
+    for body in objects.values():
+        if not re.search(rb"/Type\s*/Page\b(?!s)", body):
+            continue
+        contents = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        out: list[str] = []
+        for number in re.findall(rb"(\d+)\s+\d+\s+R", contents[1] if contents else b""):
+            part = objects.get(int(number), b"")
+            stream = _PDF_STREAM.search(part)
+            if stream:
+                raw = zlib.decompressobj().decompress(stream[1]) if b"FlateDecode" in part else stream[1]
+                for token in _PDF_TEXT.findall(raw):
+                    if token[:1] in b"(<":
+                        out.append(_pdf_string(token))
+                    elif token in (b"Td", b"TD", b"T*", b"ET", b"'", b'"'):
+                        out.append("\n")
+        pages.append(re.sub(r"\n+", "\n", "".join(out)).strip())
+    return pages
+
+
 def extract_one(path: str, kind: str, data: bytes) -> list[dict]:
     """The chunks of one file; an error becomes a row of its own, never a failed task."""
     try:
@@ -334,8 +445,10 @@ def extract_one(path: str, kind: str, data: bytes) -> list[dict]:
             return [{"source": "body", "text": t, "lang": detect_language(text)} for t in greedy_chunks(text)] if text else []
         if kind == "code":
             return code_chunks(decode_text(data), path.rpartition(".")[2].lower())
-        if kind == "office":
-            return [{"source": "body", "text": t, "page": n} for n, p in enumerate(office_pages(data), 1) if p.strip() for t in greedy_chunks(p)]
+        if kind in ("office", "pdf"):
+            pages = office_pages(data) if kind == "office" else pdf_pages(data)
+            lang = detect_language("\n".join(pages))
+            return [{"source": "body", "text": t, "page": n, "lang": lang} for n, p in enumerate(pages, 1) if p.strip() for t in greedy_chunks(p)]
         return [{"error": f"no extractor for {kind}"}]
     except Exception as e:  # noqa: BLE001 - a broken file is a row with an error
         return [{"error": f"{type(e).__name__}: {e}"[:200]}]

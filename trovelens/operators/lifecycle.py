@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,3 +178,38 @@ def pause_reason(user: Column, available: Column, was_low: Column, battery: Colu
     """user before low_memory before battery; memory is low under LOW_BYTES, and stays so up to HIGH_BYTES; 0 is unknown."""
     low = (available > 0) & ((available < LOW_BYTES) | (was_low & (available < HIGH_BYTES)))
     return F.when(user, "user").when(low, "low_memory").when(battery, "battery")
+
+
+GENERIC = ["document", "scan", "untitled", "file"]
+
+
+def uninformative_name(file_id: Column) -> Column:
+    """A name that says nothing of a file: as a camera's, a hash, a UUID or a generic one, by the id's MD5."""
+    m = F.md5(file_id.cast("string"))
+    h = F.conv(F.substring(m, 1, 7), 16, 10).cast("long")
+    uuid = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    generic = F.concat(F.element_at(F.array(*[F.lit(g) for g in GENERIC]), (F.floor(h / 4) % 4 + 1).cast("int")), F.lit(" ("), (h % 90 + 1).cast("string"), F.lit(")"))
+    stem = F.when(h % 4 == 0, F.concat(F.lit("IMG_"), F.lpad((h % 10_000).cast("string"), 4, "0"))).when(h % 4 == 1, F.substring(m, 1, 12)).when(h % 4 == 2, uuid).otherwise(generic)
+    return F.concat(stem, F.lit(".txt"))
+
+
+def meta_of(rows: DataFrame) -> DataFrame:
+    """One row with ``meta``, the map of (key, value) rows; a few settings of an index."""
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))
+
+
+def meta_set(meta: DataFrame, key: Column, value: Column) -> DataFrame:
+    """``meta`` with one key set."""
+    own = key if isinstance(key, Column) else F.lit(key)
+    return meta.withColumn("meta", F.map_concat(F.map_filter("meta", lambda k, v: k != own), F.map_from_arrays(F.array(own), F.array(value))))
+
+
+@contextmanager
+def pool(spark, name: str) -> Iterator[None]:
+    """Jobs of this thread in a named scheduler pool, so that searches need not wait for indexing (with spark.scheduler.mode FAIR)."""
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)

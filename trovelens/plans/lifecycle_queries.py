@@ -297,3 +297,31 @@ def quota_refund(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = e.filter("event_id % 2 = 0").select("account", "day")
     today = e.agg(F.date_sub(F.max(F.to_date("day")), 7).cast("string")).first()[0]
     return lifecycle.purged(lifecycle.refunded(usage, back.unionByName(back)), today).select("account", "day", "count")
+
+
+_H = "('0x' || substr(md5(file_id::VARCHAR), 1, 7))::INT"
+
+
+@register("renamed_corpus", f"""WITH {t.FILES_SQL}, h AS (SELECT file_id, {_H} AS h, md5(file_id::VARCHAR) AS m FROM files)
+SELECT file_id, CASE h % 4 WHEN 0 THEN 'IMG_' || lpad((h % 10000)::VARCHAR, 4, '0') || '.txt' WHEN 1 THEN substr(m, 1, 12) || '.txt'
+  WHEN 2 THEN substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '.txt' ELSE ['document', 'scan', 'untitled', 'file'][h // 4 % 4 + 1] || ' (' || (h % 90 + 1)::VARCHAR || ').txt' END AS name FROM h""")
+def renamed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files under names that say nothing of them: of cameras, hashes, UUIDs and generic ones, always the same."""
+    return t.files(spark, sf_dir).select("file_id", lifecycle.uninformative_name(F.col("file_id")).alias("name"))
+
+
+@register("meta_values", "WITH e AS (SELECT event_type AS key, event_id, value FROM events), l AS (SELECT key, max_by(value, event_id) AS value FROM e GROUP BY 1) SELECT key, CAST(CASE WHEN key = (SELECT min(key) FROM l) THEN 'set' ELSE round(value, 4)::VARCHAR END AS VARCHAR) = 'set' AS was_set FROM l")
+def meta_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and their last values as a map, one of them set anew."""
+    e = t.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.max_by(F.round("value", 4).cast("string"), "event_id").alias("value"))
+    meta = lifecycle.meta_set(lifecycle.meta_of(e), F.array_min(F.map_keys("meta")), F.lit("set"))
+    return meta.select(F.explode("meta").alias("key", "value")).select("key", (F.col("value") == "set").alias("was_set"))
+
+
+@register("index_status", f"WITH {ROWS_SQL}, c AS (SELECT count(*) FILTER (WHERE state = 'pending' AND enabled AND status IN ('ok', 'watch_failed')) AS pending, count(*) FILTER (WHERE state = 'error') AS errors, count(*) AS files FROM files JOIN roots USING (root)) SELECT pending, errors, files, CASE WHEN pending > 0 THEN 'indexing' ELSE 'idle' END AS state FROM c")
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status that is shown: counts, and paused before scanning before indexing before idle."""
+    f = t.files(spark, sf_dir).select("root", "state").join(t.roots(spark, sf_dir), "root")
+    waiting = (F.col("state") == "pending") & lifecycle.indexable(F.col("enabled"), F.col("status"))
+    counts = f.agg(F.count_if(waiting).alias("pending"), F.count_if(F.col("state") == "error").alias("errors"), F.count(F.lit(1)).alias("files"))
+    return counts.withColumn("state", presentation.index_state(F.lit(False), F.lit(False), F.col("pending")))

@@ -11,13 +11,13 @@ from trovelens.plans.lineage import cut
 SHARE, SALTS, LEAST = 256, 64, 1000
 
 
-def skewed_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+def skewed_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None, spread: list[str] | None = None) -> DataFrame:
     """``many`` joined with ``one`` on ``keys``; ``one`` has a row for each key, or few.
 
     The rows of hot keys are dealt to SALTS places and their row of ``one`` goes to each of these, so no
     task has all rows of a hot key. Which keys are hot is counted, exactly: on ``many``, or given in
     ``sizes`` (the keys and n). ``many`` is read twice and so should be a stored table; its rows are dealt by
-    their place in it. Only hashes of hot keys, fewer than SHARE, come to the driver.
+    their place in it, or, if it is no stored table, by columns that differ within a key (``spread``). Only hashes of hot keys, fewer than SHARE, come to the driver.
     """
     if sizes is None:
         sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -28,7 +28,8 @@ def skewed_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
         return many.join(one, keys, how)
     is_hot = F.xxhash64(*keys).isin(hot)
     none, all_ = F.array(F.lit(0).cast("long")), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    dealt = many.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    place = F.monotonically_increasing_id() if spread is None else F.xxhash64(*spread)
+    dealt = many.withColumn("_salt", F.when(is_hot, F.pmod(place, F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
     each = one.withColumn("_salt", F.explode(F.when(is_hot, all_).otherwise(none)))
     return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
 
