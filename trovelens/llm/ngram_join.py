@@ -364,7 +364,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    return skewed_join(pairs, one, ["a"]).join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    met_ = skewed_join(pairs, one, ["a"])
+    met_ = skewed_join(met_, two, ["b"], sizes=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), spread=["a"])
+    return met_.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sketches(members: DataFrame, sets: DataFrame) -> DataFrame:
