@@ -387,6 +387,22 @@ def sketches(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.select("s", "node").distinct().join(sets, "node").select("s", "node", "own").mapInArrow(run, "s int, node long, size long, sketch binary")
 
 
+def close_stars(stars: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Pairs (a, b) of stars (s, centre, node; stored) whose sketches differ in few enough lanes: these are a tenth of a set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, ka, kb = (batch.column(k) for k in range(6))
+            apart = np.array([int((np.frombuffer(x.as_buffer(), np.uint8) != np.frombuffer(y.as_buffer(), np.uint8)).sum()) for x, y in zip(ka, kb, strict=True)], np.int64)
+            near = pa.array(apart * (DEN + NUM) <= (na.to_numpy() + nb.to_numpy()) * (DEN - NUM), pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], names=["a", "b"])
+
+    one = drawn.select("s", F.col("node").alias("centre"), F.col("size").alias("na"), F.col("sketch").alias("ka"))
+    two = drawn.select("s", "node", F.col("size").alias("nb"), F.col("sketch").alias("kb"))
+    met_ = skewed_join(stars, one, ["s", "centre"]).join(two, ["s", "node"])
+    return _ordered(met_.select("centre", "node", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long"), "a", "b").distinct()
+
+
 def blocks(members: DataFrame, drawn: DataFrame, numbers: DataFrame) -> DataFrame:
     """Members (s, top, node, component) of groups with their sketches, packed in blocks of about BLOCK; ``numbers`` says how many (n_blocks)."""
 
@@ -481,17 +497,20 @@ def linked(docs: DataFrame) -> Linked:
     crowd = cut(hot.select("lane", "s", "node", "n").join(many.select("s", "node", "hot_lanes"), ["s", "node"]))
     tops = crowd.groupBy("lane", "s").agg(F.max(F.struct("hot_lanes", (-F.col("node")).alias("r"), "n")).alias("t")).select("lane", "s", (-F.col("t.r")).alias("top"), F.col("t.n").alias("n_a"))
     groups = cut(skewed_join(crowd, cut(tops), ["lane", "s"]).select("s", "top", "node", "n_a", F.col("n").alias("n_b")).distinct())
-    pairs = cut(pairs.unionByName(_ordered(groups.filter((F.col("top") != F.col("node")) & sizes_fit), "top", "node")).distinct())
+    pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
     sets = cut(candidate_sets(docs, cut(wanted.join(of.select("node", F.col("rep").alias("doc_id"), "fa", "fb"), "node"))))
-    links = cut(verified(pairs, sets))
-    if not groups.isEmpty():
-        links = within_groups(groups, pairs, links, sets)
+    if groups.isEmpty():
+        return Linked(members, of.select("node", "rep", "fa", "fb"), cut(verified(pairs, sets)), alike)
+    drawn = cut(sketches(groups, sets))
+    stars = cut(groups.filter((F.col("top") != F.col("node")) & sizes_fit).select("s", F.col("top").alias("centre"), "node"))
+    pairs = cut(pairs.unionByName(close_stars(stars, drawn)).distinct())
+    links = within_groups(groups, pairs, cut(verified(pairs, sets)), sets, drawn)
     return Linked(members, of.select("node", "rep", "fa", "fb"), links, alike)
 
 
-def within_groups(groups: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """``links`` and those that are left between members of groups (s, top, node, n_a, n_b) whose sets have not met."""
+def within_groups(groups: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``links`` and those that are left between members of groups (s, top, node, n_a, n_b) whose sets have not met; ``drawn`` are their sketches."""
     centres = groups.select("s", "top").distinct().withColumn("node", F.col("top"))
     sizes, before = groups.select("s", "top", "node", F.col("n_b").alias("n")), None
     for _ in range(ROUNDS + 1):
@@ -518,12 +537,11 @@ def within_groups(groups: DataFrame, pairs: DataFrame, links: DataFrame, sets: D
             break
         centres = cut(centres.unionByName(next_.select("s", "top", F.col("centre").alias("node"))))
         stars = skewed_join(known, next_, ["s", "top"]).filter((F.col("node") != F.col("centre")) & (DEN * F.least("n", "n_c") >= NUM * F.greatest("n", "n_c")))
-        stars = cut(_ordered(stars, "node", "centre").distinct().join(pairs, ["a", "b"], "left_anti"))
+        stars = cut(close_stars(cut(stars.select("s", "centre", "node")), drawn).join(pairs, ["a", "b"], "left_anti"))
         pairs, links = pairs.unionByName(stars), cut(links.unionByName(verified(stars, sets)))
     numbers = cut(work.select("s", "top", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
     apart = cut(known.join(apart_by.select("s", "top", "component"), ["s", "top", "component"], "left_semi").select("s", "top", "node", "component"))
     mixed = cut(skewed_join(known, numbers, ["s", "top"], "left_semi").select("s", "top", "node", "component"))
-    drawn = cut(sketches(mixed, sets))
     near = close_in_blocks(blocks(apart, drawn, numbers), blocks(mixed, drawn, numbers), numbers)
     near = cut(near.join(pairs, ["a", "b"], "left_anti"))
     return links.unionByName(verified(near, sets))
