@@ -81,6 +81,8 @@ def test_lines_decide():
     some = clean + "Home\nAll rights reserved.\n"
     kept = quality_rules.measure(some)
     assert kept[6] and "Home" not in kept[8] and "rights" not in kept[8]
+    for line in ("Weiter", "» Zurück", "Lire la suite", "Iniciar sesión", "Alle Rechte vorbehalten.", "Política de privacidad", "Mentions légales"):
+        assert line not in quality_rules.measure(clean + line + "\n")[8], line
     junk = "\n".join(f"what{i}*** ever{i}%%% this{i}$$$ is{i}&&&" for i in range(40))
     assert not quality_rules.measure(junk + "\n" + good)[6]
 

@@ -14,17 +14,26 @@ from trovelens.llm.columns import documents, needed, rows
 
 SYMBOLS = "[#*$%&|<>]"
 SENTENCE = "[.!?:;…。！？]"
-#: Lines that say only this are navigation.
+#: Lines that say only this, in one of four languages, are navigation.
 NAVIGATION = (
     r"^[^A-Za-z]*(home|menu|next|next page|previous|previous page|back|back to top|log ?in|sign ?in|sign ?up|register|"
-    r"search|contact|contact us|about|about us|read more|click here|share|top|skip to content|continue reading)[^A-Za-z]*$"
+    r"search|contact|contact us|about|about us|read more|click here|share|top|skip to content|continue reading|"
+    r"accueil|suivant|page suivante|retour|connexion|rechercher|lire la suite|partager|haut de page|"
+    r"startseite|weiter|zur.ck|nach oben|anmelden|registrieren|suche|kontakt|mehr lesen|weiterlesen|teilen|"
+    r"inicio|siguiente|anterior|volver|volver arriba|iniciar sesi.n|registrarse|buscar|contacto|leer m.s|compartir)[^A-Za-z]*$"
 )
 #: Lines that hold this are boilerplate.
 BOILERPLATE = (
     r"(all rights reserved|terms of (use|service)|privacy policy|cookie|subscribe|javascript|lorem ipsum|"
-    r"licensed under|copyright (\(c\)|©|[0-9]{4}))"
+    r"licensed under|copyright (\(c\)|©|[0-9]{4})|"
+    r"tous droits r.serv|mentions l.gales|politique de confidentialit|conditions d.utilisation|"
+    r"alle rechte vorbehalten|datenschutzerkl|impressum|nutzungsbedingungen|"
+    r"todos los derechos reservados|aviso legal|pol.tica de privacidad|t.rminos de uso)"
 )
-_HINTS = ("rights", "terms of", "policy", "cookie", "subscribe", "script", "lorem", "licen", "copyright")
+_HINTS = (
+    "rights", "terms of", "policy", "cookie", "subscribe", "script", "lorem", "licen", "copyright",
+    "droits", "mentions", "confidentialit", "conditions", "rechte", "datenschutz", "impressum", "nutzungs", "derechos", "aviso", "privacidad", "de uso",
+)
 MIN_WORDS, LONG_LINE, DISTINCT = 50, 10, 4
 
 _SYMBOL, _SENTENCE = re.compile(SYMBOLS), re.compile(SENTENCE)
