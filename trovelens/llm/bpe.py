@@ -17,7 +17,7 @@ from trovelens.llm.columns import documents, needed, rows
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bounds of a worker's memory of words; longer words are never kept.
-WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 50_000, 150_000, 500_000, 64
+WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 50_000, 250_000, 500_000, 64
 #: str.split() parts at these; the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Texts of these characters only are in normal form, have one lower-case letter for each upper-case one and are cut by one pattern.
