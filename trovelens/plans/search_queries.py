@@ -252,7 +252,7 @@ def hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("marked_snippets")
 def marked_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snippets of keyword hits: the text and the byte ranges of the words found. Tested against a slow version."""
+    """The snippets of keyword hits: the text and the byte ranges of the words found. SQL has no such windows; the rule is tested case by case."""
     rows = presentation.rows(_answer(spark, sf_dir), t.search_queries(spark, sf_dir)).filter("in_keyword")
     return rows.select("query_id", "file_id", "snippet", "highlights")
 
