@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trovelens.llm import bpe, chat, exact_dedup, html_text, ngram_join, packing, quality_net, quality_rules, toxicity, warc
+from trovelens.llm import bpe, chat, exact_dedup, html_text, importance, ngram_join, packing, quality_net, quality_rules, toxicity, warc, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_embedding_whitening": whitening.query,
+    "op13_importance_resampling": importance.query,
 }
 ORACLE_SQL = {
     "op4_warc_merkle_audit": warc.ORACLE_SQL,
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op7_chat_formatting": chat.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op13_importance_resampling": importance.ORACLE_SQL,
 }
