@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trovelens.llm import bpe, chat, exact_dedup, html_text, importance, ngram_join, packing, quality_net, quality_rules, toxicity, warc, whitening
+from trovelens.llm import bpe, chat, exact_dedup, html_text, importance, ngram_join, packing, quality_net, quality_rules, simhash, toxicity, warc, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality_rules": quality_rules.query,
     "op11_embedding_whitening": whitening.query,
+    "op12_document_fingerprints": simhash.query,
     "op13_importance_resampling": importance.query,
 }
 ORACLE_SQL = {
