@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -75,6 +76,39 @@ def test_furniture_by_name_goes(name):
     assert "Beside" not in html_text.main_text(f"<body><div>{LONG * 6}</div><div class='{name}'><p>Beside the article, one, two, and three</p></div></body>")
 
 
+@pytest.mark.parametrize("name", ["legal", "restaurant-menu", "legal'><div class='banner"])
+def test_best_container_is_never_dropped_by_name(name):
+    page = f"<body><div class='{name}'>{LONG * 5}</div><div><p>One other paragraph, of some length, with a few more words than that.</p></div></body>"
+    assert html_text.main_text(page).count("Running text") == 5
+    beside = f"<body><article>{LONG * 2}</article><div class='sidebar'>{LONG.replace('Running', 'Beside') * 2}</div></body>"
+    assert html_text.main_text(beside).count("\n") == 1 and "Beside" not in html_text.main_text(beside)
+
+
+def test_siblings_of_a_marked_article():
+    post = f"<div class=post><p>Short lead.</p><article>{LONG * 3}</article><ul><li>x<li>y</ul><table><tr><td>z</table><figure><figcaption>Seen</figcaption></figure><p>End.</p></div>"
+    got = html_text.main_text(AROUND.format(post)).split("\n")
+    assert got[0] == "Short lead." and got[4:] == ["x", "y", "z", "Seen", "End."]
+    social = f"<article>{LONG}<section id='social'><h2>Social life</h2><p>One of two, in here.</p><p>Two of two.</p></section>{LONG}</article>"
+    assert "One of two" in html_text.main_text(AROUND.format(social)) and "Two of two" in html_text.main_text(AROUND.format(social))
+    assert html_text.main_text("<body><p><a href=/x>One linked paragraph.</a></p></body>") == "One linked paragraph."
+    assert html_text.main_text("<body><ul><li><a href=/x>Home</a><li><a href=/y>Away</a></ul></body>") == ""
+
+
+@pytest.mark.parametrize("heading", ["Comments", "12 Comments", "Kommentare (3)", "Leave a reply"])
+def test_comments_without_a_name_go(heading):
+    said = "<p>I, too, think so, and it is a long one, with commas, and of some length.</p>" * 9
+    for page in (f"<article>{LONG * 2}</article><section><h2>{heading}</h2>{said}</section>", f"<article>{LONG * 2}<h3>{heading}</h3>{said}<h3>After</h3>{LONG}</article>", f"<div>{LONG * 2}</div><div><h4>{heading}</h4>{said}</div>"):
+        got = html_text.main_text(AROUND.format(page))
+        assert "too" not in got and got.count("Running text") == page.count("Running text")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</p>" * 50_000, "<div>" * 50_000 + "</zz>" * 50_000, "<p>" + "<x-y>" * 50_000 + "<div>" * 50_000, "<ul><li><ol>" + "<div>" * 50_000 + "<li></li>" * 20_000, "<b>" * 50_000 + "<p>x</i>" * 20_000, "<div class=menu>x" * 50_000])
+def test_time_follows_the_length_of_a_page(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 20  # seconds as a rule; minutes if each end tag looked at all that is open
+
+
 def slow_main_text(html):
     """An independent reading of the generated pages: the blocks of their article element, by the standard library's parser."""
     out, depth, skipped, inside = [[]], 0, [], False

@@ -23,6 +23,7 @@ _TAG = re.compile(
     re.S,
 )
 _NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ID = re.compile(r"""(?:^|(?<=[\s"'/]))id\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HREF = re.compile(r"""(?:^|[\s"'/])href\s*=""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
@@ -51,8 +52,11 @@ _FURNITURE_NAME = re.compile(
 _NEVER_NAME = re.compile(rf"(?:[a-z0-9]+[_-]+)*(?:{_NEVER})(?:[_-]+(?:{_PART}))*", re.I)
 #: Names that say what stands beside or in an element, not what it is.
 _ABOUT = re.compile(r"(?:has|have|having|with|without|no|not|is|hide|show)[_-].*", re.I)
-#: An element that is furniture by its name only but holds this share of the page's text is none.
-MOST_TEXT = 0.9
+#: An element that is furniture by its name only counts so much of its score against the best container outside it.
+DEMOTED = 0.5
+#: Headings of readers' comments: what they head is not the article.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?['’]?\s+)?(?:comments?|replies|responses|leave\s+a\s+(?:comment|reply)|join\s+the\s+(?:conversation|discussion)|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _tokens(attributes: str) -> Iterator[str]:
@@ -65,12 +69,17 @@ def named_furniture(attributes: str) -> bool:
     return any(_FURNITURE_NAME.fullmatch(token) and not _ABOUT.fullmatch(token) for token in _tokens(attributes))
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    """Whether an element is a menu, header, notice, advert or the like by its tag, names or state."""
+def is_furniture(tag: str, attributes: str, within: bool = False) -> bool:
+    """Whether an element is a menu, header, notice, advert or the like by its tag, names or state.
+
+    The id of a section ``within`` an article is the anchor of its heading and says nothing, unless it names what is never the article.
+    """
     if tag in FURNITURE:
         return True
     if not attributes or tag in NAMED_ALIKE:
         return False
+    if within and tag == "section" and not any(_NEVER_NAME.fullmatch(token) for token in _tokens(attributes)):
+        return named_furniture(_ID.sub(" ", attributes)) or bool(_HIDDEN.search(attributes))
     return named_furniture(attributes) or bool(_HIDDEN.search(attributes))
 
 
@@ -85,9 +94,12 @@ class Page:
         #: Open elements that are furniture by name only, and how many others are furniture.
         self.walls: list[int] = []
         self.hard = 0
-        #: Characters of text: kept, and by where the elements begin that are furniture by name only; those of _NEVER aside.
-        self.kept, self.held, self.never = 0, {}, set()
+        #: Where elements begin that are furniture by name only and have text; those of _NEVER aside.
+        self.soft, self.never = set(), set()
         self.tag, self.parent, self.furniture = ["#"], [-1], [False]
+        #: By name, the places of open elements in ``open``; the places of those that are no inline elements.
+        self.at: dict[str, list[int]] = {}
+        self.blocky: list[int] = []
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
         self.parts: list[str] = []
@@ -134,10 +146,11 @@ class Page:
 
     def _text(self, text: str) -> None:
         if self.dropped and self.walls and not self.hard:
-            for node in self.walls:
-                self.held[self.begins[node]] = self.held.get(self.begins[node], 0) + len(text)
+            for node in reversed(self.walls):
+                if self.begins[node] in self.soft:
+                    break
+                self.soft.add(self.begins[node])
         elif not self.dropped:
-            self.kept += len(text)
             if "&" in text:
                 text = unescape(text)
             self.parts.append(text)
@@ -177,7 +190,8 @@ class Page:
             self._end(*ENDS[name])
         if name in self.wraps:
             self._wrapped(name, attributes)
-        self._push(name, self.begin not in self.spared and is_furniture(name, attributes), attributes)
+        within = bool(self.at.get("article") or self.at.get("main"))
+        self._push(name, self.begin not in self.spared and is_furniture(name, attributes, within), attributes)
 
     def _wrapped(self, name: str, attributes: str) -> None:
         """Note an article or main, and the elements that are furniture by name only and hold it."""
@@ -191,16 +205,17 @@ class Page:
                 noted.add(self.begins[k])
 
     def spare(self) -> frozenset:
-        """Where the furniture begins that holds the page's main element, its only articles, or nearly all of its text."""
-        whole = self.kept + sum(n for at, n in self.held.items() if at not in self.never)
-        most = {at for at, n in self.held.items() if at not in self.never and n > MOST_TEXT * whole}
-        return frozenset(most | (self.wraps["main"] or (set() if self.article else self.wraps["article"])))
+        """Where the furniture by name begins that holds the page's main element, or its only articles."""
+        return frozenset(self.wraps["main"] or (set() if self.article else self.wraps["article"]))
 
     def _push(self, name: str, furniture: bool, attributes: str) -> None:
         self.tag.append(name)
         self.parent.append(self.open[-1])
         self.furniture.append(furniture)
         self.begins.append(self.begin)
+        self.at.setdefault(name, []).append(len(self.open))
+        if name not in INLINE:
+            self.blocky.append(len(self.open))
         self.open.append(len(self.tag) - 1)
         if furniture:
             if name in FURNITURE or _HIDDEN.search(attributes):
@@ -212,14 +227,14 @@ class Page:
         if self.dropped or furniture:
             self.dropped += 1
 
+    def _last(self, names) -> int:
+        """The place of the last open element of these names; 0 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
     def _end(self, names: set, bounds: set) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[k]]
-            if tag in names:
-                self._pop(k)
-                return
-            if tag in bounds:
-                return
+        k = self._last(names)
+        if k > self._last(bounds):
+            self._pop(k)
 
     def _pop(self, k: int) -> None:
         if not self.dropped and self.tag[self.open[k]] not in ("td", "th"):
@@ -230,6 +245,9 @@ class Page:
                 self.walls.pop()
             elif self.furniture[node]:
                 self.hard -= 1
+            self.at[self.tag[node]].pop()
+        while self.blocky and self.blocky[-1] >= k:
+            self.blocky.pop()
         del self.open[k:]
         if self.link and k < self.link[0]:
             self._end_link()
@@ -241,39 +259,95 @@ class Page:
             if not self.dropped:
                 self.parts.append(" ")
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[k]]
-            if tag == name:
-                self._pop(k)
-                return
-            if name in INLINE and name not in ("td", "th") and tag not in INLINE:
-                return
+        k = self._last((name,))
+        if k and (name not in INLINE or name in ("td", "th") or not self.blocky or self.blocky[-1] < k):
+            self._pop(k)
 
-    def text(self) -> str:
+    def _points(self, of: list[int] | None = None) -> tuple[list, list, list]:
+        """Score, characters and characters in links by element; with ``of``, the wall that each is in, no points leave a wall."""
         n = len(self.tag)
         score, chars, linked = [0.0] * n, [0] * n, [0] * n
         for node, text, link in self.blocks:
             chars[node] += len(text)
             linked[node] += link
             points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - link / len(text))
-            above = self.parent[node] if self.tag[node] in PARAGRAPHS else node
+            above = self.parent[node] if self.tag[node] in PARAGRAPHS and (of is None or of[self.parent[node]] == of[node]) else node
             share = 1.0
             for level in range(5):
-                if above < 0:
+                if above < 0 or of is not None and of[above] != of[node]:
                     break
                 score[above] += points * share
                 above, share = self.parent[above], 1 / (2 + 3 * level)
         for k in range(n - 1, 0, -1):
             chars[self.parent[k]] += chars[k]
             linked[self.parent[k]] += linked[k]
-        best, most = -1, 0.0
         for k in range(n):
             if score[k] > 0:
                 score[k] = (score[k] + BONUS.get(self.tag[k], 0.0)) * (1 - linked[k] / max(chars[k], 1))
-                if score[k] > most:
-                    best, most = k, score[k]
-        if best < 0:
-            return ""
+        return score, chars, linked
+
+    def best_walls(self, walls: set[int]) -> set[int]:
+        """Where those of ``walls`` (this page was read with all of them spared) begin that hold the best container in any of them, if it is still the best one demoted."""
+        of = [-1] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            of[k] = of[self.parent[k]] if of[self.parent[k]] >= 0 else self.begins[k] if self.begins[k] in walls else -1
+        score, _, _ = self._points(of)
+        outside, best, k = 0.0, 0.0, -1
+        for at, v in enumerate(score):
+            if of[at] < 0:
+                outside = max(outside, v)
+            elif v > best:
+                best, k = v, at
+        if DEMOTED * best <= outside:
+            return set()
+        chain = set()
+        while k > 0:
+            chain.add(self.begins[k])
+            k = self.parent[k]
+        return chain & walls
+
+    def _comments(self) -> list[bool]:
+        """By element, whether it is under a heading of readers' comments: all of the heading's section, or what follows it up to the next heading that is no lower."""
+        n = len(self.tag)
+        gone = [False] * n
+        headed = {node for node, text, _ in self.blocks if self.tag[node] in HEADINGS and _COMMENTS.fullmatch(text)}
+        if not headed:
+            return gone
+        first: dict[int, int] = {}
+        below: dict[int, list[int]] = {}
+        for node, _, _ in self.blocks:
+            k = node
+            while k > 0 and k not in first:
+                first[k] = node
+                k = self.parent[k]
+        for k in range(1, n):
+            below.setdefault(self.parent[k], []).append(k)
+        for node in headed:
+            above = self.parent[node]
+            if first.get(above) == node and self.tag[above] not in ("body", "html", "main", "article", "#"):
+                gone[above] = True
+                continue
+            level, after = self.tag[node], False
+            for k in below[above]:
+                if k == node:
+                    after = gone[k] = True
+                elif after and self.tag[k] in HEADINGS and self.tag[k] <= level:
+                    break
+                elif after:
+                    gone[k] = True
+        for k in range(1, n):
+            gone[k] = gone[k] or gone[self.parent[k]]
+        return gone
+
+    def text(self) -> str:
+        gone = self._comments()
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
+        n = len(self.tag)
+        score, chars, linked = self._points()
+        most = max(score)
+        if most <= 0:  # all is links: what stands in paragraphs and headings, but no list of links
+            return "\n".join(text for node, text, _ in self.blocks if self.tag[node] == "p" or self.tag[node] in HEADINGS)
+        best = score.index(most)
         core, top, marked = self._article(best, chars, linked)
         path = set()
         k = self.parent[core]
@@ -289,7 +363,8 @@ class Page:
             elif above >= 0 and kept[above]:
                 kept[k] = k in path or above not in path or linked[k] <= 0.5 * chars[k]
             elif above == self.parent[top]:
-                kept[k] = self._running(k, score, chars, linked, most) if marked else chars[k] > 0 and linked[k] <= 0.5 * chars[k]
+                strict = marked and self.tag[self.parent[top]] in ("body", "html", "#")
+                kept[k] = self._running(k, score, chars, linked, most) if strict else chars[k] > 0 and linked[k] <= 0.5 * chars[k]
         return "\n".join(text for node, text, _ in self.blocks if kept[node])
 
     def _article(self, best: int, chars: list, linked: list) -> tuple[int, int, bool]:
@@ -326,6 +401,12 @@ def main_text(html: str) -> str:
     """The article of a page: its blocks in page order, one line each; empty if there is none."""
     page = Page(html)
     spare = page.spare()
+    walls = page.soft - page.never - spare
+    while walls:  # what is spared at least doubles what others are measured against
+        found = Page(html, spare | walls).best_walls(walls)
+        if not found:
+            break
+        spare, walls = spare | found, walls - found
     return (Page(html, spare) if spare else page).text()
 
 
