@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are Python objects at once. Spark bounds a batch's bytes itself
 #: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so very long texts come few at a time.
@@ -21,6 +22,11 @@ def needed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def folded(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that none clashes with names of ours; ``select("x.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of SLICE_ROWS rows at most; empty ones are left out. No session setting is touched."""
     for batch in batches:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trovelens.llm.columns import folded
 from trovelens.plans.lineage import cut
 from trovelens.plans.skew import skewed_join
 
@@ -109,23 +110,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     one id and equal texts one stays, whichever it is. Null and empty texts are equal. Other columns
     are carried whatever their names; an empty table gives an empty result. Texts move in one join.
     """
-    groups = cut(exact_groups(docs).select(F.col("doc_id").alias("_stays"), "kept", F.col("text_sha256").alias("_digest")))
-    own = groups.groupBy("_stays", "_digest").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_times"))
-    own = cut(own)
+    groups = cut(exact_groups(docs).select(F.col("doc_id").alias("stays"), "kept", F.col("text_sha256").alias("digest")))
+    own = cut(groups.groupBy("stays", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")))
     # As a rule no id repeats; then the id alone says which rows stay, and texts need not be hashed again.
-    repeated = own.groupBy("_stays").agg(F.sum("_times").alias("n")).filter("n > 1").select("_stays")
-    repeated = cut(repeated)
-    kept = own.filter("_kept").select("_stays", "_digest")
+    repeated = cut(own.groupBy("stays").agg(F.sum("times").alias("n")).filter("n > 1").select("stays"))
+    kept = own.filter("kept").select("stays", "digest")
+    rows = docs.select(folded(docs).alias("whole"), F.col("doc_id").alias("id"), F.col("text").alias("said"))
     if repeated.isEmpty():
-        return docs.join(kept.select("_stays"), docs["doc_id"].eqNullSafe(kept["_stays"]), "left_semi")
+        return rows.join(kept, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("whole.*")
     # Null-safe anti and semi joins by another name of the id.
-    again = repeated.withColumnRenamed("_stays", "_again")
-    once = kept.join(again, kept["_stays"].eqNullSafe(again["_again"]), "left_anti").select("_stays")
-    single = docs.join(once, docs["doc_id"].eqNullSafe(once["_stays"]), "left_semi")
-    many = docs.join(again, docs["doc_id"].eqNullSafe(again["_again"]), "left_semi")
-    many = many.withColumn("_own", F.sha2(normalised(docs["text"]), 256))
-    many = many.join(kept, many["doc_id"].eqNullSafe(kept["_stays"]) & (many["_own"] == kept["_digest"]), "left_semi")
-    return single.unionByName(many.dropDuplicates(["doc_id", "_own"]).drop("_own"))
+    again = repeated.withColumnRenamed("stays", "again")
+    once = kept.join(again, F.col("stays").eqNullSafe(F.col("again")), "left_anti").select("stays")
+    single = rows.join(once, F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    many = rows.join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi")
+    many = many.select("whole", "id", F.sha2(normalised(F.col("said")), 256).alias("own"))
+    many = many.join(kept, F.col("id").eqNullSafe(F.col("stays")) & (F.col("own") == F.col("digest")), "left_semi")
+    return single.select("whole.*").unionByName(many.dropDuplicates(["id", "own"]).select("whole.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

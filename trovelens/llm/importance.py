@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, slices
+from trovelens.llm.columns import documents, folded, needed, slices
 from trovelens.plans.lineage import cut
 from trovelens.plans.skew import numbered
 
@@ -207,7 +207,7 @@ def resampled(docs: DataFrame, target: DataFrame, params: Params = DEFAULT) -> D
     Rows of one id are drawn together if any of them is. Edge cases are as in ``drawn``.
     """
     ids = drawn(docs, target, params).filter("rank IS NOT NULL").select(F.struct(F.col("doc_id")).alias("key")).distinct()
-    own = docs.select(F.struct(F.col("doc_id")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+    own = docs.select(F.struct(F.col("doc_id")).alias("key"), folded(docs).alias("whole"))
     return own.join(ids, own["key"].eqNullSafe(ids["key"]), "left_semi").select("whole.*")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from trovelens.llm.columns import documents, needed, rows, slices
+from trovelens.llm.columns import documents, folded, needed, rows, slices
 from trovelens.plans.components import components
 from trovelens.plans.lineage import cut
 from trovelens.plans.skew import skewed_join
@@ -578,15 +578,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """``docs`` and _fa, _fb, the fingerprint of each row's set."""
+    """(whole, id, fa, fb): each row of ``docs`` as a struct, its id, and the fingerprint of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints = [fingerprint(shingles(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            columns = [*batch.columns, pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_fa", "_fb"])
+            prints = [fingerprint(shingles(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int32())], names=["whole", "id", "fa", "fb"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fa", LongType()), StructField("_fb", IntegerType())]))
+    rows_ = docs.select(folded(docs).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("said"))
+    return rows_.mapInArrow(run, StructType([rows_.schema["whole"], rows_.schema["id"], StructField("fa", LongType()), StructField("fb", IntegerType())]))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -597,17 +597,22 @@ def representatives(docs: DataFrame) -> DataFrame:
     one id and different texts are told apart. An empty table gives an empty result.
     """
     found = cut(grouped(docs))
-    stay = found.filter("component_id <=> doc_id AND first").select(F.col("doc_id").alias("_stays"), F.col("fa").alias("_a"), F.col("fb").alias("_b"), F.col("n_shingles").alias("_n"))
-    repeated = cut(found.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_again"))
+    stay = found.filter("component_id <=> doc_id AND first").select(F.col("doc_id").alias("stays"), F.col("fa").alias("of_a"), F.col("fb").alias("of_b"))
+    repeated = cut(found.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("again"))
+
+    def semi(ids: DataFrame, name: str) -> DataFrame:
+        rows_ = docs.select(folded(docs).alias("whole"), F.col("doc_id").alias("id"))
+        return rows_.join(ids.select(name), F.col("id").eqNullSafe(F.col(name)), "left_semi").select("whole.*")
+
     if repeated.isEmpty():
-        return docs.join(stay.select("_stays"), docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
-    once = stay.join(repeated, stay["_stays"].eqNullSafe(repeated["_again"]), "left_anti").select("_stays")
-    single = docs.join(once, docs["doc_id"].eqNullSafe(once["_stays"]), "left_semi")
-    many = fingerprinted(docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_again"]), "left_semi"))
-    many = cut(many.join(stay, many["doc_id"].eqNullSafe(stay["_stays"]) & (many["_fa"] == stay["_a"]) & (many["_fb"] == stay["_b"]), "left_semi"))
+        return semi(stay, "stays")
+    once = stay.join(repeated, F.col("stays").eqNullSafe(F.col("again")), "left_anti")
+    many = fingerprinted(semi(repeated, "again"))
+    many = cut(many.join(stay, F.col("id").eqNullSafe(F.col("stays")) & (F.col("fa") == F.col("of_a")) & (F.col("fb") == F.col("of_b")), "left_semi"))
     none = fingerprint(np.zeros(0, np.uint64))
-    blank = (F.col("_fa") == none[0]) & (F.col("_fb") == none[1]) | F.col("doc_id").isNull()
-    return single.unionByName(many.filter(blank).drop("_fa", "_fb")).unionByName(many.filter(~blank).dropDuplicates(["doc_id", "_fa", "_fb"]).drop("_fa", "_fb"))
+    blank = (F.col("fa") == none[0]) & (F.col("fb") == none[1]) | F.col("id").isNull()
+    several = many.filter(blank).unionByName(many.filter(~blank).dropDuplicates(["id", "fa", "fb"]))
+    return semi(once, "stays").unionByName(several.select("whole.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
