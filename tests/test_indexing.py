@@ -104,6 +104,13 @@ def test_passages():
     assert [len(x) for x in passages.payload(["p"], [["a" * 70_000], ["b" * 70_000]])] == [1, 60_000, 56_000]
 
 
+def test_components_of_a_hub(spark):
+    """A hub and a giant component hold most rows of every join."""
+    links = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000, 9001), (9001, 9000), (9002, 9002), (2999, 5020)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {**{i: 0 for i in [*range(3000), *range(5000, 5041)]}, 9000: 9000, 9001: 9000}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
