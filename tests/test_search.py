@@ -150,3 +150,27 @@ def test_search_degrades_to_what_is_there(spark):
     got = fusion.search(q, store, 10**9).collect()
     assert sorted((r.query_id, r.file_id, r.page, list(r.match_sources)) for r in got) == [(1, 1, None, ["keyword"]), (1, 2, 3, ["keyword"])]
     assert fusion.search(q, store, 10**9, mode="vector").count() == 0 and fusion.search(q, store, 10**9, limit=0).count() == 0
+
+
+def test_promising_blocks_give_the_same_best(spark, monkeypatch):
+    """With few blocks read first, and many to leave out, the best of each query are those of scoring all."""
+    r = np.random.default_rng(11)
+    words = ["alpha", "alpine", "beta", "beth", "gamma", "delta", "rare"]
+    texts = [" ".join(r.choice(words, size=r.integers(1, 30), p=[0.3, 0.05, 0.3, 0.05, 0.2, 0.09, 0.01])) for _ in range(600)]
+    chunks = spark.createDataFrame([(i * 10, i, t) for i, t in enumerate(texts)], "chunk_id long, file_id long, text string")
+    index = keyword.memory_index(chunks)
+    queries = spark.createDataFrame(enumerate(["alpha beta .", "beta al", "alpha-beta gamma .", "rare gamma .", "gamm", "alphab x", "delta gamma-d"]), "query_id int, query string")
+    usable = spark.createDataFrame([(i,) for i in range(600) if i % 7], "file_id long")
+    whole = keyword.bm25(index, queries, usable).collect()
+    assert len({x.query_id for x in whole}) == 6
+    monkeypatch.setattr(keyword, "BLOCK_FILES", 3)
+    monkeypatch.setattr(keyword, "FIRST_BLOCKS", 5)
+    index = keyword.memory_index(chunks)
+    asked = keyword.asked_words(index, queries)
+    blocks = keyword.promising(index, asked).count()
+    for depth in (1, 10, 200):
+        got = keyword.bm25(index, queries, usable, depth).collect()
+        for q in range(7):
+            order = lambda rows: sorted(((x.score, x.chunk_id) for x in rows if x.query_id == q), key=lambda p: (-p[0], p[1]))[:depth]  # noqa: E731, B023
+            assert order(got) == order(whole)
+    assert blocks > 200 and len(keyword.bm25(index, queries, usable, 1).collect()) < len(whole)

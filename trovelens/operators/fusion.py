@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import is_opaque_name, match_words
-from trovelens.operators.keyword import LIST_LIMIT, KeywordIndex, fetch_rows, first_per_file, held, keyword_list, searchable
+from trovelens.operators.keyword import HELD_HITS, LIST_LIMIT, KeywordIndex, fetch_rows, first_per_file, held, keyword_list, searchable
 from trovelens.operators.vector import BATCH_QUERIES, IMAGE_FLOOR, knn
 
 RRF_K = 60
@@ -20,7 +20,11 @@ MODES = {"hybrid": ("keyword", "text", "image"), "keyword": ("keyword",), "vecto
 
 
 class Store(NamedTuple):
-    """What a search reads: the keyword index, chunks, files, roots, and vectors (chunk_id, file_id, embedding), either of which may be absent."""
+    """What a search reads: the keyword index, chunks, files, roots, and vectors (chunk_id, file_id, embedding), either of which may be absent.
+
+    Stored vectors also have their file's root, and mute: whether they are of a name chunk whose name has no word in it. What is found then
+    says so itself, and neither files nor chunks are looked up for it.
+    """
 
     keyword: KeywordIndex
     chunks: DataFrame
@@ -32,14 +36,31 @@ class Store(NamedTuple):
 
 def of_searchable(near: DataFrame, store: Store) -> DataFrame:
     """Rows whose file is in a searchable root."""
-    kept = near.join(store.files.select("file_id", "root"), "file_id").join(searchable(store.roots), "root", "left_semi")
-    return kept.drop("root")
+    if "root" not in near.columns:
+        near = near.join(store.files.select("file_id", "root"), "file_id")
+    return near.join(searchable(store.roots), "root", "left_semi").drop("root")
+
+
+def mute(source: Column, file_name: Column) -> Column:
+    """Whether a chunk is a name that has no word in it."""
+    return (source == "filename") & is_opaque_name(file_name)
 
 
 def speaking(near: DataFrame, store: Store) -> DataFrame:
     """Rows (chunk_id, file_id, ..) without the name chunks of names that have no word in them."""
+    if "mute" in near.columns:
+        return near.filter(~F.col("mute")).drop("mute")
     known = near.join(store.chunks.select("chunk_id", "source"), "chunk_id").join(store.files.select("file_id", "file_name"), "file_id")
-    return known.filter((F.col("source") != "filename") | ~is_opaque_name(F.col("file_name"))).drop("source", "file_name")
+    return known.filter(~mute(F.col("source"), F.col("file_name"))).drop("source", "file_name")
+
+
+def vectors_told(vectors: DataFrame, files: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """``vectors`` with root, and mute if they are of ``chunks``: what a stored vector table has."""
+    known = vectors.join(files.select("file_id", "root", "file_name"), "file_id")
+    if chunks is None:
+        return known.drop("file_name")
+    known = known.join(chunks.select("chunk_id", "source"), "chunk_id")
+    return known.withColumn("mute", mute(F.col("source"), F.col("file_name"))).drop("source", "file_name")
 
 
 def text_list(store: Store, queries: DataFrame, limit: int = LIST_LIMIT, fetch: int | None = None) -> DataFrame:
@@ -110,7 +131,8 @@ def recency_boost(mtime_ns: Column, now_s: int) -> Column:
 
 def boosted(fused: DataFrame, queries: DataFrame, files: DataFrame, now_s: int) -> DataFrame:
     """Scores times boosts, ranked from 1: ties keep the fused order, then the smaller file."""
-    rows = fused.join(queries.select("query_id", "query"), "query_id").join(files.select("file_id", "file_name", "path", "mtime_ns", "content_hash"), "file_id")
+    # What was found is held, so files are read where they are.
+    rows = files.select("file_id", "file_name", "path", "mtime_ns", "content_hash").join(held(fused, HELD_HITS), "file_id").join(queries.select("query_id", "query"), "query_id")
     score = F.round(F.col("rrf") * filename_boost(F.col("query"), F.col("file_name")) * recency_boost(F.col("mtime_ns"), now_s), 9)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.round("rrf", 9)), "file_id")
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order).cast("long"))
@@ -147,8 +169,12 @@ def strong_first(hits: DataFrame) -> DataFrame:
 
 def detailed(hits: DataFrame, store: Store) -> DataFrame:
     """Hits with source, page and text of their best chunk, and match_sources."""
+    hits = held(hits, HELD_HITS)
     own = store.chunks.select("chunk_id", "source", "page", F.col("text").alias("chunk_text"))
-    return hits.join(own, "chunk_id", "left").withColumn("match_sources", match_sources())
+    found = own.join(hits.filter("chunk_id IS NOT NULL"), "chunk_id")
+    # A picture has no chunk.
+    without = hits.filter("chunk_id IS NULL").select("*", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns[1:]])
+    return found.unionByName(without).withColumn("match_sources", match_sources())
 
 
 def search(queries: DataFrame, store: Store, now_s: int, limit: int = 10, mode: str = "hybrid") -> DataFrame:

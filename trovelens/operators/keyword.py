@@ -1,4 +1,10 @@
-"""Keyword retrieval: a stored index, AND of phrases in one chunk with a last-word prefix, BM25, first hit of each file."""
+"""Keyword retrieval: a stored index, AND of phrases in one chunk with a last-word prefix, BM25, first hit of each file.
+
+A batch is answered from its rarest words on. How many chunks have a word or a short beginning is stored, so each query
+begins with the postings of its rarest word; of the others only what stands in those chunks goes on. Blocks of files
+carry the most that a term can count in them: blocks that lack a word are left out, and where there are more
+blocks than are needed, the most promising ones are read first and others only if they can still reach the result.
+"""
 
 from __future__ import annotations
 
@@ -14,23 +20,63 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LIST_LIMIT, FETCH_FACTOR, FETCH_LEAST = 100, 5, 50
 #: Terms that a lookup names to the scan one by one at most, and ranges of terms that it names otherwise.
 NAMED_TERMS, NAMED_RANGES = 20_000, 64
+#: Rows of hits that are held as a local table at most (some 10 MB), so that they and not what they are looked up in move.
+HELD_HITS = 200_000
+#: Beginnings of up to so many letters are counted when an index is built; files of one block; blocks of a query that are read first.
+COUNTED, BLOCK_FILES, FIRST_BLOCKS = 4, 256, 64
 
 
 class KeywordIndex(NamedTuple):
     """postings: term, chunk_id, file_id, tf, n_tokens, positions, stored in the order of terms; vocabulary: term, n_chunks;
+    prefixes: prefix, n_chunks of the beginnings of up to COUNTED letters; blocks: term, block, most_tf, least_tokens;
     chunks and average: the number of chunks and their average length."""
 
     postings: DataFrame
     vocabulary: DataFrame
+    prefixes: DataFrame
+    blocks: DataFrame
     chunks: int
     average: float
 
 
+def block_of(file_id: Column) -> Column:
+    return F.floor(file_id / BLOCK_FILES)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, file_id, tf, n_tokens, positions. Built once and stored; queries never tokenise texts."""
+    """term, chunk_id, file_id, tf, n_tokens, positions. Built once and stored; queries never tokenise texts.
+
+    A chunk's words are sorted and counted in its own row, so nothing is exchanged.
+    """
     t = chunks.select("chunk_id", "file_id", tokens(F.col("text")).alias("t"))
-    t = t.select("chunk_id", "file_id", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "term"))
-    return t.groupBy("term", "chunk_id", "file_id", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    sorted_ = F.sort_array(F.transform("t", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+    t = t.select("chunk_id", "file_id", F.size("t").alias("n_tokens"), sorted_.alias("s"))
+    every = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.col("n_tokens") - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(every, lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+    t = t.select("chunk_id", "file_id", "n_tokens", "s", first.alias("first"))
+    runs = F.transform(
+        "first",
+        lambda a, k: F.struct(F.get("s", a)["term"].alias("term"), F.transform(F.sequence(a, F.coalesce(F.get("first", k + 1), F.col("n_tokens")) - 1), lambda j: F.get("s", j)["pos"]).alias("positions")),
+    )
+    rows = t.select("chunk_id", "file_id", "n_tokens", F.explode(runs).alias("r"))
+    return rows.select("r.term", "chunk_id", "file_id", "n_tokens", F.size("r.positions").alias("tf"), "r.positions")
+
+
+def vocabulary(postings_: DataFrame) -> DataFrame:
+    return postings_.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def prefixes(chunks: DataFrame) -> DataFrame:
+    """prefix, n_chunks: how many chunks have a word that begins so; each chunk names a beginning once."""
+    t = chunks.select(F.array_distinct(tokens(F.col("text"))).alias("t"))
+    every = F.transform("t", lambda w: F.array(*[F.substring(w, 1, n) for n in range(1, COUNTED + 1)]))
+    heads = F.array_distinct(F.flatten(every))
+    return t.select(F.explode(heads).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def blocks(postings_: DataFrame) -> DataFrame:
+    """term, block, most_tf, least_tokens: what bounds a term's part in the scores of a block of files, whatever the average length."""
+    return postings_.groupBy("term", block_of(F.col("file_id")).alias("block")).agg(F.max("tf").alias("most_tf"), F.min("n_tokens").alias("least_tokens"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -41,7 +87,7 @@ def memory_index(chunks: DataFrame) -> KeywordIndex:
     """An index that is not stored, for small sets of chunks."""
     p = postings(chunks)
     stats = lengths(chunks).agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
-    return KeywordIndex(p, p.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks")), stats[0], stats[1] or 0.0)
+    return KeywordIndex(p, vocabulary(p), prefixes(chunks), blocks(p), stats[0], stats[1] or 0.0)
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -75,15 +121,15 @@ def expanded(index: KeywordIndex, wanted: DataFrame) -> DataFrame:
 
 
 def held(rows: DataFrame, most: int = NAMED_TERMS) -> DataFrame:
-    """``rows`` as a local table if there are no more than ``most``; else as a stored one."""
+    """``rows`` as a local table that is broadcast, if there are no more than ``most``; else as a stored one."""
     found = rows.limit(most + 1).toArrow()
-    return rows.sparkSession.createDataFrame(found, rows.schema) if found.num_rows <= most else cut(rows)
+    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema)) if found.num_rows <= most else cut(rows)
 
 
-def looked_up(index: KeywordIndex, terms: DataFrame) -> DataFrame:
-    """The postings of ``terms`` (term, ..) joined with them; the scan is told which terms it is after."""
+def looked_up(index: KeywordIndex, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The postings (or other ``rows`` by term) of ``terms`` (term, ..) joined with them; the scan is told which terms it is after."""
     named = sorted([r[0] for r in terms.select("term").distinct().limit(NAMED_TERMS + 1).collect()], key=lambda w: w.encode())
-    rows = index.postings
+    rows = index.postings if rows is None else rows
     if not named:
         rows = rows.limit(0)
     elif len(named) <= NAMED_TERMS:
@@ -95,35 +141,170 @@ def looked_up(index: KeywordIndex, terms: DataFrame) -> DataFrame:
     return rows.join(terms, "term")
 
 
+def phrase_hits(index: KeywordIndex, found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """query_id, n_words, word, chunk_id, file_id, n_tokens, tf of words that are phrases (rows of ``terms_of``, with pattern for term and df).
+
+    Only chunks that have a phrase's rarest word are looked at.
+    """
+    of, at = ["query_id", "n_words", "word"], ["chunk_id", "file_id", "n_tokens"]
+    places = held(found.join(phrases, ["pattern", "prefix"]))
+    rarest = held(phrases.groupBy("query_id", "word").agg(F.min_by("place", F.struct("df", "place")).alias("place")))
+    anchors = held(looked_up(index, places.join(rarest, ["query_id", "word", "place"])).select("query_id", "word", "chunk_id").distinct(), HELD_HITS)
+    starts = F.transform("positions", lambda p: p - F.col("place"))
+    placed = looked_up(index, places).join(anchors, ["query_id", "word", "chunk_id"], "left_semi")
+    placed = placed.select(*of, *at, "n_places", "place", F.explode(starts).alias("start")).distinct()
+    whole = placed.groupBy(*of, *at, "n_places", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_places")
+    return whole.groupBy(*of, *at).agg(F.count(F.lit(1)).alias("tf"))
+
+
+class Words(NamedTuple):
+    """A batch's words: rows (of ``terms_of``, with pattern for term and df, null for long beginnings), and found: pattern, prefix and the terms they stand for."""
+
+    rows: DataFrame
+    found: DataFrame
+
+
+def words_of(index: KeywordIndex, queries: DataFrame) -> Words:
+    """The words of a batch with how many chunks have each, from the vocabulary and the counted beginnings; no postings are read."""
+    words = held(terms_of(queries).withColumnRenamed("term", "pattern"))
+    # A word that several queries have is expanded and looked up once.
+    patterns = words.select("pattern", "prefix").distinct()
+    found = held(expanded(index, patterns.select("pattern", "prefix", F.col("pattern").alias("term"))))
+    known = index.vocabulary.join(F.broadcast(patterns.filter("NOT prefix").select(F.col("pattern").alias("term"))), "term").select(F.col("term").alias("pattern"), F.lit(False).alias("prefix"), F.col("n_chunks").alias("df"))
+    short = patterns.filter(F.col("prefix") & (F.length("pattern") <= COUNTED)).select(F.col("pattern").alias("prefix"))
+    counted = index.prefixes.join(F.broadcast(short), "prefix").select(F.col("prefix").alias("pattern"), F.lit(True).alias("prefix"), F.col("n_chunks").alias("df"))
+    counts = held(known.unionByName(counted), HELD_HITS)
+    uncounted = F.col("prefix") & (F.length("pattern") > COUNTED)
+    rows = words.join(counts, ["pattern", "prefix"], "left").withColumn("df", F.when(uncounted, F.col("df")).otherwise(F.coalesce("df", F.lit(0))))
+    return Words(held(rows), found)
+
+
 def occurrences(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """query_id, n_words, word, chunk_id, file_id, n_tokens, tf: where each word of a query occurs, as a phrase if it has several tokens."""
-    words = held(terms_of(queries))
-    # A word that several queries have is expanded and looked up once.
-    found = expanded(index, words.select(F.col("term").alias("pattern"), "prefix", "term").distinct())
-    words = words.withColumnRenamed("term", "pattern")
-    of = ["query_id", "n_words", "word"]
-    at = ["chunk_id", "file_id", "n_tokens"]
+    words, found = words_of(index, queries)
+    of, at = ["query_id", "n_words", "word"], ["chunk_id", "file_id", "n_tokens"]
     singles, phrases = words.filter("n_places = 1").select("pattern", "prefix", *of), words.filter("n_places > 1")
     own = found.join(singles.select("pattern", "prefix").distinct(), ["pattern", "prefix"], "left_semi")
     single = looked_up(index, own).groupBy("pattern", "prefix", *at).agg(F.sum("tf").alias("tf"))
     single = single.join(singles, ["pattern", "prefix"]).select(*of, *at, "tf")
-    if phrases.isEmpty():
-        return single
-    starts = F.transform("positions", lambda p: p - F.col("place"))
-    placed = looked_up(index, held(found.join(phrases, ["pattern", "prefix"]))).select(*of, *at, "n_places", "place", F.explode(starts).alias("start")).distinct()
-    whole = placed.groupBy(*of, *at, "n_places", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_places")
-    return single.unionByName(whole.groupBy(*of, *at).agg(F.count(F.lit(1)).alias("tf")))
+    return single if phrases.isEmpty() else single.unionByName(phrase_hits(index, found, phrases))
+
+
+def part(tf: Column, n_tokens: Column, average: float) -> Column:
+    """What an occurrence count adds to BM25, idf aside: rises with tf, falls with the chunk's length, stays under K1 + 1."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / F.lit(average)))
+
+
+class Asked(NamedTuple):
+    """Words of a batch ready to be scored: units: query_id, n_words, word, pattern, prefix, phrase, idf, anchor (the query's rarest);
+    found: pattern, prefix, term; phrases: hits of the phrases, stored, if there are any."""
+
+    units: DataFrame
+    found: DataFrame
+    phrases: DataFrame | None
+
+
+def asked_words(index: KeywordIndex, queries: DataFrame) -> Asked:
+    """Document frequencies by word: stored ones, or counted for phrases and long beginnings. Queries with a word that is nowhere are left out."""
+    words, found = words_of(index, queries)
+    phrases = words.filter("n_places > 1")
+    long_ = words.filter("n_places = 1 AND df IS NULL").select("pattern", "prefix").distinct()
+    counts, hits = words.sparkSession.createDataFrame([], "pattern string, prefix boolean, counted long"), None
+    if not long_.isEmpty():
+        seen = looked_up(index, held(found.join(long_, ["pattern", "prefix"]))).select("pattern", "prefix", "chunk_id").distinct()
+        counts = held(seen.groupBy("pattern", "prefix").agg(F.count(F.lit(1)).alias("counted")))
+    single = words.filter("n_places = 1").join(counts, ["pattern", "prefix"], "left").withColumn("df", F.coalesce("df", "counted", F.lit(0)))
+    units = single.select("query_id", "n_words", "word", "pattern", "prefix", F.lit(False).alias("phrase"), "df")
+    if not phrases.isEmpty():
+        hits = cut(phrase_hits(index, found, phrases.withColumn("df", F.coalesce("df", F.lit(0)))))
+        counted = held(hits.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("df")))
+        whole = phrases.select("query_id", "n_words", "word").distinct().join(counted, ["query_id", "word"], "left")
+        units = units.unionByName(whole.select("query_id", "n_words", "word", F.lit(None).cast("string").alias("pattern"), F.lit(False).alias("prefix"), F.lit(True).alias("phrase"), F.coalesce("df", F.lit(0)).alias("df")))
+    units = held(units)
+    least = units.groupBy("query_id").agg(F.min("df").alias("least"), F.min_by("word", F.struct("df", "word")).alias("rarest")).filter("least > 0")
+    idf = F.greatest(F.log((F.lit(index.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    units = held(units.join(least, "query_id").withColumn("idf", idf).withColumn("anchor", F.col("word") == F.col("rarest")).drop("least", "rarest", "df"))
+    return Asked(units, found, hits)
 
 
-def bm25(index: KeywordIndex, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, file_id, score of the chunks that hold every word; statistics are of the whole index."""
-    occ = occurrences(index, queries)
-    df = F.count(F.lit(1)).over(Window.partitionBy("query_id", "word"))
-    idf = F.greatest(F.log((F.lit(index.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(index.average)))
-    rows = occ.withColumn("df", df).withColumn("part", part)
-    scored = rows.groupBy("query_id", "n_words", "chunk_id", "file_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("k"))
-    return scored.filter("k = n_words").select("query_id", "chunk_id", "file_id", F.round("score", 9).alias("score"))
+def promising(index: KeywordIndex, asked: Asked) -> DataFrame:
+    """query_id, block, bound: blocks of files that have each plain word of a query, and the most that a chunk of theirs can score.
+
+    Queries without a plain word are not in it. Beginnings and phrases are bounded by what any word can add.
+    """
+    units = asked.units
+    plain = held(units.filter("NOT phrase AND NOT prefix").select("query_id", "word", F.col("pattern").alias("term"), "idf"))
+    other = held(units.groupBy("query_id").agg(F.count_if(~F.col("phrase") & ~F.col("prefix")).alias("n_plain"), F.coalesce(F.sum(F.when(F.col("phrase") | F.col("prefix"), F.col("idf") * (K1 + 1))), F.lit(0.0)).alias("rest")))
+    most = F.col("idf") * part(F.col("most_tf"), F.col("least_tokens"), index.average)
+    by = looked_up(index, plain, index.blocks).groupBy("query_id", "block").agg(F.count(F.lit(1)).alias("k"), F.sum(most).alias("bound"))
+    return by.join(other, "query_id").filter("k = n_plain").select("query_id", "block", (F.col("bound") + F.col("rest")).alias("bound"))
+
+
+def scored(index: KeywordIndex, asked: Asked, within: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, file_id, score of the chunks that hold every word; ``within`` (query_id, block) says where to look for the queries that it names."""
+    units, found, hits = asked
+    at = ["chunk_id", "file_id", "n_tokens"]
+    single = units.filter("NOT phrase").select("query_id", "word", "pattern", "prefix", "anchor")
+
+    def terms(rows: DataFrame) -> DataFrame:
+        return held(found.join(rows.select("pattern", "prefix").distinct(), ["pattern", "prefix"], "left_semi"))
+
+    def phrased(anchor: bool) -> DataFrame | None:
+        return None if hits is None else hits.join(units.filter(F.col("phrase") & (F.col("anchor") == anchor)).select("query_id", "word"), ["query_id", "word"]).select("query_id", "word", *at, "tf")
+
+    first, others = single.filter("anchor"), single.filter("NOT anchor")
+    rare = looked_up(index, terms(first)).select("pattern", "prefix", *at, "tf").join(first.drop("anchor"), ["pattern", "prefix"]).select("query_id", "word", *at, "tf")
+    if hits is not None:
+        rare = rare.unionByName(phrased(True))
+    if within is not None:
+        rare = rare.withColumn("block", block_of(F.col("file_id"))).join(within.select("query_id", "block"), ["query_id", "block"], "left_semi").drop("block")
+    rare = held(rare, HELD_HITS)
+    candidates = held(rare.select("query_id", "chunk_id").distinct(), HELD_HITS)
+    rest = looked_up(index, terms(others)).select("pattern", "prefix", *at, "tf").join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rest = rest.join(others.drop("anchor"), ["pattern", "prefix"]).select("query_id", "word", *at, "tf")
+    if hits is not None:
+        rest = rest.unionByName(phrased(False))
+    every = rare.unionByName(rest.join(candidates, ["query_id", "chunk_id"], "left_semi"))
+    # One exchange: a chunk's words are summed, then its words' parts.
+    by_word = every.repartition("query_id", "chunk_id").groupBy("query_id", *at, "word").agg(F.sum("tf").alias("tf"))
+    parts = by_word.join(units.select("query_id", "word", "n_words", "idf"), ["query_id", "word"]).withColumn("part", F.col("idf") * part(F.col("tf"), F.col("n_tokens"), index.average))
+    whole = parts.groupBy("query_id", "chunk_id", "file_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("k"), F.max("n_words").alias("n_words"))
+    return whole.filter("k = n_words").select("query_id", "chunk_id", "file_id", F.round("score", 9).alias("score"))
+
+
+def bm25(index: KeywordIndex, queries: DataFrame, usable: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """query_id, chunk_id, file_id, score of the chunks that hold every word; statistics are of the whole index.
+
+    Only files in ``usable`` (file_id), if given. With ``depth`` at least the best so many of each query are there, ties with the
+    last included: where a query has more than FIRST_BLOCKS promising blocks, those with the highest bounds are scored first,
+    and of the others only those whose bound reaches the last of the best found.
+    """
+
+    def fit(hits: DataFrame) -> DataFrame:
+        return hits if usable is None else usable.join(held(hits, HELD_HITS), "file_id").select("query_id", "chunk_id", "file_id", "score")
+
+    asked = asked_words(index, queries)
+    if depth is None or asked.units.isEmpty():
+        return fit(scored(index, asked))
+    blocks_ = promising(index, asked)
+    sizes = held(blocks_.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(-F.col("bound"), F.array(*[F.lit(2.0**-k) for k in range(32)]), 10_000).alias("cuts")))
+    wide = held(sizes.filter(F.col("n") > FIRST_BLOCKS).select("query_id", (-F.element_at("cuts", F.least(F.lit(32), 1 + F.floor(F.log2(F.col("n") / FIRST_BLOCKS)).cast("int")))).alias("from")))
+    if wide.isEmpty():
+        return fit(scored(index, asked))
+    few = asked._replace(units=held(asked.units.join(wide, "query_id", "left_anti")))
+    many = asked._replace(units=held(asked.units.join(wide.drop("from"), "query_id")))
+    ranked = blocks_.join(wide, "query_id")
+    first = cut(fit(scored(index, many, held(ranked.filter(F.col("bound") >= F.col("from")), HELD_HITS))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    last = first.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= depth).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    last = held(last.filter(F.col("n") == depth).select("query_id", "least"))
+    later = ranked.filter(F.col("bound") < F.col("from")).join(last, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
+    later = held(later.select("query_id", "block"), HELD_HITS)
+    out = first if few.units.isEmpty() else first.unionByName(fit(scored(index, few)))
+    if later.isEmpty():
+        return out
+    left = many._replace(units=held(many.units.join(later.select("query_id").distinct(), "query_id", "left_semi")))
+    return out.unionByName(fit(scored(index, left, later)))
 
 
 def first_per_file(hits: DataFrame, order: list, fetch: int, limit: int) -> DataFrame:
@@ -145,9 +326,8 @@ def searchable(roots: DataFrame) -> DataFrame:
 
 def keyword_list(index: KeywordIndex, queries: DataFrame, files: DataFrame, roots: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """query_id, file_id, chunk_id, score, rank. Only searchable roots, before the limit; ties by chunk."""
-    usable = files.select("file_id", "root").join(searchable(roots), "root", "left_semi")
-    hits = bm25(index, queries).join(usable, "file_id")
-    return first_per_file(hits.drop("root"), [F.desc("score"), "chunk_id"], fetch_rows(limit), limit)
+    usable = files.select("file_id", "root").join(searchable(roots), "root", "left_semi").select("file_id")
+    return first_per_file(bm25(index, queries, usable, fetch_rows(limit)), [F.desc("score"), "chunk_id"], fetch_rows(limit), limit)
 
 
 def phrase_chunks(index: KeywordIndex, phrase: str) -> DataFrame:

@@ -31,7 +31,7 @@ def nearest(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, file_id, similarity: the k nearest of each query, ties by chunk_id; k is at most MOST_K.
+    """query_id, chunk_id, file_id, similarity: the k nearest of each query, ties by chunk_id; k is at most MOST_K. Of root and mute those that ``vectors`` has come along.
 
     A task multiplies its blocks with the query matrix and keeps k rows for each query, so what is
     shuffled is k times the queries for each task, whatever the number of vectors. More than
@@ -53,34 +53,44 @@ def _knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = queries.select("query_id", "embedding").orderBy("query_id").collect()  # about BATCH_QUERIES
     ids, matrix = [r[0] for r in q], np.array([r[1] for r in q], np.float64)
 
+    extra = [c for c in ("root", "mute") if c in vectors.columns]
+    kinds = {"root": pa.string(), "mute": pa.bool_()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        book: dict[tuple, int] = {}  # what comes along, by number: a few roots
 
         def add(held: list[tuple]) -> None:
-            chunk, file, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            chunk, file, along, block = (np.concatenate(x) for x in zip(*held, strict=True))
             sims = np.round(matrix @ block.T, 9)
             for i, s in enumerate(sims):
-                s_all, c_all, f_all = (np.concatenate([x, y]) for x, y in zip(kept[i], (s, chunk, file), strict=True))
-                pick = nearest(s_all, c_all, k)
-                kept[i] = s_all[pick], c_all[pick], f_all[pick]
+                every = [np.concatenate([x, y]) for x, y in zip(kept[i], (s, chunk, file, along), strict=True)]
+                pick = nearest(every[0], every[1], k)
+                kept[i] = tuple(x[pick] for x in every)
 
         held, n = [], 0
         for b in batches:
             if b.num_rows == 0 or not ids:
                 continue
-            held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), matrix_of(b, 2)))
+            told = zip(*[b.column(3 + j).to_pylist() for j in range(len(extra))], strict=True) if extra else [()] * b.num_rows
+            along = np.array([book.setdefault(t, len(book)) for t in told], np.int64)
+            held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), along, matrix_of(b, 2)))
             n += b.num_rows
             if n >= BLOCK_ROWS:
                 add(held)
                 held, n = [], 0
         if held:
             add(held)
-        out = [(np.full(len(s), i), c, f, s) for i, (s, c, f) in zip(ids, kept, strict=True) if len(s)]
+        names = list(book)
+        out = [(np.full(len(s), i), c, f, s, t) for i, (s, c, f, t) in zip(ids, kept, strict=True) if len(s)]
         for a in range(0, len(out), 50):
-            i, c, f, s = (np.concatenate(x) for x in zip(*out[a : a + 50], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(f.astype(np.int64)), pa.array(s)], names=["query_id", "chunk_id", "file_id", "similarity"])
+            i, c, f, s, t = (np.concatenate(x) for x in zip(*out[a : a + 50], strict=True))
+            columns = [pa.array(i.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(f.astype(np.int64)), pa.array(s)]
+            columns += [pa.array([names[x][j] for x in t.tolist()], kinds[e]) for j, e in enumerate(extra)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "file_id", "similarity", *extra])
 
-    near = vectors.select("chunk_id", "file_id", "embedding").mapInArrow(run, "query_id long, chunk_id long, file_id long, similarity double")
+    schema = ", ".join(["query_id long, chunk_id long, file_id long, similarity double", *[f"{e} {vectors.schema[e].dataType.simpleString()}" for e in extra]])
+    near = vectors.select("chunk_id", "file_id", "embedding", *extra).mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return near.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= k).drop("row")
 

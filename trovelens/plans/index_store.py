@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.operators import keyword
+from trovelens.operators import fusion, keyword
 from trovelens.operators.fusion import Store
 from trovelens.plans.lineage import cut
 from trovelens.sources import tables
@@ -29,8 +29,8 @@ def keyword_index(chunks: DataFrame) -> keyword.KeywordIndex:
     stats = keyword.lengths(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("average")).first()
     parts = max(1, -(-stats["n"] // CHUNKS_A_FILE))
     postings = cut(keyword.postings(chunks).repartitionByRange(parts, "term").sortWithinPartitions("term"))
-    vocabulary = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks")).coalesce(parts))
-    return keyword.KeywordIndex(postings, vocabulary, stats["n"], stats["average"] or 0.0)
+    blocks = cut(keyword.blocks(postings).repartitionByRange(max(1, parts // 8), "term").sortWithinPartitions("term"))
+    return keyword.KeywordIndex(postings, cut(keyword.vocabulary(postings).coalesce(parts)), cut(keyword.prefixes(chunks).coalesce(parts)), blocks, stats["n"], stats["average"] or 0.0)
 
 
 def index(spark: SparkSession, sf_dir: str) -> Store:
@@ -39,6 +39,7 @@ def index(spark: SparkSession, sf_dir: str) -> Store:
     if key not in _built:
         chunks = cut(tables.chunks(spark, sf_dir))
         files = cut(tables.files(spark, sf_dir).drop("text"))
-        text, image = cut(tables.vectors(spark, sf_dir, chunks)), cut(tables.image_vectors(spark, sf_dir))
+        text = cut(fusion.vectors_told(tables.vectors(spark, sf_dir, chunks), files, chunks))
+        image = cut(fusion.vectors_told(tables.image_vectors(spark, sf_dir), files))
         _built[key] = Store(keyword_index(chunks), chunks, files, cut(tables.roots(spark, sf_dir)), text, image)
     return _built[key]

@@ -153,7 +153,7 @@ def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("knn_text", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, chunk_id, file_id, similarity FROM tx0 WHERE r <= 50")
 def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, q = _ask(spark, sf_dir)
-    return vector.knn(store.text_vectors, q, 50).drop("row")
+    return vector.knn(store.text_vectors, q, 50).select("query_id", "chunk_id", "file_id", "similarity")
 
 
 @register("knn_text_post_filter", f"WITH {BASE_SQL}, {KNN_SQL} SELECT query_id, file_id, similarity, rank FROM tx")
