@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from trovelens.operators import embed, extract, lifecycle, passages
 from trovelens.plans.components import components
-from trovelens.plans.snapshots import SnapshotTable, store_files
 from trovelens.sources import walk
 from trovelens.streaming import files as streams
 
@@ -117,36 +116,6 @@ def test_components_of_a_path(spark):
     assert {got[i] for i in range(1, 61)} == {1} and got[101] == 100
 
 
-def test_snapshots(spark, tmp_path):
-    t = SnapshotTable(spark, f"file://{tmp_path}/t", "id", buckets=4)
-    t.replace(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "z")], "id long, v string"))
-    before = t._manifest(1)["buckets"]
-    t.upsert(spark.createDataFrame([(2, "B"), (4, "d")], "id long, v string"), spark.createDataFrame([(3,)], "id long"))
-    assert {tuple(r) for r in t.read().collect()} == {(1, "a"), (2, "B"), (4, "d"), (9, "z")} and t.version() == 2
-    touched = {str(r[0]) for r in spark.createDataFrame([(2,), (4,), (3,)], "id long").select(t._bucket()).collect()}
-    after = t._manifest(2)["buckets"]
-    assert all(after[b] == f for b, f in before.items() if b not in touched) and touched != set(before)
-    assert {tuple(r) for r in t.read(1).collect()} == {(1, "a"), (2, "b"), (3, "c"), (9, "z")}
-    with pytest.raises(RuntimeError):
-        t._commit(2, {})  # another writer was first
-    t.keep_last(1)
-    assert t.versions() == [2] and t.read().count() == 4
-
-
-def test_files_are_stored_with_all_of_theirs(spark, tmp_path):
-    tables = [SnapshotTable(spark, f"file://{tmp_path}/{n}", "file_id", 4) for n in ("files", "chunks", "postings", "vectors")]
-    chunk = lambda rows: spark.createDataFrame(rows, "chunk_id long, file_id long, text string")
-    vec = lambda rows: spark.createDataFrame(rows, "chunk_id long, file_id long, embedding array<float>")
-    files = lambda ids: spark.createDataFrame([(i,) for i in ids], "file_id long")
-    store_files(*tables, files([1, 2]), chunk([(10, 1, "red fox"), (11, 1, "den"), (20, 2, "red")]), vec([(10, 1, [1.0]), (11, 1, [1.0])]))
-    store_files(*tables, files([1]), chunk([(12, 1, "blue fox")]), vec([(12, 1, [2.0])]), deleted=files([2]))
-    assert [r.file_id for r in tables[0].read().collect()] == [1] and [r.chunk_id for r in tables[1].read().collect()] == [12]
-    assert {r.term for r in tables[2].read().collect()} == {"blue", "fox"} and [r.chunk_id for r in tables[3].read().collect()] == [12]
-    with pytest.raises(ValueError):
-        store_files(*tables, files([3]), chunk([(30, 3, "a"), (31, 3, "b")]), vec([(30, 3, [1.0])]))
-    assert tables[1].version() == 2
-
-
 def test_files_are_read_cut_and_named(spark):
     long_csv = ("é,1\n" * 40_000).encode()
     rows = [

@@ -43,7 +43,7 @@ def of_searchable(near: DataFrame, store: Store) -> DataFrame:
 
 def mute(source: Column, file_name: Column) -> Column:
     """Whether a chunk is a name that has no word in it."""
-    return (source == "filename") & is_opaque_name(file_name)
+    return F.coalesce((source == "filename") & is_opaque_name(file_name), F.lit(False))
 
 
 def speaking(near: DataFrame, store: Store) -> DataFrame:
@@ -55,11 +55,11 @@ def speaking(near: DataFrame, store: Store) -> DataFrame:
 
 
 def vectors_told(vectors: DataFrame, files: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """``vectors`` with root, and mute if they are of ``chunks``: what a stored vector table has."""
-    known = vectors.join(files.select("file_id", "root", "file_name"), "file_id")
+    """``vectors`` with root, and mute if they are of ``chunks``: what a stored vector table has. A vector of no file takes its place among the nearest and has no root."""
+    known = vectors.join(files.select("file_id", "root", "file_name"), "file_id", "left")
     if chunks is None:
         return known.drop("file_name")
-    known = known.join(chunks.select("chunk_id", "source"), "chunk_id")
+    known = known.join(chunks.select("chunk_id", "source"), "chunk_id", "left")
     return known.withColumn("mute", mute(F.col("source"), F.col("file_name"))).drop("source", "file_name")
 
 

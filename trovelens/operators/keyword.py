@@ -19,7 +19,9 @@ from trovelens.plans.lineage import cut
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LIST_LIMIT, FETCH_FACTOR, FETCH_LEAST = 100, 5, 50
 #: Terms that a lookup names to the scan one by one at most, and ranges of terms that it names otherwise.
-NAMED_TERMS, NAMED_RANGES = 20_000, 64
+NAMED_TERMS, NAMED_RANGES = 20_000, 16
+#: Bytes of a row group of postings: a range of terms that a scan skips, or reads in a task of its own.
+ROW_GROUP = 4 << 20
 #: Rows of hits that are held as a local table at most (some 10 MB), so that they and not what they are looked up in move.
 HELD_HITS = 200_000
 #: Beginnings of up to so many letters are counted when an index is built; files of one block; blocks of a query that are read first.
@@ -29,7 +31,7 @@ COUNTED, BLOCK_FILES, FIRST_BLOCKS = 4, 256, 64
 class KeywordIndex(NamedTuple):
     """postings: term, chunk_id, file_id, tf, n_tokens, positions, stored in the order of terms; vocabulary: term, n_chunks;
     prefixes: prefix, n_chunks of the beginnings of up to COUNTED letters; blocks: term, block, most_tf, least_tokens;
-    chunks and average: the number of chunks and their average length."""
+    chunks, average and n_blocks: the number of chunks, their average length and the number of blocks."""
 
     postings: DataFrame
     vocabulary: DataFrame
@@ -37,6 +39,7 @@ class KeywordIndex(NamedTuple):
     blocks: DataFrame
     chunks: int
     average: float
+    n_blocks: int
 
 
 def block_of(file_id: Column) -> Column:
@@ -87,7 +90,12 @@ def memory_index(chunks: DataFrame) -> KeywordIndex:
     """An index that is not stored, for small sets of chunks."""
     p = postings(chunks)
     stats = lengths(chunks).agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
-    return KeywordIndex(p, vocabulary(p), prefixes(chunks), blocks(p), stats[0], stats[1] or 0.0)
+    return KeywordIndex(p, vocabulary(p), prefixes(chunks), blocks(p), stats[0], stats[1] or 0.0, block_count(chunks))
+
+
+def block_count(rows: DataFrame) -> int:
+    """How many blocks of files these rows (file_id) are in."""
+    return rows.select(block_of(F.col("file_id"))).distinct().count()
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -126,6 +134,12 @@ def held(rows: DataFrame, most: int = NAMED_TERMS) -> DataFrame:
     return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema)) if found.num_rows <= most else cut(rows)
 
 
+def stored(rows: DataFrame, most: int = HELD_HITS) -> DataFrame:
+    """``rows`` as a stored table, to be broadcast if it has no more than ``most``: for what may well be more, so that it is not worked out twice."""
+    table = cut(rows)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def looked_up(index: KeywordIndex, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """The postings (or other ``rows`` by term) of ``terms`` (term, ..) joined with them; the scan is told which terms it is after."""
     named = sorted([r[0] for r in terms.select("term").distinct().limit(NAMED_TERMS + 1).collect()], key=lambda w: w.encode())
@@ -148,13 +162,18 @@ def phrase_hits(index: KeywordIndex, found: DataFrame, phrases: DataFrame) -> Da
     """
     of, at = ["query_id", "n_words", "word"], ["chunk_id", "file_id", "n_tokens"]
     places = held(found.join(phrases, ["pattern", "prefix"]))
-    rarest = held(phrases.groupBy("query_id", "word").agg(F.min_by("place", F.struct("df", "place")).alias("place")))
-    anchors = held(looked_up(index, places.join(rarest, ["query_id", "word", "place"])).select("query_id", "word", "chunk_id").distinct(), HELD_HITS)
     starts = F.transform("positions", lambda p: p - F.col("place"))
-    placed = looked_up(index, places).join(anchors, ["query_id", "word", "chunk_id"], "left_semi")
-    placed = placed.select(*of, *at, "n_places", "place", F.explode(starts).alias("start")).distinct()
-    whole = placed.groupBy(*of, *at, "n_places", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_places")
-    return whole.groupBy(*of, *at).agg(F.count(F.lit(1)).alias("tf"))
+    placed = looked_up(index, places)
+    if (phrases.agg(F.sum("df")).first()[0] or 0) > HELD_HITS:  # else all their postings are as soon read
+        rarest = held(phrases.groupBy("query_id", "word").agg(F.min_by("place", F.struct("df", "place")).alias("place")))
+        anchors = stored(looked_up(index, places.join(rarest, ["query_id", "word", "place"])).select("query_id", "word", "chunk_id").distinct())
+        placed = placed.join(anchors, ["query_id", "word", "chunk_id"], "left_semi")
+    # A phrase's places meet in one row: it begins where its first word has a start that all others have too.
+    met = placed.groupBy(*of, *at, "n_places").agg(F.collect_list(F.struct("place", starts.alias("starts"))).alias("found"))
+    begins = F.flatten(F.filter("found", lambda x: x["place"] == 0)["starts"])
+    others = F.sequence(F.lit(1), F.col("n_places") - 1)
+    whole = F.filter(begins, lambda s: F.forall(others, lambda p: F.exists("found", lambda x: (x["place"] == p) & F.array_contains(x["starts"], s))))
+    return met.select(*of, *at, F.size(whole).cast("long").alias("tf")).filter("tf > 0")
 
 
 class Words(NamedTuple):
@@ -169,7 +188,7 @@ def words_of(index: KeywordIndex, queries: DataFrame) -> Words:
     words = held(terms_of(queries).withColumnRenamed("term", "pattern"))
     # A word that several queries have is expanded and looked up once.
     patterns = words.select("pattern", "prefix").distinct()
-    found = held(expanded(index, patterns.select("pattern", "prefix", F.col("pattern").alias("term"))))
+    found = expanded(index, patterns.select("pattern", "prefix", F.col("pattern").alias("term")))
     known = index.vocabulary.join(F.broadcast(patterns.filter("NOT prefix").select(F.col("pattern").alias("term"))), "term").select(F.col("term").alias("pattern"), F.lit(False).alias("prefix"), F.col("n_chunks").alias("df"))
     short = patterns.filter(F.col("prefix") & (F.length("pattern") <= COUNTED)).select(F.col("pattern").alias("prefix"))
     counted = index.prefixes.join(F.broadcast(short), "prefix").select(F.col("prefix").alias("pattern"), F.lit(True).alias("prefix"), F.col("n_chunks").alias("df"))
@@ -247,7 +266,7 @@ def scored(index: KeywordIndex, asked: Asked, within: DataFrame | None = None) -
     single = units.filter("NOT phrase").select("query_id", "word", "pattern", "prefix", "anchor")
 
     def terms(rows: DataFrame) -> DataFrame:
-        return held(found.join(rows.select("pattern", "prefix").distinct(), ["pattern", "prefix"], "left_semi"))
+        return found.join(rows.select("pattern", "prefix").distinct(), ["pattern", "prefix"], "left_semi")
 
     def phrased(anchor: bool) -> DataFrame | None:
         return None if hits is None else hits.join(units.filter(F.col("phrase") & (F.col("anchor") == anchor)).select("query_id", "word"), ["query_id", "word"]).select("query_id", "word", *at, "tf")
@@ -258,13 +277,12 @@ def scored(index: KeywordIndex, asked: Asked, within: DataFrame | None = None) -
         rare = rare.unionByName(phrased(True))
     if within is not None:
         rare = rare.withColumn("block", block_of(F.col("file_id"))).join(within.select("query_id", "block"), ["query_id", "block"], "left_semi").drop("block")
-    rare = held(rare, HELD_HITS)
-    candidates = held(rare.select("query_id", "chunk_id").distinct(), HELD_HITS)
-    rest = looked_up(index, terms(others)).select("pattern", "prefix", *at, "tf").join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rare = stored(rare)
+    rest = looked_up(index, terms(others)).select("pattern", "prefix", *at, "tf").join(rare, "chunk_id", "left_semi")
     rest = rest.join(others.drop("anchor"), ["pattern", "prefix"]).select("query_id", "word", *at, "tf")
     if hits is not None:
         rest = rest.unionByName(phrased(False))
-    every = rare.unionByName(rest.join(candidates, ["query_id", "chunk_id"], "left_semi"))
+    every = rare.unionByName(rest.join(rare, ["query_id", "chunk_id"], "left_semi"))
     # One exchange: a chunk's words are summed, then its words' parts.
     by_word = every.repartition("query_id", "chunk_id").groupBy("query_id", *at, "word").agg(F.sum("tf").alias("tf"))
     parts = by_word.join(units.select("query_id", "word", "n_words", "idf"), ["query_id", "word"]).withColumn("part", F.col("idf") * part(F.col("tf"), F.col("n_tokens"), index.average))
@@ -281,10 +299,10 @@ def bm25(index: KeywordIndex, queries: DataFrame, usable: DataFrame | None = Non
     """
 
     def fit(hits: DataFrame) -> DataFrame:
-        return hits if usable is None else usable.join(held(hits, HELD_HITS), "file_id").select("query_id", "chunk_id", "file_id", "score")
+        return hits if usable is None else usable.join(stored(hits), "file_id").select("query_id", "chunk_id", "file_id", "score")
 
     asked = asked_words(index, queries)
-    if depth is None or asked.units.isEmpty():
+    if depth is None or index.n_blocks <= FIRST_BLOCKS or asked.units.isEmpty():
         return fit(scored(index, asked))
     blocks_ = promising(index, asked)
     sizes = held(blocks_.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(-F.col("bound"), F.array(*[F.lit(2.0**-k) for k in range(32)]), 10_000).alias("cuts")))

@@ -28,9 +28,9 @@ def keyword_index(chunks: DataFrame) -> keyword.KeywordIndex:
     """The keyword index of stored chunks: postings in the order of terms, so that a lookup reads few row groups."""
     stats = keyword.lengths(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("average")).first()
     parts = max(1, -(-stats["n"] // CHUNKS_A_FILE))
-    postings = cut(keyword.postings(chunks).repartitionByRange(parts, "term").sortWithinPartitions("term"))
-    blocks = cut(keyword.blocks(postings).repartitionByRange(max(1, parts // 8), "term").sortWithinPartitions("term"))
-    return keyword.KeywordIndex(postings, cut(keyword.vocabulary(postings).coalesce(parts)), cut(keyword.prefixes(chunks).coalesce(parts)), blocks, stats["n"], stats["average"] or 0.0)
+    postings = cut(keyword.postings(chunks).repartitionByRange(parts, "term").sortWithinPartitions("term"), row_group=keyword.ROW_GROUP)
+    blocks = cut(keyword.blocks(postings).repartitionByRange(max(1, parts // 8), "term").sortWithinPartitions("term"), row_group=keyword.ROW_GROUP)
+    return keyword.KeywordIndex(postings, cut(keyword.vocabulary(postings).coalesce(parts)), cut(keyword.prefixes(chunks).coalesce(parts)), blocks, stats["n"], stats["average"] or 0.0, keyword.block_count(chunks))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Store:

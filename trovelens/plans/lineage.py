@@ -24,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def cut(df: DataFrame, partition_by: str | None = None, row_group: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again. ``row_group`` bounds the bytes of what a scan skips or reads as one.
 
     Unlike an RDD checkpoint the plan runs once, the files are columnar and compressed, and a lost
     executor costs only a re-read. The cluster's own cleaning of the folder removes the files.
@@ -35,5 +35,7 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,8 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_of(read(spark, sf_dir, "documents"))
+
+
+def files_of(d: DataFrame) -> DataFrame:
     """One row per document as a file; the time of change follows from the id."""
-    d = read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     word = F.concat(F.regexp_extract(text, "[A-Za-z]+", 0), F.lit("_"), F.col("lang"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     name = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("IMG_"), F.col("doc_id").cast("string"), F.lit(".txt"))).otherwise(word)
@@ -61,11 +64,15 @@ def word_units(text):
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks_of(files(spark, sf_dir))
+
+
+def chunks_of(files_: DataFrame) -> DataFrame:
     """Chunks of CHUNK_WORDS words every CHUNK_STEP words, and the file's name as its last chunk.
 
     As if read from pictures and codes, the texts of some files are ocr and qr chunks; some files have pages.
     """
-    f = files(spark, sf_dir).select("file_id", "path", word_units(F.col("text")).alias("w"))
+    f = files_.select("file_id", "path", word_units(F.col("text")).alias("w"))
     n = F.size("w")
     count = F.when(n == 0, 0).when(n <= CHUNK_WORDS, 1).otherwise(1 + F.ceil((n - CHUNK_WORDS) / CHUNK_STEP)).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
