@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovelens.functions import text as fx
-from trovelens.operators import fusion, keyword, rank, vector
+from trovelens.operators import fusion, keyword, rank, substring, vector
 from trovelens.sources import tables
 
 
@@ -174,3 +174,13 @@ def test_promising_blocks_give_the_same_best(spark, monkeypatch):
             order = lambda rows: sorted(((x.score, x.chunk_id) for x in rows if x.query_id == q), key=lambda p: (-p[0], p[1]))[:depth]  # noqa: E731, B023
             assert order(got) == order(whole)
     assert blocks > 200 and len(keyword.bm25(index, queries, usable, 1).collect()) < len(whole)
+
+
+def test_substrings_begin_and_end_anywhere(spark):
+    texts = {1: "the Quickest brown foxes run", 2: "quick brown fox", 3: "a b", 4: "!! --", 5: "Unquickest brown foxglove", 6: "brown"}
+    chunks = spark.createDataFrame([(i, i, x) for i, x in texts.items()], "chunk_id long, file_id long, text string")
+    index, grams = keyword.memory_index(chunks), None
+    grams = substring.vocabulary_grams(index)
+    needles = ["ickest brown fox", "brown fox", "row", "t b", "a b", "!! -", "x", "QUICK", "brown foxx", "own"]
+    got = substring.containing(index, grams, chunks.select("file_id", "text"), spark.createDataFrame(enumerate(needles), "query_id int, needle string")).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i) for k, n in enumerate(needles) for i, x in texts.items() if n in x)

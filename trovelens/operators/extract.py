@@ -506,7 +506,7 @@ def read_files(files: DataFrame, enabled_kinds: list[str], max_bytes: int = MAX_
     from trovelens.functions.text import name_words
 
     p = plan(F.col("path"), F.col("size"), F.col("cloud_only"), F.col("is_dir"), enabled_kinds, max_bytes, F.substring("content", 1, SNIFFED))
-    planned = files.select("path", "rel_path", p.alias("p"), F.when(p["plan"] == "extract", F.col("content")).alias("content"))
+    planned = files.select("path", "rel_path", p.alias("p"), F.when(p["plan"] == "extract", F.col("content")).alias("content")).withColumn("content_hash", F.sha2("content", 256))
     read = extracted(planned.filter("p.plan = 'extract'").select("path", "p.kind", "content"))
     errors = read.filter("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
     body = read.filter("error IS NULL").select("path", "ordinal", "source", "text", "page", "line_start", "line_end", "lang")
@@ -514,5 +514,6 @@ def read_files(files: DataFrame, enabled_kinds: list[str], max_bytes: int = MAX_
     none = [F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("line_start", "int"), ("line_end", "int"), ("lang", "string"))]
     names = planned.join(last, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("ordinal"), F.lit("filename").alias("source"), name_words(F.col("rel_path")).alias("text"), *none)
     state = F.when(F.col("error").isNotNull(), "error").when(F.col("p.plan") == "skip", "skipped").otherwise("indexed")
-    rows = planned.join(errors, "path", "left").select("path", "p.kind", "p.plan", "p.skip_reason", F.sha2("content", 256).alias("content_hash"), "error", state.alias("state"))
+    # Hashes go to the join, contents do not.
+    rows = planned.drop("content", "rel_path").join(errors, "path", "left").select("path", "p.kind", "p.plan", "p.skip_reason", "content_hash", "error", state.alias("state"))
     return rows, body.unionByName(names)

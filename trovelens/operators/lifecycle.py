@@ -123,12 +123,23 @@ def stability(mtime_ns: Column, now_ns: Column, size: Column, previous_size: Col
     )
 
 
-def debounced(events: DataFrame, gap_s: int = 2) -> DataFrame:
-    """One row for each burst of a root's events: root, started, n_events, n_paths; bursts are gap_s seconds apart. Bursts are found by lag, so nothing is collected."""
-    order = Window.partitionBy("root").orderBy("ts", "event_id")
-    new = (micros(F.col("ts")) - micros(F.lag("ts").over(order)) >= gap_s * 1_000_000).cast("int")
-    rows = events.withColumn("burst", F.sum(F.coalesce(new, F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("root", "burst").agg(F.min("ts").alias("started"), F.count(F.lit(1)).alias("n_events"), F.countDistinct("path").alias("n_paths")).drop("burst")
+def debounced(events: DataFrame, gap_s: int = 2, span_s: int = 3600) -> DataFrame:
+    """One row for each burst of a root's events: root, started, n_events, n_paths; bursts are gap_s seconds apart.
+
+    Bursts are found within spans of a root's time first, so a root with many events is many tasks' work; what is then
+    put in one order for a root is a row for each burst of a span.
+    """
+    at = micros(F.col("ts"))
+    spans = cut(events.select("root", "path", "ts", "event_id", at.alias("at"), F.floor(at / (span_s * 1_000_000)).alias("span")))
+    order = Window.partitionBy("root", "span").orderBy("at", "event_id")
+    new = (F.col("at") - F.lag("at").over(order) >= gap_s * 1_000_000).cast("int")
+    rows = cut(spans.withColumn("part", F.sum(F.coalesce(new, F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    parts = rows.groupBy("root", "span", "part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    by_root = Window.partitionBy("root").orderBy("first")
+    apart = (F.col("first") - F.lag("last").over(by_root) >= gap_s * 1_000_000).cast("int")
+    bursts = parts.withColumn("burst", F.sum(F.coalesce(apart, F.lit(1))).over(by_root.rowsBetween(Window.unboundedPreceding, 0)))
+    known = rows.join(bursts.select("root", "span", "part", "burst"), ["root", "span", "part"])
+    return known.groupBy("root", "burst").agg(F.min("ts").alias("started"), F.count(F.lit(1)).alias("n_events"), F.countDistinct("path").alias("n_paths")).drop("burst")
 
 
 def held_deletions(events: DataFrame, hold_s: int = HOLD_S) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import tokens
-from trovelens.operators import fusion, keyword, rank
+from trovelens.operators import fusion, keyword, rank, substring
 from trovelens.plans import search_queries as sq
 from trovelens.plans.index_store import index
 from trovelens.plans.lineage import cut
@@ -35,7 +35,7 @@ def holding(store: fusion.Store, texts: DataFrame, passages: DataFrame) -> DataF
     """query_id, file_id of the files whose text (file_id, text) holds a passage (query_id, passage) word for word.
 
     Candidates have all of a passage's longest inner words, by the keyword index; only their texts are
-    read. Passages without an inner word, if there are any, are looked for in all texts.
+    read. Passages without an inner word are found by parts of words.
     """
     inner = tokens(F.col("passage"))
     inner = F.array_distinct(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
@@ -45,7 +45,7 @@ def holding(store: fusion.Store, texts: DataFrame, passages: DataFrame) -> DataF
     found = met.groupBy("query_id", "n", "file_id").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("query_id", "file_id")
     bare = passages.join(clues.select("query_id").distinct(), "query_id", "left_anti")
     if not bare.isEmpty():
-        found = found.unionByName(texts.join(bare, F.col("text").contains(F.col("passage"))).select("query_id", "file_id"))
+        found = found.unionByName(substring.containing(store.keyword, substring.vocabulary_grams(store.keyword), texts, bare.select("query_id", F.col("passage").alias("needle"))))
     known = found.join(passages.select("query_id", "passage"), "query_id").join(texts, "file_id")
     return known.filter(F.col("text").contains(F.col("passage"))).select("query_id", "file_id")
 

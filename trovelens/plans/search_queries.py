@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import STOP_WORDS, is_opaque_name, tokens
-from trovelens.operators import fusion, keyword, presentation, rank, vector
+from trovelens.operators import fusion, keyword, presentation, rank, substring, vector
 from trovelens.plans.index_store import index
 from trovelens.sources import tables as t
 
@@ -130,6 +130,14 @@ def kw_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.phrase_chunks(index(spark, sf_dir).keyword, "of the")
 
 
+@register("substring_lookup", f"WITH {t.FILES_SQL} SELECT item_id AS query_id, file_id FROM benchmark b JOIN files f ON contains(f.text, substr(b.text, 4, 16))")
+def substring_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a piece of each benchmark passage, cut without regard to words, stands letter by letter."""
+    ix = index(spark, sf_dir).keyword
+    needles = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 4, 16).alias("needle"))
+    return substring.containing(ix, substring.vocabulary_grams(ix), t.files(spark, sf_dir).select("file_id", "text"), needles)
+
+
 @register("kw_files_dedup", f"WITH {BASE_SQL}, {BM25_SQL} SELECT query_id, count(*) AS n_files, max(rank) AS last_rank FROM kw GROUP BY 1")
 def kw_files_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_files"), F.max("rank").alias("last_rank"))
