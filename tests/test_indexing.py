@@ -154,6 +154,11 @@ def test_pdf_pages():
     got = extract.extract_one("a.pdf", "pdf", data)
     assert [(c["page"], c["text"]) for c in got] == [(1, "Hello (big) world\nÉ"), (2, "two")]
     assert extract.extract_one("a.pdf", "pdf", data + b"/Encrypt")[0]["error"] == "ValueError: password"
+    packed = b"%PDF-1.5\n1 0 obj <</Type/ObjStm/N 1>> stream\nx\nendstream endobj"
+    assert extract.extract_one("a.pdf", "pdf", packed)[0]["error"] == "ValueError: no_pages"
+    page = b"1 0 obj <</Type /Page /Contents 2 0 R>> endobj 2 0 obj <<%s>> stream\nBT (Hi (nested) x) Tj ET\nendstream endobj"
+    assert extract.pdf_pages(page % b"") == ["Hi (nested) x"]
+    assert extract.extract_one("a.pdf", "pdf", page % b"/Filter [/ASCII85Decode /FlateDecode]")[0]["error"] == "ValueError: filter"
 
 
 def test_pictures():

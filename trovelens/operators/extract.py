@@ -395,7 +395,8 @@ def image_extractor(codes: Callable[[bytes], list[str]] | None = None, recognise
 
 _PDF_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|ET)\b|\bT\*|(?<=\s)['\"]", re.S)
+_PDF_FILTER = re.compile(rb"/Filter\s*(?:/(\w+)|\[\s*([^\]]*?)\s*\])")
+_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|ET)\b|\bT\*|(?<=\s)['\"]", re.S)
 _PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
 
@@ -409,7 +410,11 @@ def _pdf_string(raw: bytes) -> str:
 
 
 def pdf_pages(data: bytes) -> list[str]:
-    """The text of each page of a plain PDF file. Encrypted files are an error of their own; fonts with their own codes are read as they are."""
+    """The text of each page of a plain PDF file; fonts with their own codes are read as they are.
+
+    Encrypted files, files none of whose pages is found (they may stand in object streams) and pages behind a filter that is
+    not read here are errors, so that no file counts as read without its text.
+    """
     if b"/Encrypt" in data:
         raise ValueError("password")
     objects = {int(m[1]): m[2] for m in _PDF_OBJECT.finditer(data)}
@@ -423,13 +428,18 @@ def pdf_pages(data: bytes) -> list[str]:
             part = objects.get(int(number), b"")
             stream = _PDF_STREAM.search(part)
             if stream:
-                raw = zlib.decompressobj().decompress(stream[1]) if b"FlateDecode" in part else stream[1]
+                filters = [x for m in [_PDF_FILTER.search(part[: stream.start()])] if m for x in re.findall(rb"\w+", m[1] or m[2])]
+                if filters not in ([], [b"FlateDecode"]):
+                    raise ValueError("filter")
+                raw = zlib.decompressobj().decompress(stream[1]) if filters else stream[1]
                 for token in _PDF_TEXT.findall(raw):
                     if token[:1] in b"(<":
                         out.append(_pdf_string(token))
                     elif token in (b"Td", b"TD", b"T*", b"ET", b"'", b'"'):
                         out.append("\n")
         pages.append(re.sub(r"\n+", "\n", "".join(out)).strip())
+    if not pages:
+        raise ValueError("no_pages")
     return pages
 
 
