@@ -103,4 +103,4 @@ def sampled(vectors: DataFrame, n: int, by: str = "file_id") -> DataFrame:
 
 def cosines(sample: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, file_id, similarity of every vector of a sample of MOST_K rows at most."""
-    return knn(sample, queries, MOST_K)
+    return knn(sample, queries, MOST_K).select("query_id", "chunk_id", "file_id", "similarity")
