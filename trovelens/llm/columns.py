@@ -27,6 +27,12 @@ def folded(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
 
 
+def kept_rows(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow`` of a function that keeps whole rows; columns go by place meanwhile, so their names may be any (Spark's own call fails on dots)."""
+    placed = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return placed.mapInArrow(run, placed.schema).toDF(*df.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of SLICE_ROWS rows at most; empty ones are left out. No session setting is touched."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, rows, slices
+from trovelens.llm.columns import documents, kept_rows, needed, rows, slices
 from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled, set_aside
 from trovelens.plans.lineage import cut
 
@@ -276,12 +276,14 @@ def accepted(docs: DataFrame, net: Net, least: float | None = None) -> DataFrame
     """
     least = net.reject_below if least is None else least
 
+    text = docs.columns.index("text")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(text).to_pylist()
             yield batch.filter(pa.array([score(net, (t or "").encode("utf-8")) >= least for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return kept_rows(docs, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

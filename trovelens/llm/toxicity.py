@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelens.llm.columns import documents, needed, rows, slices
+from trovelens.llm.columns import documents, kept_rows, needed, rows, slices
 from trovelens.llm.sampling import SAMPLE_ROWS, held_out, sampled, set_aside
 from trovelens.plans.lineage import cut
 
@@ -281,13 +281,15 @@ def accepted(docs: DataFrame, model: Model, toxic_from: float | None = None) ->
     """
     toxic_from = model.toxic_from if toxic_from is None else toxic_from
 
+    text = docs.columns.index("text")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in slices(batches):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(text).to_pylist()
             yield batch.filter(pa.array([bool(scorer.above(t or "")[0] < toxic_from) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return kept_rows(docs, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
