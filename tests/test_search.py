@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovelens.functions import text as fx
-from trovelens.operators import fusion, keyword, rank, substring, vector
+from trovelens.operators import fusion, keyword, language, rank, substring, vector
 from trovelens.sources import tables
 
 
@@ -184,3 +184,12 @@ def test_substrings_begin_and_end_anywhere(spark):
     needles = ["ickest brown fox", "brown fox", "row", "t b", "a b", "!! -", "x", "QUICK", "brown foxx", "own"]
     got = substring.containing(index, grams, chunks.select("file_id", "text"), spark.createDataFrame(enumerate(needles), "query_id int, needle string")).collect()
     assert sorted(map(tuple, got)) == sorted((k, i) for k, n in enumerate(needles) for i, x in texts.items() if n in x)
+
+
+def test_language_by_trigrams(spark):
+    rows = [(2 * i, x, lang) for i, (x, lang) in enumerate([("the cat sat on the mat with the hat", "en"), ("le chat est sur la table avec le chien", "fr")] * 6)]
+    model = language.model(spark.createDataFrame([*rows, (99, "xx yy", None)], "id long, text string, lang string"))
+    asked = [(1, "The mat, the hat", "en"), (3, "le chien est sur la table", "fr"), (5, "12 34", None), (7, None, None), (9, "zzz qqq", None), (11, "the cat est sur la", None)]
+    got = language.detected(spark.createDataFrame(asked, "id long, text string, lang string"), model, "id").collect()
+    assert {r.id: r.detected for r in got if r.id != 11} == {i: lang for i, _, lang in asked if i != 11} and len(got) == 6
+    assert model.columns == ["gram", "en", "fr"]

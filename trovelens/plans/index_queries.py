@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelens.functions.text import question_terms, sanitised
-from trovelens.operators import embed, extract, lifecycle, passages, rank
+from trovelens.operators import embed, extract, language, lifecycle, passages, rank
 from trovelens.plans.index_store import index
 from trovelens.sources import tables as t
 
@@ -93,6 +93,23 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.line_windows(f).select("file_id", "line_start", "line_end", F.md5("window").alias("digest"))
 
 
+_GRAMS_SQL = r"list_distinct(flatten(list_transform(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')), lambda w: list_transform(range(1, length(w) + 1), lambda i: substr('_' || w || '_', i, 3)))))"
+
+
+@register("language_detect", f"""WITH g AS (SELECT doc_id, lang, unnest({_GRAMS_SQL}) AS gram FROM documents),
+k AS (SELECT lang, count(*) AS k FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY 1),
+c AS (SELECT gram, lang, count(*) AS c FROM g WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY ALL),
+m AS (SELECT gram FROM c GROUP BY 1 HAVING sum(c) >= {language.LEAST_TEXTS}),
+w AS (SELECT m.gram, k.lang, floor(1000 * ln((coalesce(c, 0)::DOUBLE + 1) / (k + 2)))::BIGINT AS w FROM m CROSS JOIN k LEFT JOIN c ON c.gram = m.gram AND c.lang = k.lang),
+s AS (SELECT doc_id, w.lang, sum(w) AS score, count(*) AS n FROM g JOIN w USING (gram) GROUP BY doc_id, w.lang),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS r, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS second FROM s)
+SELECT d.doc_id, CASE WHEN n >= {language.LEAST_GRAMS} AND score - second >= {language.AHEAD} * n THEN r.lang END AS detected FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r = 1""")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model counted on those with an even id."""
+    d = t.read(spark, sf_dir, "documents")
+    return language.detected(d, language.model(d.filter("doc_id % 2 = 0")), "doc_id")
+
+
 @register("hash_embed")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.hash_embed(t.files(spark, sf_dir), "file_id", "text")
