@@ -90,8 +90,8 @@ class KeptIndex:
     def change(self, files: DataFrame, chunks: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, deleted: DataFrame | None = None) -> None:
         """Put files (file_id, ..) with their chunks and vectors in place of what was there; files in ``deleted`` (file_id) go with all of theirs.
 
-        A file that has text vectors, but none for some body chunk or several for one, is an error and nothing is committed: vectors must be of the
-        chunks that come with them. A chunk that is again what it was (a moved file's text, say) is not written anew.
+        A text vector of no chunk that comes with it, or a second one of a chunk, is an error and nothing is committed. A chunk that is
+        again what it was (a moved file's text, say) is not written anew, and keeps its vector unless a new one comes.
         """
         strange = text_vectors.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).join(chunks.select("chunk_id", F.lit(True).alias("known")), "chunk_id", "left").filter("n > 1 OR known IS NULL")
         if wrong := [r[0] for r in strange.select("chunk_id").limit(5).collect()]:
