@@ -193,3 +193,41 @@ def test_language_by_trigrams(spark):
     got = language.detected(spark.createDataFrame(asked, "id long, text string, lang string"), model, "id").collect()
     assert {r.id: r.detected for r in got if r.id != 11} == {i: lang for i, _, lang in asked if i != 11} and len(got) == 6
     assert model.columns == ["gram", "en", "fr"]
+
+
+def test_searches_by_chunk_are_those_word_by_word(spark, monkeypatch):
+    """Phrases, beginnings, repeated and shared words in blocks of a few chunks; a depth gives that many rows and no more."""
+    monkeypatch.setattr(keyword, "BLOCK_CHUNKS", 7)
+    r = np.random.default_rng(5)
+    words = ["ab", "abc", "abd", "b", "bc", "Ünï", "x1"]
+    texts = [" ".join(r.choice(words, size=r.integers(0, 12))) for _ in range(120)]
+    chunks = spark.createDataFrame([(i * 3, i // 4, t) for i, t in enumerate(texts)], "chunk_id long, file_id long, text string").repartition(3)
+    index = keyword.memory_index(chunks)
+    asked = ["ab-bc .", "ab", "ab ab", "bc ab-b", "ab-ab-a", "uni-x", "b .", "zz ab", "x1 uni-bc ab"]
+    queries = spark.createDataFrame(enumerate(asked), "query_id int, query string")
+    toks = [t.lower().replace("ü", "u").replace("ï", "i").split() for t in texts]
+
+    def count(tk, phrase, prefix):
+        fits = lambda t, p, last: t.startswith(p) if last and prefix else t == p
+        return sum(all(fits(tk[i + k], p, k == len(phrase) - 1) for k, p in enumerate(phrase)) for i in range(len(tk) - len(phrase) + 1))
+
+    want = {}
+    average = sum(map(len, toks)) / len(toks)
+    for q, text in enumerate(asked):
+        raw = text.split()
+        units = [(w.split("-"), k == len(raw) - 1) for k, w in enumerate(raw) if w != "."]
+        tf = [[count(tk, *u) for u in units] for tk in toks]
+        df = [sum(x[k] > 0 for x in tf) for k in range(len(units))]
+        idf = [max(np.log((len(toks) - d + 0.5) / (d + 0.5)), keyword.IDF_FLOOR) for d in df]
+        for i, x in enumerate(tf):
+            if all(x):
+                want[q, i * 3] = sum(w * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(toks[i]) / average)) for w, n in zip(idf, x, strict=True))
+    got = {(h.query_id, h.chunk_id): h.score for h in keyword.bm25(index, queries).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want) and len({q for q, _ in want}) == 8
+    few = [(h.query_id, h.chunk_id) for h in keyword.bm25(index, queries, depth=3).collect()]
+    assert sorted(few) == sorted((q, c) for q in range(len(asked)) for _, c in sorted((-s, c) for (p, c), s in got.items() if p == q)[:3])
+    assert "Exchange" not in keyword.matched(index, keyword.terms_of(queries)).met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_of_plain_texts_are_those_of_others(spark):
+    assert column(spark, ["It's 2 A-B_c", "", "É 2 A-B_c", "\x00x\x7fy"], fx.tokens) == [["it", "s", "2", "a", "b", "c"], [], ["e", "2", "a", "b", "c"], ["x", "y"]]

@@ -1,7 +1,7 @@
 """An index that is kept in step with its files: tables that grow by parts, and what an open index reads of them.
 
-A change writes one part of each table (files, chunks, postings, vectors) and what it does to the counts: how many chunks
-have a term or a beginning, more or fewer, the number of chunks and of their words. Rows that it replaces
+A change writes one part of each table (files, chunks, tokens, vectors) and what it does to the counts: how many chunks
+have a term, more or fewer, the number of chunks and of their words. Rows that it replaces
 stay where they are; ``gone`` names their chunks and ``gone_files`` their files, and what is older than its entry there is dead.
 A row of the table ``commits``, written last, makes all of a part readable at once; parts that no commit
 names are never read. Counts are summed when an index is opened, so a search of it is one of a fresh index.
@@ -26,12 +26,10 @@ from trovelens.operators import fusion, keyword
 from trovelens.plans.lineage import cut
 
 #: Tables with rows by chunk, and by file; counts, which are summed.
-BY_CHUNK, BY_FILE = ("chunks", "postings", "text_vectors"), ("files", "image_vectors")
-COUNTS = {"words": ("term", "n_chunks"), "heads": ("prefix", "n_chunks")}
+BY_CHUNK, BY_FILE = ("chunks", "tokens", "text_vectors"), ("files", "image_vectors")
+COUNTS = {"words": ("term", "n_chunks")}
 #: Parts are merged while the part before them has at most so many times their chunks.
 GROW = 2
-#: Postings of about so many chunks go to one file of a part.
-CHUNKS_A_FILE = 50_000
 
 
 class Part(NamedTuple):
@@ -80,8 +78,7 @@ class KeptIndex:
 
     def _write(self, name: str, tables: dict[str, DataFrame]) -> None:
         for table, rows in tables.items():
-            writer = rows.write.option("parquet.block.size", keyword.ROW_GROUP) if table in ("postings", "blocks") else rows.write
-            writer.parquet(f"{self.path}/{table}/{name}")
+            rows.write.parquet(f"{self.path}/{table}/{name}")
 
     def _commit(self, part: Part) -> None:
         row = self.spark.createDataFrame([tuple(part)], "gen int, name string, first int, chunks long")
@@ -111,22 +108,16 @@ class KeptIndex:
         else:
             new, dead = cut(chunks), chunks.limit(0)
         old_files = files.select("file_id").limit(0) if not parts else touched
-        stored = self._postings(keyword.postings(new), new)
-        self._write(name, {"files": files, "image_vectors": image_vectors, "chunks": new, "text_vectors": text_vectors, "postings": stored, "gone": dead.select("chunk_id"), "gone_files": old_files})
-        postings = self.spark.read.parquet(f"{self.path}/postings/{name}")
-        lost = keyword.postings(dead)
+        self._write(name, {"files": files, "image_vectors": image_vectors, "chunks": new, "text_vectors": text_vectors, "tokens": keyword.tokens_of(new), "gone": dead.select("chunk_id"), "gone_files": old_files})
+        tokens = self.spark.read.parquet(f"{self.path}/tokens/{name}")
+        lost = cut(keyword.tokens_of(dead))
         self._write(name, {
-            "blocks": keyword.blocks(postings).repartitionByRange("term").sortWithinPartitions("term"),
-            "words": _changed("term", keyword.vocabulary(postings), keyword.vocabulary(lost)),
-            "heads": _changed("prefix", keyword.prefixes(new), keyword.prefixes(dead)),
-            "totals": _total(new, 1).unionByName(_total(dead, -1)),
+            "words": _changed("term", keyword.vocabulary(tokens), keyword.vocabulary(lost)),
+            "totals": _total(tokens, 1).unionByName(_total(lost, -1)),
         })
         self._commit(Part(gen, name, gen, new.count()))
         self.merge()
 
-    def _postings(self, postings: DataFrame, chunks: DataFrame) -> DataFrame:
-        return postings.repartitionByRange(max(1, -(-chunks.count() // CHUNKS_A_FILE)), "term").sortWithinPartitions("term")
-
     def merge(self, whole: bool = False) -> None:
         """Write the newest parts anew as one, as long as the one before them is not much larger; or all."""
         parts = self.parts()
@@ -142,7 +133,6 @@ class KeptIndex:
         name = f"part_{uuid.uuid4().hex}"
         tables = {t: self._live(t, some).drop("gen") for t in (*BY_FILE, *BY_CHUNK)}
         tables["chunks"] = chunks = cut(tables["chunks"])
-        tables["postings"] = self._postings(tables["postings"], chunks)
         for t, (key, count) in COUNTS.items():
             tables[t] = self._read(t, some).groupBy(key).agg(F.sum(count).alias(count)).filter(F.col(count) != 0)
         tables["totals"] = self._read("totals", some).agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"))
@@ -150,7 +140,6 @@ class KeptIndex:
             rows = self._read(t, some).drop("gen").distinct()
             tables[t] = rows if k else rows.limit(0)
         self._write(name, tables)
-        self._write(name, {"blocks": keyword.blocks(self.spark.read.parquet(f"{self.path}/postings/{name}")).repartitionByRange("term").sortWithinPartitions("term")})
         self._commit(Part(some[-1].gen + 1, name, some[0].first, chunks.count()))
 
     def open(self, roots: DataFrame) -> fusion.Store:
@@ -161,10 +150,9 @@ class KeptIndex:
         if self._opened is None or self._opened[0] != parts[-1].gen:
             sums = {t: cut(self._read(t, parts).groupBy(key).agg(F.sum(count).alias(count)).filter(F.col(count) > 0)) for t, (key, count) in COUNTS.items()}
             total = self._read("totals", parts).agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens")).first()
-            blocks = self._read("blocks", parts).groupBy("term", "block").agg(F.max("most_tf").alias("most_tf"), F.min("least_tokens").alias("least_tokens"))
             n = total["chunks"] or 0
-            postings = self._live("postings", parts).drop("gen")
-            index = keyword.KeywordIndex(postings, sums["words"], sums["heads"], blocks, n, (total["tokens"] or 0) / n if n else 0.0, keyword.block_count(self._live("files", parts)))
+            tokens = self._live("tokens", parts).drop("gen")
+            index = keyword.index_of(tokens, sums["words"], n, (total["tokens"] or 0) / n if n else 0.0, keyword.block_count(self._live("files", parts)))
             files, chunks, text, image = (self._live(t, parts).drop("gen") for t in ("files", "chunks", "text_vectors", "image_vectors"))
             self._opened = parts[-1].gen, fusion.Store(index, chunks, files, roots, fusion.vectors_told(text, files, chunks), fusion.vectors_told(image, files))
         return self._opened[1]._replace(roots=roots)
@@ -176,6 +164,6 @@ def _changed(key: str, more: DataFrame, fewer: DataFrame) -> DataFrame:
     return both.groupBy(key).agg(F.sum("n_chunks").alias("n_chunks")).filter("n_chunks <> 0")
 
 
-def _total(chunks: DataFrame, sign: int) -> DataFrame:
-    n = keyword.lengths(chunks).agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+def _total(tokens: DataFrame, sign: int) -> DataFrame:
+    n = tokens.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"))
     return n.select((F.col("chunks") * sign).cast("long").alias("chunks"), (F.col("tokens") * sign).cast("long").alias("tokens"))
