@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def holding(store: fusion.Store, texts: DataFrame, passages: DataFrame) -> DataF
     inner = F.array_distinct(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
     longest = F.slice(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, CLUES)
     clues = passages.select("query_id", longest.alias("c")).select("query_id", F.size("c").alias("n"), F.explode("c.w").alias("term"))
-    met = keyword.looked_up(store.keyword, clues).select("query_id", "n", "term", "file_id").distinct()
+    met = keyword.looked_up(store.keyword, keyword.held(clues)).select("query_id", "n", "term", "file_id").distinct()
     found = met.groupBy("query_id", "n", "file_id").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("query_id", "file_id")
     bare = passages.join(clues.select("query_id").distinct(), "query_id", "left_anti")
     if not bare.isEmpty():
@@ -64,12 +66,19 @@ class Labelled:
     def bucket(self):
         return F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
 
+    @cached_property
+    def words(self) -> DataFrame:
+        """The keyword list, which most modes read."""
+        return cut(fusion.lists(self.store, self.queries, "keyword")["keyword"])
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        return cut(keyword.coverage(self.store.keyword, rank.term_rows(self.queries), self.store.files, self.store.roots))
+
     def answer(self, mode: str) -> DataFrame:
-        if mode == "z":
-            return rank.z_search(self.queries, self.store, t.NOW_S, LIMIT, sq.Z_GATED)
-        if mode == "z_sample":
-            return rank.z_search(self.queries, self.store, t.NOW_S, LIMIT, sq.Z_SAMPLED)
-        return fusion.search(self.queries, self.store, t.NOW_S, LIMIT, mode)
+        if mode in ("z", "z_sample"):
+            return rank.z_search(self.queries, self.store, t.NOW_S, LIMIT, sq.Z_GATED if mode == "z" else sq.Z_SAMPLED, self.words, self.covered)
+        return fusion.search(self.queries, self.store, t.NOW_S, LIMIT, mode, self.words if "keyword" in fusion.MODES[mode] else None)
 
     def report(self, mode: str) -> DataFrame:
         return rank.metrics(self.answer(mode).select("query_id", "file_id", "rank"), self.expected, self.bucket(), self.ignored)
