@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trovelens.functions import text as fx
 from trovelens.operators import fusion, keyword, language, rank, substring, vector
+from trovelens.plans import index_store, lifecycle_queries
 from trovelens.sources import tables
 
 
@@ -231,3 +232,13 @@ def test_searches_by_chunk_are_those_word_by_word(spark, monkeypatch):
 
 def test_tokens_of_plain_texts_are_those_of_others(spark):
     assert column(spark, ["It's 2 A-B_c", "", "É 2 A-B_c", "\x00x\x7fy"], fx.tokens) == [["it", "s", "2", "a", "b", "c"], [], ["e", "2", "a", "b", "c"], ["x", "y"]]
+
+
+def test_what_reads_no_words_builds_no_keyword_index(spark, tmp_path):
+    rows = [(i, f"some words {i}", "en", f"src{i % 3}", 9) for i in range(1, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(1, 7)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tuple(lifecycle_queries.root_remove(spark, str(tmp_path)).first()) == (2, 4, 8, 2)
+    assert index_store.index(spark, str(tmp_path), words=False).keyword is None
+    store = index_store.index(spark, str(tmp_path))
+    assert store.keyword.chunks == 12 and index_store.index(spark, str(tmp_path), words=False) is store

@@ -232,7 +232,7 @@ def permissions_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("root_remove", f"WITH {ROWS_SQL}, {t.CHUNKS_SQL} SELECT (SELECT count(*) FROM roots WHERE root <> 'src1') AS roots, (SELECT count(*) FROM files WHERE root <> 'src1') AS files, (SELECT count(*) FROM chunks JOIN files USING (file_id) WHERE root <> 'src1') AS chunks, (SELECT count(*) FROM roots WHERE enabled AND root <> 'src2') AS enabled")
 def root_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One root removed with all under it; another switched off."""
-    store = index(spark, sf_dir)
+    store = index(spark, sf_dir, words=False)
     left = presentation.root_removed(store.roots, "src1", store.files, store.chunks)
     counts = [df.agg(F.count(F.lit(1)).alias(n)) for n, df in zip(("roots", "files", "chunks"), left, strict=True)]
     enabled = presentation.root_enabled(store.roots, "src2", False).agg(F.count_if("enabled").alias("enabled"))
