@@ -1,6 +1,9 @@
 """Retrieval rules on small tables."""
 
+import cProfile
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +233,38 @@ def test_searches_by_chunk_are_those_word_by_word(spark, monkeypatch):
     assert "Exchange" not in keyword.matched(index, keyword.terms_of(queries)).met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_are_looked_up_as_columns():
+    """How much Python runs for a block of chunks does not depend on how many distinct words it has."""
+
+    def calls(n: int) -> int:
+        lists = pa.array([[f"w{i}" for i in range(a, a + 100)] for a in range(0, n, 100)], pa.list_(pa.string()))
+        ids = pa.array(range(len(lists)), pa.int64())
+        run = keyword._matching([(("w7", False),), (("w12", True),), (("w8", False), ("w", True))], [[0], [1], [2]])
+        seen = cProfile.Profile()
+        got = seen.runcall(lambda: [r for b in run(iter([pa.RecordBatch.from_arrays([ids, ids, lists], names=["chunk_id", "file_id", "tokens"])])) for r in b.to_pylist()])
+        assert got[0] == {"chunk_id": 0, "file_id": 0, "n_tokens": 100, "units": [0, 1, 2], "tfs": [1, 1, 1], "asks": [0, 1, 2]}
+        assert [r["units"] for r in got[1:3]] == [[1], [1]][: n // 100 - 1]
+        return sum(x.callcount for x in seen.getstats())
+
+    calls(100)  # what is imported and made ready at the first call
+    assert calls(20_000) < calls(200) + 10_000
+
+
+def test_hits_are_scored_in_blocks_and_files_are_left_out_before(spark, monkeypatch):
+    """Blocks of three chunks, words of queries without an answer in between; what meets the files are chunks, not their hits."""
+    monkeypatch.setattr(keyword, "SCORED_CHUNKS", 3)
+    index = small_index(spark, {i * 10: t for i, t in enumerate(["ab x1", "ab", "x1 ab ab", "ab zz", "x1", "b ab x1"] * 5)})
+    asked = ["ab", "x1 none", "ab ab", "a", "b .", "x1 ab"]
+    queries = spark.createDataFrame(enumerate(asked), "query_id int, query string")
+    alone = {(q, h.chunk_id): h.score for q, text in enumerate(asked) for h in keyword.bm25(index, spark.createDataFrame([(q, text)], "query_id int, query string")).collect()}
+    assert {(h.query_id, h.chunk_id): h.score for h in keyword.bm25(index, queries).collect()} == alone and len(alone) == 25 * 3 + 5 + 15
+    usable = spark.createDataFrame([(i,) for i in range(0, 30, 2)], "file_id long")
+    some = keyword.bm25(index, queries, usable)
+    assert {(h.query_id, h.chunk_id): h.score for h in some.collect()} == {k: s for k, s in alone.items() if k[1] // 10 % 2 == 0}
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("LeftSemi")
+
+
 def test_tokens_of_plain_texts_are_those_of_others(spark):
     assert column(spark, ["It's 2 A-B_c", "", "É 2 A-B_c", "\x00x\x7fy"], fx.tokens) == [["it", "s", "2", "a", "b", "c"], [], ["e", "2", "a", "b", "c"], ["x", "y"]]
 
