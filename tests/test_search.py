@@ -1,6 +1,7 @@
 """Retrieval rules on small tables."""
 
 import cProfile
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -277,3 +278,32 @@ def test_what_reads_no_words_builds_no_keyword_index(spark, tmp_path):
     assert index_store.index(spark, str(tmp_path), words=False).keyword is None
     store = index_store.index(spark, str(tmp_path))
     assert store.keyword.chunks == 12 and index_store.index(spark, str(tmp_path), words=False) is store
+
+
+def test_the_index_stores_a_chunks_tokens_as_one_text(spark):
+    """What is written, read and handed to Python for each chunk is one value, however many tokens it has."""
+    texts = ["It's 2 A-B_c", "", None, " \t", "É 2 A-B_c", "\x00x\x7fy", "éa ́ b", "straße ΣΑΣ ١٢ 你好，世界", "--", "a b c"]
+    chunks = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "chunk_id long, file_id long, text string")
+    rows = {r.chunk_id: r for r in keyword.tokens_of(chunks).collect()}
+    assert dict(keyword.tokens_of(chunks).dtypes) == {"chunk_id": "bigint", "file_id": "bigint", "words": "string", "n_tokens": "int"}
+    for i, own in enumerate(column(spark, texts, fx.tokens)):
+        assert rows[i].words == " ".join(own or []) and rows[i].n_tokens == len(own or [])
+    assert {(r.chunk_id, r.n_tokens) for r in keyword.memory_index(chunks).postings.collect()} == {(i, r.n_tokens) for i, r in rows.items() if r.n_tokens}
+
+
+def test_chunks_are_cut_by_pieces_of_many_words(spark):
+    """The same chunks as word by word, at every length around the borders and with any white space; a text becomes a fiftieth of as many values."""
+    size, step = tables.CHUNK_WORDS, tables.CHUNK_STEP
+    lengths = [0, 1, 49, 50, 51, 399, 400, 401, 450, 451, 749, 750, 751, 1100, 1101]
+    gaps = [" ", "\n\n", " \t", "　 ", "  ", "\r\n"]
+    texts = ["".join(["\n "] + [f"w{i}" + gaps[(i * n) % 6] for i in range(n)]) for n in lengths] + [" ", " ", None]
+    files = spark.createDataFrame([(i, f"a/{i}.txt", t or "") for i, t in enumerate(texts)], "file_id long, path string, text string")
+    got = {}
+    for r in tables.chunks_of(files).filter("source <> 'filename'").orderBy("chunk_id").collect():
+        got.setdefault(r.file_id, []).append(r.text)
+    for i, t in enumerate(texts):
+        units = re.findall(r"[^ \t-\r]+[ \t-\r]*", t or "")
+        n = 0 if not units else 1 if len(units) <= size else 1 + -(-(len(units) - size) // step)
+        assert got.get(i, []) == ["".join(units[k * step : k * step + size]).strip() for k in range(n)]
+    longest = column(spark, [" ".join(["word"] * 1101)], tables.word_pieces)[0]
+    assert len(longest) == 23

@@ -165,5 +165,5 @@ def _changed(key: str, more: DataFrame, fewer: DataFrame) -> DataFrame:
 
 
 def _total(tokens: DataFrame, sign: int) -> DataFrame:
-    n = tokens.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"))
+    n = tokens.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
     return n.select((F.col("chunks") * sign).cast("long").alias("chunks"), (F.col("tokens") * sign).cast("long").alias("tokens"))
