@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trovelens.functions import text as fx
 from trovelens.operators import fusion, keyword, language, rank, substring, vector
-from trovelens.plans import index_store, lifecycle_queries
+from trovelens.plans import index_store, lifecycle_queries, search_queries
 from trovelens.sources import tables
 
 
@@ -307,3 +307,26 @@ def test_chunks_are_cut_by_pieces_of_many_words(spark):
         assert got.get(i, []) == ["".join(units[k * step : k * step + size]).strip() for k in range(n)]
     longest = column(spark, [" ".join(["word"] * 1101)], tables.word_pieces)[0]
     assert len(longest) == 23
+
+
+def test_searches_by_words_move_neither_files_nor_chunks(spark, tmp_path):
+    """Tokens say their file's root, so that what was met is not exchanged to meet the files, however many these are; nor are files to meet what was found."""
+    rows = [(i, f"pale river {'stone' if i % 2 else 'boat'} {i}", "en", f"src{i % 6}", 9) for i in range(1, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(1, 40)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "a pale river"), (2, "a river stones"), (3, "a stone boat river")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    store, q = search_queries._ask(spark, str(tmp_path))
+    words = keyword.keyword_list(store.keyword, q, store.files, store.roots)
+    covered = keyword.coverage(store.keyword, rank.term_rows(q), store.files, store.roots)
+    assert not set(store.files.inputFiles()) & {*words.inputFiles(), *covered.inputFiles()}
+    on = [r for r in rows if r[3] not in ("src3", "src5")]
+    assert sorted((r.query_id, r.file_id) for r in words.collect()) == [(1, r[0]) for r in on] + [(2, r[0]) for r in on if r[0] % 2]
+    plain = store.keyword._replace(tokens=store.keyword.tokens.drop("root"))  # as in an index whose tokens don't say it
+    for a, b in ((words, keyword.keyword_list(plain, q, store.files, store.roots)), (covered, keyword.coverage(plain, rank.term_rows(q), store.files, store.roots))):
+        assert sorted(map(tuple, a.select(sorted(a.columns)).collect())) == sorted(map(tuple, b.select(sorted(b.columns)).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "SortMergeJoin" not in search_queries.filename_boost(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
