@@ -186,7 +186,7 @@ _NOW = t.NOW_S
 WHERE state = 'pending' AND enabled AND status IN ('ok', 'watch_failed') AND file_id % 4 <> 0 OR (state = 'pending' AND enabled AND status IN ('ok', 'watch_failed') AND {_NOW} - 1800 + file_id <= {_NOW}) ORDER BY mtime_ns DESC, file_id LIMIT 256""")
 def next_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = t.files(spark, sf_dir).withColumn("next_attempt_at", F.when(F.col("file_id") % 4 == 0, F.lit(_NOW - 1800) + F.col("file_id")))
-    return lifecycle.next_pending(f, t.roots(spark, sf_dir), _NOW, 256).select("file_id", "root", "mtime_ns")
+    return lifecycle.next_pending(f, t.roots(spark, sf_dir), _NOW, 256).select("file_id", "root", F.col("mtime_ns").cast("long").alias("mtime_ns"))
 
 
 @register("retry_backoff", f"""WITH {_F}, a AS (SELECT file_id, CASE WHEN file_id % 5 = 0 THEN least(file_id % 3 + 1, 2) ELSE file_id % 3 + 1 END AS attempts FROM files)

@@ -85,7 +85,7 @@ SELECT coalesce(file_id, new_id) AS file_id, CASE WHEN outcome = 'unseen' THEN r
   CASE WHEN outcome IN ('inserted', 'changed') OR (outcome = 'moved' AND state = 'indexing') THEN 'pending' ELSE state END AS state, CASE WHEN outcome = 'unseen' THEN 6 ELSE 7 END AS seen_scan_id,
   CASE WHEN outcome IN ('inserted', 'changed') THEN 0 ELSE attempts END AS attempts, CASE WHEN outcome <> 'changed' THEN next_attempt_at END AS next_attempt_at FROM done LEFT JOIN ids USING (w_path)""")
 def reconcile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(spark, sf_dir).files.select("file_id", "root", "path", "rel_path", "size", "mtime_ns", "state", "seen_scan_id", "attempts", "next_attempt_at")
+    return _scan(spark, sf_dir).files.select("file_id", "root", "path", "rel_path", "size", F.col("mtime_ns").cast("long").alias("mtime_ns"), "state", "seen_scan_id", "attempts", "next_attempt_at")
 
 
 _LEFT = "done JOIN sc USING (root) WHERE outcome = 'unseen'"
