@@ -1,8 +1,11 @@
 """Runs of streams: what is kept, what is told, and going on after an end."""
 
+import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from trovelens.streaming import files as streams
 from trovelens.streaming import runs
 
 SCHEMA = StructType([StructField("file", LongType()), StructField("at", LongType()), StructField("state", StringType())])
@@ -27,3 +30,24 @@ def test_a_run_goes_on_where_the_last_one_ended(spark, tmp_path):
         for _ in range(2):  # the second finds nothing new
             runs.run(feed.stream().select("file"), out)
     assert sorted((r.batch, r.file) for r in runs.rows(spark, out).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_held_deletions_of_one_time_follow_their_order_and_files_share_groups(spark, tmp_path):
+    """What a batch costs is its events: files share their group's call, state and timer. Of one time the given order holds; nulls are a file too."""
+    schema, path = "file_id long, kind string, ts timestamp, n long", f"file://{tmp_path}"
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, 0, 1000) + datetime.timedelta(seconds=s)
+    files = [*range(1, 5001), None]
+    first = [(i, kind, at(0), n) for i in files for n, kind in ((2, "vanished"), (1, "seen"))]  # so it is held
+    first += [(-1, kind, at(0), n) for n, kind in ((1, "vanished"), (2, "seen"))]  # so it is not
+    second = [(i, "vanished", at(200), 3) for i in range(1, 11)] + [(i, "seen", at(100), 3) for i in range(11, 21)] + [(i, "seen", at(101), 3) for i in range(21, 31)]
+    feed = runs.Feed(spark, f"{path}/feed", spark.createDataFrame([], schema).schema)
+    with runs.rocks(spark):
+        for rows in (first, second, [(-2, "seen", at(10_000), 9)]):
+            feed.add(spark.createDataFrame(rows, schema))
+            runs.run(streams.held_deletions(feed.stream(), 100, nth="n"), f"{path}/out")
+    got = runs.rows(spark, f"{path}/out").select("file_id", F.unix_millis("deleted_at").alias("ms")).collect()
+    ms = lambda s: int(at(s).replace(tzinfo=datetime.UTC).timestamp() * 1000)
+    want = [(i, ms(100)) for i in files if i is None or not 10 < i < 21] + [(i, ms(300)) for i in range(1, 11)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    states = spark.read.format("statestore").load(f"{path}/out/state")
+    assert states.count() <= streams.HELD_GROUPS

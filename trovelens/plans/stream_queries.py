@@ -75,10 +75,10 @@ l AS (SELECT file_id, max_by(due, k) AS gone FROM (SELECT file_id, k, struct_pac
 SELECT file_id, make_timestamp(gone * 1000) AS deleted_at FROM s WHERE gone IS NOT NULL UNION ALL SELECT file_id, make_timestamp(gone.d * 1000) FROM l WHERE gone.d IS NOT NULL""")
 def held_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletions that are held until their file was not seen again for the hold; an event of the type error is a vanishing, any other one a sight."""
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.when(F.col("event_type") == "error", "vanished").otherwise("seen").alias("kind"), "at")
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.when(F.col("event_type") == "error", "vanished").otherwise("seen").alias("kind"), "event_id", "at")
 
     def consume(stream: DataFrame, out: str) -> None:
-        runs.run(streams.held_deletions(stream.withColumnRenamed("at", "ts"), HOLD_S), out)
+        runs.run(streams.held_deletions(stream.withColumnRenamed("at", "ts"), HOLD_S, nth="event_id"), out)
 
     with runs.rocks(spark):
         found = runs.rows(spark, fed(spark, e, consume, _end(e)))
