@@ -261,3 +261,29 @@ def test_gate_stream(spark, tmp_path, rocks):
     batches = [[(1, 0, 1 * s, 5)], [(1, 0, 10 * s, 5)], [(1, 0, 11 * s, 5)], [(1, 0, 20 * s, 5)]]
     got = run_stream(spark, tmp_path, streams.stability_gate, batches, "file_id long, mtime_ns long, now_ns long, size long", "gate")
     assert [r.decision for r in sorted(got, key=lambda r: r.now_ns)] == ["defer", "watch", "extract", "watch"]
+
+
+def test_files_share_batches_when_they_are_put_together(spark):
+    """Neither whole files nor picked passages cost a call for each file, nor a file's overlap more than its bytes bound."""
+    rows = [(i, k, f"tail{i} word{k} word{k + 1}") for i in range(1200) for k in (1, 0, 2)]
+    df = spark.createDataFrame(rows, "file_id long, ordinal long, text string")
+    texts, sent = passages.whole_texts(df), passages.picked(df.withColumn("place", 3 - F.col("ordinal")), 4000)
+    for made in (texts, sent):
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {i: "\n\n".join(f"tail{i} word{k} word{k + 1}" for k in range(3)) for i in range(1200)}
+    assert {r.file_id: r.text for r in texts.collect()} == want == {r.file_id: r.text for r in sent.collect()}
+
+    class Counted(str):
+        seen = 0
+
+        def __getitem__(self, at):
+            got = str.__getitem__(self, at)
+            Counted.seen += len(got)
+            return Counted(got)
+
+        def __iter__(self):
+            for c in str.__iter__(self):
+                Counted.seen += 1
+                yield c
+
+    assert passages.overlap("x é", Counted("é " + "y" * 1_000_000)) == 1 and Counted.seen < 100_000

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K, SEPARATOR, LEAST_LEFT = 60, 2, 200
 PASSAGE_TOTAL, PASSAGE_LEAST, PASSAGE_MOST = 8000, 1200, 4000
 OVERLAP_BYTES, WHOLE_FILE, WHOLE_TOTAL, CANDIDATES = 2000, 60_000, 120_000, 5000
+#: Files whose texts are Python objects at once.
+BATCH_FILES = 500
 
 
 def budget(n_files: Column) -> Column:
@@ -61,25 +63,39 @@ def pick(passages: list[tuple[int, str]], most: int) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+def by_file(rows: DataFrame, order: str, columns: list[str], one: Callable[[list[dict]], tuple], schema: str) -> DataFrame:
+    """file_id and what ``one`` makes (``schema``) of each file's rows (``columns``) in their order; many files are one batch, not a call each."""
+    listed = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias("rows"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_ in batches:
+            for at in range(0, whole_.num_rows, BATCH_FILES):
+                ids, files = whole_.slice(at, BATCH_FILES).columns
+                made = zip(*[one(f) for f in files.to_pylist()], strict=True)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(list(x)) for x in made]], names=["file_id", *names])
+
+    return listed.mapInArrow(run, f"file_id {listed.schema['file_id'].dataType.simpleString()}, {schema}")
+
+
 def picked(ranked_passages: DataFrame, most: int) -> DataFrame:
     """file_id, n_passages, units, text of what is sent of each file; a file's first most/1 candidates are read in rank order."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("place")
-        got = pick(list(zip(f["ordinal"], f["text"], strict=True)), most)
+    def one(f: list[dict]) -> tuple:
+        got = pick([(r["ordinal"], r["text"]) for r in f], most)
         text = "\n\n".join(t for _, t in got)
-        return pd.DataFrame([(int(f["file_id"].iloc[0]), len(got), utf16(text), text)], columns=["file_id", "n_passages", "units", "text"])
+        return len(got), utf16(text), text
 
-    return ranked_passages.select("file_id", "ordinal", "place", "text").groupBy("file_id").applyInPandas(run, "file_id long, n_passages long, units long, text string")
+    return by_file(ranked_passages, "place", ["ordinal", "text"], one, "n_passages long, units long, text string")
 
 
 def overlap(before: str, text: str) -> int:
     """How much of ``text``'s beginning, at word bounds, ``before`` ends with: OVERLAP_BYTES bytes at most."""
     sizes = [0]
-    for c in text:
+    for c in text[:OVERLAP_BYTES]:  # a character is a byte at least
         sizes.append(sizes[-1] + len(c.encode()))
     limit = min(sizes[-1], len(before.encode()), OVERLAP_BYTES)
-    for n in range(len(text), 0, -1):
+    for n in range(len(sizes) - 1, 0, -1):
         if sizes[n] <= limit and before.endswith(text[:n]) and (n == len(text) or text[n].isspace()) and (n == len(before) or before[-n - 1].isspace()):
             return n
     return 0
@@ -104,13 +120,12 @@ def whole(texts: list[str], most: int) -> tuple[str, bool]:
 def whole_texts(chunks: DataFrame, most: int = WHOLE_FILE) -> DataFrame:
     """file_id, units, cut, text: the chunks of each file put together again."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        text, cut = whole(f.sort_values("ordinal")["text"].tolist(), most)
-        return pd.DataFrame([(int(f["file_id"].iloc[0]), utf16(text), cut, text)], columns=["file_id", "units", "cut", "text"])
+    def one(f: list[dict]) -> tuple:
+        text, cut = whole([r["text"] for r in f], most)
+        return utf16(text), cut, text
 
     # Every chunk adds a unit at least: those from ``most`` on can't be in it.
-    some = chunks.select("file_id", "ordinal", "text").filter(F.col("ordinal") < most)
-    return some.groupBy("file_id").applyInPandas(run, "file_id long, units long, cut boolean, text string")
+    return by_file(chunks.filter(F.col("ordinal") < most), "ordinal", ["text"], one, "units long, cut boolean, text string")
 
 
 def candidates(chunks: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
